@@ -110,7 +110,7 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, U)
     out = np.zeros(m, U)
     for k in range(n):
-        out = (out ^ hashes[k : k + m]) * MIX1 + GOLD * U(k + 1)
+        out = (out ^ hashes[k : k + m]) * MIX1 + U(int(GOLD) * (k + 1) & 0xFFFFFFFFFFFFFFFF)
         out ^= out >> U(29)
     return mix(out)
 
