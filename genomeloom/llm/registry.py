@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import jaccard_join
+from genomeloom.llm import jaccard_join, pii
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
 }
 ORACLES = {
+    "op2_pii": pii.ORACLE,
     "op7_ngram_jaccard": jaccard_join.ORACLE,
 }
