@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import jaccard_join, pii
+from genomeloom.llm import jaccard_join, pii, quality_rules
 
 QUERIES = {
     "op2_pii": pii.op2_pii,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
 }
 ORACLES = {
