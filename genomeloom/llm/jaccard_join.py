@@ -35,7 +35,7 @@ from genomeloom.llm import textkernel as tk
 from genomeloom.operators.components import connected_components
 from genomeloom.sources.shared import staged, table
 
-SKETCH_BITS, SKETCH_SLICES = 18, 16
+SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 19, 16, 64
 MIN_BITS, MAX_BITS = 64, 8192
 
 
@@ -61,24 +61,22 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
-                total += np.bincount((s >> tk.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)) if len(s) > 1 << 14 else 0
-                if len(s) <= 1 << 14:
-                    np.add.at(total, (s >> tk.U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        parts = np.split(total, SKETCH_SLICES)
-        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([list(p) for p in parts], pa.list_(pa.int64()))], names=["slice", "counts"])
+                np.add.at(total, (s >> tk.U(64 - SKETCH_BITS)).astype(np.int64), 1)
+        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([p.tobytes() for p in np.split(total, SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "slice int, counts array<long>")
-    flat = rows.select("slice", F.posexplode("counts").alias("slot", "n")).groupBy("slice", "slot").agg(F.sum("n").alias("n"))
-    sums = flat.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda x: x["n"]).alias("counts"))
-    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.int64)
-    for row in sums.toLocalIterator():
-        out[row["slice"]] = row["counts"]
-    return out.ravel()
+    def add(parts: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in parts.column("counts").to_pylist()], axis=0)
+        return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % SKETCH_SALTS)
+    sums = rows.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums.toLocalIterator(), key=lambda r: r["slice"])])
 
 
 def _classes(sketch: np.ndarray) -> np.ndarray:
-    """0 for buckets of usual counts, then a class more for each doubling beyond twice the mean."""
-    return np.log2(np.maximum(1, sketch / (2 * sketch.mean() + 2))).astype(np.uint8)
+    """0 for buckets within the usual scatter of counts about their median, then a class more for each doubling beyond."""
+    middle = np.median(sketch)
+    return (1 + np.log2(np.maximum(0.5, (sketch - middle) / (6 * np.sqrt(middle) + 4)))).astype(np.uint8)
 
 
 def set_rows(docs: DataFrame, k: int, least: Fraction, sketch: np.ndarray) -> DataFrame:
