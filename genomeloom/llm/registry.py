@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import jaccard_join, pii, quality_rules
+from genomeloom.llm import decontaminate, jaccard_join, pii, quality_rules
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
