@@ -200,6 +200,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8") ->
     return per_doc.join(named, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, similarity: str = "0.8") -> DataFrame:
+    """``docs`` without the members of each component but its smallest doc_id; rows of null doc_id stay."""
+    gone = jaccard_components(docs, k, similarity).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, similarity="0.85")
 
