@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules
+from genomeloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
