@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, toxicity
+from genomeloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, repeats, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
+    "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
