@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, jaccard_join, mixing, pii, quality_rules, repeats, toxicity
+from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, pii, quality_rules, repeats, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
+    "op3_html_text": html_text.op3_html_text,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_repeats": repeats.op8_repeats,
