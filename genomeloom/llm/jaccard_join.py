@@ -23,6 +23,7 @@ an empty result. Extra columns are ignored. Shingles are compared by 64-bit hash
 
 from __future__ import annotations
 
+import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -35,7 +36,7 @@ from genomeloom.llm import textkernel as tk
 from genomeloom.operators.components import connected_components
 from genomeloom.sources.shared import staged, table
 
-SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 19, 16, 64
+SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 22, 16, 64
 MIN_BITS, MAX_BITS = 64, 8192
 
 
@@ -57,31 +58,31 @@ def shingle_sets(texts: pa.Array, k: int):
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """How often shingles of each hash bucket occur in all documents: 2^SKETCH_BITS counters, whatever the input's size."""
 
+    def pack(total: np.ndarray) -> bytes:
+        return zlib.compress(total.tobytes(), 1)
+
     def count(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
-                np.add.at(total, (s >> tk.U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([p.tobytes() for p in np.split(total, SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
+                total[(s >> tk.U(64 - SKETCH_BITS)).astype(np.int64)] += 1  # a set's elements of one bucket count once
+        yield pa.record_batch([pa.array(range(SKETCH_SLICES), pa.int32()), pa.array([pack(p) for p in np.split(total, SKETCH_SLICES)], pa.binary())], names=["slice", "counts"])
 
     def add(parts: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in parts.column("counts").to_pylist()], axis=0)
-        return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, np.uint32)
+        for x in parts.column("counts"):
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32)
+        return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "counts": pa.array([pack(total)], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "slice int, counts binary").withColumn("salt", F.spark_partition_id() % SKETCH_SALTS)
     sums = rows.groupBy("slice", "salt").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(sums.toLocalIterator(), key=lambda r: r["slice"])])
-
-
-def _classes(sketch: np.ndarray) -> np.ndarray:
-    """0 for buckets within the usual scatter of counts about their median, then a class more for each doubling beyond."""
-    middle = np.median(sketch)
-    return (1 + np.log2(np.maximum(0.5, (sketch - middle) / (6 * np.sqrt(middle) + 4)))).astype(np.uint8)
+    parts = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint32) for r in sums.toLocalIterator()}
+    return np.concatenate([parts.get(i, np.zeros((1 << SKETCH_BITS) // SKETCH_SLICES, np.uint32)) for i in range(SKETCH_SLICES)])
 
 
 def set_rows(docs: DataFrame, k: int, least: Fraction, sketch: np.ndarray) -> DataFrame:
     """(doc_id, n, f1, f2, bits, prefix): size, 128-bit fingerprint, bitmap and prefix elements of each document's set."""
-    rank = _classes(sketch)
+    rank = np.minimum(sketch, 65535).astype(np.uint16)
 
     def rows(batches):
         for batch in batches:
@@ -95,7 +96,7 @@ def set_rows(docs: DataFrame, k: int, least: Fraction, sketch: np.ndarray) -> Da
                 bit[(s & tk.U(size - 1)).astype(np.int64)] = 1
                 bitmaps.append(np.packbits(bit, bitorder="little").tobytes())
                 keep = m - -(-least.numerator * m // least.denominator) + 1 if m else 0
-                # s is sorted, so a stable sort by class orders by (class, hash)
+                # s is sorted, so a stable sort by count orders by (count, hash)
                 prefixes.append(s[np.argsort(rank[(s >> tk.U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]])
             flat = np.concatenate([*prefixes, np.zeros(0, tk.U)]).view(np.int64)
             f = np.array(prints, tk.U).reshape(-1, 2).view(np.int64)
