@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, perplexity, pii, quality_rules, repeats, toxicity
+from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, perplexity, pii, quality_rules, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_pii": pii.op2_pii,
     "op3_html_text": html_text.op3_html_text,
     "op4_perplexity": perplexity.op4_perplexity,
+    "op5_secrets": secrets.op5_secrets,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard": jaccard_join.op7_ngram_jaccard,
     "op8_repeats": repeats.op8_repeats,
