@@ -196,7 +196,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None, to
         for batch in batches:
             yield batch.append_column("mix_rate", pa.array(mixer.rates(mixer.posteriors(batch.column(at))[1])))
 
-    out = plain.mapInArrow(rate, T.StructType(plain.schema.fields).add("mix_rate", "double"))
+    out = plain.mapInArrow(rate, T.StructType([*plain.schema.fields, T.StructField("mix_rate", T.DoubleType())]))
     return out.withColumn("mix_copies", _copies(F.col("mix_rate"), F.col("doc_id"))).where("mix_copies > 0")
 
 
