@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from genomeloom.jobs import feature_jobs
+
+QUERIES = feature_jobs.QUERIES
+ORACLES = feature_jobs.ORACLES
