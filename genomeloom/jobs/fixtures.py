@@ -46,7 +46,7 @@ SELECT qseqid, sseqid, pident, ppos, sstart, send, evalue, bitscore, o, n FROM (
   FROM {genes} JOIN {orders} ON o = o_orderkey) h""",
     "cluster_pairs": """
 SELECT min(alias) OVER (PARTITION BY part) AS rep, alias AS member FROM {genes}""",
-    "similar": """
+    "likeness": """
 SELECT least(a.p_partkey, b.p_partkey) AS src, greatest(a.p_partkey, b.p_partkey) AS dst, CAST((a.p_partkey * 37 + b.p_partkey * 91) % 101 AS DOUBLE) AS pident
 FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
     "listing": """
