@@ -11,11 +11,15 @@ growing context, and an interval of one suffix drops out:
 2. The anchor's whole segment, the bytes under all the windows filed with it: where two
    segments are equal, every window of them repeats, and the common prefix is known to
    pass SPAN without looking at single windows.
-3. SPAN bytes at each window of the segments left in an interval with unequal ones.
+3. Where an interval holds unequal segments, contexts growing by STEP bytes to the left
+   and to the right of the anchor bound how far it agrees with any other on either side.
+4. SPAN bytes at each window that those bounds leave.
 
 The merge is a shuffle by interval name; no task orders all suffixes or holds an
-interval, and a frequent passage is one class after round 2. Contexts are named by
-64-bit hashes, which stand for their bytes.
+interval, and a frequent passage is one class after round 2. Between rounds, what is
+still open goes back to the shards as a bit table of fixed size (a name outside it is
+surely closed; a false hit only costs a row), so that texts are read again in place and
+not shuffled. Contexts are named by 64-bit hashes, which stand for their bytes.
 
 Defined cases. Null is empty, as are texts shorter than SPAN bytes: nothing to remove.
 Strings are judged on the input, not on what is left, and never cross documents;
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from genomeloom.llm import textkernel as tk
 from genomeloom.sources.shared import staged, table
 
-SPAN, K = 200, 32
+SPAN, K, STEP = 200, 32, 28
+OPEN_BITS, NEAR_BITS = 24, 26
 PLACE_BITS = 24
 PIECE = 1 << 22
 
@@ -65,12 +70,11 @@ class Contexts:
         return tk.mix((self.sums[start + size] - self.sums[start]) * self.down[start] + wide * tk.GOLD)
 
 
-def segments(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor's context, segment's context) of all anchors; windows by offset in ``data``."""
+def segments(ctx: Contexts, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, anchor, anchor's context, segment's context); places are offsets in ``data``."""
     n = len(data) - SPAN + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    ctx = Contexts(data)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     name = ctx.names(np.arange(len(data) - K + 1), K)
     keep = tk.U((1 << 64) - (1 << PLACE_BITS))
     least = _sliding_min((name & keep) | np.arange(len(name), dtype=np.uint64), SPAN - K + 1)
@@ -80,7 +84,7 @@ def segments(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (np.diff(at) > 1) | (np.diff(anchor) != 0)]) if len(at) else np.zeros(0, bool))
     first, last, anchor = at[new], at[np.append(new[1:], len(at)) - 1] if len(at) else at, anchor[new]
     whole = ctx.names(first, last - first + SPAN) ^ tk.mix((anchor - first).astype(np.uint64))
-    return row[first], first, last, name[anchor], whole
+    return row[first], first, last, anchor, name[anchor], whole
 
 
 def _pieces(column: pa.Array):
@@ -94,12 +98,46 @@ def _pieces(column: pa.Array):
                 yield range(lo, hi), part, np.array([0, len(part)]), at
 
 
+class BitTable:
+    """Names that are surely absent, or else perhaps present; two bits a name, of a fixed number."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return names >> tk.U(64 - bits), (names * tk.MIX2) >> tk.U(64 - bits)
+
+    @classmethod
+    def of(cls, names: DataFrame, bits: int) -> BitTable:
+        """Of a table of one column of names; partial tables are joined by bitwise or."""
+
+        def partial(batches):
+            for batch in batches:
+                own = batch.column(0).to_numpy().view(np.uint64)
+                at = np.concatenate(cls.places(own, bits))
+                word, back = np.unique(at >> tk.U(6), return_inverse=True)
+                mask = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(mask, back, tk.U(1) << (at & tk.U(63)))
+                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+        found = names.mapInArrow(partial, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+        return cls(bits, words)
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        a, b = self.places(names, self.bits)
+        has = lambda x: (self.words[(x >> tk.U(6)).astype(np.int64)] >> (x & tk.U(63)) & tk.U(1)).astype(bool)
+        return has(a) & has(b)
+
+
 def _segment_rows(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
             uid = batch.column(0).to_numpy()
             for own, data, bounds, before in _pieces(batch.column(1)):
-                row, first, last, near, whole = segments(data, bounds)
+                row, first, last, _, near, whole = segments(Contexts(data), data, bounds)
                 base = before - bounds[row]
                 yield pa.record_batch(
                     [pa.array(uid[own.start + row]), pa.array((first + base).astype(np.int32)), pa.array((last + base).astype(np.int32)), pa.array(near.view(np.int64)), pa.array(whole.view(np.int64))],
@@ -109,38 +147,62 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "uid long, first int, last int, near long, whole long")
 
 
-def _window_rows(docs: DataFrame) -> DataFrame:
-    """(uid, first, wanted, names): contexts of SPAN bytes at each window of the asked segments."""
+def _open_segments(batches, still_open: BitTable):
+    """(uid, offset base, contexts, bytes, row bounds, first, last, anchor) of open segments by slice; equal ones once a task."""
+    seen = np.zeros(0, np.uint64)
+    for batch in batches:
+        uid = batch.column(0).to_numpy()
+        for own, data, bounds, before in _pieces(batch.column(1)):
+            ctx = Contexts(data)
+            row, first, last, anchor, near, whole = segments(ctx, data, bounds)
+            at = np.flatnonzero(still_open(near))
+            at = at[np.unique(whole[at], return_index=True)[1]]
+            at = at[~np.isin(whole[at], seen)]
+            if len(seen) < 1 << 20:
+                seen = np.concatenate([seen, whole[at]])
+            if len(at):
+                yield uid[own.start + row[at]], before - bounds[row[at]], ctx, bounds[row[at]], bounds[row[at] + 1], first[at], last[at], anchor[at]
+
+
+def _levels(ctx: Contexts, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray):
+    """(side, level, segments, names): contexts that reach level * STEP bytes beyond the anchor's K on one side, where the text does."""
+    for level in range(1, (SPAN - K) // STEP + 1):
+        left = np.flatnonzero(anchor - level * STEP >= lo)
+        yield 0, level, left, ctx.names(anchor[left] - level * STEP, K + level * STEP)
+        right = np.flatnonzero(anchor + K + level * STEP <= hi)
+        yield 1, level, right, ctx.names(anchor[right], K + level * STEP)
+
+
+def _context_rows(docs: DataFrame, still_open: BitTable) -> DataFrame:
+    def rows(batches):
+        for _, _, ctx, lo, hi, _, _, anchor in _open_segments(batches, still_open):
+            names = np.concatenate([names for *_, names in _levels(ctx, lo, hi, anchor)])
+            yield pa.record_batch([pa.array(names.view(np.int64))], names=["name"])
+
+    return docs.mapInArrow(rows, "name long")
+
+
+def _window_rows(docs: DataFrame, still_open: BitTable, twice: BitTable) -> DataFrame:
+    """(uid, s, name): contexts of SPAN bytes at each window of the open segments that can repeat."""
 
     def rows(batches):
-        for batch in batches:
-            asked = batch.column(2)
-            bounds, parts = asked.offsets.to_numpy(), asked.values
-            first, last, wanted = (parts.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column(1)[r].as_buffer(), np.uint8)
-                uid = batch.column(0)[r].as_py()
-                for some in _groups(first[bounds[r] : bounds[r + 1]], last[bounds[r] : bounds[r + 1]], wanted[bounds[r] : bounds[r + 1]]):
-                    f, e, need = some
-                    base = int(f[0])
-                    ctx = Contexts(data[base : int(e[-1]) + SPAN])
-                    n = e - f + 1
-                    at = np.repeat(f - base - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    names = ctx.names(at, SPAN).view(np.int64)
-                    yield pa.record_batch([pa.array(np.full(len(f), uid)), pa.array(f.astype(np.int32)), pa.array(need), tk.list_array(names, n, pa.int64())], names=["uid", "first", "wanted", "names"])
-
-    return docs.mapInArrow(rows, "uid long, first int, wanted boolean, names array<long>")
-
-
-def _groups(first: np.ndarray, last: np.ndarray, wanted: np.ndarray):
-    """Runs of segments, in order, that span at most PIECE bytes together."""
-    order = np.argsort(first, kind="stable")
-    first, last, wanted = first[order].astype(np.int64), last[order].astype(np.int64), wanted[order]
-    at = 0
-    while at < len(first):
-        to = max(at + 1, int(np.searchsorted(last, first[at] + PIECE, "right")))
-        yield first[at:to], last[at:to], wanted[at:to]
-        at = to
+        for uid, base, ctx, lo, hi, first, last, anchor in _open_segments(batches, still_open):
+            agreed = np.zeros((2, len(anchor)), np.int64)
+            alive = np.ones((2, len(anchor)), bool)
+            for side, level, some, names in _levels(ctx, lo, hi, anchor):
+                reached = np.zeros(len(anchor), bool)
+                reached[some] = twice(names)
+                alive[side] &= reached
+                agreed[side][alive[side]] = level
+            # a window d bytes before the anchor needs d bytes on its left and SPAN - K - d on its right
+            far = (agreed + 1) * STEP - 1
+            a = np.maximum(first, anchor - far[0])
+            b = np.minimum(last, anchor - (SPAN - K) + far[1])
+            n = np.maximum(0, b - a + 1)
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield pa.record_batch([pa.array(np.repeat(uid, n)), pa.array((at + np.repeat(base, n)).astype(np.int32)), pa.array(ctx.names(at, SPAN).view(np.int64))], names=["uid", "s", "name"])
+
+    return docs.mapInArrow(rows, "uid long, s int, name long")
 
 
 def _covered(ranges: np.ndarray) -> np.ndarray:
@@ -181,18 +243,17 @@ def _uid() -> Column:
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(uid, s, e): byte ranges [s, e) of the texts that repeat; uid names a (doc_id, text)."""
-    plain = docs.select(_uid().alias("uid"), F.encode("text", "utf-8").alias("data"))
+    keyed = docs.select(_uid().alias("uid"), "text")
     by_near, by_whole = W.partitionBy("near"), W.partitionBy("near", "whole")
-    filed = _segment_rows(docs.select(_uid().alias("uid"), "text")).withColumn("n1", F.count("*").over(by_near)).where("n1 > 1")
-    filed = filed.withColumn("n2", F.count("*").over(by_whole)).withColumn("k", F.row_number().over(by_whole.orderBy("uid", "first")))
-    filed = staged(filed.select("uid", "first", "last", "k", "n1", "n2"), "segments")
+    filed = _segment_rows(keyed).withColumn("n1", F.count("*").over(by_near)).where("n1 > 1").withColumn("n2", F.count("*").over(by_whole))
+    filed = staged(filed.select("uid", "first", "last", "near", "n1", "n2"), "segments")
     equal = filed.where("n2 > 1").select("uid", F.col("first").alias("s"), (F.col("last") + SPAN).alias("e"))
-    # one segment of each class stands for its like; its own windows are known already
-    open_ = filed.where("n1 > n2 AND k = 1").groupBy("uid").agg(F.collect_list(F.struct("first", "last", (F.col("n2") == 1).alias("wanted"))).alias("asked"))
-    windows = _window_rows(plain.join(open_, "uid").select("uid", "data", "asked"))
-    single = windows.select("uid", "first", "wanted", F.posexplode("names").alias("pos", "name"))
-    again = single.withColumn("n", F.count("*").over(W.partitionBy("name"))).where("n > 1 AND wanted")
-    return equal.unionByName(again.select("uid", (F.col("first") + F.col("pos")).alias("s"), (F.col("first") + F.col("pos") + SPAN).alias("e")))
+    still_open = BitTable.of(filed.where("n2 = 1").select("near"), OPEN_BITS)
+    contexts = _context_rows(keyed, still_open).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    twice = BitTable.of(contexts, NEAR_BITS)
+    windows = _window_rows(keyed, still_open, twice)
+    again = windows.withColumn("n", F.count("*").over(W.partitionBy("name"))).where("n > 1")
+    return equal.unionByName(again.select("uid", "s", (F.col("s") + SPAN).alias("e")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
