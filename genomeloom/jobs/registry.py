@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genomeloom.jobs import feature_jobs, group_jobs
+from genomeloom.jobs import curation_jobs, feature_jobs, group_jobs
 
-QUERIES = feature_jobs.QUERIES | group_jobs.QUERIES
-ORACLES = feature_jobs.ORACLES | group_jobs.ORACLES
+QUERIES = feature_jobs.QUERIES | group_jobs.QUERIES | curation_jobs.QUERIES
+ORACLES = feature_jobs.ORACLES | group_jobs.ORACLES | curation_jobs.ORACLES
