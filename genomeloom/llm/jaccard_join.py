@@ -8,11 +8,13 @@ prefix element, one band of sizes); there, the numbers of documents' elements an
 the popcounts of their hashed bitmaps bound the overlap from above, and only pairs
 that pass are verified by intersecting their sorted arrays.
 
-Within a tile pairs are not all emitted. First every member is compared with the
-tile's smallest member; the verified links are contracted to components. Then only
-pairs of *different* components are compared, which is all that can still matter: a
-link inside a component changes nothing. So groups of copies cost about a comparison
-a member, and no link between components is lost.
+Within a tile pairs are not all emitted. First each document is compared with one member
+of its tiles for each of a few random orders, the first by that order, so that a group of
+copies meets at the same few members; the verified links are contracted to components.
+Then only pairs of *different* components are compared, inside the join of a tile with
+itself, whose condition holds the bounds; a link inside a component would change nothing.
+So groups of copies cost a few comparisons a member, and no link between components is
+lost.
 
 Defined cases. Null text, empty text, or text without words: empty set, linked with
 nothing, not even with its like. Fewer words than a shingle: the whole sequence is
@@ -28,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -38,6 +40,7 @@ from genomeloom.sources.shared import staged, table
 
 SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 22, 16, 64
 MIN_BITS, MAX_BITS = 64, 8192
+ORDERS = 3
 
 
 def shingle_sets(texts: pa.Array, k: int):
@@ -81,50 +84,50 @@ def _sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame, k: int, least: Fraction, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, n, f1, f2, bits, prefix): size, 128-bit fingerprint, bitmap and prefix elements of each document's set."""
+    """(doc_id, n, band, f1, f2, bits, prefix): size and its band, 128-bit fingerprint, bitmap and prefix elements of each document's set."""
     rank = np.minimum(sketch, 65535).astype(np.uint16)
+    step = float(np.log(float(1 / least)))
 
     def rows(batches):
         for batch in batches:
-            n, prints, bitmaps, prefixes = [], [], [], []
+            n, bands, prints, bitmaps, prefixes = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 m = len(s)
                 n.append(m)
+                bands.append(int(np.log(m) / step) if m else 0)
                 prints.append((int(np.bitwise_xor.reduce(tk.mix(s))), int(np.add.reduce(tk.mix(s ^ tk.GOLD)))) if m else (0, 0))
-                size = min(MAX_BITS, max(MIN_BITS, 1 << (2 * m - 1).bit_length() if m else 0))
-                bit = np.zeros(size, np.uint8)
-                bit[(s & tk.U(size - 1)).astype(np.int64)] = 1
-                bitmaps.append(np.packbits(bit, bitorder="little").tobytes())
+                bit = np.zeros(_width(bands[-1] + 1, step), np.uint8)
+                bit[(s & tk.U(len(bit) - 1)).astype(np.int64)] = 1
+                bitmaps.append(np.packbits(bit, bitorder="little").view(np.int64))
                 keep = m - -(-least.numerator * m // least.denominator) + 1 if m else 0
                 # s is sorted, so a stable sort by count orders by (count, hash)
                 prefixes.append(s[np.argsort(rank[(s >> tk.U(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")[:keep]])
             flat = np.concatenate([*prefixes, np.zeros(0, tk.U)]).view(np.int64)
             f = np.array(prints, tk.U).reshape(-1, 2).view(np.int64)
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(bitmaps, pa.binary()), tk.list_array(flat, [len(p) for p in prefixes], pa.int64())],
-                names=["doc_id", "n", "f1", "f2", "bits", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(bands, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), tk.list_array(np.concatenate([*bitmaps, np.zeros(0, np.int64)]), [len(x) for x in bitmaps], pa.int64()), tk.list_array(flat, [len(p) for p in prefixes], pa.int64())],
+                names=["doc_id", "n", "band", "f1", "f2", "bits", "prefix"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(rows, "doc_id long, n long, f1 long, f2 long, bits binary, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(rows, "doc_id long, n long, band int, f1 long, f2 long, bits array<long>, prefix array<long>")
 
 
-def _possible(least: Fraction):
-    """Pairs whose bitmaps leave room for the wanted overlap. Bits that differ come from elements that differ, so half of what is left bounds the overlap from above; the larger bitmap is folded onto the smaller."""
-    p, q = least.numerator, least.denominator
+def _width(band: int, step: float) -> int:
+    """Bits of the bitmaps that meet in a tile of this band: four for each element that a set of it can have."""
+    return int(min(MAX_BITS, max(MIN_BITS, 1 << int(np.ceil(np.log2(4 * np.exp(step * (band + 1))))))))
 
-    def keep(batches):
-        for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            ok = np.zeros(len(na), bool)
-            for i, (x, y) in enumerate(zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                size = min(len(x), len(y))
-                x, y = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
-                both = (na[i] + nb[i] - int(np.bitwise_count(x ^ y).sum())) // 2
-                ok[i] = both * q >= p * (na[i] + nb[i] - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
 
-    return keep
+def _folded(bits: Column, longs: Column) -> Column:
+    """A bitmap at half its width if it is wider than ``longs``; neighbouring bands are at most one doubling apart."""
+    return F.when(F.size(bits) > longs, F.zip_with(F.slice(bits, 1, longs), F.slice(bits, longs + 1, longs), lambda x, y: x.bitwiseOR(y))).otherwise(bits)
+
+
+def _possible(na: Column, nb: Column, bits_a: Column, bits_b: Column, least: Fraction) -> Column:
+    """Whether sizes and bitmaps leave room for the wanted overlap. Bits that differ come from elements that differ, so half of what is left bounds the overlap from above."""
+    p, q = least.numerator, least.denominator
+    differ = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    both = F.floor((na + nb - differ) / 2)
+    return (F.least(na, nb) * q >= F.greatest(na, nb) * p) & (both * q >= (na + nb - both) * p)
 
 
 def _verified(least: Fraction):
@@ -145,10 +148,10 @@ def _verified(least: Fraction):
 
 def _links(pairs: DataFrame, meta: DataFrame, docs: DataFrame, k: int, least: Fraction) -> DataFrame:
     """Those of the candidate ``pairs`` (a, b) that link: size bound, bitmap bound, then exact intersection."""
-    p, q = least.numerator, least.denominator
     of = lambda x: meta.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
-    sized = pairs.join(of("a"), "a").join(of("b"), "b").where((F.least("na", "nb") * q >= F.greatest("na", "nb") * p))
-    asked = staged(sized.mapInArrow(_possible(least), "a long, b long"), "pairs")
+    longs = F.least(F.size("bits_a"), F.size("bits_b"))
+    sized = pairs.join(of("a"), "a").join(of("b"), "b").where(_possible(F.col("na"), F.col("nb"), _folded(F.col("bits_a"), longs), _folded(F.col("bits_b"), longs), least))
+    asked = staged(sized.select("a", "b"), "pairs")
 
     def sets(batches):
         for batch in batches:
@@ -173,28 +176,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8") ->
     classes = staged(per_doc.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = per_doc.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi").drop("f1", "f2")
     meta = staged(reps, "reps")
-    postings = meta.select("doc_id", "n", F.explode("prefix").alias("key"))
-    met = staged(
-        postings.withColumn("pivot", F.min("doc_id").over(W.partitionBy("key"))).withColumn("last", F.max("doc_id").over(W.partitionBy("key"))).where("pivot < last").drop("last"),
-        "tiles",
-    )
-    stars = met.where("doc_id > pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    postings = meta.select("doc_id", "n", "band", F.explode("prefix").alias("key"))
+    by_key = W.partitionBy("key")
+    met = postings.withColumn("lo", F.min("doc_id").over(by_key)).withColumn("hi", F.max("doc_id").over(by_key)).where("lo < hi").drop("lo", "hi")
+    # neighbouring bands meet in the upper one's tile
+    tiles = staged(met.withColumn("tile", F.explode(F.array("band", F.col("band") + 1))), "tiles")
+    of_tile = W.partitionBy("key", "tile")
+    orders = {f"p{i}": F.struct(F.xxhash64("doc_id", F.lit(i)).alias("h"), F.col("doc_id").alias("b")) for i in range(ORDERS)}
+    firsts = tiles.select("doc_id", *(F.min(o).over(of_tile).alias(p) for p, o in orders.items()))
+    best = firsts.groupBy("doc_id").agg(*(F.min(F.when(F.col(p)["b"] != F.col("doc_id"), F.col(p))).alias(p) for p in orders))
+    stars = best.select("doc_id", F.explode(F.array(*(F.col(p)["b"] for p in orders))).alias("other")).where("other IS NOT NULL")
+    stars = stars.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
     links = staged(_links(stars, meta, docs, k, least), "links")
     linked = connected_components(links, "a", "b")
 
     # what is left: members of a tile that stand in different components
-    label = met.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = label.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+    label = tiles.join(linked.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = label.groupBy("key", "tile").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key", "tile")
     step = float(np.log(float(1 / least)))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    tiles = staged(label.join(mixed, "key", "left_semi").withColumn("band", F.explode(F.array(band, band + 1))).select("key", "band", "doc_id", "n", "pivot", "component"), "tiles")
-    x, y = tiles.alias("x"), tiles.alias("y")
-    p, q = least.numerator, least.denominator
-    rest = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
-        & (F.col("x.doc_id") != F.col("x.pivot")) & (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    longs = F.element_at(F.array(*(F.lit(_width(i, step) // 64) for i in range(int(np.log(2**31) / step) + 3))), F.col("tile") + 1)
+    left = label.join(mixed, ["key", "tile"], "left_semi").select("key", "tile", "doc_id", "n", "component")
+    left = staged(left.join(meta.select("doc_id", "bits"), "doc_id").withColumn("bits", _folded(F.col("bits"), longs)), "tiles")
+    x, y = left.alias("x"), left.alias("y")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile"))
+    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    rest = x.join(y, same & apart & _possible(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits"), least))
+    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = _links(rest, meta, docs, k, least)
     final = staged(connected_components(links.unionByName(more), "a", "b"), "components")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
