@@ -33,7 +33,8 @@ COMMON_SHARE = 0.002
 MIN_WORDS, CHAR_GUARD_WORDS, WORD_GUARD_WORDS = 50, 50, 100
 MIN_REFERENCE_WORDS = 1000
 BUCKETS = 4096
-CHAR_LIMIT, WORD_LIMIT = 0.30, 0.38
+#: A text of n words drawn from the reference itself lies some sqrt(bins / (8 ln 2 n)) from it; the limit never goes below NOISE times that.
+CHAR_LIMIT, WORD_LIMIT, NOISE = 0.30, 0.38, 1.1
 #: Character classes; bytes that continue a UTF-8 character have none.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "bracket", "symbol", "control", "latin", "other")
 SYMBOLS = b"#*$%&|<>"
@@ -211,15 +212,16 @@ def _measure(texts: pa.Array, langs: list[str], references: dict) -> list[pa.Arr
         n = np.diff(first)
         chars = classes.sum(axis=1) - classes[:, CLASSES.index("space")]
         repeats = _repeat_words(plain, first)
-        far = np.full((hi - lo, 2), np.nan)
+        far, noise = np.full((hi - lo, 2), np.nan), np.zeros(hi - lo)
         for r in range(hi - lo):
             if (ref := references.get(langs[lo + r])) is not None:
                 if n[r] >= CHAR_GUARD_WORDS:
                     far[r, 0] = js_distance(classes[r], ref[0])
                 if n[r] >= WORD_GUARD_WORDS:
                     far[r, 1] = js_distance(_word_counts(hashes[first[r] : first[r + 1]], ref[1]), ref[2])
+                    noise[r] = np.sqrt(len(ref[2]) / (8 * np.log(2) * n[r]))
         failed = (n < MIN_WORDS) | (100 * repeats > 50 * n)
-        kept = ~failed & ~(far[:, 0] > CHAR_LIMIT) & ~(far[:, 1] > WORD_LIMIT)
+        kept = ~failed & ~(far[:, 0] > CHAR_LIMIT) & ~(far[:, 1] > np.maximum(WORD_LIMIT, NOISE * noise))
         found.append([n, chars, _per_row(IS_SYMBOL[data], rows), _dup_lines(data, rows, start), repeats, far[:, 0], far[:, 1], failed, kept])
     types = [pa.int64()] * 5 + [pa.float64()] * 2 + [pa.bool_()] * 2
     return [pa.array(np.concatenate(c), t, from_pandas=True) for c, t in zip(zip(*found, strict=True), types, strict=True)] if found else [pa.array([], t) for t in types]
