@@ -163,14 +163,14 @@ SELECT ome, max(CASE WHEN run * 2 >= total THEN size END) AS n50, CAST(min(CASE
         "SELECT seqid || '[3-40]' AS accession, substr(sequence, 3, 38) AS sequence FROM {contigs}",
     ),
     "w7_select_hits": (
-        lambda s, d: H.select_hits(_hits(s, d), 3, 0.008, 30, 0.0003, 0.0002).select("qseqid", "sseqid", "pident", "bitscore"),
+        lambda s, d: H.select_hits(_hits(s, d), 3, 0.008, 30, 0.00025, 0.000125).select("qseqid", "sseqid", "pident", "bitscore"),
         """SELECT qseqid, sseqid, pident, bitscore FROM (SELECT *, row_number() OVER (PARTITION BY split_part(sseqid, '_', 1), qseqid ORDER BY pident DESC, o, n, sseqid) AS k FROM {hits}) h
-WHERE k <= 3 AND floor(bitscore) > 30 AND floor(1000 * pident) > 30 AND evalue <= 0.008 AND floor(1000 * ppos) > 20""",
+WHERE k <= 3 AND floor(bitscore) > 30 AND floor(1000 * pident) > 25 AND evalue <= 0.008 AND floor(1000 * ppos) > 12.5""",
     ),
     "w8_select_hits_global": (
-        lambda s, d: H.select_hits_global(_hits(s, d), 20, 0.008, 30, 0.0003, 0.0002).select("qseqid", "sseqid", "bitscore"),
+        lambda s, d: H.select_hits_global(_hits(s, d), 20, 0.008, 30, 0.00025, 0.000125).select("qseqid", "sseqid", "bitscore"),
         """SELECT qseqid, sseqid, bitscore FROM (SELECT *, row_number() OVER (PARTITION BY split_part(sseqid, '_', 1) ORDER BY bitscore DESC, o, n, sseqid) AS k FROM {hits}
-WHERE floor(bitscore) > 30 AND floor(1000 * pident) > 30 AND evalue <= 0.008 AND floor(1000 * ppos) > 20) h WHERE k <= 20""",
+WHERE floor(bitscore) > 30 AND floor(1000 * pident) > 25 AND evalue <= 0.008 AND floor(1000 * ppos) > 12.5) h WHERE k <= 20""",
     ),
     "w10_hits_to_accessions": (lambda s, d: H.hits_to_accessions(domain(s, d, "hits"), True), "SELECT DISTINCT qseqid, sseqid || '[' || sstart || '-' || send || ']' AS accession FROM {hits}"),
     "j17_hits_in_all_queries": (
