@@ -83,7 +83,7 @@ def write_fasta(rows: DataFrame, path: str, by: str | None = None, description:
 
 def read_gff(spark: SparkSession, path: str, mode: str = "fail") -> DataFrame:
     """Annotation rows with their place in the file (row). A row without nine fields or whole coordinates is an error, or goes with mode="drop"."""
-    whole = spark.read.option("wholetext", True).text(path).select(_file_stem().alias("ome"), F.element_at(F.split("value", "(?:^|\n)##FASTA", 2), 1).alias("value"))
+    whole = spark.read.text(path, wholetext=True).select(_file_stem().alias("ome"), F.element_at(F.split("value", "(?:^|\n)##FASTA", 2), 1).alias("value"))
     rows = whole.select("ome", F.posexplode(F.split("value", r"\r?\n")).alias("row", "line")).where((F.trim("line") != "") & ~F.col("line").startswith("#"))
     parts = F.split("line", "\t", -1)
     good = (F.size(parts) == 9) & F.get(parts, F.lit(3)).rlike(r"^\d+$") & F.get(parts, F.lit(4)).rlike(r"^\d+$")
@@ -126,7 +126,7 @@ def _fastq_records(text: str) -> Iterator[tuple[str, str, str, str]]:
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, description, sequence, score): a record ends when its score is as long as its sequence, whatever the lines begin with; .gz works."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
