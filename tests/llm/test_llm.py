@@ -159,6 +159,25 @@ def test_decontamination(spark):
     assert decontaminate.common_subsequence(np.array([1, 2, 3, 2], np.uint64), np.array([2, 3, 1, 2], np.uint64)) == 3
 
 
+def test_decontamination_of_long_items(spark):
+    """Items of many passages: verbatim, paraphrased (before the answer a fifth of the words changed, some left out or put in), and half of one."""
+    rng = random.Random(17)
+    items = [prose(rng, n, 3000) for n in (200, 400, 200, 400, 1500, 400, 33)] + [prose(rng, 40, 3000) for _ in range(80)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def told(text):
+        w = text.split()
+        answer = len(w) * 4 // 5
+        w[:answer] = [f"other{k}" if k % 5 == 2 else x if k % 11 else f"{x} more{k}" for k, x in enumerate(w[:answer]) if k % 17]
+        return " ".join(w)
+
+    around = lambda text: f"{prose(rng, 77, 3000)} {text} {prose(rng, 301, 3000)}"
+    half = " ".join(items[5].split()[:190])
+    texts = [around(items[0]), around(items[1]), around(told(items[2])), around(told(items[3])), around(items[4]), around(half), around(items[6]), items[1], prose(rng, 2000, 3000)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, *texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 1)}
+
+
 def test_html():
     v = html_text.visible_text
     assert v("<p>a<p>b <b>c</b>d<ul><li>x<li>y<ol><li>z</ol></ul>e") == "a\n\nb cd\n\n- x\n- y\n  1. z\n\ne"
