@@ -9,11 +9,10 @@ document's perplexity takes in all of its words. A document is kept if its perpl
 at most that quantile of its language which HELD_OUT trusted documents (a fifth, not
 trained on) set, with some slack for what few of them can tell.
 
-Bounds. The model is trained on at most TRUSTED_ROWS trusted documents, the first by a
-hash of doc_id, and on MODEL_ROWS table rows, a documented bound of what goes to the
-tasks; with more rows, n-grams seen once are pruned from the highest order first, as is
-usual for such models. Thresholds take in every held-out trusted document, perplexities
-every document.
+The model is trained on all trusted documents that aren't held out and is never collected:
+the distinct n-grams of the documents are joined with the tables of shares and weights, all
+sharded by the hash of the n-gram, and each document sums up its own n-grams. Thresholds take in every held-out
+trusted document, perplexities every document. Texts, like n-grams, are told apart by 64-bit hashes.
 
 Defined cases. Null or wordless text, or fewer than MIN_WORDS words: kept is true, for
 nothing can be said (perplexity null without words). Null language: a language of its
@@ -34,7 +33,6 @@ from pyspark.sql import functions as F
 from genomeloom.llm import textkernel as tk
 from genomeloom.sources.shared import staged, table
 
-TRUSTED_ROWS, MODEL_ROWS = 1_500, 8_000_000
 FOLDS = 5
 QUANTILE, SLACK = 0.99, 1.25
 MIN_WORDS, MIN_HELD_OUT = 10, 20
@@ -103,20 +101,33 @@ def _discount(n: Column, d: tuple[float, float, float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def train(trusted: DataFrame) -> Model:
-    """The model of ``trusted`` (text)."""
+def _gram_rows(texts: DataFrame) -> DataFrame:
+    """(key, uvw, uv, vw, v, w) at each word of ``texts`` (key, text)."""
 
     def grams(batches):
         for batch in batches:
-            for _, _, data, rows in tk.slices(batch.column(0)):
-                names = _grams(*tk.word_hashes(tk.LOWER[data], rows))
-                yield pa.record_batch([pa.array(x.view(np.int64)) for x in names], names=["uvw", "uv", "vw", "v", "w"])
+            keys = batch.column(0).to_numpy()
+            for lo, hi, data, rows in tk.slices(batch.column(1)):
+                hashes, first = tk.word_hashes(tk.LOWER[data], rows)
+                names = [np.repeat(keys[lo:hi], np.diff(first)), *(x.view(np.int64) for x in _grams(hashes, first))]
+                yield pa.record_batch([pa.array(x) for x in names], names=["key", "uvw", "uv", "vw", "v", "w"])
+
+    return texts.mapInArrow(grams, "key long, uvw long, uv long, vw long, v long, w long")
+
 
-    tri = staged(trusted.select("text").mapInArrow(grams, "uvw long, uv long, vw long, v long, w long").groupBy("uvw", "uv", "vw", "v", "w").agg(F.count("*").alias("n")), "trigrams")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, text); equal texts have equal keys and equal perplexities."""
+    return docs.select(F.xxhash64("text").alias("key"), "text")
+
+
+def shares(trusted: DataFrame) -> tuple[dict[str, DataFrame], float]:
+    """The model of ``trusted`` (text): tables (name, x) of the shares of uvw, vw, w and of the weights of the contexts uv, v; and the share of an unknown word."""
+    grams = _gram_rows(_keyed(trusted))
+    tri = staged(grams.groupBy("uvw", "uv", "vw", "v", "w").agg(F.count("*").alias("n")), "trigrams")
     bi = staged(tri.groupBy("vw", "v", "w").agg(F.count("*").alias("n")), "bigrams")
     uni = staged(bi.groupBy("w").agg(F.count("*").alias("n")), "unigrams")
 
-    def shares(counts: DataFrame, gram: str, context: str) -> tuple[DataFrame, DataFrame]:
+    def of_order(counts: DataFrame, gram: str, context: str) -> tuple[DataFrame, DataFrame]:
         d = _discounts(counts, "n")
         of = counts.groupBy(context).agg(F.sum("n").alias("all"), F.sum(_discount(F.col("n"), d)).alias("freed"))
         joined = counts.join(of, context)
@@ -126,52 +137,58 @@ def train(trusted: DataFrame) -> Model:
     d1 = _discounts(uni, "n")
     freed = uni.agg(F.sum(_discount(F.col("n"), d1))).first()[0] or 0.0
     spread = max(freed / max(1, total["all"] or 1), 1e-6) / (total["words"] + 1) if total["words"] else 1.0
-    if (size := tri.count() * 2 + bi.count() * 2 + total["words"]) > MODEL_ROWS:
-        kept = tri.where("n > 1")
-    else:
-        kept = tri
-    t3, g2 = shares(tri, "uvw", "uv")
-    if size > MODEL_ROWS:
-        t3 = t3.join(kept.select(F.col("uvw").alias("name")), "name", "left_semi")
-    t2, g1 = shares(bi, "vw", "v")
+    t3, g2 = of_order(tri, "uvw", "uv")
+    t2, g1 = of_order(bi, "vw", "v")
     t1 = uni.select(F.col("w").alias("name"), ((F.col("n") - _discount(F.col("n"), d1)) / (total["all"] or 1) + spread).alias("x"))
+    return {"uvw": t3, "uv": g2, "vw": t2, "v": g1, "w": t1}, spread
+
+
+def _missing(spread: float) -> dict[str, float]:
+    """What names that aren't in a table stand for."""
+    return {"uvw": 0.0, "uv": 1.0, "vw": 0.0, "v": 1.0, "w": spread}
+
+
+def train(trusted: DataFrame) -> Model:
+    """The model of ``trusted`` (text) in memory: for small tables and as the exact form of the joins."""
+    frames, spread = shares(trusted)
     tables = {}
-    for key, frame, missing in (("uvw", t3, 0.0), ("uv", g2, 1.0), ("vw", t2, 0.0), ("v", g1, 1.0), ("w", t1, spread)):
-        held = frame.select("name", F.col("x").cast("float").alias("x")).toArrow()
+    for key, missing in _missing(spread).items():
+        held = frames[key].select("name", F.col("x").cast("float").alias("x")).toArrow()
         tables[key] = Lookup(held.column("name").to_numpy().view(np.uint64), held.column("x").to_numpy(), missing)
     return Model(tables)
 
 
-def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n_words, perplexity) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def perplexities(docs: DataFrame, frames: dict[str, DataFrame], spread: float) -> DataFrame:
+    """(doc_id, lang, n_words, perplexity) of every document, under the model that ``shares`` gave."""
+    grams = _gram_rows(_keyed(docs))
+    missing = _missing(spread)
+
+    def valued(rows: DataFrame, gram: str) -> DataFrame:
+        found = rows.join(frames[gram].select(F.col("name").alias(gram), F.col("x").alias("x_" + gram)), gram, "left")
+        return found.withColumn("x_" + gram, F.coalesce("x_" + gram, F.lit(missing[gram])))
+
+    pairs = valued(valued(valued(grams.select("vw", "v", "w").distinct(), "w"), "v"), "vw")
+    pairs = pairs.select("vw", (F.col("x_vw") + F.col("x_v") * F.col("x_w")).alias("low"))
+    triples = valued(valued(grams.select("uvw", "uv", "vw").distinct().join(pairs, "vw"), "uv"), "uvw")
+    logs = triples.select("uvw", F.log(F.col("x_uvw") + F.col("x_uv") * F.col("low")).alias("log"))
+    sums = grams.groupBy("key", "uvw").agg(F.count("*").alias("n")).join(logs, "uvw").groupBy("key").agg((F.sum(F.col("n") * F.col("log")) / F.sum("n")).alias("mean"))
 
-    def rows(batches):
-        own = shared.value
-        for t in own.tables.values():
-            t.ready()
+    def counted(batches):
         for batch in batches:
-            n, mean = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for _, _, data, at in tk.slices(batch.column(2)):
-                hashes, first = tk.word_hashes(tk.LOWER[data], at)
-                sums = np.zeros(len(hashes) + 1)
-                np.cumsum(own.log_shares(hashes, first), out=sums[1:])
-                n.append(np.diff(first))
-                with np.errstate(invalid="ignore"):
-                    mean.append((sums[first[1:]] - sums[first[:-1]]) / n[-1])
-            yield pa.record_batch([*batch.columns[:2], pa.array(np.concatenate(n)), pa.array(np.exp(-np.concatenate(mean)), from_pandas=True)], names=["doc_id", "lang", "n_words", "perplexity"])
+            n = [np.diff(tk.word_hashes(data, at)[1]) for _, _, data, at in tk.slices(batch.column(2))]
+            yield pa.record_batch([*batch.columns[:2], pa.array(np.concatenate([np.zeros(0, np.int64), *n])), batch.column(3)], names=["doc_id", "lang", "n_words", "key"])
 
-    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
-    return plain.mapInArrow(rows, "doc_id long, lang string, n_words long, perplexity double")
+    plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text", F.xxhash64("text").alias("key"))
+    rows = plain.mapInArrow(counted, "doc_id long, lang string, n_words long, key long")
+    return rows.join(sums, "key", "left").select("doc_id", "lang", "n_words", F.exp(-F.col("mean")).alias("perplexity"))
 
 
 def quality_by_perplexity(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept); ``trusted_ids`` (doc_id) names the trusted documents."""
     fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS))
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    some = trusted.where(fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED_ROWS)
-    model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id", "left_semi"))
-    scored = staged(perplexities(docs, model), "perplexities")
+    frames, spread = shares(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(trusted.where(fold != 0), "doc_id", "left_semi"))
+    scored = staged(perplexities(docs, frames, spread), "perplexities")
     back = scored.where("n_words >= " + str(MIN_WORDS)).join(trusted.where(fold == 0), "doc_id", "left_semi")
     cut = (F.percentile_approx("perplexity", QUANTILE, 10_000) * SLACK).alias("own")
     by_lang = back.groupBy("lang").agg(cut, F.count("*").alias("k")).where(F.col("k") >= MIN_HELD_OUT).select("lang", "own")

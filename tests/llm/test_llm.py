@@ -206,6 +206,25 @@ def test_perplexity(spark):
     assert perplexity.quality_by_perplexity(table.limit(0), ids).count() == 0
 
 
+def test_perplexity_trains_on_all_trusted_documents(spark):
+    """More trusted documents than fit a sample, each with words of its own, against the model held in memory."""
+    rng = random.Random(18)
+    texts = [f"{prose(rng, 12, 300)} own{i} rare{i} {prose(rng, 3, 300)}" for i in range(2400)]
+    table = docs(spark, *texts, texts[5], *ODD).repartition(4)
+    ids = spark.range(2400).select(F.col("id").alias("doc_id"))
+    got = {r["doc_id"]: r["perplexity"] for r in perplexity.quality_by_perplexity(table, ids).collect()}
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(perplexity.FOLDS))
+    training = {r["doc_id"] for r in ids.where(fold != 0).collect()}
+    assert len(training) > 1800
+    model = perplexity.train(table.where(F.col("doc_id").isin(training)))
+    for t in model.tables.values():
+        t.ready()
+    for i, text in enumerate([*texts, texts[5]]):
+        hashes, first = tk.word_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        want = float(np.exp(-model.log_shares(hashes, first).mean()))
+        assert abs(got[i] - want) < 1e-4 * want, i
+
+
 def test_perplexity_sums_to_one(spark):
     model = perplexity.train(spark.createDataFrame([("a b c a b d a c",), ("b a b c",)], "text string"))
     for t in model.tables.values():
