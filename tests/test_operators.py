@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from genomeloom.operators import catalog as K
 from genomeloom.operators import curate as Q
@@ -55,6 +56,40 @@ def test_linkage(spark):
     assert sorted(r["node"] for r in found.collect()) == [1, 2, 3] and log[-1][1] == 3
 
 
+def test_kmer_edges_against_brute_force(spark):
+    """Copies, changed copies and longer texts that hold parts of them; components as of all pairs."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("acgtnkry") for _ in range(n))
+    base = [text(120) for _ in range(12)]
+    texts = [*base, *base[:6], *(x.upper() for x in base[6:8])]
+    for x in base:
+        texts += [x[:60] + text(3) + x[63:], x[4:] + text(4)]
+    for _ in range(40):
+        texts.append(text(200).join(x[i : i + 40] for x in rng.sample(base, 4) for i in [rng.randrange(80)]))
+    texts += ["acg", "acg", "", "acgtn"]
+    table = spark.createDataFrame([(f"s{i:03}", x) for i, x in enumerate(texts)], "seqid string, sequence string")
+    k, m, least = 5, 20, 0.5
+    grams = sorted({x.upper()[i : i + k] for x in texts for i in range(len(x) - k + 1)})
+    hashes = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in grams], "g string").select("g", F.xxhash64("g").alias("h")).collect()}
+    lists = [set(sorted({hashes[x.upper()[i : i + k]] for i in range(len(x) - k + 1)})[:m]) for x in texts]
+    want = {}
+    for i, x in enumerate(lists):
+        for j in range(i):
+            share = 1.0 if texts[i].upper() == texts[j].upper() else len(x & lists[j]) / max(1, min(len(x), len(lists[j])))
+            if share >= least:
+                want[f"s{j:03}", f"s{i:03}"] = 1 - share
+    low = list(range(len(texts)))
+    for _ in texts:
+        for a, b in want:
+            i, j = int(a[1:]), int(b[1:])
+            low[i] = low[j] = min(low[i], low[j])
+    edges = G.kmer_edges(table, k, m, least).collect()
+    assert edges and all(abs(want[tuple(sorted((r["src"], r["dst"])))] - r["dist"]) < 1e-9 for r in edges)
+    assert len({(r["src"], r["dst"]) for r in edges}) == len(edges)
+    assert {r["member"]: r["rep"] for r in G.homology_pairs(table, k, m, least).collect()} == {f"s{i:03}": f"s{c:03}" for i, c in enumerate(low)}
+    assert G.kmer_edges(table.limit(0)).count() == 0
+
+
 def test_codon_sequences(spark):
     rows = gff(
         spark,
