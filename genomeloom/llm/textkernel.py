@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 #: Fixed odd multipliers of the hashes below.
@@ -19,10 +21,18 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch, so that a batch of documents stays a few MB.
+BATCH_ROWS = 2000
 _POWERS: dict[str, np.ndarray] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the rows of an Arrow batch to BATCH_ROWS: documents are wide rows, and every copy of a batch counts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = (x ^ (x >> U(30))) * MIX1
@@ -119,3 +129,37 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+class BitTable:
+    """Names that are surely absent, or else perhaps present; two bits a name, of a fixed number."""
+
+    def __init__(self, bits: int, words: np.ndarray) -> None:
+        self.bits, self.words = bits, words
+
+    @staticmethod
+    def places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return names >> U(64 - bits), (names * MIX2) >> U(64 - bits)
+
+    @classmethod
+    def of(cls, names: DataFrame, bits: int) -> BitTable:
+        """Of a table of one column of names; partial tables are joined by bitwise or."""
+
+        def partial(batches):
+            for batch in batches:
+                own = batch.column(0).to_numpy().view(np.uint64)
+                at = np.concatenate(cls.places(own, bits))
+                word, back = np.unique(at >> U(6), return_inverse=True)
+                mask = np.zeros(len(word), np.uint64)
+                np.bitwise_or.at(mask, back, U(1) << (at & U(63)))
+                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+        found = names.mapInArrow(partial, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
+        return cls(bits, words)
+
+    def __call__(self, names: np.ndarray) -> np.ndarray:
+        a, b = self.places(names, self.bits)
+        has = lambda x: (self.words[(x >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)).astype(bool)
+        return has(a) & has(b)
