@@ -98,40 +98,6 @@ def _pieces(column: pa.Array):
                 yield range(lo, hi), part, np.array([0, len(part)]), at
 
 
-class BitTable:
-    """Names that are surely absent, or else perhaps present; two bits a name, of a fixed number."""
-
-    def __init__(self, bits: int, words: np.ndarray) -> None:
-        self.bits, self.words = bits, words
-
-    @staticmethod
-    def places(names: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        return names >> tk.U(64 - bits), (names * tk.MIX2) >> tk.U(64 - bits)
-
-    @classmethod
-    def of(cls, names: DataFrame, bits: int) -> BitTable:
-        """Of a table of one column of names; partial tables are joined by bitwise or."""
-
-        def partial(batches):
-            for batch in batches:
-                own = batch.column(0).to_numpy().view(np.uint64)
-                at = np.concatenate(cls.places(own, bits))
-                word, back = np.unique(at >> tk.U(6), return_inverse=True)
-                mask = np.zeros(len(word), np.uint64)
-                np.bitwise_or.at(mask, back, tk.U(1) << (at & tk.U(63)))
-                yield pa.record_batch([pa.array(word.astype(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
-
-        found = names.mapInArrow(partial, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-        words = np.zeros(1 << (bits - 6), np.uint64)
-        words[found.column("word").to_numpy()] = found.column("mask").to_numpy().view(np.uint64)
-        return cls(bits, words)
-
-    def __call__(self, names: np.ndarray) -> np.ndarray:
-        a, b = self.places(names, self.bits)
-        has = lambda x: (self.words[(x >> tk.U(6)).astype(np.int64)] >> (x & tk.U(63)) & tk.U(1)).astype(bool)
-        return has(a) & has(b)
-
-
 def _segment_rows(docs: DataFrame) -> DataFrame:
     def rows(batches):
         for batch in batches:
@@ -147,7 +113,7 @@ def _segment_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "uid long, first int, last int, near long, whole long")
 
 
-def _open_segments(batches, still_open: BitTable):
+def _open_segments(batches, still_open: tk.BitTable):
     """(uid, offset base, contexts, bytes, row bounds, first, last, anchor) of open segments by slice; equal ones once a task."""
     seen = np.zeros(0, np.uint64)
     for batch in batches:
@@ -173,7 +139,7 @@ def _levels(ctx: Contexts, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray):
         yield 1, level, right, ctx.names(anchor[right], K + level * STEP)
 
 
-def _context_rows(docs: DataFrame, still_open: BitTable) -> DataFrame:
+def _context_rows(docs: DataFrame, still_open: tk.BitTable) -> DataFrame:
     def rows(batches):
         for _, _, ctx, lo, hi, _, _, anchor in _open_segments(batches, still_open):
             names = np.concatenate([names for *_, names in _levels(ctx, lo, hi, anchor)])
@@ -182,7 +148,7 @@ def _context_rows(docs: DataFrame, still_open: BitTable) -> DataFrame:
     return docs.mapInArrow(rows, "name long")
 
 
-def _window_rows(docs: DataFrame, still_open: BitTable, twice: BitTable) -> DataFrame:
+def _window_rows(docs: DataFrame, still_open: tk.BitTable, twice: tk.BitTable) -> DataFrame:
     """(uid, s, name): contexts of SPAN bytes at each window of the open segments that can repeat."""
 
     def rows(batches):
@@ -216,21 +182,28 @@ def _covered(ranges: np.ndarray) -> np.ndarray:
 
 
 def _cut(docs: DataFrame) -> DataFrame:
+    """Of documents (doc_id, data, starts, spans): starts of repeated windows, and repeated ranges as start * 2^32 + end."""
+
+    def flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        return column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(kind)
+
     def rows(batches):
         for batch in batches:
             sizes, gone, runs, left = [], [], [], []
-            for doc, parts in zip(batch.column(1), batch.column(2), strict=True):
-                data = doc.as_buffer() if doc.is_valid else pa.py_buffer(b"")
-                data = memoryview(data)
-                spans = _covered(np.array([(p["s"], p["e"]) for p in parts.as_py()], np.int64).reshape(-1, 2)) if parts.is_valid else np.zeros((0, 2), np.int64)
+            (at_s, starts), (at_p, spans) = (flat(batch.column(k), np.int64) for k in (2, 3))
+            for i, doc in enumerate(batch.column(1)):
+                data = memoryview(doc.as_buffer() if doc.is_valid else b"")
+                single, wide = starts[at_s[i] : at_s[i + 1]], spans[at_p[i] : at_p[i + 1]]
+                ranges = np.concatenate([np.stack([single, single + SPAN], axis=1), np.stack([wide >> 32, wide & 0xFFFFFFFF], axis=1)])
+                ranges = _covered(ranges)
                 digest, at = hashlib.sha256(), 0
-                for s, e in spans.tolist():
+                for s, e in ranges.tolist():
                     digest.update(data[at:s])
                     at = e
                 digest.update(data[at:])
                 sizes.append(len(data))
-                gone.append(int((spans[:, 1] - spans[:, 0]).sum()))
-                runs.append(len(spans))
+                gone.append(int((ranges[:, 1] - ranges[:, 0]).sum()))
+                runs.append(len(ranges))
                 left.append(digest.hexdigest())
             yield pa.record_batch([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs)), pa.array(left, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -242,26 +215,31 @@ def _uid() -> Column:
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(uid, s, e): byte ranges [s, e) of the texts that repeat; uid names a (doc_id, text)."""
+    """(uid, s, e): byte ranges [s, e) of the texts that repeat, those of single windows without e; uid names a (doc_id, text)."""
     keyed = docs.select(_uid().alias("uid"), "text")
     by_near, by_whole = W.partitionBy("near"), W.partitionBy("near", "whole")
     filed = _segment_rows(keyed).withColumn("n1", F.count("*").over(by_near)).where("n1 > 1").withColumn("n2", F.count("*").over(by_whole))
     filed = staged(filed.select("uid", "first", "last", "near", "n1", "n2"), "segments")
     equal = filed.where("n2 > 1").select("uid", F.col("first").alias("s"), (F.col("last") + SPAN).alias("e"))
-    still_open = BitTable.of(filed.where("n2 = 1").select("near"), OPEN_BITS)
+    still_open = tk.BitTable.of(filed.where("n2 = 1").select("near"), OPEN_BITS)
     contexts = _context_rows(keyed, still_open).groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    twice = BitTable.of(contexts, NEAR_BITS)
+    twice = tk.BitTable.of(contexts, NEAR_BITS)
     windows = _window_rows(keyed, still_open, twice)
     again = windows.withColumn("n", F.count("*").over(W.partitionBy("name"))).where("n > 1")
-    return equal.unionByName(again.select("uid", "s", (F.col("s") + SPAN).alias("e")))
+    return equal.unionByName(again.select("uid", "s", F.lit(None).cast("int").alias("e")))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
+    tk.small_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = staged(repeated_ranges(plain).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("parts")), "ranges")
+    # sets, for equal rows share a uid: a text's places are held once, however often it stands there
+    starts = F.collect_set(F.when(F.col("e").isNull(), F.col("s"))).alias("starts")
+    spans = F.collect_set(F.when(F.col("e").isNotNull(), F.shiftleft(F.col("s").cast("long"), 32) + F.col("e"))).alias("spans")
+    found = staged(repeated_ranges(plain).groupBy("uid").agg(starts, spans), "ranges")
     keyed = plain.select("doc_id", F.encode("text", "utf-8").alias("data"), _uid().alias("uid"))
-    return _cut(keyed.join(found, "uid", "left").select("doc_id", "data", "parts"))
+    none = lambda name, kind: F.coalesce(name, F.array().cast(f"array<{kind}>")).alias(name)
+    return _cut(keyed.join(found, "uid", "left").select("doc_id", "data", none("starts", "int"), none("spans", "long")))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
