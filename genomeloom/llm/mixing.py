@@ -10,8 +10,13 @@ the step. Rates are not stored between rounds: a document's rate follows from it
 and the rounds' steps, a list of K-vectors that goes to the tasks.
 
 Targets. ``weights`` gives the wanted shares (scaled to sum to 1; a domain not named
-keeps its present share of what remains). The total is the smallest at which no domain
-has to be thinned, so documents are repeated rather than lost, unless ``total`` is set.
+keeps its present share of what remains). Unless ``total`` is set, documents are repeated
+and never lost: rates are 1 at least, and the total is HEADROOM times the smallest at
+which no domain has to be thinned, which leaves room for documents of several domains. With
+``total`` set, rates may fall to 0. No rate passes MAX_RATE. Rates begin at the mean rate
+that a document's domains need, and the steps are damped (RIDGE), so that directions in which
+the documents hardly differ move no rate far. Targets that these bounds put out of reach are
+met as nearly as they allow, and ``mixture_report`` names them.
 ``copies`` rounds the rate up or down by a hash of doc_id, with the rate as its mean.
 
 Bounds. The classifier is fitted on at most LABELLED_ROWS labelled documents, the first
@@ -40,7 +45,10 @@ BUCKETS = 1 << 15
 LABELLED_ROWS = 20_000
 #: Mean log-likelihoods count as those of a text of at most so many words, so that long texts keep some doubt.
 NOMINAL_WORDS = 12
-ROUNDS, TOLERANCE, RIDGE = 30, 1e-6, 1e-9
+ROUNDS, TOLERANCE, RIDGE = 40, 1e-6, 1e-3
+HEADROOM, MAX_RATE = 1.25, 50.0
+#: A target counts as reached within this share of all tokens asked for.
+REACHED = 1e-3
 #: The mixture of the registered query and of the pipeline.
 WEIGHTS = {"en": 0.55, "de": 0.15, "es": 0.15, "fr": 0.15}
 
@@ -52,7 +60,12 @@ class Mixer:
     domains: list[str]
     prior: np.ndarray
     loglik: np.ndarray
+    #: The rate of each domain alone, the least rate of a document, and the rounds' steps.
+    means: np.ndarray | None = None
+    least: float = 0.0
     steps: list[np.ndarray] = field(default_factory=list)
+    #: For each domain: its tokens, what is asked for, what the rates give.
+    report: list[tuple[str, float, float, float]] = field(default_factory=list)
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(words, posterior shares) of each text."""
@@ -69,11 +82,17 @@ class Mixer:
         return np.concatenate(sizes), np.concatenate(shares)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        r = np.ones(len(p))
+        if self.means is None:
+            return np.ones(len(p))
+        r = np.clip(p @ self.means, self.least, MAX_RATE)
         for step in self.steps:
-            r = np.maximum(0, r - p @ step)
+            r = np.clip(r - p @ step, self.least, MAX_RATE)
         return r
 
+    def free(self, r: np.ndarray) -> np.ndarray:
+        """Rates that a small step can change in both directions."""
+        return (r > self.least) & (r < MAX_RATE)
+
 
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> Mixer:
     """Counts of hashed words by domain over the labelled documents (labels: doc_id, domain)."""
@@ -106,7 +125,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> Mixer:
 
 
 def _totals(posts: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
-    """Over all documents: rate * tokens * p, and the sum of tokens * p p' where the rate is above zero."""
+    """Over all documents: rate * tokens * p, and the sum of tokens * p p' where the rate is within its bounds."""
     k = len(mixer.domains)
 
     def add(batches):
@@ -116,7 +135,7 @@ def _totals(posts: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
             p = batch.column(1).values.to_numpy().reshape(-1, k) if len(t) else np.zeros((0, k))
             r = mixer.rates(p)
             sums[:k] += (r * t) @ p
-            sums[k:] += ((t * (r > 0))[:, None] * p).T.dot(p).ravel()
+            sums[k:] += ((t * mixer.free(r))[:, None] * p).T.dot(p).ravel()
         yield pa.record_batch([pa.array(np.arange(len(sums))), pa.array(sums)], names=["cell", "x"])
 
     out = np.zeros(k + k * k)
@@ -126,8 +145,8 @@ def _totals(posts: DataFrame, mixer: Mixer) -> tuple[np.ndarray, np.ndarray]:
 
 
 def solve(posts: DataFrame, mixer: Mixer, weights: dict[str, float] | None, total: float | None = None) -> np.ndarray:
-    """Set the mixer's steps; returns the targets."""
-    mixer.steps = []
+    """Set the mixer's rates by projected gradient steps; returns the targets."""
+    mixer.steps, mixer.means = [], None
     held, curve = _totals(posts, mixer)
     all_tokens = held.sum()
     if not all_tokens:
@@ -138,21 +157,38 @@ def solve(posts: DataFrame, mixer: Mixer, weights: dict[str, float] | None, tota
     left = max(0.0, 1 - asked[~rest].sum()) if (~rest).any() else 1.0
     want = np.where(rest, share / max(share[rest].sum(), 1e-12) * left, np.nan_to_num(asked)) if rest.any() else asked
     want = want / want.sum()
+    mixer.least = 1.0 if total is None else 0.0
     if total is None:
-        total = float(np.max(held[want > 0] / want[want > 0]))
+        total = HEADROOM * float(np.max(held[want > 0] / want[want > 0]))
     target = want * total
-    now = held
+    mixer.means = target / np.maximum(held, 1e-9)
+    now, curve = _totals(posts, mixer)
+    scale = 1.0
     for _ in range(ROUNDS):
         residual = now - target
-        if np.abs(residual).max() <= TOLERANCE * total:
-            break
-        mixer.steps.append(np.linalg.solve(curve + RIDGE * all_tokens * np.eye(len(held)), residual))
-        before, (now, curve) = np.abs(residual).max(), _totals(posts, mixer)
-        if np.abs(now - target).max() >= before:  # no rate can come nearer
+        if np.abs(residual).max() <= TOLERANCE * total or scale < 1e-3:
             break
+        damped = curve + RIDGE * max(np.trace(curve) / len(held), 1e-6 * all_tokens) * np.eye(len(held))
+        mixer.steps.append(scale * np.linalg.solve(damped, residual))
+        new, bend = _totals(posts, mixer)
+        if np.linalg.norm(new - target) < np.linalg.norm(residual):
+            now, curve, scale = new, bend, min(1.0, 2 * scale)
+        else:  # too far: try a shorter step
+            mixer.steps.pop()
+            scale /= 4
+    mixer.report = list(zip(mixer.domains, held.tolist(), target.tolist(), now.tolist(), strict=True))
     return target
 
 
+def mixture_report(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None, total: float | None = None) -> DataFrame:
+    """(domain, tokens, target_tokens, expected_tokens, reached) of every domain; reached is false where the bounds on rates keep a target out of reach."""
+    mixer = fit_classifier(docs, labels)
+    solve(_posts(docs, mixer), mixer, weights, total)
+    asked = sum(x[2] for x in mixer.report)
+    rows = [(*x, abs(x[3] - x[2]) <= REACHED * asked) for x in mixer.report]
+    return docs.sparkSession.createDataFrame(rows, "domain string, tokens double, target_tokens double, expected_tokens double, reached boolean")
+
+
 def _copies(rate: Column, doc_id: Column) -> Column:
     """The rate rounded down or up, by a hash of doc_id."""
     part = F.pmod(F.xxhash64(doc_id, F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
