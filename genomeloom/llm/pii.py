@@ -4,12 +4,13 @@ Everything is one expression of the text column, built from SQL functions, so th
 is no shuffle and no Python on the executors. A pattern's matches and the pieces
 between them give positions by summing lengths. Patterns are written so that the
 regular-expression engine neither recurses nor rescans on long runs; two of them
-first rewrite single separators, code point for code point, so that positions stay.
+first rewrite single separators to \\x01, code point for code point, so that positions stay
+(a \\x01 of the text itself becomes \\x02, which stands in no pattern).
 
 Kinds. email, ip (parts up to 255), card (14 to 19 digits, Luhn) and phone (10 to 15
-digits) stand once their pattern and check pass; context only raises their score.
-iban (mod 97) and ssn are added: an ssn has no checksum, so it stands only where a
-context word lifts its score to the threshold.
+digits) stand once their pattern and check pass; context, read on both sides, only raises their score.
+iban (mod 97) and ssn are added: an ssn has no checksum, so it stands only where no digit
+touches it and a context word lifts its score to the threshold.
 
 Defined cases. Null text is empty: no spans, and masking leaves it null. Ties in start
 are ordered by kind as listed in KINDS. Repeated rows each give their own result.
@@ -51,7 +52,7 @@ PATTERNS = {
 
 def _prepared(text: Column, kind: str) -> tuple[Column, Column]:
     """(whether a match is possible at all, text to search; same length in code points)."""
-    plain = F.translate(text, "\x01", " ")
+    plain = F.translate(text, "\x01", "\x02")
     if kind == "email":  # dots that no label follows become \x01, so a domain is a run of one class
         return F.contains(text, F.lit("@")), F.regexp_replace(plain, r"\.(?![A-Za-z0-9-])", "\x01")
     if kind == "card":  # separators that don't stand between digits become \x01, so a number is a run of one class
@@ -112,7 +113,10 @@ def _kind_spans(text: Column, kind: str) -> Column:
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)))
-        score = F.lit(base) + F.when(before.rlike(f"(?i){words}"), F.lit(extra)).otherwise(F.lit(0.0))
+        after = F.substring(text, s["end"] + 1, F.lit(CONTEXT_CHARS))
+        score = F.lit(base) + F.when(before.rlike(f"(?i){words}") | after.rlike(f"(?i){words}"), F.lit(extra)).otherwise(F.lit(0.0))
+        if kind == "ssn":
+            score = F.when(before.rlike("[0-9]$") | after.rlike("^[0-9]"), F.lit(0.0)).otherwise(score)
         return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"), score.alias("score"))
 
     return F.when(possible, F.transform(found, scored)).otherwise(F.array().cast(SPAN))
@@ -170,7 +174,7 @@ def _oracle() -> str:
         "card": f"len({digits}) BETWEEN 14 AND 19 AND {luhn}",
         "phone": f"len({digits}) BETWEEN 10 AND 15",
         "iban": f"len({iban}) BETWEEN 15 AND 34 AND {turned}",
-        "ssn": f"regexp_matches(t[greatest(s[i] - {CONTEXT_CHARS}, 0) + 1 : s[i]], '(?i){SCORES['ssn'][2]}')",
+        "ssn": f"(regexp_matches(t[greatest(s[i] - {CONTEXT_CHARS}, 0) + 1 : s[i]], '(?i){SCORES['ssn'][2]}') OR regexp_matches(t[s[i] + len(m[i]) + 1 : s[i] + len(m[i]) + {CONTEXT_CHARS}], '(?i){SCORES['ssn'][2]}')) AND NOT regexp_matches(t[greatest(s[i], 1) : s[i]], '[0-9]') AND NOT regexp_matches(t[s[i] + len(m[i]) + 1 : s[i] + len(m[i]) + 1], '[0-9]')",
     }
     parts = "\nUNION ALL\n".join(
         f"""SELECT doc_id, t, '{k}' AS kind, {r} AS rank, m, s FROM (SELECT doc_id, t, m, list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: len(x))), 0)) AS s
