@@ -51,7 +51,7 @@ from genomeloom.sources.shared import staged, table
 SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 22, 16, 64
 MIN_BITS, MAX_BITS = 64, 8192
 #: Rounds of pivots at most, and bits of 64 that a pivot's signature may differ in.
-ROUNDS, NEAR_BITS = 2, 12
+ROUNDS, NEAR_BITS = 2, 20
 NAMED_BITS = 22
 
 
@@ -225,8 +225,8 @@ def _differences(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return staged(full.select("pivot", "doc_id", "set_a", "set_b").mapInArrow(differ, "pivot long, doc_id long, n long, diff array<long>"), "differences")
 
 
-def _pivot_links(rows: DataFrame, components: DataFrame, least: Fraction) -> DataFrame:
-    """(a, b): links that connect all documents of a pivot that links connect; ``rows`` as ``_differences`` gives them, ``components`` (node, component) those known before.
+def _pivot_links(rows: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): links that connect all documents of a pivot that links connect; ``rows`` as ``_differences`` gives them.
 
     With similarity p / q, two sets link if (q - p)(na + nb) >= (q + p) * (elements in one of them only).
     The latter number is |Da| + |Db| - 2 |Da & Db|, for differences D to whatever third set; it is the pivot, changed by
@@ -246,22 +246,25 @@ def _pivot_links(rows: DataFrame, components: DataFrame, least: Fraction) -> Dat
     placed = staged(placed.select("pivot", "doc_id", F.size("d").alias("size"), "d", ((q - p) * c("n") - (q + p) * F.size("d")).alias("s")), "placed")
     top = lambda: F.max(F.struct("s", "doc_id"))
     linked = lambda rows, room: rows.where((c("s") + c("best.s") + room >= 0) & (c("doc_id") != c("best.doc_id"))).select(F.least("doc_id", "best.doc_id").alias("a"), F.greatest("doc_id", "best.doc_id").alias("b"))
-    first = linked(placed.join(placed.groupBy("pivot").agg(top().alias("best")), "pivot"), 0)
+    rooted = placed.join(placed.groupBy("pivot").agg(top().alias("best")), "pivot")
+    first = linked(rooted, 0)
     parts = placed.select("pivot", "doc_id", "s", "size", F.explode("d").alias("e"))
     held = parts.groupBy("pivot", "e").agg(top().alias("best"), F.count("*").alias("k")).where("k > 1")
     parts = staged(parts.join(held, ["pivot", "e"]), "parts")
-    found = staged(first.unionByName(linked(parts, two)).distinct(), "links")
+    found = first.unionByName(linked(parts, two))
 
     # what needs two common elements or more: each list by rarity, of which the last need - 1 elements cannot be the first common one
-    known = connected_components(found.unionByName(components.select(c("node").alias("a"), c("component").alias("b"))), "a", "b").withColumnRenamed("node", "doc_id")
-    shared = parts.groupBy("pivot", "doc_id").agg(F.count("*").alias("held"))
+    root = rooted.select("pivot", "doc_id", F.when(c("s") + c("best.s") >= 0, c("best.doc_id")).alias("root"))
+    towards = parts.groupBy("pivot", "doc_id").agg(F.count("*").alias("held"), F.min(F.when(c("s") + c("best.s") + two >= 0, c("best.doc_id"))).alias("next"))
+    named = towards.join(root, ["pivot", "doc_id"]).join(root.select("pivot", c("doc_id").alias("next"), c("root").alias("far")), ["pivot", "next"], "left")
+    named = named.select("pivot", "doc_id", "held", F.coalesce("root", "far", "next", "doc_id").alias("label"))  # equal labels: linked so far
     order = F.row_number().over(W.partitionBy("pivot", "doc_id").orderBy("k", "e"))  # no longer than one list
-    ranked = parts.join(shared, ["pivot", "doc_id"]).join(known, "doc_id", "left").select("pivot", "e", "doc_id", "s", (order + c("size") - c("held")).alias("place"), "size", F.coalesce("component", "doc_id").alias("component"))
+    ranked = parts.join(named, ["pivot", "doc_id"]).select("pivot", "e", "doc_id", "s", (order + c("size") - c("held")).alias("place"), "size", "label")
     x, y = ranked.alias("x"), ranked.alias("y")
     room = c("x.s") + c("y.s")
     need = F.ceil(-room / two)
     fits = (need <= F.least("x.size", "y.size")) & (c("x.place") <= c("x.size") - need + 1) & (c("y.place") <= c("y.size") - need + 1)
-    met = x.join(y, (c("x.pivot") == c("y.pivot")) & (c("x.e") == c("y.e")) & (c("x.doc_id") < c("y.doc_id")) & (c("x.component") != c("y.component")) & (room + two < 0) & fits)
+    met = x.join(y, (c("x.pivot") == c("y.pivot")) & (c("x.e") == c("y.e")) & (c("x.doc_id") < c("y.doc_id")) & (c("x.label") != c("y.label")) & (room + two < 0) & fits)
     pairs = met.select("x.pivot", c("x.doc_id").alias("a"), c("y.doc_id").alias("b")).distinct()
     side = lambda name: placed.select("pivot", c("doc_id").alias(name), c("s").alias("s" + name), c("d").alias("d" + name))
     both = pairs.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
@@ -330,8 +333,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8") ->
     tiles = staged(tiles.withColumns({f"p{turn}": F.lit(None).cast("long") for turn in range(ROUNDS)}), "tiles")
     for turn in range(ROUNDS):
         pivots = _pivots(tiles, turn, least)
-        components = connected_components(links, "a", "b")
-        links = links.unionByName(_pivot_links(_differences(pivots, docs, k), components, least))
+        links = links.unionByName(_pivot_links(_differences(pivots, docs, k), least))
         placed = tiles.drop(f"p{turn}").join(pivots.withColumnRenamed("pivot", f"p{turn}"), "doc_id", "left")
         tiles = staged(_mixed(placed, connected_components(links, "a", "b")), "tiles")
     links = links.unionByName(_links(_rest(tiles, sets, least), docs, k, least))

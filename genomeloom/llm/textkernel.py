@@ -21,7 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch, so that a batch of documents stays a few MB.
 BATCH_ROWS = 2000
 _POWERS: dict[str, np.ndarray] = {}
