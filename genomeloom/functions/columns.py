@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 # IUPAC complement, average residue masses, rank and tag orders.
 COMPLEMENT = ("ACGTURYSWKMBDHVNacgturyswkmbdhvn", "TGCAAYRSWMKVHDBNtgcaayrswmkvhdbn")
-MASS = {"A": 89.09, "R": 174.2, "N": 132.12, "D": 133.1, "C": 121.16, "E": 147.13, "Q": 146.15, "G": 75.07, "H": 155.16, "I": 131.18, "L": 131.18, "K": 146.19, "M": 149.21, "F": 165.19, "P": 115.13, "S": 105.09, "T": 119.12, "W": 204.23, "Y": 181.19, "V": 117.15}
+MASS = {"A": 89.1, "R": 174.2, "N": 132.1, "D": 133.1, "C": 121.2, "E": 147.1, "Q": 146.2, "G": 75.1, "H": 155.2, "I": 131.2, "L": 131.2, "K": 146.2, "M": 149.2, "F": 165.2, "P": 115.1, "S": 105.1, "T": 119.1, "W": 204.2, "Y": 181.2, "V": 117.1}
 WATER = 18.01
 RANKS = ("clade", "kingdom", "phylum", "subphylum", "class", "order", "family", "subfamily")
 OG_TAGS = ("K", "P", "U", "C", "O", "F", "G", "S")
-FORBIDDEN = "/\\?%*:|\"<>.,;=()[]{}'&#@"
+FORBIDDEN = "/\\[]|+=(){}:;<>?&*^%@#$~"
 #: Amino acids of the standard code, codons counted up in the order T, C, A, G.
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
@@ -142,9 +142,17 @@ def acc_alternate(acc: Column) -> Column:
     return F.when(acc.startswith("GCA_"), F.regexp_replace(acc, "^GCA_", "GCF_")).when(acc.startswith("GCF_"), F.regexp_replace(acc, "^GCF_", "GCA_"))
 
 
-def display_name(*parts: Column) -> Column:
-    """Parts joined by underscores, forbidden characters dropped, empty parts left out."""
-    return F.concat_ws("_", *(_empty_null(F.translate(p, FORBIDDEN, "")) for p in parts))
+def display_name(genus: Column | None = None, species: Column | None = None, strain: Column | None = None, acc: Column | None = None, ome: Column | None = None, rank: Column | None = None) -> Column:
+    """The asked parts, each followed by an underscore but the rank, which ends the name; an empty species is ``sp.``, an empty strain is left out, forbidden characters go."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    parts = [
+        *([F.concat(blank(genus), F.lit("_"))] if genus is not None else []),
+        *([F.concat(F.when(blank(species) == "", "sp.").otherwise(species), F.lit("_"))] if species is not None else []),
+        *([F.when(blank(strain) == "", "").otherwise(F.concat(strain, F.lit("_")))] if strain is not None else []),
+        *([F.concat(blank(c), F.lit("_")) for c in (acc, ome) if c is not None]),
+        *([blank(rank)] if rank is not None else []),
+    ]
+    return F.translate(F.concat(*parts), FORBIDDEN, "")
 
 
 def parse_og_tags(tags: Column) -> Column:

@@ -6,51 +6,129 @@ from pyspark.sql import functions as F
 
 from genomeloom.jobs.fixtures import domain, oracle
 from genomeloom.operators import curate as Q
+from genomeloom.operators import features as X
 from genomeloom.operators import phylo as T
 
 
+def _rows(s, d, name):
+    return domain(s, d, name).withColumn("row", F.struct("seqid", "start", "type", "attributes"))
+
+
 def _gff(s, d):
-    return domain(s, d, "gff").withColumn("row", F.struct("seqid", "start", "type", "attributes"))
+    return _rows(s, d, "gff")
 
 
 def _aligned(s, d):
-    rows = domain(s, d, "contigs").select(F.regexp_replace("ome", "^src[0-9]+", "").alias("file"), F.concat("ome", F.lit("_x")).alias("seqid"), F.rpad(F.substring("sequence", 1, 30), 30, "-").alias("sequence"))
-    return T.to_genome_names(rows.groupBy("file", "seqid").agg(F.min("sequence").alias("sequence")))
+    return domain(s, d, "aligned")
+
+
+def _by_language(s, d):
+    """Every text as a row of its language's file, under its source: many genomes twice in a file, some missing."""
+    return domain(s, d, "documents").select(F.col("lang").alias("file"), F.concat("source", F.lit("_x")).alias("seqid"), F.col("text").alias("sequence")).where("file IS NOT NULL AND seqid IS NOT NULL")
 
 
-SEQS = "s AS (SELECT regexp_replace(ome, '^src[0-9]+', '') AS file, ome, min(rpad(substr(sequence, 1, 30), 30, '-')) AS sequence FROM {contigs} GROUP BY ALL)"
+BY_LANGUAGE = "s AS (SELECT lang AS file, source AS ome, text AS sequence FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)"
 ALIAS = "nullif(regexp_extract(attributes, '(?:^|;)Alias=([^;]*)', 1), '')"
+ID = "regexp_extract(attributes, '(?:^|;)ID=([^;]*)', 1)"
+FEATURES = ("ome", "seqid", "type", "start", "end", "attributes")
 JOBS = {
     "g1_normalise_types": (
-        lambda s, d: Q.normalise_types(_gff(s, d)).select("ome", "seqid", "type", "start", "end", "attributes"),
+        lambda s, d: Q.normalise_types(_gff(s, d)).select(*FEATURES),
         "SELECT ome, seqid, type, \"start\", \"end\", regexp_replace(attributes, ';Alias=[^;]*', '') AS attributes FROM {gff}",
     ),
     "g2_resolve_parents": (
-        lambda s, d: Q.resolve_parents(_gff(s, d)).groupBy("ome", "type").agg(F.count("gene").alias("genes"), F.count("rna").alias("rnas")),
-        "SELECT ome, type, count(*) AS genes, count(*) FILTER (WHERE type NOT IN ('gene', 'pseudogene')) AS rnas FROM {gff} GROUP BY ALL",
+        lambda s, d: Q.resolve_parents(_gff(s, d)).select("ome", "type", "id", "gene", "rna"),
+        f"SELECT ome, type, {ID} AS id, 'gene_' || {ALIAS} AS gene, CASE WHEN type NOT IN ('gene', 'pseudogene') THEN 'rna_' || {ALIAS} END AS rna FROM {{gff}}",
     ),
     "g3_complete_models": (
-        lambda s, d: Q.complete_models(_gff(s, d).where("type <> 'exon'")).groupBy("ome", "type").agg(F.count("*").alias("n")),
-        """SELECT ome, type, count(*) AS n FROM (SELECT ome, type FROM {gff} WHERE type <> 'exon' UNION ALL SELECT ome, 'exon' FROM {gff} WHERE type = 'CDS') x GROUP BY ALL""",
+        lambda s, d: Q.complete_models(_gff(s, d).where("type <> 'exon'")).select(*FEATURES),
+        f"""SELECT ome, seqid, type, "start", "end", attributes FROM {{gff}} WHERE type <> 'exon'
+UNION ALL SELECT ome, seqid, 'exon', "start", "end", 'ID=exon_' || {ID} || '_' || "start" || ';Parent=rna_' || {ALIAS} FROM {{gff}} WHERE type = 'CDS'""",
+    ),
+    "g4_exons_from_introns": (
+        lambda s, d: Q.exons_from_introns(_rows(s, d, "introns")).select("ome", "seqid", "start", "end", "attributes"),
+        """WITH p AS (SELECT ome, seqid, alias, "start" AS a, "start" + 9 AS b FROM {genes} UNION ALL SELECT ome, seqid, alias, "start" + 11 + n, "end" FROM {genes})
+SELECT ome, seqid, a AS "start", b AS "end", 'ID=exon_gene_' || alias || '_' || a || ';Parent=rna_' || alias AS attributes FROM p WHERE b >= a""",
+    ),
+    "g5_split_isoforms": (
+        lambda s, d: Q.split_isoforms(_rows(s, d, "isoforms")).select(*FEATURES),
+        f"""WITH i AS (SELECT *, {ALIAS} AS alias, regexp_extract(attributes, 'protein_id=([^;]*)', 1) AS protein FROM {{isoforms}}),
+m AS (SELECT ome, alias, protein, min("start") AS a, max("end") AS b FROM i WHERE type = 'CDS' GROUP BY ALL),
+k AS (SELECT *, 'gene_' || alias || '-T' || (row_number() OVER (PARTITION BY ome, alias ORDER BY a, protein) - 1) AS rna, count(*) OVER (PARTITION BY ome, alias) AS c FROM m),
+t AS (SELECT * FROM k WHERE c > 1), two AS (SELECT DISTINCT ome, alias FROM t)
+SELECT i.ome, i.seqid, i.type, i."start", i."end", i.attributes FROM i LEFT JOIN two ON two.ome = i.ome AND two.alias = i.alias WHERE two.ome IS NULL OR i.type = 'gene'
+UNION ALL SELECT i.ome, i.seqid, 'mRNA', t.a, t.b, 'ID=' || t.rna || ';Parent=gene_' || t.alias || ';protein_id=' || t.protein FROM i JOIN t ON t.ome = i.ome AND t.alias = i.alias WHERE i.type = 'gene'
+UNION ALL SELECT i.ome, i.seqid, 'CDS', i."start", i."end", regexp_replace(i.attributes, ';Parent=[^;]*', '') || ';Parent=' || t.rna FROM i JOIN t ON t.ome = i.ome AND t.alias = i.alias AND t.protein = i.protein WHERE i.type = 'CDS'
+UNION ALL SELECT i.ome, i.seqid, 'exon', i."start", i."end", 'ID=exon_' || {ID.replace("attributes", "i.attributes")} || ';Parent=' || t.rna FROM i JOIN t ON t.ome = i.ome AND t.alias = i.alias AND t.protein = i.protein WHERE i.type = 'CDS'""",
     ),
     "g6_assign_aliases": (
-        lambda s, d: Q.assign_aliases(_gff(s, d)).groupBy("ome", "type").agg(F.countDistinct("attributes").alias("n")),
-        "SELECT ome, type, count(DISTINCT attributes) AS n FROM {gff} GROUP BY ALL",
+        lambda s, d: Q.assign_aliases(_gff(s, d)).select(*FEATURES),
+        f"""WITH r AS (SELECT *, {ALIAS} AS alias FROM {{gff}}),
+n AS (SELECT ome, alias, ome || '_' || CASE type WHEN 'mRNA' THEN 'mtdb' WHEN 'pseudogene' THEN 'pseudogene' ELSE type END || row_number() OVER (PARTITION BY ome, type ORDER BY seqid, "start", type, attributes) AS new FROM r WHERE contains(type, 'RNA') OR type = 'pseudogene')
+SELECT r.ome, r.seqid, r.type, r."start", r."end", regexp_replace(r.attributes, ';Alias=[^;]*', '') || ';Alias=' || n.new AS attributes FROM r JOIN n ON n.ome = r.ome AND n.alias = r.alias""",
+    ),
+    "g7_rename_and_organise": (
+        lambda s, d: Q.rename_and_organise(_gff(s, d)).select(*FEATURES),
+        f"""WITH r AS (SELECT *, {ALIAS} AS alias, row_number() OVER (PARTITION BY ome, {ALIAS}, type ORDER BY "start", seqid, attributes) AS k, regexp_replace(regexp_replace(attributes, '^ID=[^;]*;', ''), '^Parent=[^;]*;', '') AS rest FROM {{gff}})
+SELECT ome, seqid, type, "start", "end", rest || ';ID=' || CASE WHEN type IN ('gene', 'pseudogene') THEN 'gene_' || alias WHEN contains(type, 'RNA') THEN 'RNA_' || alias || ';Parent=gene_' || alias ELSE type || '_' || alias || '_' || k || ';Parent=RNA_' || alias END AS attributes FROM r""",
+    ),
+    "g8_gtf_to_gff3": (
+        lambda s, d: Q.gtf_to_gff3(_rows(s, d, "gtf"), F.col("ome")).select(*FEATURES),
+        """WITH n AS (SELECT *, ome || '_' || row_number() OVER (PARTITION BY ome ORDER BY seqid, "start", alias) AS new FROM {genes})
+SELECT ome, seqid, 'gene' AS type, "start", "end", 'ID=gene_' || alias || ';Alias=' || new AS attributes FROM n
+UNION ALL SELECT ome, seqid, CASE WHEN n <= 4 THEN 'mRNA' ELSE 'RNA' END, "start", "end", 'ID=RNA_' || alias || '.t;Parent=gene_' || alias || ';Alias=' || new FROM n
+UNION ALL SELECT ome, seqid, 'exon', "start", "end", 'ID=exon_' || alias || '.t_1;Parent=RNA_' || alias || '.t;Alias=' || new FROM n
+UNION ALL SELECT ome, seqid, 'CDS', "start", "end", 'ID=CDS_' || alias || '.t_1;Parent=RNA_' || alias || '.t;Alias=' || new FROM n WHERE n <= 4""",
+    ),
+    "g9_gff2_to_gff3": (
+        lambda s, d: Q.gff2_to_gff3(_rows(s, d, "gff2")).select(*FEATURES),
+        """WITH x AS (SELECT *, ome || '_' || o || '0' || n AS new, CASE WHEN n = 2 THEN ';product=kind' ELSE '' END AS tail FROM {genes})
+SELECT ome, seqid, 'gene' AS type, "start", "end", 'ID=gene_' || alias || ';Alias=' || new || tail AS attributes FROM x
+UNION ALL SELECT ome, seqid, 'mRNA', "start", "end", 'ID=RNA_' || alias || ';Parent=gene_' || alias || ';Alias=' || new || tail FROM x
+UNION ALL SELECT ome, seqid, 'CDS', "start", "end", 'ID=CDS_' || alias || '_1;Parent=RNA_' || alias || ';Alias=' || new FROM x""",
+    ),
+    "g10_spliced_genes": (
+        lambda s, d: X.merge_into_spliced_genes(domain(s, d, "gff")).where("type = 'gene' OR type LIKE '%RNA'").select(*FEATURES),
+        f"""WITH o AS (SELECT *, {ALIAS} AS alias, max("end") OVER (PARTITION BY ome, seqid ORDER BY "start", "end", {ALIAS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {{gff}} WHERE type = 'gene'),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY ome, seqid ORDER BY "start", "end", alias) AS island FROM o),
+w AS (SELECT ome, seqid, island, min("start") AS g0, max("end") AS g1, string_agg(alias, '|' ORDER BY "start", "end", alias) AS whole, first(alias ORDER BY "start", "end", alias) AS top FROM i GROUP BY ALL),
+m AS (SELECT i.ome, i.seqid, i.alias, i.attributes, w.g0, w.g1, w.whole, w.top FROM i JOIN w ON w.ome = i.ome AND w.seqid = i.seqid AND w.island = i.island)
+SELECT ome, seqid, 'gene' AS type, g0 AS "start", g1 AS "end", regexp_replace(attributes, ';Alias=[^;]*', '') || ';Alias=' || whole AS attributes FROM m WHERE alias = top
+UNION ALL SELECT r.ome, r.seqid, r.type, r."start", r."end", regexp_replace(r.attributes, ';Parent=[^;]*', '') || ';Parent=gene_' || m.top FROM {{gff}} r JOIN m ON m.ome = r.ome AND m.alias = {ALIAS.replace("attributes", "r.attributes")} WHERE contains(r.type, 'RNA')""",
+    ),
+    "g11_add_models": (
+        lambda s, d: Q.add_models(_rows(s, d, "introns").where("type <> 'intron'"), domain(s, d, "gff").withColumn("attributes", F.regexp_replace("attributes", "Alias=[^;]*", "Alias=x_manual41"))).select(*FEATURES),
+        """WITH n AS (SELECT *, ome || '_manual' || (41 + row_number() OVER (PARTITION BY ome ORDER BY seqid, "start", alias)) AS new FROM {genes})
+SELECT ome, seqid, 'gene' AS type, "start", "end", 'ID=gene_' || alias || ';Alias=' || new AS attributes FROM n UNION ALL SELECT ome, seqid, 'mRNA', "start", "end", 'ID=rna_' || alias || ';Parent=gene_' || alias || ';Alias=' || new FROM n""",
     ),
     "g12_og_tags": (
         lambda s, d: Q.upsert_og_tags(domain(s, d, "genes").where("n <= 3").select(F.col("alias").alias("gene"), F.lit("K:1|Z:9").alias("tags")), domain(s, d, "genes").where("n >= 3").select(F.col("alias").alias("gene"), F.col("part").alias("hg")), "P"),
         "SELECT alias AS gene, CASE WHEN n < 3 THEN 'K:1|Z:9' WHEN n = 3 THEN 'K:1|P:' || part || '|Z:9' ELSE 'P:' || part END AS tags FROM {genes}",
     ),
     "g14_tag_query_features": (
-        lambda s, d: Q.tag_query_features(_gff(s, d), domain(s, d, "genes").where("n = 2 AND part % 9 = 0").select(F.concat(F.lit("cds1_"), "alias").alias("id"))).where("tag IS NOT NULL").groupBy("ome", "type").agg(F.count("*").alias("n")),
-        "SELECT ome, type, count(*) AS n FROM (SELECT ome, unnest(['gene', 'mRNA', 'CDS']) AS type FROM {genes} WHERE n = 2 AND part % 9 = 0) t GROUP BY ALL",
+        lambda s, d: Q.tag_query_features(_gff(s, d), domain(s, d, "hits").select(F.concat(F.lit("cds1_"), "sseqid").alias("id"))).where("tag IS NOT NULL").select("ome", "type", "attributes", "tag"),
+        f"SELECT ome, type, attributes, 'cds1_' || {ALIAS} AS tag FROM {{gff}} WHERE {ID} LIKE 'cds1_%' OR (type IN ('gene', 'mRNA') AND {ALIAS} IN (SELECT alias FROM {{genes}} WHERE n <= 4))",
+    ),
+    "u4_dedupe_equal_models": (
+        lambda s, d: Q.dedupe_equal_models(_rows(s, d, "isoforms")),
+        "SELECT ome, 'gene_' || alias AS gene, 'rna1_' || alias AS rna FROM {genes} WHERE n <= 4 UNION ALL SELECT ome, 'gene_' || alias, 'rna2_' || alias FROM {genes} WHERE n <= 4 AND part % 2 = 0",
     ),
     "a18_alignment_completeness": (
-        lambda s, d: T.alignment_completeness(_aligned(s, d))[0].select("file", "n_missing"),
-        f"WITH {SEQS} SELECT file, CAST((SELECT count(DISTINCT ome) FROM s) - count(*) AS INT) AS n_missing FROM s GROUP BY file HAVING count(*) < (SELECT count(DISTINCT ome) FROM s)",
+        lambda s, d: T.alignment_completeness(_aligned(s, d))[0],
+        """WITH s AS (SELECT DISTINCT file, ome FROM {aligned}), f AS (SELECT DISTINCT file FROM s), o AS (SELECT DISTINCT ome FROM s)
+SELECT f.file, CAST(count(*) AS INT) AS n_missing, string_agg(o.ome, ',' ORDER BY o.ome) AS missing FROM f CROSS JOIN o LEFT JOIN s ON s.file = f.file AND s.ome = o.ome WHERE s.ome IS NULL GROUP BY f.file""",
+    ),
+    "a18_repeated_genomes": (lambda s, d: T.alignment_completeness(T.to_genome_names(_by_language(s, d)))[1], f"WITH {BY_LANGUAGE} SELECT file, ome, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1"),
+    "a21_support_filter": (
+        lambda s, d: T.filter_supported(domain(s, d, "part").select(F.col("p_partkey").alias("file"), F.expr("concat('((a:1,b:1)', p_size, ':1,(c:1,d:1)', p_partkey % 100, ':0.5):0;')").alias("newick")), 0.3),
+        "WITH t AS (SELECT p_partkey AS file, p_size::DOUBLE AS a, (p_partkey % 100)::DOUBLE AS b FROM part), m AS (SELECT file, CASE WHEN a > 1 OR b > 1 THEN (a + b) / 2 / 100 ELSE (a + b) / 2 END AS support FROM t) SELECT file, support, support >= 0.3 AS passed FROM m",
+    ),
+    "t1_complete_genomes": (
+        lambda s, d: T.complete_genomes(T.to_genome_names(_by_language(s, d))).groupBy("file", "ome").agg(F.count("*").alias("n")),
+        f"WITH {BY_LANGUAGE} SELECT file, ome, count(*) AS n FROM s WHERE ome IN (SELECT ome FROM s GROUP BY ome HAVING count(DISTINCT file) = (SELECT count(DISTINCT file) FROM s)) GROUP BY ALL",
     ),
-    "t2_supermatrix": (lambda s, d: T.supermatrix(_aligned(s, d))[0], f"WITH {SEQS} SELECT ome, string_agg(sequence, '' ORDER BY file) AS sequence FROM s GROUP BY ome"),
-    "t2_partitions": (lambda s, d: T.supermatrix(_aligned(s, d))[1], f"WITH {SEQS} SELECT file, CAST(30 * (row_number() OVER (ORDER BY file) - 1) + 1 AS BIGINT) AS \"start\", CAST(30 * row_number() OVER (ORDER BY file) AS BIGINT) AS \"end\" FROM (SELECT DISTINCT file FROM s)"),
+    "t2_supermatrix": (lambda s, d: T.supermatrix(_aligned(s, d))[0].select("ome", F.length("sequence").alias("n"), F.sha2("sequence", 256).alias("digest")), "WITH m AS (SELECT ome, string_agg(sequence, '' ORDER BY file) AS sequence FROM {aligned} GROUP BY ome) SELECT ome, CAST(len(sequence) AS INT) AS n, sha256(sequence) AS digest FROM m"),
+    "t2_partitions": (lambda s, d: T.supermatrix(_aligned(s, d))[1], "WITH f AS (SELECT file, max(len(sequence)) AS size FROM {aligned} GROUP BY file), r AS (SELECT file, size, sum(size) OVER (ORDER BY file ROWS UNBOUNDED PRECEDING) AS e FROM f) SELECT file, CAST(e - size + 1 AS BIGINT) AS \"start\", CAST(e AS BIGINT) AS \"end\" FROM r"),
 }
 QUERIES = {name: job for name, (job, _) in JOBS.items()}
 ORACLES = {name: oracle(sql) for name, (_, sql) in JOBS.items()}

@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from genomeloom.functions import columns as C
 from genomeloom.jobs.fixtures import domain, oracle
+from genomeloom.operators import curate as Q
 from genomeloom.operators import features as X
 from genomeloom.operators import hits as H
 from genomeloom.operators import sequences as S
 
 CLASS = "CASE WHEN type = 'gene' THEN 'gene' WHEN type = 'CDS' THEN 'cds' WHEN type = 'mRNA' THEN 'mrna' WHEN type = 'tRNA' THEN 'trna' WHEN contains(type, 'RNA') THEN 'rna' WHEN type = 'pseudogene' THEN 'pseudogene' END"
 ALIAS = "nullif(regexp_extract(attributes, '(?:^|;)Alias=([^;]*)', 1), '')"
-FOCUS = "regexp_matches(alias, '0x[1-7]$') AND ome LIKE '%1'"
 POS = f"""
 r AS (SELECT ome, seqid, type, "start", "end", {ALIAS} AS alias FROM {{gff}}),
 rna AS (SELECT ome, seqid, alias, "start", "end" FROM r WHERE contains(type, 'RNA') AND alias IS NOT NULL),
@@ -26,7 +26,15 @@ def _gff(spark, sf_dir):
 
 
 def _focus(spark, sf_dir):
-    return domain(spark, sf_dir, "genes").where(F.col("alias").rlike("0x[1-7]$") & F.col("ome").endswith("1")).select("alias")
+    """The accessions that the operators are asked for: every gene that a search hit."""
+    return domain(spark, sf_dir, "hits").select(F.col("sseqid").alias("alias"))
+
+
+def _mixed(spark, sf_dir):
+    """Annotation of every genome in one of three dialects, by its kingdom."""
+    of = lambda name, *kingdoms: domain(spark, sf_dir, name).join(domain(spark, sf_dir, "omes").where(F.col("kingdom").isin(*kingdoms)).select("ome"), "ome", "left_semi")
+    rows = of("gff", "AFRICA", "AMERICA", "MIDDLE EAST").unionByName(of("gtf", "ASIA")).unionByName(of("gff2", "EUROPE"))
+    return rows.withColumn("row", F.struct("seqid", "start", "type", "attributes"))
 
 
 def _pos(spark, sf_dir):
@@ -50,12 +58,12 @@ JOBS = {
     "a1_annotation_stats": (lambda s, d: X.annotation_stats(_gff(s, d)), _stats_sql()),
     "p10_features_by_accession": (
         lambda s, d: X.features_by_accession(_gff(s, d), _focus(s, d)).select("ome", "seqid", "type", "start", "end", "alias"),
-        f"""SELECT DISTINCT ome, seqid, type, "start", "end", {ALIAS} AS alias FROM {{gff}} WHERE {ALIAS} IN (SELECT alias FROM {{genes}} WHERE {FOCUS})""",
+        f"""SELECT DISTINCT ome, seqid, type, "start", "end", {ALIAS} AS alias FROM {{gff}} WHERE {ALIAS} IN (SELECT sseqid FROM {{hits}})""",
     ),
     "p11_coding_cds": (
         lambda s, d: X.coding_cds(_gff(s, d)).select("ome", "alias", "start", "end"),
-        f"""WITH r AS (SELECT *, {ALIAS} AS alias FROM {{gff}}) SELECT ome, alias, "start", "end" FROM r WHERE type = 'CDS'
-AND (ome, alias) IN (SELECT (ome, alias) FROM r WHERE type = 'mRNA') AND (ome, alias) IN (SELECT (ome, alias) FROM r WHERE type = 'gene')""",
+        f"""WITH r AS (SELECT *, {ALIAS} AS alias FROM {{gff}}), m AS (SELECT DISTINCT ome, alias FROM r WHERE type = 'mRNA'), g AS (SELECT DISTINCT ome, alias FROM r WHERE type = 'gene')
+SELECT r.ome, r.alias, r."start", r."end" FROM r JOIN m ON m.ome = r.ome AND m.alias = r.alias JOIN g ON g.ome = r.ome AND g.alias = r.alias WHERE r.type = 'CDS'""",
     ),
     "p14_distinct_products": (
         lambda s, d: X.distinct_products(_gff(s, d)),
@@ -69,8 +77,8 @@ SELECT DISTINCT ome, alias, 'no gene' AS error FROM r WHERE contains(type, 'RNA'
 UNION ALL SELECT p.ome, p.alias, 'outside' FROM (SELECT ome, alias, min("start") AS p0, max("end") AS p1 FROM r WHERE type IN ('CDS', 'exon') GROUP BY ALL) p JOIN g USING (ome, alias) WHERE p0 < g0 OR p1 > g1""",
     ),
     "f4_gff_dialect": (
-        lambda s, d: _gff(s, d).groupBy("ome").agg(F.max(C.gff_dialect(F.col("attributes"))).alias("dialect")),
-        "SELECT ome, 3.0::DOUBLE AS dialect FROM {gff} GROUP BY ome",
+        lambda s, d: Q.genome_dialects(_mixed(s, d)).select("ome", "dialect", "curated"),
+        "SELECT DISTINCT g.ome, CASE WHEN o.kingdom = 'ASIA' THEN 2.5 WHEN o.kingdom = 'EUROPE' THEN 2.0 ELSE 3.0 END::DOUBLE AS dialect, o.kingdom NOT IN ('ASIA', 'EUROPE') AS curated FROM {genes} g JOIN {omes} o USING (ome)",
     ),
     "f5_set_attribute": (
         lambda s, d: _gff(s, d).where("type = 'gene'").select("ome", C.set_attr(F.col("attributes"), "product", F.col("strand")).alias("attributes")),
@@ -79,11 +87,11 @@ UNION ALL SELECT p.ome, p.alias, 'outside' FROM (SELECT ome, alias, min("start")
     "w1_gene_positions": (lambda s, d: _pos(s, d), f'WITH {POS.strip()} SELECT ome, seqid, alias, "start", "end", pos FROM pos'),
     "w2_locus_by_genes": (
         lambda s, d: X.locus_by_genes(_pos(s, d), _focus(s, d), 5),
-        f"WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE {FOCUS}) SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 5",
+        f"WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})) SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 5",
     ),
     "w3_locus_by_bases": (
         lambda s, d: X.locus_by_bases(_pos(s, d), _focus(s, d), 20000),
-        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE {FOCUS}),
+        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})),
 b AS (SELECT f.alias AS focus, ome, seqid, min(CASE WHEN p."end" >= f."start" - 20000 THEN p.pos END) AS lo, max(CASE WHEN p."start" <= f."end" + 20000 THEN p.pos END) AS hi FROM pos p JOIN f USING (ome, seqid) GROUP BY ALL)
 SELECT focus, ome, seqid, alias, pos FROM pos JOIN b USING (ome, seqid) WHERE pos BETWEEN lo AND hi""",
     ),
@@ -93,13 +101,13 @@ SELECT focus, ome, seqid, alias, pos FROM pos JOIN b USING (ome, seqid) WHERE po
     ),
     "w5_locus_features": (
         lambda s, d: X.locus_features(X.locus_by_genes(_pos(s, d), _focus(s, d), 2), _gff(s, d)),
-        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE {FOCUS}), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 2),
+        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 2),
 g AS (SELECT ome, {ALIAS} AS alias, type, "start", "end", strand, CASE WHEN contains(type, 'RNA') THEN 0 ELSE 1 END AS k FROM {{gff}} WHERE contains(type, 'RNA') OR type IN ('gene', 'pseudogene'))
 SELECT focus, ome, seqid, alias, pos, type, "start", "end", strand FROM l JOIN g USING (ome, alias) QUALIFY row_number() OVER (PARTITION BY focus, ome, alias ORDER BY k, "start", type, "end") = 1""",
     ),
     "w6_trim_locus": (
         lambda s, d: X.trim_locus(X.locus_by_genes(_pos(s, d), _focus(s, d), 8), domain(s, d, "genes").where("part % 3 = 0").select("alias", F.concat(F.lit("k"), F.col("part").cast("string")).alias("label"))),
-        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE {FOCUS}), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 8),
+        f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 8),
 n AS (SELECT l.*, 'k' || part AS label FROM l LEFT JOIN (SELECT alias, part FROM {{genes}} WHERE part % 3 = 0) g USING (alias)),
 t AS (SELECT *, min(CASE WHEN label IS NOT NULL THEN pos END) OVER (PARTITION BY focus) AS lo, max(CASE WHEN label IS NOT NULL THEN pos END) OVER (PARTITION BY focus) AS hi FROM n)
 SELECT focus, ome, seqid, alias, pos, coalesce(label, 'na') AS label FROM t WHERE pos BETWEEN lo AND hi""",
@@ -151,8 +159,8 @@ SELECT ome, max(CASE WHEN run * 2 >= total THEN size END) AS n50, CAST(min(CASE
         "SELECT seqid, CASE WHEN len(sequence) >= 500 THEN 499 ELSE CAST(len(sequence) AS INT) END AS n FROM {contigs}",
     ),
     "j1_fetch_sequences": (
-        lambda s, d: S.fetch_sequences(domain(s, d, "contigs").where("seqid LIKE '%7'").select("seqid"), domain(s, d, "contigs"))[0].select("seqid", F.length("sequence").alias("n")),
-        "SELECT seqid, CAST(len(sequence) AS INT) AS n FROM {contigs} WHERE seqid LIKE '%7'",
+        lambda s, d: S.fetch_sequences(domain(s, d, "contigs").select("seqid"), domain(s, d, "contigs"))[0].select("seqid", F.sha2("sequence", 256).alias("digest")),
+        "SELECT seqid, sha256(sequence) AS digest FROM {contigs}",
     ),
     "j2_fetch_subsequences": (
         lambda s, d: S.fetch_subsequences(domain(s, d, "contigs").select(F.concat("seqid", F.lit("[20:5]")).alias("accession")).unionByName(domain(s, d, "contigs").select(F.concat("seqid", F.lit("[3:40]")).alias("accession"))), domain(s, d, "contigs")).select("accession", "sequence"),

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from genomeloom.sources.shared import table
+from genomeloom.sources.shared import staged, table
 
 PLAIN = frozenset("region nation customer supplier part orders lineitem events documents".split())
 
@@ -49,6 +49,43 @@ SELECT min(alias) OVER (PARTITION BY part) AS rep, alias AS member FROM {genes}"
     "likeness": """
 SELECT least(a.p_partkey, b.p_partkey) AS src, greatest(a.p_partkey, b.p_partkey) AS dst, CAST((a.p_partkey * 37 + b.p_partkey * 91) % 101 AS DOUBLE) AS pident
 FROM {part} a JOIN {part} b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
+    "isoforms": """
+SELECT ome, seqid, 'x' AS source, 'gene' AS type, "start", "end", '.' AS score, strand, '.' AS phase, 'ID=gene_' || alias || ';Alias=' || alias AS attributes FROM {genes} WHERE n <= 4
+UNION ALL
+SELECT ome, seqid, 'x', 'mRNA', "start", "end", '.', strand, '.', 'ID=rna' || CAST(k AS STRING) || '_' || alias || ';Parent=gene_' || alias || ';Alias=' || alias FROM {genes} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) t WHERE n <= 4
+UNION ALL
+SELECT ome, seqid, 'x', 'CDS', "start" + CASE WHEN k = 2 AND part % 2 = 0 THEN 3 ELSE 0 END, "end" - n, '.', strand, '0', 'ID=cds' || CAST(k AS STRING) || '_' || alias || ';Parent=rna' || CAST(k AS STRING) || '_' || alias || ';Alias=' || alias || ';protein_id=p' || CAST(CASE WHEN n <= 2 THEN k ELSE 1 END AS STRING) || '_' || alias
+FROM {genes} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) t WHERE n <= 4""",
+    "introns": """
+SELECT ome, seqid, 'x' AS source, 'gene' AS type, "start", "end", '.' AS score, strand, '.' AS phase, 'ID=gene_' || alias AS attributes FROM {genes}
+UNION ALL
+SELECT ome, seqid, 'x', 'mRNA', "start", "end", '.', strand, '.', 'ID=rna_' || alias || ';Parent=gene_' || alias FROM {genes}
+UNION ALL
+SELECT ome, seqid, 'x', 'intron', "start" + 10, "start" + 10 + n, '.', strand, '.', 'ID=int_' || alias || ';Parent=rna_' || alias FROM {genes}""",
+    "gtf": """
+SELECT ome, seqid, 'x' AS source, type, CASE WHEN n = 1 THEN "end" ELSE "start" END AS "start", CASE WHEN n = 1 THEN "start" ELSE "end" END AS "end", '.' AS score, strand, '.' AS phase, 'gene_id "' || alias || '"; transcript_id "' || alias || '.t"' AS attributes
+FROM {genes} CROSS JOIN (SELECT 'exon' AS type UNION ALL SELECT 'CDS' UNION ALL SELECT 'start_codon') t WHERE n <= 4 OR type = 'exon'""",
+    "gff2": """
+SELECT ome, seqid, 'x' AS source, type, "start", "end", '.' AS score, strand, '.' AS phase, 'name "' || alias || '"; proteinId ' || CAST(o AS STRING) || '0' || CAST(n AS STRING) || CASE WHEN n = 2 THEN '; product_name "kind"' ELSE '' END AS attributes
+FROM {genes} CROSS JOIN (SELECT 'gene' AS type UNION ALL SELECT 'mRNA' UNION ALL SELECT 'CDS') t""",
+    "tax": """
+SELECT replace(n_name, '_', '') AS genus, r_name AS kingdom, n_name AS family FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""",
+    "news": """
+SELECT 'GCA_c' || CAST(c_custkey AS STRING) AS assembly_acc, r_name AS genus, 'gen' || n_name AS species, CAST(c_custkey AS BIGINT) AS c FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL
+SELECT assembly_acc, kingdom, 'gen', -CAST(s_suppkey AS BIGINT) FROM {omes}""",
+    "aligned": """
+SELECT file, ome, rpad(sequence, CAST(max(length(sequence)) OVER (PARTITION BY file) AS INT), '-') AS sequence FROM (
+  SELECT lang || '_' || CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS STRING) AS file, source AS ome, text || '.' AS sequence FROM {documents} WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL) a""",
+    "dna": """
+SELECT source || lang AS ome, source || lang || '_' || CAST(doc_id AS STRING) AS seqid, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS sequence, translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ARNDCEQGHILKMFPSTWYVX*ARND') AS protein
+FROM {documents} WHERE text IS NOT NULL""",
+    "docgenes": """
+SELECT ome, seqid, seqid || 'g' AS alias, strand, 1 + CAST(floor(size / 10.0) AS BIGINT) AS a, size - CAST(floor(size / 10.0) AS BIGINT) AS b, CAST(floor(size / 5.0) AS BIGINT) AS s, size
+FROM (SELECT source || lang AS ome, source || lang || '_' || CAST(doc_id AS STRING) AS seqid, CASE WHEN doc_id % 2 = 0 THEN '+' ELSE '-' END AS strand, CAST(length(text) AS BIGINT) AS size FROM {documents}) d WHERE size >= 20""",
+    "docgff": """
+SELECT ome, seqid, 'x' AS source, type, CASE WHEN type = 'CDS' AND k = 2 THEN b - s ELSE a END AS "start", CASE WHEN type = 'CDS' AND k = 1 THEN a + s ELSE b END AS "end", '.' AS score, strand, '.' AS phase, 'ID=' || type || CAST(k AS STRING) || alias || ';Alias=' || alias AS attributes
+FROM {docgenes} CROSS JOIN (SELECT 'gene' AS type, 1 AS k UNION ALL SELECT 'mRNA', 1 UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'CDS', 2) t""",
     "listing": """
 SELECT 'GCA_' || CAST(o_custkey AS STRING) || '.' || CAST(1 + o_orderkey % 3 AS STRING) AS assembly_acc, 'GCA_' || CAST(o_custkey AS STRING) AS base, c_mktsegment AS grp, CAST(o_orderdate AS STRING) AS modified, CAST(o_orderkey AS BIGINT) AS o,
   CASE WHEN o_orderkey % 6 = 0 THEN '-' ELSE CAST(o_orderkey % 5000 AS STRING) END AS genes
@@ -84,5 +121,8 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a DataFrame."""
     if name in PLAIN:
         return table(spark, sf_dir, name)
-    parts = {x: domain(spark, sf_dir, x) for x in set(re.findall(r"\{(\w+)\}", TABLES[name]))}
+    used = re.findall(r"\{(\w+)\}", TABLES[name])
+    parts = {x: domain(spark, sf_dir, x) for x in set(used)}
+    # what a table reads several times is made once
+    parts = {x: staged(df, x) if used.count(x) > 1 and x not in PLAIN else df for x, df in parts.items()}
     return spark.sql(TABLES[name].replace('"', "`"), **parts)

@@ -10,6 +10,7 @@ from genomeloom.jobs.fixtures import domain, oracle
 from genomeloom.operators import catalog as K
 from genomeloom.operators import graph as G
 from genomeloom.operators import groups as A
+from genomeloom.operators import sequences as S
 from genomeloom.operators.components import connected_components
 
 HG = """
@@ -49,11 +50,18 @@ def _loci(s, d):
     return pos.join(_hg(s, d).select(F.col("gene").alias("alias"), "hg"), "alias", "left").select("ome", "locus", F.col("alias").alias("gene"), "hg")
 
 
+def _query(s, d):
+    """The query set of the locus comparison: groups with a gene that some query hit well."""
+    best = domain(s, d, "hits").where("bitscore > 850").select(F.col("sseqid").alias("gene"))
+    return _hg(s, d).join(best, "gene", "left_semi").select("hg").distinct()
+
+
+QUERY = "q AS (SELECT DISTINCT hg FROM hg WHERE gene IN (SELECT sseqid FROM {hits} WHERE bitscore > 850))"
 LOCI = f"""WITH {POS.strip()}, {HG.strip()},
 lo AS (SELECT pos.ome, seqid || '_' || CAST(floor(pos / 6) AS BIGINT) AS locus, alias AS gene, hg.hg FROM pos LEFT JOIN hg ON hg.gene = pos.alias)"""
 SIMILAR = (
     LOCI
-    + """, q AS (SELECT DISTINCT hg FROM hg WHERE hg % 5 = 0), h AS (SELECT DISTINCT ome, locus, hg FROM lo WHERE hg IS NOT NULL),
+    + """, """ + QUERY + """, h AS (SELECT DISTINCT ome, locus, hg FROM lo WHERE hg IS NOT NULL),
 sim AS (SELECT ome, locus, count(*) FILTER (WHERE hg IN (SELECT hg FROM q)) AS shared, count(*) AS n1 FROM h GROUP BY ALL),
 simi AS (SELECT ome, locus, shared, shared / ((SELECT count(*) FROM q) + n1 - shared)::DOUBLE AS similarity FROM sim WHERE shared > 1)"""
 )
@@ -64,6 +72,11 @@ def _catalog(s, d):
     return rows.withColumn("taxonomy", F.create_map(F.lit("kingdom"), F.col("kingdom"), F.lit("family"), F.col("family"))).drop("s_suppkey", "kingdom", "family")
 
 
+def _best_omes(s, d):
+    """Genomes with a gene that some query hit almost without a difference."""
+    return domain(s, d, "hits").where("pident > 99.95").select(C.ome_of(F.col("sseqid")).alias("ome"))
+
+
 def _edges(s, d):
     return G.distance_edges(domain(s, d, "likeness"), 30)
 
@@ -102,25 +115,26 @@ cs AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS c FROM gr GROUP BY ste
 SELECT hg FROM stats, fl WHERE plenty AND most = 1 UNION ALL SELECT hg FROM gr, fl WHERE NOT plenty AND step <= coalesce((SELECT min(step) FROM cs WHERE c >= 10), 1e9)""",
     ),
     "j16_genes_to_groups": (lambda s, d: A.genes_to_groups(domain(s, d, "genes").select(F.col("alias").alias("gene")), _hg(s, d)), f"WITH {HG.strip()} SELECT g.alias AS gene, hg.hg FROM {{genes}} g LEFT JOIN hg ON hg.gene = g.alias"),
-    "a15_locus_similarity": (lambda s, d: A.locus_similarity(_loci(s, d), _hg(s, d).where("hg % 5 = 0")), SIMILAR + " SELECT ome, locus, shared, similarity FROM simi"),
+    "a15_locus_similarity": (lambda s, d: A.locus_similarity(_loci(s, d), _query(s, d)), SIMILAR + " SELECT ome, locus, shared, similarity FROM simi"),
     "a16_best_loci": (
-        lambda s, d: A.best_loci(A.locus_similarity(_loci(s, d), _hg(s, d).where("hg % 5 = 0")), _loci(s, d)),
+        lambda s, d: A.best_loci(A.locus_similarity(_loci(s, d), _query(s, d)), _loci(s, d)),
         SIMILAR + " SELECT DISTINCT lo.ome, gene, hg FROM lo JOIN (SELECT ome, locus FROM simi QUALIFY rank() OVER (PARTITION BY ome ORDER BY similarity DESC) = 1) USING (ome, locus)",
     ),
-    "a17_recurrent_neighbours": (lambda s, d: A.recurrent_neighbours(_loci(s, d), _hg(s, d).where("hg % 5 = 0")), LOCI + " SELECT hg, count(*) AS n FROM lo WHERE hg % 5 <> 0 GROUP BY hg HAVING count(*) > 1"),
+    "a17_recurrent_neighbours": (lambda s, d: A.recurrent_neighbours(_loci(s, d), _query(s, d)), LOCI + ", " + QUERY + " SELECT hg, count(*) AS n FROM lo WHERE hg IS NOT NULL AND hg NOT IN (SELECT hg FROM q) GROUP BY hg HAVING count(*) > 1"),
     "p1_lineage": (lambda s, d: K.extract_lineage(_catalog(s, d), ["africa", "NATION_3"]).select("ome"), "SELECT ome FROM {omes} WHERE kingdom = 'AFRICA' OR family = 'NATION_3'"),
-    "p2_ids": (lambda s, d: K.extract_ids(_catalog(s, d), domain(s, d, "genes").where("n = 3 AND part % 7 = 0").select("ome")).select("ome"), "SELECT DISTINCT ome FROM {genes} WHERE n = 3 AND part % 7 = 0"),
+    "p2_ids": (lambda s, d: K.extract_ids(_catalog(s, d), _best_omes(s, d)).select("ome"), "SELECT DISTINCT ome FROM {genes} WHERE alias IN (SELECT sseqid FROM {hits} WHERE pident > 99.95)"),
     "p3_source": (lambda s, d: K.extract_source(_catalog(s, d), "JGI").select("ome", "assembly_acc"), "SELECT ome, assembly_acc FROM {omes} WHERE source = 'jgi'"),
     "p4_published": (lambda s, d: K.extract_published(_catalog(s, d)).select("ome"), "SELECT ome FROM {omes} WHERE published <> ''"),
     "p5_inverse": (lambda s, d: K.extract_inverse(_catalog(s, d), K.extract_published(_catalog(s, d))).select("ome"), "SELECT ome FROM {omes} WHERE published = ''"),
-    "p6_sample_per_rank": (lambda s, d: K.sample_per_rank(_catalog(s, d), "kingdom", 3).groupBy(F.element_at("taxonomy", "kingdom").alias("kingdom")).agg(F.count("*").alias("n")), "SELECT kingdom, least(count(*), 3) AS n FROM {omes} GROUP BY kingdom"),
+    "p6_sample_per_rank": (lambda s, d: K.sample_per_rank(_catalog(s, d), "kingdom", 3).select("ome"), "SELECT ome FROM {omes} QUALIFY row_number() OVER (PARTITION BY kingdom ORDER BY md5(ome || ':0'), ome) <= 3"),
     "p7_split_by_rank": (lambda s, d: K.split_by_rank(_catalog(s, d), "family").select("ome", "part"), "SELECT ome, family AS part FROM {omes}"),
     "p8_extract": (lambda s, d: K.extract(_catalog(s, d), lineages=["asia"], source="ncbi", published=True, inverse=True, by="kingdom").select("ome", "part"), "SELECT ome, kingdom AS part FROM {omes} WHERE NOT (kingdom = 'ASIA' AND source = 'ncbi' AND published <> '')"),
     "p13_min_n50": (
-        lambda s, d: K.min_n50(domain(s, d, "contigs").select("ome").distinct(), domain(s, d, "contigs").groupBy("ome").agg(F.max(F.length("sequence")).alias("n50")), 6000),
-        "SELECT ome FROM {contigs} GROUP BY ome HAVING max(len(sequence)) > 6000",
+        lambda s, d: K.min_n50(domain(s, d, "contigs").select("ome").distinct(), S.assembly_stats(domain(s, d, "contigs")), 2000),
+        """WITH r AS (SELECT ome, len(sequence) AS size, sum(len(sequence)) OVER (PARTITION BY ome ORDER BY len(sequence) DESC, seqid ROWS UNBOUNDED PRECEDING) AS run, sum(len(sequence)) OVER (PARTITION BY ome) AS total FROM {contigs} WHERE len(sequence) > 0)
+SELECT ome FROM r GROUP BY ome HAVING max(CASE WHEN run * 2 >= total THEN size END) > 2000""",
     ),
-    "j13_resume": (lambda s, d: K.resume(_catalog(s, d), domain(s, d, "genes").where("n = 3 AND part % 7 = 0")).select("ome"), "SELECT ome FROM {omes} WHERE ome NOT IN (SELECT ome FROM {genes} WHERE n = 3 AND part % 7 = 0)"),
+    "j13_resume": (lambda s, d: K.resume(_catalog(s, d), _best_omes(s, d)).select("ome"), "SELECT ome FROM {omes} WHERE ome NOT IN (SELECT ome FROM {genes} WHERE alias IN (SELECT sseqid FROM {hits} WHERE pident > 99.95))"),
     "w12_latest_versions": (
         lambda s, d: K.latest_versions(domain(s, d, "listing"), C.acc_base(F.col("assembly_acc")), C.acc_version(F.col("assembly_acc")), F.col("modified"), F.col("o")).select("assembly_acc", "modified", "o"),
         "SELECT assembly_acc, modified, o FROM {listing} QUALIFY row_number() OVER (PARTITION BY base ORDER BY CAST(split_part(assembly_acc, '.', 2) AS INT) DESC, modified DESC, o DESC) = 1",
@@ -140,8 +154,8 @@ FROM {listing} l LEFT JOIN h ON h.base = l.base WHERE l.assembly_acc NOT IN (SEL
         "SELECT l.o FROM {listing} l LEFT JOIN (SELECT base, max(o % 7) AS v FROM {listing} WHERE o % 4 = 0 GROUP BY base) f USING (base) WHERE f.v IS NULL OR l.o % 9 > f.v",
     ),
     "u1_union_catalogs": (lambda s, d: K.union_catalogs(_catalog(s, d), _catalog(s, d)).select("ome"), "SELECT ome FROM {omes} UNION ALL SELECT ome FROM {omes}"),
-    "u2_catalog_difference": (lambda s, d: K.catalog_difference(_catalog(s, d), domain(s, d, "genes").where("n = 3 AND part % 7 = 0")), "SELECT ome FROM {omes} EXCEPT SELECT ome FROM {genes} WHERE n = 3 AND part % 7 = 0"),
-    "u3_shared_codes": (lambda s, d: K.shared_codes(_catalog(s, d), domain(s, d, "genes").where("n = 3 AND part % 7 = 0")), "SELECT ome FROM {omes} INTERSECT SELECT ome FROM {genes} WHERE n = 3 AND part % 7 = 0"),
+    "u2_catalog_difference": (lambda s, d: K.catalog_difference(_catalog(s, d), _best_omes(s, d)), "SELECT ome FROM {omes} EXCEPT SELECT ome FROM {genes} WHERE alias IN (SELECT sseqid FROM {hits} WHERE pident > 99.95)"),
+    "u3_shared_codes": (lambda s, d: K.shared_codes(_catalog(s, d), _best_omes(s, d)), "SELECT ome FROM {omes} INTERSECT SELECT ome FROM {genes} WHERE alias IN (SELECT sseqid FROM {hits} WHERE pident > 99.95)"),
     "c1_distance_edges": (_edges, f"WITH {EDGES} SELECT src, dst, dist FROM e UNION ALL SELECT dst, src, dist FROM e"),
     "c2_single_linkage": (
         lambda s, d: G.single_linkage(_edges(s, d), 0.5),
@@ -160,7 +174,7 @@ r AS (SELECT DISTINCT u AS node, u AS low FROM b UNION SELECT b.v, r.low FROM r
     ),
     "f17_display_name": (
         lambda s, d: _catalog(s, d).select("ome", C.display_name(F.col("genus"), F.col("species"), F.col("strain"), F.col("assembly_acc"), F.col("ome")).alias("name")),
-        "SELECT ome, genus || '_' || species || '_' || strain || '_' || replace(assembly_acc, '.', '') || '_' || ome AS name FROM {omes}",
+        "SELECT ome, genus || '_' || species || '_' || strain || '_' || assembly_acc || '_' || ome || '_' AS name FROM {omes}",
     ),
 }
 QUERIES = {name: job for name, (job, _) in JOBS.items()}

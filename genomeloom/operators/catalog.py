@@ -45,8 +45,8 @@ def rank_value(rank: str) -> Column:
 
 
 def sample_per_rank(catalog: DataFrame, rank: str, n: int, seed: int = 0) -> DataFrame:
-    """At most ``n`` genomes of each value of ``rank``, chosen by a hash of their code."""
-    best = W.partitionBy("_v").orderBy(F.xxhash64("ome", F.lit(seed)), "ome")
+    """At most ``n`` genomes of each value of ``rank``, chosen by a digest of their code and the seed."""
+    best = W.partitionBy("_v").orderBy(F.md5(F.concat_ws(":", "ome", F.lit(str(seed)))), "ome")
     return catalog.withColumn("_v", rank_value(rank)).withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= n).drop("_v", "_k")
 
 
@@ -75,6 +75,14 @@ def lookup(catalog: DataFrame, code: str) -> DataFrame:
     return own.orderBy(*order).limit(1)
 
 
+def lookup_codes(catalog: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code, and the catalog's columns): for each of ``codes`` (code) its genome, else the newest version of it."""
+    asked = codes.select("code").distinct()
+    base = F.regexp_replace("ome", r"\.\d+$", "")
+    rows = catalog.select(F.explode(F.array_distinct(F.array("ome", base))).alias("code"), "*").join(asked, "code")
+    return latest_versions(rows, F.col("code"), (F.col("ome") == F.col("code")).cast("int"), acc_version(F.col("ome")))
+
+
 def min_n50(catalog: DataFrame, stats: DataFrame, n: int) -> DataFrame:
     return catalog.join(stats.where(F.col("n50") > n).select("ome"), "ome", "left_semi")
 
@@ -143,6 +151,35 @@ def cross_source_overlap(ncbi: DataFrame, jgi: DataFrame, pairs: DataFrame) -> t
     return marked.where("rule IS NULL").drop("rule"), marked.where("rule IS NOT NULL")
 
 
+def overlap_tables(ncbi: DataFrame, jgi: DataFrame, pairs: DataFrame, unique: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, unique) after ``cross_source_overlap``: the known ones, with the portal (and biosample) that each overlapping row met, and with the accessions that met none."""
+    only, both = cross_source_overlap(ncbi, jgi, pairs)
+    name = lambda *c: F.lower(F.concat_ws("_", *c))
+    one = lambda key, alias: jgi.groupBy(key.alias(alias)).agg(F.min("portal").alias("portal"))
+    rows = both.withColumn("_full", name("genus", "species", "strain")).withColumn("_bare", name("genus", "species"))
+    rows = rows.join(pairs.groupBy("assembly_acc").agg(F.min("portal").alias("_p")), "assembly_acc", "left")
+    rows = rows.join(one(name("genus", "species", "strain"), "_full").withColumnRenamed("portal", "_f"), "_full", "left").join(one(name("genus", "species"), "_bare").withColumnRenamed("portal", "_b"), "_bare", "left")
+    portal = F.when(F.col("rule") == "pair", F.col("_p")).when(F.col("rule") == "name", F.col("assembly_name")).when(F.col("rule") == "strain", F.col("_f")).when(F.col("rule") == "species", F.col("_b"))
+    carried = F.col("biosample") if "biosample" in ncbi.columns else F.lit(None).cast("string")
+    found = rows.select("assembly_acc", portal.alias("portal"), carried.alias("biosample")).where("portal IS NOT NULL")
+    return pairs.unionByName(found.join(pairs.select("assembly_acc"), "assembly_acc", "left_anti"), allowMissingColumns=True), unique.select("assembly_acc").union(only.select("assembly_acc")).distinct()
+
+
+def rename_codes(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``lines`` (id, value) with genome codes of ``names`` (ome, name) replaced, a versioned code before its base, never a code that a digit follows.
+
+    Codes are cut out of the lines, joined with the names and put back, so neither side has to fit a task.
+    """
+    pattern = r"[a-z.]{6}\d+(?:\.\d+)?"
+    pieces = F.arrays_zip(F.split("value", pattern, -1).alias("gap"), F.regexp_extract_all("value", F.lit(pattern), F.lit(0)).alias("code"))
+    cut = lines.select("id", F.posexplode(pieces).alias("at", "x")).select("id", "at", F.col("x.gap").alias("gap"), F.col("x.code").alias("code"), F.regexp_replace("x.code", r"\.\d+$", "").alias("base"))
+    one = names.dropDuplicates(["ome"])
+    met = cut.join(one.select(F.col("ome").alias("code"), F.col("name").alias("n1")), "code", "left").join(one.select(F.col("ome").alias("base"), F.col("name").alias("n2")), "base", "left")
+    new = F.coalesce("n1", F.concat("n2", F.expr("substring(code, length(base) + 1)")), "code", F.lit(""))
+    back = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("gap", new).alias("t")))), lambda x: x["t"]), "")
+    return met.groupBy("id").agg(back.alias("value"))
+
+
 def latest_versions(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
     """One row for each ``key``: the first when sorted falling by ``order``."""
     return rows.withColumn("_key", key).withColumn("_k", F.row_number().over(W.partitionBy("_key").orderBy(*[o.desc_nulls_last() for o in order]))).where("_k = 1").drop("_key", "_k")
@@ -199,19 +236,35 @@ def _prefix(genus: Column, species: Column) -> Column:
     return F.concat(part(genus), part(species))
 
 
+CODE = r"^([a-z.]{6})(\d+)(?:\.(\d+))?$"
+
+
+def malformed_codes(new: DataFrame) -> DataFrame:
+    """Rows whose given code (ome) is none; they get no code."""
+    return new.where((F.coalesce(F.col("ome"), F.lit("")) != "") & ~F.col("ome").rlike(CODE)) if "ome" in new.columns else new.limit(0)
+
+
 def generate_codes(new: DataFrame, catalog: DataFrame, retired: DataFrame) -> DataFrame:
-    """``new`` with ome: three letters of genus and species and the next number of that prefix, counted on from catalog and retired codes; a known assembly_acc gets the next version of its code. Rows of a prefix are numbered by assembly_acc."""
-    pattern = r"^([a-z.]{6})(\d+)(?:\.(\d+))?$"
-    part = lambda k: F.regexp_extract("ome", pattern, k)
+    """``new`` with ome: three letters of genus and species and the next number of that prefix, counted on from catalog and retired codes.
+
+    A known assembly_acc gets the next version of its code, and so does a code that the row gives (ome) and that
+    is in use; a given code that nothing uses stays, a malformed one drops the row (``malformed_codes``). Rows of a
+    prefix are numbered by assembly_acc.
+    """
+    part = lambda k, c="ome": F.regexp_extract(c, CODE, k)
     used = catalog.select("ome").union(retired.select("ome")).where(part(1) != "")
     top = used.groupBy(part(1).alias("_prefix")).agg(F.max(part(2).cast("int")).alias("_top"))
     versions = used.groupBy(F.concat(part(1), part(2)).alias("_base")).agg(F.max(F.coalesce(part(3).try_cast("int"), F.lit(0))).alias("_ver"))
-    known = catalog.where(part(1) != "").groupBy("assembly_acc").agg(F.max(F.concat(part(1), part(2))).alias("_base")).join(versions, "_base")
-    rows = new.drop("ome").withColumn("_prefix", _prefix(F.col("genus"), F.col("species"))).join(known, "assembly_acc", "left").join(top, "_prefix", "left")
-    fresh = W.partitionBy("_prefix", F.col("_base").isNull()).orderBy("assembly_acc")
-    number = F.coalesce(F.col("_top"), F.lit(0)) + F.row_number().over(fresh)
-    code = F.when(F.col("_base").isNotNull(), F.concat("_base", F.lit("."), (F.col("_ver") + 1).cast("string"))).otherwise(F.concat("_prefix", number.cast("string")))
-    return rows.withColumn("ome", code).drop("_prefix", "_base", "_ver", "_top")
+    known = catalog.where(part(1) != "").groupBy("assembly_acc").agg(F.max(F.concat(part(1), part(2))).alias("_acc_base"))
+    given = F.when(F.coalesce(F.col("ome"), F.lit("")) != "", F.col("ome")) if "ome" in new.columns else F.lit(None).cast("string")
+    rows = new.withColumn("_given", given).drop("ome").where(F.col("_given").isNull() | F.col("_given").rlike(CODE))
+    rows = rows.withColumn("_prefix", _prefix(F.col("genus"), F.col("species"))).join(known, "assembly_acc", "left").join(top, "_prefix", "left")
+    rows = rows.withColumn("_base", F.coalesce("_acc_base", F.concat(part(1, "_given"), part(2, "_given")))).join(versions, "_base", "left")
+    kind = F.when(F.col("_ver").isNotNull(), "next").when(F.col("_given").isNotNull(), "given").otherwise("new")
+    rows = rows.withColumn("_kind", kind)
+    number = F.coalesce(F.col("_top"), F.lit(0)) + F.row_number().over(W.partitionBy("_prefix", "_kind").orderBy("assembly_acc"))
+    code = F.when(F.col("_kind") == "next", F.concat("_base", F.lit("."), (F.col("_ver") + 1).cast("string"))).when(F.col("_kind") == "given", F.col("_given")).otherwise(F.concat("_prefix", number.cast("string")))
+    return rows.withColumn("ome", code).select(*[c for c in new.columns if c != "ome"], "ome")
 
 
 def merge_catalog(orig: DataFrame, add: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -220,14 +273,18 @@ def merge_catalog(orig: DataFrame, add: DataFrame, overwrite: bool = False) -> t
     kept = orig.join(add.select("assembly_acc"), "assembly_acc", "left_anti") if overwrite else orig
     new = add if overwrite else add.join(held, "assembly_acc", "left_anti")
     clash = new.join(kept.select("ome"), "ome", "left_semi")
-    recoded = generate_codes(clash.withColumn("_was", F.col("ome")), kept.select("ome", "assembly_acc").unionByName(new.select("ome", "assembly_acc")), kept.select("ome").limit(0))
+    # numbers go on from all codes of both sides; what clashes is new to the catalog, so no accession is known
+    taken = kept.select("ome").union(new.select("ome"))
+    recoded = generate_codes(clash.withColumnRenamed("ome", "_was"), kept.select("ome", "assembly_acc"), taken)
     codes = recoded.select(F.col("_was").alias("old"), F.col("ome").alias("new"))
     free = new.join(kept.select("ome"), "ome", "left_anti")
     return reduce(DataFrame.unionByName, [kept.select(*orig.columns), free.select(*orig.columns), recoded.select(*orig.columns)]), codes
 
 
 def promote(ref: DataFrame, add: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(catalog, replaced rows): a new version of a base code takes the place of the old one."""
+    """(catalog, replaced rows): a new version of a base code takes the place of the old one; a code that ``add`` gives twice is an error."""
+    if twice := add.groupBy("ome").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        raise ValueError(f"code {twice[0]['ome']} is not unique")
     base = lambda c: F.regexp_replace(c, r"\.\d+$", "")
     new = add.select(base(F.col("ome")).alias("_base")).distinct()
     marked = ref.withColumn("_base", base(F.col("ome")))
@@ -252,10 +309,10 @@ def file_manifest(catalog: DataFrame, types: tuple[str, ...] = ("fna", "faa", "g
     return catalog.unpivot("ome", list(types), "type", "path").where("coalesce(path, '') <> ''")
 
 
-def file_completeness(manifest: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """(ome, lacking): required types that a genome has no file of, comma-joined; empty if complete."""
-    held = manifest.groupBy("ome").agg(F.collect_set("type").alias("held"))
-    return held.select("ome", F.array_join(F.array_except(F.array(*[F.lit(t) for t in required]), "held"), ",").alias("lacking"))
+def file_completeness(catalog: DataFrame, required: tuple[str, ...]) -> DataFrame:
+    """(ome, lacking): required types that a genome of the catalog has no file of, comma-joined; empty if complete."""
+    lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.col(t), F.lit("")) == "", F.lit(t)) for t in required]))
+    return catalog.select("ome", F.array_join(lacking, ",").alias("lacking"))
 
 
 def stale_files(files: DataFrame, catalog: DataFrame) -> DataFrame:

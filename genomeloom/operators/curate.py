@@ -1,4 +1,7 @@
-"""Gene-model curation: every step takes and gives annotation rows with the genome and their place in the file (row)."""
+"""Gene-model curation: every step takes and gives annotation rows with the genome and their place in the file (row).
+
+Steps that use their resolved rows several times write them once, so that a chain of steps is a chain of short plans.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genomeloom.functions.columns import format_og_tags, gff3_attr, gtf_attr, parse_og_tags, set_attr
+from genomeloom.functions.columns import format_og_tags, gff3_attr, gff_dialect, gtf_attr, parse_og_tags, set_attr
+from genomeloom.operators.sequences import prefix_contigs, proteins_from_gff, proteome_qc
+from genomeloom.sources.shared import staged
 
 # Accepted row types.
 KEPT = ("gene", "pseudogene", "mRNA", "tRNA", "rRNA", "RNA", "exon", "intron", "CDS", "five_prime_UTR", "three_prime_UTR")
@@ -55,7 +60,7 @@ def _like(rows: DataFrame, gff: DataFrame) -> DataFrame:
 
 def complete_models(gff: DataFrame) -> DataFrame:
     """With the rows that models lack: an mRNA for genes with CDS and no RNA, a gene for RNAs without one, exons from CDS where a model has neither exons nor introns."""
-    rows = resolve_parents(gff, keep_orphans=True)
+    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
     gene_ids = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene").distinct()
     rna_genes = rows.where(is_rna()).select("ome", "gene").distinct()
     cds = rows.where("type = 'CDS'")
@@ -74,7 +79,7 @@ def complete_models(gff: DataFrame) -> DataFrame:
 
 def exons_from_introns(gff: DataFrame) -> DataFrame:
     """Exon rows of genes that have introns and no exons: from the gene's start to the first intron, between introns, and to its end."""
-    rows = resolve_parents(gff, keep_orphans=True)
+    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
     has = rows.where("type = 'exon'").select("ome", "gene").distinct()
     ends = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene", F.col("start").alias("g0"), F.col("end").alias("g1"))
     introns = rows.where("type = 'intron'").join(has, ["ome", "gene"], "left_anti").join(ends, ["ome", "gene"])
@@ -87,15 +92,28 @@ def exons_from_introns(gff: DataFrame) -> DataFrame:
     return _like(made, gff)
 
 
-def split_isoforms(gff: DataFrame) -> DataFrame:
-    """(ome, gene, rna, protein, start, end): for genes whose CDS name several proteins, one transcript -T1, -T2, .. over the CDS of each."""
+def isoform_spans(gff: DataFrame) -> DataFrame:
+    """(ome, gene, rna, protein, start, end): for genes whose CDS name several proteins, one transcript -T0, -T1, .. over the CDS of each, in order of start and protein."""
     cds = resolve_parents(gff, keep_orphans=True).where("type = 'CDS'").withColumn("protein", F.coalesce(_id("protein_id"), _id("proteinId")))
     spans = cds.where("protein IS NOT NULL").groupBy("ome", "gene", "protein").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     group = W.partitionBy("ome", "gene")
-    ranked = spans.withColumn("n", F.count("*").over(group)).withColumn("k", F.row_number().over(group.orderBy("start", "protein")))
+    ranked = spans.withColumn("n", F.count("*").over(group)).withColumn("k", F.row_number().over(group.orderBy("start", "protein")) - 1)
     return ranked.where("n > 1").select("ome", "gene", F.concat("gene", F.lit("-T"), F.col("k").cast("string")).alias("rna"), "protein", "start", "end")
 
 
+def split_isoforms(gff: DataFrame) -> DataFrame:
+    """``gff`` with the transcripts of ``isoform_spans``: in their genes they take the place of the RNAs, each CDS gets its protein's as Parent, and the exons are those of the CDS."""
+    spans = staged(isoform_spans(gff), "isoforms")
+    rows = staged(resolve_parents(gff, keep_orphans=True).withColumn("protein", F.coalesce(_id("protein_id"), _id("proteinId"))), "models")
+    genes = spans.select("ome", "gene").distinct()
+    others = rows.join(genes, ["ome", "gene"], "left_anti")
+    kept = rows.where(F.col("type").isin(*NAMED)).join(genes, ["ome", "gene"], "left_semi")
+    cds = rows.where("type = 'CDS'").join(spans.select("ome", "gene", "protein", F.col("rna").alias("_rna")), ["ome", "gene", "protein"]).withColumn("attributes", set_attr(F.col("attributes"), "Parent", F.col("_rna")))
+    exon = cds.withColumns({"type": F.lit("exon"), "phase": F.lit("."), "attributes": F.concat(F.lit("ID=exon_"), "id", F.lit(";Parent="), "_rna")})
+    made = kept.drop("start", "end", "rna", "protein").join(spans, ["ome", "gene"]).withColumns({"type": F.lit("mRNA"), "attributes": F.concat(F.lit("ID="), "rna", F.lit(";Parent="), "gene", F.lit(";protein_id="), "protein")})
+    return reduce(DataFrame.unionByName, [_like(x, gff) for x in (others, kept, made, cds, exon)])
+
+
 def dedupe_equal_models(gff: DataFrame) -> DataFrame:
     """(ome, gene, rna): transcripts kept when those of a gene with equal CDS coordinates become one, the first."""
     cds = resolve_parents(gff, keep_orphans=True).where("type = 'CDS' AND rna IS NOT NULL")
@@ -105,7 +123,7 @@ def dedupe_equal_models(gff: DataFrame) -> DataFrame:
 
 def assign_aliases(gff: DataFrame) -> DataFrame:
     """Rows with Alias: an RNA's is ome_protein, else a counter of its class in file order; a gene has its RNAs' joined by ``|``, parts have their RNA's."""
-    rows = resolve_parents(gff, keep_orphans=True)
+    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
     protein = rows.where("type = 'CDS'").groupBy("ome", "rna").agg(F.min(F.coalesce(_id("protein_id"), _id("proteinId"))).alias("protein"))
     pseudo = rows.where("type = 'pseudogene'").select("ome", "gene", F.lit(1).alias("pseudo"))
     rna = rows.where(is_rna()).select("ome", "row", "rna", "gene", "type").join(protein, ["ome", "rna"], "left").join(pseudo, ["ome", "gene"], "left")
@@ -123,7 +141,7 @@ def assign_aliases(gff: DataFrame) -> DataFrame:
 
 def rename_and_organise(gff: DataFrame) -> DataFrame:
     """ID and Parent made from the aliases, parts numbered; rows by contig, gene, then gene, RNA and parts."""
-    rows = resolve_parents(gff, keep_orphans=True).withColumn("alias", _id("Alias"))
+    rows = staged(resolve_parents(gff, keep_orphans=True), "models").withColumn("alias", _id("Alias"))
     number = F.row_number().over(W.partitionBy("ome", "alias", "type").orderBy("start", "row"))
     prefix = F.when(F.col("type").isin(*NAMED), F.lit("gene_")).when(is_rna(), F.lit("RNA_")).otherwise(F.concat("type", F.lit("_")))
     tail = F.when(F.col("type").isin(*NAMED) | is_rna(), F.lit("")).otherwise(F.concat(F.lit("_"), number.cast("string")))
@@ -214,4 +232,32 @@ def curate(gff: DataFrame, dialect: float = 3.0, prefix: Column | None = None) -
         rows = gtf_to_gff3(gff, F.col("ome") if prefix is None else prefix)
     else:
         rows = gff2_to_gff3(gff) if dialect == 2.0 else gff
-    return rename_and_organise(assign_aliases(complete_models(normalise_types(rows))))
+    complete = staged(complete_models(staged(normalise_types(rows), "types")), "complete")
+    return rename_and_organise(staged(assign_aliases(complete), "aliases"))
+
+
+def genome_dialects(gff: DataFrame) -> DataFrame:
+    """(ome, dialect, curated): the dialect of a genome's first row that shows one, and whether that row has an Alias already."""
+    kind = gff_dialect(F.col("attributes"))
+    rows = gff.select("ome", "row", kind.alias("dialect"), _id("Alias").isNotNull().alias("curated")).where("dialect IS NOT NULL")
+    return rows.groupBy("ome").agg(F.min(F.struct("row", "dialect", "curated")).alias("m")).select("ome", "m.dialect", "m.curated")
+
+
+def curate_genomes(gff: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(gff, contigs, proteins, failed) of many genomes, each by the converter of its own dialect.
+
+    Contigs get their genome's code before their name. A genome fails, with its reason, if no row shows a dialect, if
+    no gene is left, or if no protein has a residue; it is then in none of the other tables.
+    """
+    dialects = staged(genome_dialects(gff), "dialects")
+    omes = gff.select("ome").distinct()
+    of = lambda d: gff.join(dialects.where(F.col("dialect") == d).select("ome"), "ome", "left_semi")
+    done = staged(reduce(DataFrame.unionByName, [curate(of(d), d) for d in (3.0, 2.5, 2.0)]), "curated")
+    models, bases = prefix_contigs(done), prefix_contigs(contigs)
+    proteins = staged(proteins_from_gff(models, bases), "proteins")
+    empty = proteome_qc(proteins).where("rejected").select("ome", F.lit("empty proteins").alias("reason"))
+    unknown = omes.join(dialects, "ome", "left_anti").select("ome", F.lit("unknown dialect").alias("reason"))
+    bare = dialects.join(done.where("type = 'gene'").select("ome").distinct(), "ome", "left_anti").select("ome", F.lit("no genes").alias("reason"))
+    failed = staged(unknown.unionByName(bare).unionByName(empty.join(bare, "ome", "left_anti")), "failed")
+    fine = lambda rows: rows.join(failed.select("ome"), "ome", "left_anti")
+    return fine(models), fine(bases.join(omes, "ome", "left_semi")), fine(proteins), failed

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from genomeloom.functions.columns import gff3_attr
+from genomeloom.functions.columns import gff3_attr, set_attr
 
 CLASSES = ("gene", "cds", "mrna", "trna", "rna", "pseudogene")
 
@@ -27,11 +27,14 @@ def annotation_stats(gff: DataFrame) -> DataFrame:
     rint(n / 2), half to even, counted from 1; 0 stands for the last.
     """
     rows = gff.select("ome", feature_class(F.col("type")).alias("kind"), F.abs(F.col("end") - F.col("start")).alias("size")).where("kind IS NOT NULL")
+    # lengths repeat: counts of equal ones are summed map-side, and only they are sorted
+    counts = rows.groupBy("ome", "kind", "size").agg(F.count("*").alias("c"))
     group = W.partitionBy("ome", "kind")
-    ranked = rows.withColumn("k", F.row_number().over(group.orderBy("size"))).withColumn("n", F.count("*").over(group))
-    middle = F.rint(F.col("n") / 2).cast("long")
-    chosen = F.when(F.col("k") == F.when(middle == 0, F.col("n")).otherwise(middle), F.col("size"))
-    by_kind = ranked.groupBy("ome", "kind").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.avg("size").alias("mean"), F.max(chosen).alias("median"))
+    ranked = counts.withColumn("run", F.sum("c").over(group.orderBy("size").rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(group))
+    middle = F.rint(F.col("all") / 2).cast("long")
+    chosen = F.when(F.col("run") >= F.when(middle == 0, F.col("all")).otherwise(middle), F.col("size"))
+    total = F.sum(F.col("size") * F.col("c"))
+    by_kind = ranked.groupBy("ome", "kind").agg(total.alias("total"), F.sum("c").alias("n"), (total / F.sum("c")).alias("mean"), F.min(chosen).alias("median"))
     of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
     return by_kind.groupBy("ome").agg(*(of(kind, column).alias(f"{kind}_{column}") for kind in CLASSES for column in ("total", "n", "mean", "median")))
 
@@ -78,11 +81,13 @@ def gene_positions(gff: DataFrame) -> DataFrame:
     Coordinates are those of the RNA rows; a gene gives its own, split at ``|``, only for
     aliases that no RNA of the genome carries. Ties in start are ordered by alias.
     """
-    rows = with_alias(gff).where("alias IS NOT NULL")
-    rna = rows.where(F.col("type").contains("RNA")).select("ome", "seqid", "alias", "start", "end")
-    gene = rows.where("type IN ('gene', 'pseudogene')").select("ome", "seqid", F.explode(F.split("alias", r"\|")).alias("alias"), "start", "end")
-    own = gene.join(rna.select("ome", "alias").distinct(), ["ome", "alias"], "left_anti").select(*rna.columns)
-    both = rna.unionByName(own).groupBy("ome", "seqid", "alias").agg(F.min(F.least("start", "end")).alias("start"), F.max(F.greatest("start", "end")).alias("end"))
+    rows = with_alias(gff).where(F.col("alias").isNotNull() & (F.col("type").contains("RNA") | F.col("type").isin("gene", "pseudogene")))
+    is_rna = F.col("type").contains("RNA")
+    one = rows.select("ome", "seqid", F.explode(F.when(is_rna, F.array("alias")).otherwise(F.split("alias", r"\|"))).alias("alias"), is_rna.alias("rna"), F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"))
+    lo, hi = (F.when(F.col("rna"), F.col(c)) for c in ("lo", "hi"))
+    spans = one.groupBy("ome", "seqid", "alias").agg(F.min(lo).alias("r0"), F.max(hi).alias("r1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    spans = spans.withColumn("any", F.max(F.col("r0").isNotNull()).over(W.partitionBy("ome", "alias"))).where(F.col("r0").isNotNull() | ~F.col("any"))
+    both = spans.select("ome", "seqid", "alias", F.coalesce("r0", "lo").alias("start"), F.coalesce("r1", "hi").alias("end"))
     return both.withColumn("pos", F.row_number().over(W.partitionBy("ome", "seqid").orderBy("start", "alias")))
 
 
@@ -93,7 +98,8 @@ def _focal(pos: DataFrame, accessions: DataFrame) -> DataFrame:
 
 def locus_by_genes(pos: DataFrame, accessions: DataFrame, k: int = 10) -> DataFrame:
     """(focus, ome, seqid, alias, pos): up to ``k`` genes on either side of each accession."""
-    return pos.join(_focal(pos, accessions), ["ome", "seqid"]).where(F.col("pos").between(F.col("p") - k, F.col("p") + k)).select("focus", "ome", "seqid", "alias", "pos")
+    near = _focal(pos, accessions).select("focus", "ome", "seqid", F.explode(F.sequence(F.col("p") - k, F.col("p") + k)).alias("pos"))
+    return pos.join(near, ["ome", "seqid", "pos"]).select("focus", "ome", "seqid", "alias", "pos")
 
 
 def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
@@ -178,3 +184,21 @@ def merge_overlapping_genes(genes: DataFrame) -> DataFrame:
     rows = genes.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(order))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "alias"))), lambda x: x["alias"]), "|")
     return rows.groupBy("ome", "seqid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), joined.alias("alias"), F.count("*").alias("n")).drop("island")
+
+
+def merge_into_spliced_genes(gff: DataFrame) -> DataFrame:
+    """``gff`` with connected overlaps of genes made one alternately spliced gene: the first spans all and joins their aliases by ``|``, the others go, and their RNAs get it as Parent."""
+    rows = with_alias(gff).withColumn("_id", gff3_attr(F.col("attributes"), "ID"))
+    genes = rows.where("type = 'gene'").select("ome", "seqid", "alias", "start", "end", F.col("_id").alias("id"))
+    order = W.partitionBy("ome", "seqid").orderBy("start", "end", "alias")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    marked = genes.withColumn("_new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("island", F.sum("_new").over(order))
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "alias", "id")))
+    merged = marked.groupBy("ome", "seqid", "island").agg(parts.alias("parts"), F.min("start").alias("g0"), F.max("end").alias("g1"))
+    whole = F.array_join(F.transform("parts", lambda x: x["alias"]), "|")
+    named = merged.select("ome", F.get("parts", F.lit(0))["id"].alias("top"), "g0", "g1", whole.alias("whole"), F.explode("parts").alias("own")).select("ome", "top", "g0", "g1", "whole", F.col("own.id").alias("gid"))
+    key = F.when(F.col("type") == "gene", F.col("_id")).when(F.col("type").contains("RNA"), gff3_attr(F.col("attributes"), "Parent"))
+    met = rows.withColumn("gid", key).join(named, ["ome", "gid"], "left").where((F.col("type") != "gene") | (F.col("gid") == F.col("top")))
+    is_gene = (F.col("type") == "gene") & F.col("top").isNotNull()
+    attributes = F.when(is_gene, set_attr(F.col("attributes"), "Alias", F.col("whole"))).when(F.col("top").isNotNull(), set_attr(F.col("attributes"), "Parent", F.col("top"))).otherwise(F.col("attributes"))
+    return met.withColumns({"attributes": attributes, "start": F.when(is_gene, F.col("g0")).otherwise(F.col("start")), "end": F.when(is_gene, F.col("g1")).otherwise(F.col("end"))}).select(*gff.columns)

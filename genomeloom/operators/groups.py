@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomeloom.functions import columns as C
+from genomeloom.sources.shared import staged
 
 
 def with_scalars(rows: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -14,6 +15,15 @@ def with_scalars(rows: DataFrame, scalars: DataFrame) -> DataFrame:
     return rows.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
+def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
+    """``rows`` numbered from 0 in ``order``: sorted by ranges, counted in each, and moved by the counts of the ranges before, so that no task sees all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    held = staged(ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_id"), "numbered")
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_k"))
+    before = sizes.select("_part", (F.sum("_k").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_k")).alias("_before"))  # a row a range
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def build_homology_groups(pairs: DataFrame, omes: DataFrame | None = None, min_omes: int = 1) -> DataFrame:
     """(hg, gene, ome): groups of (rep, member) pairs, numbered from 0 by falling size, then representative."""
     genes = pairs.select("rep", F.col("member").alias("gene")).union(pairs.select("rep", "rep")).distinct().withColumn("ome", C.ome_of(F.col("gene")))
@@ -22,11 +32,8 @@ def build_homology_groups(pairs: DataFrame, omes: DataFrame | None = None, min_o
         wide = usable.groupBy("rep").agg(F.countDistinct("ome").alias("n")).where(F.col("n") >= min_omes)
         genes = genes.join(wide.select("rep"), "rep", "left_semi")
     sizes = genes.groupBy("rep").agg(F.count("*").alias("size"))
-    # groups are numbered within a size; sizes are few, so their offsets are a small running sum
-    by_size = sizes.groupBy("size").agg(F.count("*").alias("k"))
-    offset = by_size.select("size", (F.sum("k").over(W.partitionBy(F.lit(0)).orderBy(F.desc("size"))) - F.col("k")).alias("offset"))
-    numbered = sizes.withColumn("r", F.row_number().over(W.partitionBy("size").orderBy("rep"))).join(offset, "size").select("rep", (F.col("offset") + F.col("r") - 1).alias("hg"))
-    return genes.join(numbered, "rep").select("hg", "gene", "ome")
+    order = numbered(sizes, "hg", F.desc("size"), F.asc("rep")).select("rep", "hg")
+    return genes.join(order, "rep").select("hg", "gene", "ome")
 
 
 def hg_stats(hg: DataFrame, n_genomes: int) -> DataFrame:
@@ -82,6 +89,7 @@ def hg_pairs(positions: DataFrame, hg: DataFrame, plusminus: int) -> DataFrame:
 
 def cooccurrence(pairs: DataFrame, min_omes: int = 2) -> DataFrame:
     """(hg0, hg1, n_omes, omes): pairs in more than ``min_omes`` genomes; genomes are gathered only for those."""
+    pairs = staged(pairs, "pairs")
     n = pairs.groupBy("hg0", "hg1").agg(F.count("*").alias("n_omes")).where(F.col("n_omes") > min_omes)
     kept = pairs.join(n.select("hg0", "hg1"), ["hg0", "hg1"], "left_semi")
     return kept.groupBy("hg0", "hg1").agg(F.count("*").alias("n_omes"), F.array_join(F.array_sort(F.collect_set("ome")), ",").alias("omes"))
@@ -119,7 +127,7 @@ def locus_similarity(loci: DataFrame, queries: DataFrame, hits: DataFrame | None
     """(ome, locus, shared, similarity) of loci (ome, locus, gene, hg) to the query groups (hg), two shared groups at least; with ``hits`` (gene, hg, pident) times the mean over shared groups of the best identity."""
     asked = queries.select("hg").distinct()
     total = asked.agg(F.count("*").alias("n0"))
-    held = loci.where("hg IS NOT NULL").select("ome", "locus", "hg").distinct()
+    held = staged(loci.where("hg IS NOT NULL").select("ome", "locus", "hg").distinct(), "loci")
     n1 = held.groupBy("ome", "locus").agg(F.count("*").alias("n1"))
     both = held.join(asked, "hg", "left_semi").groupBy("ome", "locus").agg(F.count("*").alias("shared")).where("shared > 1")
     out = with_scalars(both.join(n1, ["ome", "locus"]), total).withColumn("similarity", INDEXES[index](F.col("shared"), F.col("n0"), F.col("n1")))

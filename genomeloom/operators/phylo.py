@@ -53,3 +53,8 @@ def filter_supported(trees: DataFrame, min_mean: float) -> DataFrame:
     """Trees (file, newick) with their mean support and whether it reaches the limit."""
     mean = tree_mean_support(F.col("newick"))
     return trees.select("file", mean.alias("support"), (mean >= min_mean).alias("passed"))
+
+
+def support_rate(trees: DataFrame, min_mean: float) -> DataFrame:
+    """(trees, passed, rate): how many trees reach the limit, one row."""
+    return filter_supported(trees, min_mean).agg(F.count("*").alias("trees"), F.count(F.when(F.col("passed"), 1)).alias("passed"), F.avg(F.coalesce(F.col("passed"), F.lit(False)).cast("double")).alias("rate"))

@@ -1,7 +1,8 @@
 """Sequences by accession and coordinates, assembly statistics, and sequences built from annotation.
 
-Sequence tables have (ome, seqid, sequence); a contig is carried once through a join and
-cut into pieces there, never sorted or grouped with its text.
+Sequence tables have (ome, seqid, sequence). Ranges of contigs are cut from tiles of fixed
+length, which a contig gives in one pass, so that a long contig with many genes is read once
+and no task joins the whole of it with each of them.
 """
 
 from __future__ import annotations
@@ -110,40 +111,63 @@ def extract_regions(regions: DataFrame, contigs: DataFrame) -> DataFrame:
     return out.where("strands = 1").drop("strands")
 
 
-def _segments(cds: DataFrame, contigs: DataFrame) -> DataFrame:
-    """One row a gene: its CDS pieces joined in reading order."""
-    lo, hi = F.least("start", "end"), F.greatest("start", "end")
-    piece = _piece(F.col("sequence"), lo - 1, hi)
-    rows = cds.join(contigs.select("ome", "seqid", "sequence"), ["ome", "seqid"]).select("ome", "alias", F.when(F.col("strand") == "-", -hi).otherwise(lo).alias("k"), F.when(F.col("strand") == "-", reverse_complement(piece)).otherwise(piece).alias("piece"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"]), "")
-    return rows.groupBy("ome", "alias").agg(joined.alias("sequence"))
+TILE = 20_000
 
 
-def cds_from_gff(gff: DataFrame, contigs: DataFrame) -> DataFrame:
-    """(ome, alias, sequence): coding bases of each protein-coding gene."""
-    return _segments(coding_cds(gff), contigs)
+def cut_ranges(ranges: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(ome, id, sequence): the bases lo to hi, from 1 and inclusive, of the rows (ome, seqid, id, lo, hi) of each id, joined in order of lo; what lies outside a contig is left out."""
+    tiles = contigs.select("ome", "seqid", F.posexplode(F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{TILE}}}"), F.lit(0))).alias("tile", "text"))
+    lo, hi = F.greatest(F.col("lo"), F.lit(1)), F.greatest(F.col("hi"), F.lit(1))
+    touched = F.sequence(F.floor((lo - 1) / TILE).cast("int"), F.greatest(F.floor((hi - 1) / TILE), F.floor((lo - 1) / TILE)).cast("int"))
+    met = ranges.distinct().withColumn("tile", F.explode(touched)).join(tiles, ["ome", "seqid", "tile"], "left")
+    base = F.col("tile") * TILE
+    first, last = F.greatest(F.col("lo") - base, F.lit(1)).cast("int"), F.least(F.col("hi") - base, F.lit(TILE)).cast("int")
+    piece = F.when(last >= first, F.substring("text", first, last - first + 1))
+    pieces = met.select("ome", "id", F.struct("lo", "tile", F.coalesce(piece, F.lit("")).alias("piece")).alias("x"))
+    return pieces.groupBy("ome", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["piece"]), "").alias("sequence"))
+
+
+def _oriented(rows: DataFrame) -> Column:
+    return F.when(F.col("id.strand") == "-", reverse_complement(F.col("sequence"))).otherwise(F.col("sequence"))
+
+
+def cds_from_gff(gff: DataFrame, contigs: DataFrame, flank: int = 0) -> DataFrame:
+    """(ome, alias, sequence): coding bases of each protein-coding gene, in reading order; ``flank`` adds so many bases before a contig's first gene and after its last one, as far as the contig goes."""
+    cds = coding_cds(gff).select("ome", "seqid", F.struct("alias", "strand").alias("id"), F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"))
+    if flank:
+        # the contig's first and last coding base, found by partial sums
+        ends = cds.groupBy("ome", "seqid").agg(F.min("lo").alias("c0"), F.max("hi").alias("c1"))
+        cds = cds.join(ends, ["ome", "seqid"]).select("ome", "seqid", "id", F.when(F.col("lo") == F.col("c0"), F.col("lo") - flank).otherwise(F.col("lo")).alias("lo"), F.when(F.col("hi") == F.col("c1"), F.col("hi") + flank).otherwise(F.col("hi")).alias("hi"))
+    whole = cut_ranges(cds, contigs)
+    return whole.select("ome", F.col("id.alias").alias("alias"), _oriented(whole).alias("sequence"))
 
 
 def proteins_from_gff(gff: DataFrame, contigs: DataFrame) -> DataFrame:
     return cds_from_gff(gff, contigs).withColumn("sequence", translate_dna(F.col("sequence")))
 
 
+def translate_fasta(sequences: DataFrame) -> DataFrame:
+    """Nucleotide records as protein records, all other columns kept."""
+    return sequences.withColumn("sequence", translate_dna(F.col("sequence")))
+
+
 def gene_spans(gff: DataFrame, contigs: DataFrame, flank: int = 0) -> DataFrame:
     """(ome, alias, sequence, before, after): bases from a gene's first to last CDS, introns included, with what ``flank`` the contig has."""
     span = coding_cds(gff).groupBy("ome", "seqid", "alias", "strand").agg(F.min(F.least("start", "end")).alias("lo"), F.max(F.greatest("start", "end")).alias("hi"))
-    at = span.join(contigs.select("ome", "seqid", "sequence"), ["ome", "seqid"])
-    size = F.length("sequence")
+    at = span.join(contigs.select("ome", "seqid", F.length("sequence").alias("size")), ["ome", "seqid"])
     before = F.least(F.lit(flank), F.col("lo") - 1)
-    after = F.greatest(F.lit(0), F.least(F.lit(flank), size - F.col("hi")))
-    piece = _piece(F.col("sequence"), F.col("lo") - 1 - before, F.col("hi") + after)
-    return at.select("ome", "alias", F.when(F.col("strand") == "-", reverse_complement(piece)).otherwise(piece).alias("sequence"), before.alias("before"), after.alias("after"))
+    after = F.greatest(F.lit(0), F.least(F.lit(flank), F.col("size") - F.col("hi")))
+    ranges = at.select("ome", "seqid", F.struct("alias", "strand", before.alias("before"), after.alias("after")).alias("id"), (F.col("lo") - before).alias("lo"), (F.col("hi") + after).alias("hi"))
+    whole = cut_ranges(ranges, contigs)
+    return whole.select("ome", F.col("id.alias").alias("alias"), _oriented(whole).alias("sequence"), F.col("id.before").alias("before"), F.col("id.after").alias("after"))
 
 
 def region_sequences(gff: DataFrame, contigs: DataFrame, flank: int = 0) -> DataFrame:
     """(ome, seqid, sense, antisense): each contig from its first to its last gene."""
     ends = gene_positions(gff).groupBy("ome", "seqid").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    piece = _piece(F.col("sequence"), F.col("lo") - 1 - flank, F.least(F.col("hi") + flank, F.length("sequence")))
-    return ends.join(contigs, ["ome", "seqid"]).select("ome", "seqid", piece.alias("sense"), reverse_complement(piece).alias("antisense"))
+    ranges = ends.join(contigs.select("ome", "seqid"), ["ome", "seqid"]).select("ome", "seqid", F.col("seqid").alias("id"), (F.col("lo") - flank).alias("lo"), (F.col("hi") + flank).alias("hi"))
+    whole = cut_ranges(ranges, contigs)
+    return whole.select("ome", F.col("id").alias("seqid"), F.col("sequence").alias("sense"), reverse_complement(F.col("sequence")).alias("antisense"))
 
 
 def prefix_contigs(rows: DataFrame) -> DataFrame:

@@ -235,6 +235,15 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).select(F.get(parts, F.lit(0)).alias("genus"), F.from_json(F.get(parts, F.lit(1)), "map<string,string>").alias("taxonomy"))
 
 
+def read_taxonomy_report(spark: SparkSession, path: str, rank: str, clade: str) -> DataFrame:
+    """(genus, taxonomy) of the genera of one clade, from JSON lines that hold a classification by rank: {rank: {name}}."""
+    classes = "struct<" + ",".join(f"`{r}`:struct<name:string>" for r in (*RANKS, "genus")) + ">"
+    rows = spark.read.schema(f"taxonomy struct<classification:{classes}>").json(path).select("taxonomy.classification.*")
+    own = F.create_map(*[x for r in RANKS for x in (F.lit(r), F.coalesce(F.col(f"`{r}`.name"), F.lit("")))])
+    named = rows.select(F.col("genus.name").alias("genus"), own.alias("taxonomy")).where("genus IS NOT NULL")
+    return named.where(F.lower(F.element_at("taxonomy", rank)) == clade.lower()).dropDuplicates(["genus"])
+
+
 def write_taxonomy(tax: DataFrame, path: str) -> None:
     tax.select(F.concat_ws("\t", "genus", F.to_json(F.map_filter("taxonomy", lambda k, _: k.isin(*RANKS)))).alias("value")).write.text(path)
 
