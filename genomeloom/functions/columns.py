@@ -60,23 +60,27 @@ def reverse_complement(sequence: Column) -> Column:
     return F.reverse(F.translate(sequence, *COMPLEMENT))
 
 
+def _triples(sequence: Column) -> Column:
+    """Whole codons of a sequence, in one pass over it."""
+    return F.regexp_extract_all(sequence, F.lit("(?s)..."), F.lit(0))
+
+
 def translate_dna(sequence: Column) -> Column:
     """Protein of a coding sequence: stop is ``*``, a codon with an ambiguous base ``X``, an incomplete last codon is dropped."""
-    codons = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
-    dna = F.translate(F.upper(sequence), "U", "T")
-    n = F.floor(F.length(dna) / 3).cast("int")
-    residues = F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.try_element_at(codons, F.substring(dna, i * 3 - 2, F.lit(3))), F.lit("X")))
-    return F.when(n > 0, F.array_join(residues, "")).when(sequence.isNotNull(), F.lit(""))
+    letters = F.array(*[F.lit(x) for x in STANDARD_CODE])
+    at = lambda codon, k: F.instr(F.lit("TCAG"), F.substring(codon, k, 1)) - 1
 
+    def residue(codon: Column) -> Column:
+        a, b, c = (at(codon, k) for k in (1, 2, 3))
+        return F.when(F.least(a, b, c) < 0, "X").otherwise(F.get(letters, 16 * a + 4 * b + c))
 
-def codon_frames(sequence: Column) -> Column:
-    """Frame (1..3, -1..-3) to its list of codons."""
+    return F.array_join(F.transform(_triples(F.translate(sequence, "acgtuU", "ACGTTT")), residue), "")
 
-    def frame(s: Column, k: int) -> Column:
-        n = F.floor((F.length(s) - k) / 3).cast("int")
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(s, i * 3 + k + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
+def codon_frames(sequence: Column) -> Column:
+    """Frame (1..3, -1..-3) to its list of codons."""
     back = reverse_complement(sequence)
+    frame = lambda s, k: _triples(F.substring(s, k + 1, 2**31 - 1))
     pairs = [x for k in range(3) for x in (F.lit(k + 1), frame(sequence, k))] + [x for k in range(3) for x in (F.lit(-k - 1), frame(back, k))]
     return F.create_map(*pairs)
 

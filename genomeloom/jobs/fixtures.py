@@ -63,10 +63,10 @@ SELECT ome, seqid, 'x', 'mRNA', "start", "end", '.', strand, '.', 'ID=rna_' || a
 UNION ALL
 SELECT ome, seqid, 'x', 'intron', "start" + 10, "start" + 10 + n, '.', strand, '.', 'ID=int_' || alias || ';Parent=rna_' || alias FROM {genes}""",
     "gtf": """
-SELECT ome, seqid, 'x' AS source, type, CASE WHEN n = 1 THEN "end" ELSE "start" END AS "start", CASE WHEN n = 1 THEN "start" ELSE "end" END AS "end", '.' AS score, strand, '.' AS phase, 'gene_id "' || alias || '"; transcript_id "' || alias || '.t"' AS attributes
+SELECT ome, seqid, 'x' AS source, type, CASE WHEN n = 1 THEN "end" ELSE "start" END AS "start", CASE WHEN n = 1 THEN "start" ELSE "end" END AS "end", '.' AS score, strand, '.' AS phase, 'gene_id ' || chr(34) || alias || chr(34) || '; transcript_id ' || chr(34) || alias || '.t' || chr(34) AS attributes
 FROM {genes} CROSS JOIN (SELECT 'exon' AS type UNION ALL SELECT 'CDS' UNION ALL SELECT 'start_codon') t WHERE n <= 4 OR type = 'exon'""",
     "gff2": """
-SELECT ome, seqid, 'x' AS source, type, "start", "end", '.' AS score, strand, '.' AS phase, 'name "' || alias || '"; proteinId ' || CAST(o AS STRING) || '0' || CAST(n AS STRING) || CASE WHEN n = 2 THEN '; product_name "kind"' ELSE '' END AS attributes
+SELECT ome, seqid, 'x' AS source, type, "start", "end", '.' AS score, strand, '.' AS phase, 'name ' || chr(34) || alias || chr(34) || '; proteinId ' || CAST(o AS STRING) || '0' || CAST(n AS STRING) || CASE WHEN n = 2 THEN '; product_name ' || chr(34) || 'kind' || chr(34) ELSE '' END AS attributes
 FROM {genes} CROSS JOIN (SELECT 'gene' AS type UNION ALL SELECT 'mRNA' UNION ALL SELECT 'CDS') t""",
     "tax": """
 SELECT replace(n_name, '_', '') AS genus, r_name AS kingdom, n_name AS family FROM {nation} JOIN {region} ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from genomeloom.jobs import curation_jobs, feature_jobs, group_jobs
+from genomeloom.jobs import catalog_jobs, curation_jobs, feature_jobs, group_jobs, sequence_jobs
 
-QUERIES = feature_jobs.QUERIES | group_jobs.QUERIES | curation_jobs.QUERIES
-ORACLES = feature_jobs.ORACLES | group_jobs.ORACLES | curation_jobs.ORACLES
+MODULES = (feature_jobs, group_jobs, curation_jobs, catalog_jobs, sequence_jobs)
+QUERIES = {name: job for m in MODULES for name, job in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

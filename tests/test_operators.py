@@ -160,16 +160,65 @@ def test_overlap_rules(spark):
 
 def test_curation(spark):
     rows = gff(spark, ("gene", 1, 100, "+", "ID=g"), ("CDS", 1, 40, "+", "ID=c;Parent=g;proteinId=p1"), ("tRNA", 200, 250, "+", "ID=t;Parent=u"), ("start_codon", 1, 3, "+", "ID=z"))
-    done = Q.curate(rows).collect()
-    kinds = sorted(r["type"] for r in done)
-    assert kinds == ["CDS", "exon", "gene", "gene", "mRNA", "tRNA"]
-    assert {r["attributes"] for r in done if r["type"] == "mRNA"} == {"ID=RNA_o_p1;Alias=o_p1;Parent=gene_o_p1"} or any("Alias=o_p1" in r["attributes"] for r in done)
+    done = Q.curate(rows)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") < 60
+    done = done.collect()
+    assert sorted(r["type"] for r in done) == ["CDS", "exon", "gene", "gene", "mRNA", "tRNA"]
+    assert {r["attributes"] for r in done if r["type"] == "mRNA"} == {"Alias=o_p1;ID=RNA_o_p1;Parent=gene_o_p1"}
     introns = gff(spark, ("gene", 1, 100, "+", "ID=g"), ("mRNA", 1, 100, "+", "ID=r;Parent=g"), ("intron", 20, 30, "+", "ID=i;Parent=r"), ("intron", 50, 60, "+", "ID=j;Parent=r"))
     assert sorted((r["start"], r["end"]) for r in Q.exons_from_introns(introns).collect()) == [(1, 19), (31, 49), (61, 100)]
     gtf = gff(spark, ("exon", 9, 1, "+", 'gene_id "g"; transcript_id "t"'), ("CDS", 1, 9, "+", 'gene_id "g"; transcript_id "t"'))
     assert sorted((r["type"], r["start"], r["end"]) for r in Q.curate(gtf, 2.5).collect()) == [("CDS", 1, 9), ("exon", 1, 9), ("gene", 1, 9), ("mRNA", 1, 9)]
 
 
+def test_curation_of_genomes(spark):
+    """One genome in each of two dialects, one whose proteins are all empty, one without any dialect."""
+    row = lambda ome, k, t, s, e, a: (ome, k, "c", "x", t, s, e, ".", "+", ".", a)
+    rows = [row("a1", 0, "gene", 1, 9, "ID=g"), row("a1", 1, "mRNA", 1, 9, "ID=r;Parent=g"), row("a1", 2, "CDS", 1, 9, "ID=c;Parent=r;protein_id=p"), row("b1", 0, "CDS", 1, 6, 'gene_id "g"; transcript_id "t"'), row("c1", 0, "gene", 1, 3, "ID=g"), row("c1", 1, "CDS", 1, 3, "ID=c;Parent=g;protein_id=q"), row("d1", 0, "gene", 1, 3, "none")]
+    contigs = spark.createDataFrame([("a1", "c", "ATGCCCTAA"), ("b1", "c", "ATGTTT"), ("c1", "c", "TAA"), ("d1", "c", "A")], "ome string, seqid string, sequence string")
+    models, bases, proteins, failed = Q.curate_genomes(spark.createDataFrame(rows, GFF), contigs)
+    assert {(r["ome"], r["reason"]) for r in failed.collect()} == {("c1", "empty proteins"), ("d1", "unknown dialect")}
+    assert {(r["ome"], r["alias"], r["sequence"]) for r in proteins.collect()} == {("a1", "a1_p", "MP*"), ("b1", "b1_mtdb1", "MF")}
+    assert {r["seqid"] for r in models.collect()} == {"a1_c", "b1_c"} == {r["seqid"] for r in bases.collect()}
+
+
+def test_genbank(spark):
+    from genomeloom.operators.genbank import genbank_text
+
+    rows = gff(spark, ("gene", 4, 12, "+", "ID=g;Alias=o_1;product=p"), ("mRNA", 4, 12, "+", "ID=r;Parent=g;Alias=o_1"), ("CDS", 4, 6, "+", "ID=c;Parent=r;Alias=o_1"), ("CDS", 10, 12, "+", "ID=d;Parent=r;Alias=o_1"), ("gene", 14, 16, "-", "ID=h;Alias=o_2"))
+    contig = spark.createDataFrame([("o", "c", "TTTATGCCCTAAGCATT")], "ome string, seqid string, sequence string")
+    proteins = spark.createDataFrame([("o", "o_1", "M" * 50)], "ome string, alias string, sequence string")
+    catalog = spark.createDataFrame([("o", "Gen", "sp", "st", "jgi")], "ome string, genus string, species string, strain string, source string")
+    text = genbank_text(rows, contig, proteins, catalog).first()["text"].split("\n")
+    assert text[0] == "LOCUS       o_c" and "  ORGANISM  Gen_sp_st_o" in text and '                     /contig_edge=3-;1+' in text
+    assert "     gene            1..9" in text and "     mRNA            join(1..3,7..9)" in text and "     CDS             join(1..3,7..9)" in text and "     gene            complement(11..13)" in text
+    at = text.index('                     /translation="' + "M" * 45)
+    assert text[at + 1] == " " * 21 + 'MMMMM"' and text[-2:] == ["        1 atgccctaag cat", "//"]
+
+
+def test_linkage_against_brute_force(spark):
+    rng = random.Random(31)
+    names = list(range(40))
+    dist = {(a, b): rng.randrange(1, 10**6) / 10**6 for a in names for b in names if a < b and rng.random() < 0.35}
+    table = spark.createDataFrame([(a, b, d) for (a, b), d in dist.items()], "src int, dst int, dist double")
+    for method in ("average", "complete", "weighted"):
+        groups = {x: [x] for x in names}
+        d = {(a, b): dist.get((a, b), 1.0) for a in names for b in names if a < b}
+        while d and min(d.values()) <= 0.6:
+            a, b = min(d, key=lambda k: (d[k], k))
+            for c in groups:
+                if c not in (a, b):
+                    x, y = d[min(a, c), max(a, c)], d[min(b, c), max(b, c)]
+                    na, nb = len(groups[a]), len(groups[b])
+                    d[min(a, c), max(a, c)] = max(x, y) if method == "complete" else (na * x + nb * y) / (na + nb) if method == "average" else (x + y) / 2
+            groups[a] += groups.pop(b)
+            d = {k: v for k, v in d.items() if b not in k}
+        linked = {x for e, v in dist.items() if v <= 0.6 for x in e}
+        want = {x: min(g) for g in groups.values() for x in g if x in linked}
+        assert {r["node"]: r["cluster"] for r in G.linkage_clusters(table, 0.6, method).collect()} == want
+
+
 def test_supermatrix(spark):
     rows = spark.createDataFrame([("f1", "a", "AC"), ("f2", "a", "GGG"), ("f1", "b", "TT"), ("f2", "b", "CCC"), ("f1", "c", "AA")], "file string, ome string, sequence string")
     missing, many = T.alignment_completeness(rows)
