@@ -72,7 +72,7 @@ JOBS = {
     "p9_lookup_codes": (
         lambda s, d: K.lookup_codes(domain(s, d, "omes").select(F.when(F.col("source") == "ncbi", F.concat("ome", F.lit("."), F.col("version").substr(7, 2))).otherwise(F.col("ome")).alias("ome")).unionByName(domain(s, d, "omes").select(F.concat("ome", F.lit(".3")).alias("ome"))), domain(s, d, "omes").select(F.col("ome").alias("code"))).select("code", "ome"),
         """WITH c AS (SELECT ome AS code, CASE WHEN source = 'ncbi' THEN ome || '.' || substr(version, 7, 2) ELSE ome END AS ome FROM {omes} UNION ALL SELECT ome, ome || '.3' FROM {omes})
-SELECT code, ome FROM c QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN ome = code THEN 0 ELSE 1 END, coalesce(TRY_CAST(split_part(ome, '.', 2) AS INT), 0) DESC) = 1""",
+SELECT code, ome FROM c QUALIFY row_number() OVER (PARTITION BY code ORDER BY CASE WHEN ome = code THEN 0 ELSE 1 END, coalesce(TRY_CAST(split_part(ome, '.', 2) AS INT), 0) DESC, ome DESC) = 1""",
     ),
     "p15_clean_listing": (
         lambda s, d: K.clean_assembly_listing(domain(s, d, "listing").withColumn("proteins", F.when(F.col("o") % 7 == 0, "0").otherwise("12")), ["building", "MACHINERY"], domain(s, d, "omes").select("assembly_acc", "genus")).select("o", "genus"),

@@ -69,18 +69,18 @@ def extract(catalog: DataFrame, rank: str | None = None, n: int | None = None, s
 
 
 def lookup(catalog: DataFrame, code: str) -> DataFrame:
-    """The genome of ``code``, else the newest version of it."""
+    """The genome of ``code``, else the newest version of it; of equal versions the greatest code."""
     own = catalog.where((F.col("ome") == code) | F.col("ome").startswith(code + "."))
-    order = [F.when(F.col("ome") == code, 0).otherwise(1), F.desc(acc_version(F.col("ome")))]
+    order = [F.when(F.col("ome") == code, 0).otherwise(1), F.desc(acc_version(F.col("ome"))), F.desc("ome")]
     return own.orderBy(*order).limit(1)
 
 
 def lookup_codes(catalog: DataFrame, codes: DataFrame) -> DataFrame:
-    """(code, and the catalog's columns): for each of ``codes`` (code) its genome, else the newest version of it."""
+    """(code, and the catalog's columns): for each of ``codes`` (code) its genome, else the newest version of it; of equal versions the greatest code."""
     asked = codes.select("code").distinct()
     base = F.regexp_replace("ome", r"\.\d+$", "")
     rows = catalog.select(F.explode(F.array_distinct(F.array("ome", base))).alias("code"), "*").join(asked, "code")
-    return latest_versions(rows, F.col("code"), (F.col("ome") == F.col("code")).cast("int"), acc_version(F.col("ome")))
+    return latest_versions(rows, F.col("code"), (F.col("ome") == F.col("code")).cast("int"), acc_version(F.col("ome")), F.col("ome"))
 
 
 def min_n50(catalog: DataFrame, stats: DataFrame, n: int) -> DataFrame:
