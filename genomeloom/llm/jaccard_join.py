@@ -333,9 +333,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8") ->
     tiles = staged(tiles.withColumns({f"p{turn}": F.lit(None).cast("long") for turn in range(ROUNDS)}), "tiles")
     for turn in range(ROUNDS):
         pivots = _pivots(tiles, turn, least)
-        links = links.unionByName(_pivot_links(_differences(pivots, docs, k), least))
+        # what is linked so far enters the next contraction as stars, not as links
+        stars = connected_components(links.unionByName(_pivot_links(_differences(pivots, docs, k), least)), "a", "b")
+        links = stars.toDF("a", "b")
         placed = tiles.drop(f"p{turn}").join(pivots.withColumnRenamed("pivot", f"p{turn}"), "doc_id", "left")
-        tiles = staged(_mixed(placed, connected_components(links, "a", "b")), "tiles")
+        tiles = staged(_mixed(placed, stars), "tiles")
     links = links.unionByName(_links(_rest(tiles, sets, least), docs, k, least))
     final = staged(connected_components(links, "a", "b"), "components")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
