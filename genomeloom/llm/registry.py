@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, perplexity, pii, quality_rules, repeats, secrets, toxicity
+from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, packing, perplexity, pii, quality_rules, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeats": repeats.op8_repeats,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
+    "op11_packing": packing.op11_packing,
 }
 ORACLES = {
     "op2_pii": pii.ORACLE,
