@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, packing, perplexity, pii, quality_rules, repeats, secrets, toxicity
+from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, packing, perplexity, pii, quality_rules, repair, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,8 +16,10 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_mixing": mixing.op10_mixing,
     "op11_packing": packing.op11_packing,
+    "op12_repair": repair.op12_repair,
 }
 ORACLES = {
     "op2_pii": pii.ORACLE,
     "op7_ngram_jaccard": jaccard_join.ORACLE,
+    "op12_repair": repair.ORACLE,
 }
