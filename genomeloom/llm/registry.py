@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, packing, perplexity, pii, quality_rules, repair, repeats, secrets, toxicity
+from genomeloom.llm import decontaminate, html_text, jaccard_join, mixing, packing, perplexity, pii, prefix_trie, quality_rules, repair, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,9 +17,11 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_packing": packing.op11_packing,
     "op12_repair": repair.op12_repair,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 ORACLES = {
     "op2_pii": pii.ORACLE,
     "op7_ngram_jaccard": jaccard_join.ORACLE,
     "op12_repair": repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
