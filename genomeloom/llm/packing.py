@@ -5,7 +5,7 @@ Method. Documents become token ids, ended by END; longer ones are cut into piece
 many pieces there are of each length, a table of at most ``capacity`` counts. A branch-and-bound
 search runs on that table: best-fit decreasing gives the first incumbent; each step takes the
 largest length left and enumerates the fillings of the room beside it that no other length
-dominates (none fits in addition, none fits in the place of one or two of its members), by waste
+dominates (none fits in addition, or in the place of one or two of its members), by waste
 and number. A filling is used for as many sequences as the counts allow at once, so the depth does not
 grow with the table. A branch is cut when its waste exceeds what an incumbent less one sequence may
 waste. The search ends when a solution meets the lower bound, or after STEPS steps for each of
@@ -16,8 +16,8 @@ on, go to these sequences at this place. Pieces are ranked without gathering equ
 counts its own, and the counts of the tasks before are added. So neither a common length nor a
 long document meets in one task, and what reaches the driver are ``capacity`` counts.
 
-Tokens. A text's token bounds always fall between ink and white space, so a slice of texts is
-cut there, each distinct segment is encoded once by the tokenizer (a bounded cache keeps
+Tokens. With byte-level BPE, tokens end wherever white space follows ink and where ASCII letters, digits
+and marks meet (not after an apostrophe, nor where a special token stands), so a slice of texts is cut there, each distinct segment is encoded once by the tokenizer (a bounded cache keeps
 segments between slices), and the ids are gathered back by numpy. A text is worked off whole.
 
 Defined cases. A null or empty text has END alone. Null and repeated doc_id: each row's pieces
@@ -28,7 +28,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -48,11 +48,19 @@ END = 2
 #: Steps of each search, and fillings tried at each step.
 STEPS, WIDTH = 1500, 24
 #: A branch is closed by best fit after each so many fillings.
-CLOSE = 20
+CLOSE = 100
 #: A search for each: waste of a filling that counts as none when fillings are ordered.
 FREE = (8, 16, 4)
 #: Bytes of texts that are cut at once, distinct segments that a worker keeps, and segments encoded at once.
 CUT_BYTES, KEPT, TOGETHER = 8 << 20, 1 << 20, 4096
+#: A segment without white space, but perhaps a space before it.
+PLAIN = r"^ ?[^\p{Z}\x00-\x20\x7F\x{85}]+$"
+#: Kinds of ASCII characters between which tokens always end; an apostrophe may belong to the letters after it.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 3
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[48:58] = 2
+APOSTROPHE = 39
 PIECES = "doc_id long, piece int, start long, length long, ids binary, nth long"
 
 
@@ -66,6 +74,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     @classmethod
@@ -78,64 +87,64 @@ class Encoder:
         self.known = pa.array([], pa.binary())
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _encoded(self, segments: list[bytes]) -> list[list[int]]:
-        """Ids of each segment. Plain ones are encoded together, line by line: a line break between them is a token of its own."""
-        texts, out = [s.decode() for s in segments], [[]] * len(segments)
-        plain, other = [], []
-        for k, text in enumerate(texts):
-            parts = text.split()
-            (plain if len(parts) == 1 and text in (parts[0], " " + parts[0]) else other).append(k)
-        if len(self.break_id) != 1:
-            plain, other = [], [*plain, *other]
-        groups = [plain[k : k + TOGETHER] for k in range(0, len(plain), TOGETHER)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(texts[k] for k in g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.break_id[0]), len(ids))
-            begin = 0
-            for k, end in zip(group, ends):
-                out[k] = ids[begin:end]
-                begin = end + 1
-        for k, found in zip(other, self.tokenizer.encode_batch_fast([texts[k] for k in other], add_special_tokens=False)):
-            out[k] = found.ids
-        return out
-
-    def _learn(self, segments: pa.Array) -> None:
-        if len(self.known) + len(segments) > KEPT:
+    def _encoded(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, number of ids of each in this order, the ids): of segments. Plain ones are encoded together, line by line: a line break between them is a token of its own."""
+        texts = segments.cast(pa.string())
+        plain = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False) & (len(self.break_id) == 1)
+        order = np.argsort(~plain, kind="stable")
+        lines, single = texts.filter(pa.array(plain)).to_pylist(), texts.filter(pa.array(~plain)).to_pylist()
+        found = self.tokenizer.encode_batch_fast(["\n".join(lines[k : k + TOGETHER]) for k in range(0, len(lines), TOGETHER)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(x.ids + self.break_id, np.uint32) for x in found)])
+        breaks = np.flatnonzero(ids == self.break_id[0]) if len(lines) else np.zeros(0, np.int64)
+        size = np.diff(breaks, prepend=-1) - 1
+        ids = np.delete(ids, breaks)
+        alone = [x.ids for x in self.tokenizer.encode_batch_fast(single, add_special_tokens=False)]
+        return order, np.append(size, np.array([len(x) for x in alone], np.int64)), np.concatenate([ids, *(np.array(x, np.uint32) for x in alone)])
+
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """Where each of ``names`` is kept; new ones are encoded first."""
+        place = pc.index_in(names, value_set=self.known)
+        if place.null_count and len(self.known) + place.null_count > KEPT:
             self.forget()
-        found = self._encoded(segments.to_pylist())
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, np.concatenate([np.asarray(x, np.uint32) for x in found]))
-        self.known = pa.concat_arrays([self.known, segments])
+            place = pc.index_in(names, value_set=self.known)
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        where = pc.fill_null(place, -1).to_numpy().astype(np.int64)
+        if new.any():
+            fresh = names.filter(pa.array(new))
+            order, size, ids = self._encoded(fresh)
+            slot = np.empty(len(order), np.int64)
+            slot[order] = np.arange(len(order))
+            where[new] = len(self.known) + slot
+            self.at = np.append(self.at, len(self.ids) + np.cumsum(size) - size)
+            self.size, self.ids = np.append(self.size, size), np.append(self.ids, ids)
+            self.known = pa.concat_arrays([self.known, fresh.take(pa.array(order))])
+        return where
 
     def __call__(self, data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows of a slice, one after the other; number of ids of each row)."""
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(rows) - 1, np.int64)
-        back = lambda k: np.concatenate([np.zeros(min(k, len(data)), np.uint8), data[:-k]])
-        # white space after ink; a character of two or three bytes that may be white space itself is not cut after
-        cut = SPACE[data] & (back(1) > 32) & (back(2) != 0xC2) & ((back(3) < 0xE1) | (back(3) > 0xE3))
-        cut[rows[:-1][rows[:-1] < len(data)]] = True
-        start = np.flatnonzero(cut)
+        start = np.flatnonzero(self._cuts(data, rows))
         bounds = np.append(start, len(data)).astype(np.int32)
         segments = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        names = segments.dictionary
-        place = pc.index_in(names, value_set=self.known) if len(self.known) else pa.nulls(len(names), pa.int32())
-        if place.null_count:
-            held = len(self.known)
-            self._learn(names.filter(pc.is_null(place)))
-            if len(self.known) < held + place.null_count:  # forgotten meanwhile
-                place = pc.index_in(names, value_set=self.known)
-                if place.null_count:
-                    self._learn(names.filter(pc.is_null(place)))
-            place = pc.index_in(names, value_set=self.known)
-        where = place.to_numpy(zero_copy_only=False)[segments.indices.to_numpy()]
+        where = self._places(segments.dictionary)[segments.indices.to_numpy()]
         size = self.size[where]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.at[where] - (ends - size), size) + np.arange(ends[-1])]
         return ids, np.diff(np.append(0, ends)[np.searchsorted(start, rows)])
 
+    def _cuts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether a segment begins at each byte: at rows, white space after ink, and where letters, digits and marks of ASCII meet."""
+        back = lambda k: np.concatenate([np.zeros(min(k, len(data)), np.uint8), data[:-k]])
+        one = back(1)
+        # a character of two or three bytes that may be white space itself is not cut after
+        cuts = SPACE[data] & (one > 32) & (back(2) != 0xC2) & ((back(3) < 0xE1) | (back(3) > 0xE3))
+        if not any(mark in (raw := data.tobytes()) for mark in self.special):
+            before, here = KIND[one], KIND[data]
+            cuts |= (before > 0) & (here > 0) & (before != here) & (one != APOSTROPHE)
+        cuts[rows[:-1][rows[:-1] < len(data)]] = True
+        return cuts
+
 
 def cut(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, piece, start, length) of the pieces of rows of so many tokens."""
@@ -216,40 +225,39 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 
 def fillings(left: dict[int, int], room: int, free: int = 0, width: int = WIDTH) -> list[tuple[int, ...]]:
     """Undominated choices of lengths that fit into ``room``, at most ``width``: by waste beyond ``free``, then few and large ones first, for small ones close later gaps."""
-    usable = sorted((s for s, n in left.items() if n and s <= room), reverse=True)
+    usable = sorted(s for s, n in left.items() if n and s <= room)
     found: list[tuple[tuple[int, int, int, list[int]], tuple[int, ...]]] = []
     tried = 0
 
     def spare(size: int, chosen: tuple[int, ...]) -> bool:
-        return left[size] > chosen.count(size)
-
-    def dominated(chosen: tuple[int, ...], slack: int) -> bool:
-        subsets = {*chosen, *(a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :])}
-        return any(any(t < s <= t + slack or t == s and t not in chosen for t in subsets) and spare(s, chosen) for s in usable)
+        return left.get(size, 0) > chosen.count(size)
 
-    def full(chosen: tuple[int, ...], slack: int) -> bool:
-        for size in reversed(usable):
-            if size > slack:
-                break
-            if spare(size, chosen):
-                return False
-        return True
+    def fits(low: int, high: int, chosen: tuple[int, ...]) -> bool:
+        """Whether a length in (low, high] is to be had beside ``chosen``."""
+        for k in range(bisect_right(usable, low), bisect_right(usable, high)):
+            if spare(usable[k], chosen):
+                return True
+        return False
 
-    def grow(chosen: tuple[int, ...], slack: int, from_: int) -> None:
+    def grow(chosen: tuple[int, ...], slack: int) -> None:
         nonlocal tried
-        for k in range(from_, len(usable)):
+        for k in range(bisect_right(usable, min(slack, chosen[-1] if chosen else slack)) - 1, -1, -1):
             size = usable[k]
-            if tried >= 40 * width:
+            # one length in the place of two as long leaves more to choose from later
+            if not spare(size, chosen) or any(spare(other + size, chosen) for other in set(chosen)):
+                continue
+            if tried >= 4 * width:
                 return
-            if size <= slack and spare(size, chosen):
-                tried += 1
-                grow((*chosen, size), slack - size, k)
+            tried += 1
+            grow((*chosen, size), slack - size)
         key = (max(0, slack - free), len(chosen), slack, [-size for size in chosen])
-        if (len(found) < width or key < found[-1][0]) and full(chosen, slack) and not dominated(chosen, slack):
-            insort(found, (key, chosen))
-            del found[width:]
+        if len(found) < width or key < found[-1][0]:
+            subsets = {0, *chosen, *(x + y for i, x in enumerate(chosen) for y in chosen[i + 1 :])}
+            if not any(fits(t, t + slack, chosen) for t in subsets):
+                insort(found, (key, chosen))
+                del found[width:]
 
-    grow((), room, 0)
+    grow((), room)
     return [chosen for _, chosen in found] or [()]
 
 
