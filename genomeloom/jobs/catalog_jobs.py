@@ -18,6 +18,24 @@ def _new(s, d):
     return domain(s, d, "news").select("assembly_acc", "genus", "species")
 
 
+def _mixed_codes(s, d):
+    """New rows whose given, new and repeated codes share prefixes, with and without names."""
+    return s.sql(MIXED, omes=domain(s, d, "omes"), customer=domain(s, d, "customer"))
+
+
+MIXED = """SELECT 'm' || CAST(c_custkey AS STRING) AS assembly_acc, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE o.kingdom END AS genus, 'gen' AS species,
+ CASE WHEN c_custkey % 10 = 0 THEN o.ome WHEN c_custkey % 10 = 1 THEN substr(o.ome, 1, 6) || CAST(200 + c_custkey % 700 AS STRING) WHEN c_custkey % 10 = 2 THEN 'Bad' || CAST(c_custkey AS STRING) ELSE '' END AS ome
+FROM {customer} JOIN {omes} o ON s_suppkey = 1 + c_custkey % 20
+UNION ALL SELECT assembly_acc, kingdom, 'gen', '' FROM {omes} WHERE s_suppkey % 3 = 0"""
+MIXED_SQL = f"""WITH x AS ({MIXED}), b AS (SELECT *, regexp_extract(ome, '^(......[0-9]+)', 1) AS base, CASE WHEN contains(substr(ome, 7), '.') THEN CAST(split_part(substr(ome, 7), '.', 2) AS INT) ELSE 0 END AS v FROM (SELECT ome, assembly_acc FROM {{omes}} UNION ALL SELECT lower(substr(r_name, 1, 3)) || 'gen' || CAST(5000 + r_regionkey AS STRING), NULL FROM {{region}}) u),
+ver AS (SELECT base, max(v) AS v FROM b GROUP BY base), acc AS (SELECT assembly_acc, max(base) AS base FROM b WHERE assembly_acc IS NOT NULL GROUP BY assembly_acc),
+k AS (SELECT x.assembly_acc, x.ome, lower(substr(genus, 1, 3)) || 'gen' AS prefix, CASE WHEN x.ome <> '' THEN regexp_extract(x.ome, '^(......[0-9]+)', 1) ELSE acc.base END AS base FROM x LEFT JOIN acc ON acc.assembly_acc = x.assembly_acc),
+g AS (SELECT k.*, ver.v, CASE WHEN k.ome <> '' AND NOT regexp_matches(k.ome, '^[a-z. ]+[0-9]+([.][0-9]+)?$') THEN 'malformed' WHEN ver.v IS NOT NULL THEN 'next' WHEN k.ome <> '' THEN 'given' WHEN prefix IS NULL THEN 'no name' ELSE 'new' END AS kind FROM k LEFT JOIN ver ON ver.base = k.base),
+t AS (SELECT substr(base, 1, 6) AS prefix, max(CAST(substr(base, 7) AS INT)) AS top FROM (SELECT base FROM b UNION ALL SELECT base FROM g WHERE kind = 'given') y GROUP BY 1),
+n AS (SELECT g.*, top, row_number() OVER (PARTITION BY kind, CASE kind WHEN 'next' THEN g.base WHEN 'given' THEN ome ELSE g.prefix END ORDER BY assembly_acc) AS nth FROM g LEFT JOIN t ON t.prefix = g.prefix),
+c AS (SELECT assembly_acc, CASE WHEN kind = 'next' THEN base || '.' || (v + nth) WHEN kind = 'given' AND nth = 1 THEN ome WHEN kind = 'new' THEN prefix || (coalesce(top, 0) + nth) END AS code, CASE WHEN kind = 'given' THEN 'given twice' ELSE kind END AS failure FROM n)"""
+
+
 def _retired(s, d):
     return domain(s, d, "region").select(F.expr("lower(substr(r_name, 1, 3)) || 'gen' || CAST(5000 + r_regionkey AS STRING)").alias("ome"))
 
@@ -125,6 +143,8 @@ UNION ALL SELECT assembly_acc, ome || '.1' FROM {omes}""",
         lambda s, d: K.generate_codes(domain(s, d, "omes").select(F.concat(F.lit("n"), "assembly_acc").alias("assembly_acc"), "genus", "species", F.when(F.col("source") == "jgi", F.col("ome")).when(F.col("published") == "", F.lit("Bad1")).otherwise(F.concat(F.lit("zzzzzz"), F.regexp_extract("ome", r"(\d+)$", 1))).alias("ome")), _catalog(s, d), _retired(s, d)).select("assembly_acc", "ome"),
         "SELECT 'n' || assembly_acc AS assembly_acc, CASE WHEN source = 'jgi' THEN ome || '.1' ELSE 'zzzzzz' || s_suppkey END AS ome FROM {omes} WHERE source = 'jgi' OR published <> ''",
     ),
+    "w14_shared_prefixes": (lambda s, d: K.generate_codes(_mixed_codes(s, d), _catalog(s, d), _retired(s, d)).select("assembly_acc", "ome"), MIXED_SQL + " SELECT assembly_acc, code AS ome FROM c WHERE code IS NOT NULL"),
+    "w14_failed_codes": (lambda s, d: K.failed_codes(_mixed_codes(s, d), _catalog(s, d), _retired(s, d)), MIXED_SQL + " SELECT assembly_acc, failure FROM c WHERE code IS NULL"),
     "w15_merge_catalog": (
         lambda s, d: K.merge_catalog(domain(s, d, "omes").select("ome", "assembly_acc", "genus", "species"), _added(s, d))[0].select("ome", "assembly_acc"),
         f"""WITH a AS (SELECT * FROM ({ADDED}) x WHERE assembly_acc NOT IN (SELECT assembly_acc FROM {{omes}})), k AS (SELECT ome FROM {{omes}} UNION ALL SELECT ome FROM a),

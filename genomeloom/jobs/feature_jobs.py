@@ -10,6 +10,7 @@ from genomeloom.operators import curate as Q
 from genomeloom.operators import features as X
 from genomeloom.operators import hits as H
 from genomeloom.operators import sequences as S
+from genomeloom.sources.store import stored
 
 CLASS = "CASE WHEN type = 'gene' THEN 'gene' WHEN type = 'CDS' THEN 'cds' WHEN type = 'mRNA' THEN 'mrna' WHEN type = 'tRNA' THEN 'trna' WHEN contains(type, 'RNA') THEN 'rna' WHEN type = 'pseudogene' THEN 'pseudogene' END"
 ALIAS = "nullif(regexp_extract(attributes, '(?:^|;)Alias=([^;]*)', 1), '')"
@@ -25,6 +26,11 @@ def _gff(spark, sf_dir):
     return domain(spark, sf_dir, "gff")
 
 
+def _stored_gff(spark, sf_dir):
+    """Annotation stored by genome: what follows needs no exchange."""
+    return stored(_gff(spark, sf_dir), "gff", ["seqid", "start"])
+
+
 def _focus(spark, sf_dir):
     """The accessions that the operators are asked for: every gene that a search hit."""
     return domain(spark, sf_dir, "hits").select(F.col("sseqid").alias("alias"))
@@ -56,6 +62,8 @@ def _hits(spark, sf_dir):
 
 JOBS = {
     "a1_annotation_stats": (lambda s, d: X.annotation_stats(_gff(s, d)), _stats_sql()),
+    "a1_stored_annotation_stats": (lambda s, d: X.annotation_stats(_stored_gff(s, d)), _stats_sql()),
+    "w1_stored_gene_positions": (lambda s, d: X.gene_positions(_stored_gff(s, d)), f'WITH {POS.strip()} SELECT ome, seqid, alias, "start", "end", pos FROM pos'),
     "p10_features_by_accession": (
         lambda s, d: X.features_by_accession(_gff(s, d), _focus(s, d)).select("ome", "seqid", "type", "start", "end", "alias"),
         f"""SELECT DISTINCT ome, seqid, type, "start", "end", {ALIAS} AS alias FROM {{gff}} WHERE {ALIAS} IN (SELECT sseqid FROM {{hits}})""",

@@ -12,6 +12,7 @@ from genomeloom.operators import graph as G
 from genomeloom.operators import groups as A
 from genomeloom.operators import sequences as S
 from genomeloom.operators.components import connected_components
+from genomeloom.sources.shared import staged
 
 HG = """
 m AS (SELECT rep, member AS gene FROM {cluster_pairs} UNION SELECT rep, rep FROM {cluster_pairs}),
@@ -35,6 +36,11 @@ def _stats(s, d):
     return A.hg_stats(_hg(s, d), 20)
 
 
+def _with_hg(job):
+    """A query on groups that are built and written once; ``job`` takes them as a third argument."""
+    return lambda s, d: job(s, d, staged(_hg(s, d), "groups"))
+
+
 def _pairs(s, d):
     return A.hg_pairs(_pos(s, d), _hg(s, d), 2)
 
@@ -45,15 +51,21 @@ o AS (SELECT p.ome, p.seqid, p.pos, hg.hg, max(p.pos) OVER (PARTITION BY p.ome,
 pr AS (SELECT DISTINCT a.ome, least(a.hg, b.hg) AS hg0, greatest(a.hg, b.hg) AS hg1 FROM o a JOIN o b ON a.ome = b.ome AND a.seqid = b.seqid AND b.pos > a.pos AND b.pos - a.pos <= 5 AND a.hg <> b.hg WHERE a.n >= 5)"""
 
 
-def _loci(s, d):
+def _loci(s, d, hg):
     pos = _pos(s, d).withColumn("locus", F.concat_ws("_", "seqid", F.floor(F.col("pos") / 6).cast("string")))
-    return pos.join(_hg(s, d).select(F.col("gene").alias("alias"), "hg"), "alias", "left").select("ome", "locus", F.col("alias").alias("gene"), "hg")
+    return pos.join(hg.select(F.col("gene").alias("alias"), "hg"), "alias", "left").select("ome", "locus", F.col("alias").alias("gene"), "hg")
 
 
-def _query(s, d):
+def _query(s, d, hg):
     """The query set of the locus comparison: groups with a gene that some query hit well."""
     best = domain(s, d, "hits").where("bitscore > 850").select(F.col("sseqid").alias("gene"))
-    return _hg(s, d).join(best, "gene", "left_semi").select("hg").distinct()
+    return hg.join(best, "gene", "left_semi").select("hg").distinct()
+
+
+def _best(s, d):
+    hg = staged(_hg(s, d), "groups")
+    loci = staged(_loci(s, d, hg), "loci")
+    return A.best_loci(A.locus_similarity(loci, _query(s, d, hg)), loci)
 
 
 QUERY = "q AS (SELECT DISTINCT hg FROM hg WHERE gene IN (SELECT sseqid FROM {hits} WHERE bitscore > 850))"
@@ -81,7 +93,26 @@ def _edges(s, d):
     return G.distance_edges(domain(s, d, "likeness"), 30)
 
 
+def _focus(s, d):
+    """The part with the most like ones, the least of equals: a scalar that the search begins with."""
+    likes = domain(s, d, "likeness").select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").count()
+    return likes.orderBy(F.desc("count"), "node").first()["node"]
+
+
+FOCUS = "SELECT node FROM (SELECT src AS node FROM {likeness} UNION ALL SELECT dst FROM {likeness}) x GROUP BY node ORDER BY count(*) DESC, node LIMIT 1"
+#: What each node is reached at: every better way to it goes on, until none is left.
+REACHED = """b AS (SELECT src AS u, dst AS v, dist FROM e UNION ALL SELECT dst, src, dist FROM e), f AS (""" + FOCUS + """),
+r AS (SELECT node, CAST(0 AS DOUBLE) AS d FROM f UNION SELECT b.v, greatest(r.d, b.dist) FROM r JOIN b ON b.u = r.node),
+m AS (SELECT node, min(d) AS dist FROM r GROUP BY node)"""
+
+
 LISTED = "(SELECT base, max(CAST(split_part(assembly_acc, '.', 2) AS INT)) AS v FROM {listing} GROUP BY base)"
+def _outgroup(s, d):
+    """What the cluster at 0.6 has beyond that at 0.3."""
+    joined = staged(G.merge_distances(_edges(s, d), _focus(s, d)), "joined")
+    return G.outgroup_members(joined.where("dist <= 0.6"), joined.where("dist <= 0.3"))
+
+
 EDGES = "e AS (SELECT src, dst, (100 - pident) / 100 AS dist FROM {likeness} WHERE round_even(pident, 0) > 30)"
 JOBS = {
     "a3_homology_groups": (_hg, f"WITH {HG.strip()} SELECT hg, gene, ome FROM hg"),
@@ -91,21 +122,21 @@ JOBS = {
         f"WITH {ST.strip()} SELECT hg, CASE WHEN most = 1 THEN 'single' WHEN median <= 2 AND genes <= 60 AND deviation <= 1.5 THEN 'near' ELSE 'neither' END AS copy, share = 1 AS core FROM stats WHERE share >= 0.3",
     ),
     "a6_hg_missing": (
-        lambda s, d: A.hg_missing(_hg(s, d), domain(s, d, "omes")),
+        _with_hg(lambda s, d, hg: A.hg_missing(hg, domain(s, d, "omes"))),
         f"WITH {HG.strip()} SELECT h.hg, CAST(count(*) AS INT) AS n_missing, string_agg(o.ome, ',' ORDER BY o.ome) AS missing FROM (SELECT DISTINCT hg FROM hg) h CROSS JOIN {{omes}} o WHERE (h.hg, o.ome) NOT IN (SELECT (hg, ome) FROM co) GROUP BY h.hg",
     ),
     "a7_pangenome": (
-        lambda s, d: A.pangenome(_hg(s, d), _stats(s, d), 20, 3),
+        _with_hg(lambda s, d, hg: A.pangenome(hg, A.hg_stats(hg, 20), 20, 3)),
         f"WITH {ST.strip()} SELECT ome, count(*) AS genes, round(100.0::DOUBLE * count(*) FILTER (WHERE omes >= 17) / count(*), 4) AS core_percent, round(100.0::DOUBLE * (count(*) - count(*) FILTER (WHERE omes >= 17)) / count(*), 4) AS accessory_percent FROM hg LEFT JOIN stats USING (hg) GROUP BY ome",
     ),
     "a8_accessory_matrix": (
-        lambda s, d: A.accessory_matrix(_hg(s, d), _stats(s, d).where("omes >= 17")),
+        _with_hg(lambda s, d, hg: A.accessory_matrix(hg, A.hg_stats(hg, 20).where("omes >= 17"))),
         f"WITH {ST.strip()} SELECT DISTINCT ome, hg FROM hg WHERE hg NOT IN (SELECT hg FROM stats WHERE omes >= 17)",
     ),
     "a9_hg_pairs": (_pairs, PAIRS + " SELECT ome, hg0, hg1 FROM pr"),
-    "a10_cooccurrence": (lambda s, d: A.cooccurrence(_pairs(s, d), 2), PAIRS + " SELECT hg0, hg1, count(*) AS n_omes, string_agg(ome, ',' ORDER BY ome) AS omes FROM pr GROUP BY ALL HAVING count(*) > 2"),
+    "a10_cooccurrence": (_with_hg(lambda s, d, hg: A.frequent_pairs(_pos(s, d), hg, 2, 2)), PAIRS + " SELECT hg0, hg1, count(*) AS n_omes, string_agg(ome, ',' ORDER BY ome) AS omes FROM pr GROUP BY ALL HAVING count(*) > 2"),
     "a11_microsynteny_matrix": (
-        lambda s, d: A.microsynteny_matrix(_pairs(s, d), _hg(s, d).where("hg < 20"), 20),
+        _with_hg(lambda s, d, hg: A.microsynteny_matrix(A.hg_pairs(_pos(s, d), hg, 2, hg.where("hg < 20")), hg.where("hg < 20"), 20)),
         PAIRS + " SELECT ome, hg0, hg1 FROM pr WHERE (hg0 < 20 OR hg1 < 20) QUALIFY count(*) OVER (PARTITION BY hg0, hg1) < 20",
     ),
     "a12_focal_groups": (
@@ -115,12 +146,12 @@ cs AS (SELECT step, sum(count(*)) OVER (ORDER BY step) AS c FROM gr GROUP BY ste
 SELECT hg FROM stats, fl WHERE plenty AND most = 1 UNION ALL SELECT hg FROM gr, fl WHERE NOT plenty AND step <= coalesce((SELECT min(step) FROM cs WHERE c >= 10), 1e9)""",
     ),
     "j16_genes_to_groups": (lambda s, d: A.genes_to_groups(domain(s, d, "genes").select(F.col("alias").alias("gene")), _hg(s, d)), f"WITH {HG.strip()} SELECT g.alias AS gene, hg.hg FROM {{genes}} g LEFT JOIN hg ON hg.gene = g.alias"),
-    "a15_locus_similarity": (lambda s, d: A.locus_similarity(_loci(s, d), _query(s, d)), SIMILAR + " SELECT ome, locus, shared, similarity FROM simi"),
+    "a15_locus_similarity": (_with_hg(lambda s, d, hg: A.locus_similarity(_loci(s, d, hg), _query(s, d, hg))), SIMILAR + " SELECT ome, locus, shared, similarity FROM simi"),
     "a16_best_loci": (
-        lambda s, d: A.best_loci(A.locus_similarity(_loci(s, d), _query(s, d)), _loci(s, d)),
+        lambda s, d: _best(s, d),
         SIMILAR + " SELECT DISTINCT lo.ome, gene, hg FROM lo JOIN (SELECT ome, locus FROM simi QUALIFY rank() OVER (PARTITION BY ome ORDER BY similarity DESC) = 1) USING (ome, locus)",
     ),
-    "a17_recurrent_neighbours": (lambda s, d: A.recurrent_neighbours(_loci(s, d), _query(s, d)), LOCI + ", " + QUERY + " SELECT hg, count(*) AS n FROM lo WHERE hg IS NOT NULL AND hg NOT IN (SELECT hg FROM q) GROUP BY hg HAVING count(*) > 1"),
+    "a17_recurrent_neighbours": (_with_hg(lambda s, d, hg: A.recurrent_neighbours(_loci(s, d, hg), _query(s, d, hg))), LOCI + ", " + QUERY + " SELECT hg, count(*) AS n FROM lo WHERE hg IS NOT NULL AND hg NOT IN (SELECT hg FROM q) GROUP BY hg HAVING count(*) > 1"),
     "p1_lineage": (lambda s, d: K.extract_lineage(_catalog(s, d), ["africa", "NATION_3"]).select("ome"), "SELECT ome FROM {omes} WHERE kingdom = 'AFRICA' OR family = 'NATION_3'"),
     "p2_ids": (lambda s, d: K.extract_ids(_catalog(s, d), _best_omes(s, d)).select("ome"), "SELECT DISTINCT ome FROM {genes} WHERE alias IN (SELECT sseqid FROM {hits} WHERE pident > 99.95)"),
     "p3_source": (lambda s, d: K.extract_source(_catalog(s, d), "JGI").select("ome", "assembly_acc"), "SELECT ome, assembly_acc FROM {omes} WHERE source = 'jgi'"),
@@ -163,6 +194,15 @@ FROM {listing} l LEFT JOIN h ON h.base = l.base WHERE l.assembly_acc NOT IN (SEL
 r AS (SELECT DISTINCT u AS node, u AS low FROM b UNION SELECT b.v, r.low FROM r JOIN b ON b.u = r.node)
 SELECT node, min(low) AS component FROM r GROUP BY node""",
     ),
+    "c4_merge_distances": (lambda s, d: G.merge_distances(_edges(s, d), _focus(s, d)), f"WITH RECURSIVE {EDGES}, {REACHED} SELECT node, dist FROM m"),
+    "c4_focal_cluster": (
+        lambda s, d: G.focal_cluster(_edges(s, d), _focus(s, d), 1, 1_000_000, 0.5)[0],
+        f"WITH RECURSIVE {EDGES}, {REACHED} SELECT node FROM m WHERE dist <= 0.5",
+    ),
+    "c5_outgroup_members": (
+        lambda s, d: _outgroup(s, d),
+        f"WITH RECURSIVE {EDGES}, {REACHED} SELECT node FROM m WHERE dist <= 0.6 AND dist > 0.3",
+    ),
     "c3_average_linkage": (lambda s, d: G.linkage_clusters(_edges(s, d), 0.4), None),
     "c6_kmer_edges": (lambda s, d: G.kmer_edges(domain(s, d, "contigs"), 8, 40, 0.5), None),
     "c7_homology_pairs": (lambda s, d: A.build_homology_groups(G.homology_pairs(domain(s, d, "contigs"), 8, 40, 0.5)), None),

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from genomeloom.sources.shared import staged
 from genomeloom.functions.columns import acc_alternate, acc_base, acc_version, norm_version
 
 #: Ranks that taxonomy maps do not keep.
@@ -231,40 +232,59 @@ def restore_failed_overlap(kept: DataFrame, overlap: DataFrame, failed: DataFram
     return kept.unionByName(overlap.join(lost, "assembly_acc", "left_semi").select(*kept.columns))
 
 
-def _prefix(genus: Column, species: Column) -> Column:
-    part = lambda c: F.rpad(F.substring(F.regexp_replace(F.lower(c), "[^a-z]", ""), 1, 3), 3, ".")
-    return F.concat(part(genus), part(species))
+# Characters that codes leave out, and those that a given code may not begin with.
+LEFT_OUT = "()[]$#@ |+=%^&*'\"!~`,<>?;:\\{}"
+CODE = r"^([^\d_,'\";:\\|\[\]{}=+!@#$%^&*()]{6})(\d+)(?:\.(\d+))?$"
+#: Codes as they are made: a prefix of six characters, a number, perhaps a version.
+MADE = r"^(.{6})(\d+)(?:\.(\d+))?$"
 
 
-CODE = r"^([a-z.]{6})(\d+)(?:\.(\d+))?$"
+def _prefix(genus: Column, species: Column) -> Column:
+    """Three characters of each name, in lower case, without those that codes leave out, filled up to six by dots; null without a name."""
+    both = F.concat(F.lower(F.substring(genus, 1, 3)), F.lower(F.substring(species, 1, 3)))
+    return F.rpad(F.translate(both, LEFT_OUT, ""), 6, ".")
 
 
-def malformed_codes(new: DataFrame) -> DataFrame:
-    """Rows whose given code (ome) is none; they get no code."""
-    return new.where((F.coalesce(F.col("ome"), F.lit("")) != "") & ~F.col("ome").rlike(CODE)) if "ome" in new.columns else new.limit(0)
+def _coded(new: DataFrame, catalog: DataFrame, retired: DataFrame) -> DataFrame:
+    """``new`` with ome (null if it failed) and failure."""
+    part = lambda k, c="ome", pattern=MADE: F.regexp_extract(c, pattern, k)
+    base = lambda c: F.concat(part(1, c), part(2, c))
+    used = catalog.select("ome").union(retired.select("ome")).where(part(1) != "")
+    versions = used.groupBy(base("ome").alias("_base")).agg(F.max(F.coalesce(part(3).try_cast("int"), F.lit(0))).alias("_ver"))
+    known = catalog.where(part(1) != "").groupBy("assembly_acc").agg(F.max(base("ome")).alias("_acc_base"))
+    given = F.when(F.coalesce(F.col("ome"), F.lit("")) != "", F.col("ome")) if "ome" in new.columns else F.lit(None).cast("string")
+    rows = new.withColumn("_given", given).drop("ome").withColumn("_prefix", _prefix(F.col("genus"), F.col("species"))).join(known, "assembly_acc", "left")
+    rows = rows.withColumn("_base", F.coalesce(F.when(F.col("_given").isNotNull(), base("_given")), "_acc_base")).join(versions, "_base", "left")
+    bad = F.col("_given").isNotNull() & ~F.col("_given").rlike(CODE)
+    kind = F.when(bad, "malformed").when(F.col("_ver").isNotNull(), "next").when(F.col("_given").isNotNull(), "given").when(F.col("_prefix").isNull(), "no name").otherwise("new")
+    rows = staged(rows.withColumn("_kind", kind), "codes")
+    # numbers go on from all codes in use and from those that rows give
+    taken = used.unionByName(rows.where("_kind = 'given'").select(F.col("_given").alias("ome")))
+    top = taken.groupBy(part(1).alias("_prefix")).agg(F.max(part(2).cast("int")).alias("_top"))
+    # of rows for one base or number the order is by accession; a code that two rows give is the first one's
+    group = F.when(F.col("_kind") == "next", F.col("_base")).when(F.col("_kind") == "given", F.col("_given")).otherwise(F.col("_prefix"))
+    nth = F.row_number().over(W.partitionBy("_kind", group).orderBy("assembly_acc"))
+    rows = rows.withColumn("_nth", nth).join(top, "_prefix", "left")
+    twice = (F.col("_kind") == "given") & (F.col("_nth") > 1)
+    code = F.when(F.col("_kind") == "next", F.concat("_base", F.lit("."), (F.col("_ver") + F.col("_nth")).cast("string"))).when((F.col("_kind") == "given") & ~twice, F.col("_given"))
+    code = code.when(F.col("_kind") == "new", F.concat("_prefix", (F.coalesce(F.col("_top"), F.lit(0)) + F.col("_nth")).cast("string")))
+    failure = F.when(F.col("_kind").isin("malformed", "no name"), F.col("_kind")).when(twice, "given twice")
+    return rows.withColumn("ome", code).withColumn("failure", failure)
+
+
+def failed_codes(new: DataFrame, catalog: DataFrame, retired: DataFrame) -> DataFrame:
+    """(assembly_acc, failure) of the rows that ``generate_codes`` leaves out: malformed, given twice or no name."""
+    return _coded(new, catalog, retired).where("failure IS NOT NULL").select("assembly_acc", "failure")
 
 
 def generate_codes(new: DataFrame, catalog: DataFrame, retired: DataFrame) -> DataFrame:
-    """``new`` with ome: three letters of genus and species and the next number of that prefix, counted on from catalog and retired codes.
+    """``new`` with ome: three letters of genus and species and the next number of that prefix, counted on from catalog, retired and given codes.
 
     A known assembly_acc gets the next version of its code, and so does a code that the row gives (ome) and that
-    is in use; a given code that nothing uses stays, a malformed one drops the row (``malformed_codes``). Rows of a
-    prefix are numbered by assembly_acc.
+    is in use; rows for the same code get one version after the other. A given code that nothing uses stays. Rows of a
+    prefix are numbered by assembly_acc. Rows that get no code are left out; ``failed_codes`` names them.
     """
-    part = lambda k, c="ome": F.regexp_extract(c, CODE, k)
-    used = catalog.select("ome").union(retired.select("ome")).where(part(1) != "")
-    top = used.groupBy(part(1).alias("_prefix")).agg(F.max(part(2).cast("int")).alias("_top"))
-    versions = used.groupBy(F.concat(part(1), part(2)).alias("_base")).agg(F.max(F.coalesce(part(3).try_cast("int"), F.lit(0))).alias("_ver"))
-    known = catalog.where(part(1) != "").groupBy("assembly_acc").agg(F.max(F.concat(part(1), part(2))).alias("_acc_base"))
-    given = F.when(F.coalesce(F.col("ome"), F.lit("")) != "", F.col("ome")) if "ome" in new.columns else F.lit(None).cast("string")
-    rows = new.withColumn("_given", given).drop("ome").where(F.col("_given").isNull() | F.col("_given").rlike(CODE))
-    rows = rows.withColumn("_prefix", _prefix(F.col("genus"), F.col("species"))).join(known, "assembly_acc", "left").join(top, "_prefix", "left")
-    rows = rows.withColumn("_base", F.coalesce("_acc_base", F.concat(part(1, "_given"), part(2, "_given")))).join(versions, "_base", "left")
-    kind = F.when(F.col("_ver").isNotNull(), "next").when(F.col("_given").isNotNull(), "given").otherwise("new")
-    rows = rows.withColumn("_kind", kind)
-    number = F.coalesce(F.col("_top"), F.lit(0)) + F.row_number().over(W.partitionBy("_prefix", "_kind").orderBy("assembly_acc"))
-    code = F.when(F.col("_kind") == "next", F.concat("_base", F.lit("."), (F.col("_ver") + 1).cast("string"))).when(F.col("_kind") == "given", F.col("_given")).otherwise(F.concat("_prefix", number.cast("string")))
-    return rows.withColumn("ome", code).select(*[c for c in new.columns if c != "ome"], "ome")
+    return _coded(new, catalog, retired).where("failure IS NULL").select(*[c for c in new.columns if c != "ome"], "ome")
 
 
 def merge_catalog(orig: DataFrame, add: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -102,11 +102,29 @@ def locus_by_genes(pos: DataFrame, accessions: DataFrame, k: int = 10) -> DataFr
     return pos.join(near, ["ome", "seqid", "pos"]).select("focus", "ome", "seqid", "alias", "pos")
 
 
+def _opened(pos: DataFrame, ends: DataFrame, *keys: str) -> DataFrame:
+    """The genes of the places ``lo`` to ``hi`` of each row of ``ends``, by an equi-join on the place."""
+    near = ends.select(*keys, "ome", "seqid", F.explode(F.sequence("lo", "hi")).alias("pos"))
+    return pos.select("ome", "seqid", "alias", "pos").join(near, ["ome", "seqid", "pos"]).select(*keys, "ome", "seqid", "alias", "pos")
+
+
 def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
-    """The genes from the first that ends at or after start - n to the last that starts at or before end + n."""
-    near = pos.join(_focal(pos, accessions), ["ome", "seqid"])
-    edge = near.groupBy("focus", "ome", "seqid").agg(F.min(F.when(F.col("end") >= F.col("s") - n, F.col("pos"))).alias("lo"), F.max(F.when(F.col("start") <= F.col("e") + n, F.col("pos"))).alias("hi"))
-    return pos.join(edge, ["ome", "seqid"]).where("pos BETWEEN lo AND hi").select("focus", "ome", "seqid", "alias", "pos")
+    """The genes from the first that ends at or after start - n to the last that starts at or before end + n.
+
+    Both ends are looked up in one sort of a contig's genes and questions: the last start up to a coordinate,
+    and the first place where the running maximum of ends reaches one.
+    """
+    contig = W.partitionBy("ome", "seqid")
+    reach = F.max("end").over(contig.orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    # equal coordinates: a question for the first place, then genes, then a question for the last place
+    row = lambda at, rank, reached, started, ask: F.struct(at.alias("at"), F.lit(rank).alias("rank"), reached.alias("reached"), started.alias("started"), F.lit(ask).alias("ask"))
+    none = F.lit(None).cast("int")
+    genes = pos.withColumn("reach", reach).select("ome", "seqid", F.lit(None).cast("string").alias("focus"), F.explode(F.array(row(F.col("reach"), 1, F.col("pos"), none, ""), row(F.col("start"), 1, none, F.col("pos"), ""))).alias("x"))
+    asked = _focal(pos, accessions).select("ome", "seqid", "focus", F.explode(F.array(row(F.col("s") - n, 0, none, none, "lo"), row(F.col("e") + n, 2, none, none, "hi"))).alias("x"))
+    so_far = contig.orderBy("x.at", "x.rank").rowsBetween(W.unboundedPreceding, 0)
+    told = genes.unionByName(asked).select("ome", "seqid", "focus", F.col("x.ask").alias("ask"), (F.coalesce(F.max("x.reached").over(so_far), F.lit(0)) + 1).alias("first"), F.max("x.started").over(so_far).alias("last"))
+    ends = told.where("focus IS NOT NULL").groupBy("focus", "ome", "seqid").agg(F.max(F.when(F.col("ask") == "lo", F.col("first"))).alias("lo"), F.max(F.when(F.col("ask") == "hi", F.col("last"))).alias("hi"))
+    return _opened(pos, ends.where("lo <= hi"), "focus")
 
 
 def locus_between(pos: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -114,8 +132,8 @@ def locus_between(pos: DataFrame, pairs: DataFrame) -> DataFrame:
     at = pos.select("ome", "seqid", "alias", "pos")
     a = at.select("ome", "seqid", F.col("alias").alias("a"), F.col("pos").alias("pa"))
     b = at.select("ome", "seqid", F.col("alias").alias("b"), F.col("pos").alias("pb"))
-    ends = pairs.join(a, "a").join(b, ["b", "ome", "seqid"])
-    return at.join(ends, ["ome", "seqid"]).where(F.col("pos").between(F.least("pa", "pb"), F.greatest("pa", "pb"))).select("a", "b", "ome", "seqid", "alias", "pos")
+    ends = pairs.join(a, "a").join(b, ["b", "ome", "seqid"]).withColumns({"lo": F.least("pa", "pb"), "hi": F.greatest("pa", "pb")})
+    return _opened(pos, ends, "a", "b")
 
 
 def locus_features(locus: DataFrame, gff: DataFrame) -> DataFrame:

@@ -7,23 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomeloom.functions import columns as C
+from genomeloom.operators.presence import lacking, numbered, with_scalars
 from genomeloom.sources.shared import staged
 
 
-def with_scalars(rows: DataFrame, scalars: DataFrame) -> DataFrame:
-    """``rows`` with the columns of a table of one row, by an equi-join on a constant."""
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(scalars.withColumn("_one", F.lit(1))), "_one").drop("_one")
-
-
-def numbered(rows: DataFrame, name: str, *order) -> DataFrame:
-    """``rows`` numbered from 0 in ``order``: sorted by ranges, counted in each, and moved by the counts of the ranges before, so that no task sees all rows."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    held = staged(ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_at")).drop("_id"), "numbered")
-    sizes = held.groupBy("_part").agg(F.count("*").alias("_k"))
-    before = sizes.select("_part", (F.sum("_k").over(W.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_k")).alias("_before"))  # a row a range
-    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
-
-
 def build_homology_groups(pairs: DataFrame, omes: DataFrame | None = None, min_omes: int = 1) -> DataFrame:
     """(hg, gene, ome): groups of (rep, member) pairs, numbered from 0 by falling size, then representative."""
     genes = pairs.select("rep", F.col("member").alias("gene")).union(pairs.select("rep", "rep")).distinct().withColumn("ome", C.ome_of(F.col("gene")))
@@ -57,11 +44,7 @@ def near_single_copy(stats: DataFrame, n_genomes: int, min_share: float = 1.0, m
 
 def hg_missing(hg: DataFrame, omes: DataFrame) -> DataFrame:
     """(hg, n_missing, missing): genomes that lack a group, comma-joined; groups that lack none are left out."""
-    held = hg.groupBy("hg").agg(F.collect_set("ome").alias("held"))
-    # the catalog's codes, one short row whose size is checked by the caller's catalog
-    every = omes.agg(F.array_sort(F.collect_set("ome")).alias("all"))
-    lacking = F.array_except("all", "held")
-    return with_scalars(held, every).select("hg", F.size(lacking).alias("n_missing"), F.array_join(lacking, ",").alias("missing")).where("n_missing > 0")
+    return lacking(hg, "hg", "ome", omes)
 
 
 def pangenome(hg: DataFrame, stats: DataFrame, n_genomes: int, max_missing: int = 0) -> DataFrame:
@@ -77,14 +60,31 @@ def accessory_matrix(hg: DataFrame, core: DataFrame) -> DataFrame:
     return hg.join(core.select("hg"), "hg", "left_anti").select("ome", "hg").distinct()
 
 
-def hg_pairs(positions: DataFrame, hg: DataFrame, plusminus: int) -> DataFrame:
-    """(ome, hg0, hg1): pairs of different groups within w = 2 plusminus + 1 places on a contig of w genes or more; genes without a group take a place."""
+def hg_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, focal: DataFrame | None = None) -> DataFrame:
+    """(ome, hg0, hg1): pairs of different groups within w = 2 plusminus + 1 places on a contig of w genes or more; genes without a group take a place.
+
+    With ``focal`` (hg) only pairs that touch one of these groups are made.
+    """
     w = 2 * plusminus + 1
     contig = W.partitionBy("ome", "seqid")
-    placed = positions.join(hg.select("ome", F.col("gene").alias("alias"), "hg"), ["ome", "alias"], "left")
-    ahead = placed.withColumn("n", F.max("pos").over(contig)).withColumn("next", F.collect_list("hg").over(contig.orderBy("pos").rowsBetween(1, w)))
-    pairs = ahead.where((F.col("n") >= w) & F.col("hg").isNotNull()).select("ome", "hg", F.explode(F.array_distinct("next")).alias("other")).where("hg <> other")
-    return pairs.select("ome", F.least("hg", "other").alias("hg0"), F.greatest("hg", "other").alias("hg1")).distinct()
+    own = hg.select("ome", F.col("gene").alias("alias"), "hg")
+    marked = own.withColumn("focal", F.lit(True)) if focal is None else own.join(focal.select("hg", F.lit(True).alias("focal")).distinct(), "hg", "left")
+    placed = positions.join(marked, ["ome", "alias"], "left")
+    group = F.when(F.col("hg").isNotNull(), F.struct("hg", F.coalesce("focal", F.lit(False)).alias("focal")))
+    ahead = placed.withColumn("n", F.max("pos").over(contig)).withColumn("next", F.collect_list(group).over(contig.orderBy("pos").rowsBetween(1, w)))
+    pairs = ahead.where((F.col("n") >= w) & F.col("hg").isNotNull()).select("ome", "hg", "focal", F.explode(F.array_distinct("next")).alias("other")).where("hg <> other.hg AND (focal OR other.focal)")
+    return pairs.select("ome", F.least("hg", "other.hg").alias("hg0"), F.greatest("hg", "other.hg").alias("hg1")).distinct()
+
+
+def supported(hg: DataFrame, min_omes: int) -> DataFrame:
+    """Rows of the groups in more than ``min_omes`` genomes: no other group can be in a pair of so many."""
+    wide = hg.groupBy("hg").agg(F.countDistinct("ome").alias("n")).where(F.col("n") > min_omes)
+    return hg.join(wide.select("hg"), "hg", "left_semi")
+
+
+def frequent_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, min_omes: int = 2) -> DataFrame:
+    """``cooccurrence`` of the pairs of groups, of which groups in too few genomes are left out before pairs are made; their genes keep their places."""
+    return cooccurrence(hg_pairs(positions, supported(hg, min_omes), plusminus), min_omes)
 
 
 def cooccurrence(pairs: DataFrame, min_omes: int = 2) -> DataFrame:

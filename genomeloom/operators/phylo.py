@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomeloom.functions.columns import ome_of, tree_mean_support
+from genomeloom.operators.presence import lacking
 
 
 def to_genome_names(seqs: DataFrame) -> DataFrame:
@@ -17,11 +18,7 @@ def to_genome_names(seqs: DataFrame) -> DataFrame:
 def alignment_completeness(seqs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((file, n_missing, missing), (file, ome, n) of genomes that a file holds twice or more)."""
     held = seqs.groupBy("file", "ome").agg(F.count("*").alias("n"))
-    every = held.agg(F.array_sort(F.collect_set("ome")).alias("all")).withColumn("_one", F.lit(1))
-    own = held.groupBy("file").agg(F.collect_set("ome").alias("own")).withColumn("_one", F.lit(1))
-    lacking = F.array_except("all", "own")
-    missing = own.join(F.broadcast(every), "_one").select("file", F.size(lacking).alias("n_missing"), F.array_join(lacking, ",").alias("missing")).where("n_missing > 0")
-    return missing, held.where("n > 1")
+    return lacking(held, "file", "ome", held), held.where("n > 1")
 
 
 def complete_genomes(seqs: DataFrame, fail: bool = False) -> DataFrame:

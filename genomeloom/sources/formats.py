@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomeloom.functions.columns import RANKS, ome_of
+from genomeloom.operators.presence import matrix_lines, number_members
+from genomeloom.sources.shared import staged
 
 # Columns of the tab-separated formats.
 CATALOG = ("ome", "genus", "species", "strain", "taxonomy", "version", "source", "biosample", "assembly_acc", "acquisition_date", "published", "fna", "faa", "gff3")
@@ -261,21 +263,24 @@ def upsert_ledger(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def write_phylip(pairs: DataFrame, row: str, col: str, path: str) -> None:
-    """0/1 characters of a long (row, col) table: a line of both numbers, then a line a row; columns in order."""
-    spark = pairs.sparkSession
-    held = pairs.select(row, col).distinct()
-    order = held.select(col).distinct().agg(F.array_sort(F.collect_list(col)).alias("cols"))
-    rows = held.groupBy(row).agg(F.collect_set(col).alias("own")).withColumn("_one", F.lit(1)).join(F.broadcast(order.withColumn("_one", F.lit(1))), "_one")
-    # a map makes the look-up of each column independent of how many a row holds
-    index = F.map_from_arrays("own", F.array_repeat(F.lit("1"), F.size("own")))
-    lines = rows.select(F.col(row).cast("string").alias("k"), F.concat(F.col(row).cast("string"), F.lit(" "), F.array_join(F.transform("cols", lambda c: F.coalesce(F.try_element_at(index, c), F.lit("0"))), "")).alias("value"))
-    size = held.agg(F.countDistinct(row).alias("n"), F.countDistinct(col).alias("m")).first()
-    head = spark.createDataFrame([("", f"{size['n']} {size['m']}")], "k string, value string")
-    head.unionByName(lines).orderBy("k").select("value").coalesce(1).write.text(path)
+    """0/1 characters of a long (row, col) table as ordered part files: in the first a line of both numbers, then a line a row; columns in order. Parts joined by name are the file."""
+    held = staged(pairs.select(row, col).where(F.col(row).isNotNull()).distinct(), "phylip")
+    lines = matrix_lines(held, row, col, number_members(held, col))
+    size = held.agg(F.countDistinct(row).alias("n"), F.countDistinct(col).alias("m"))
+    head = size.select(F.lit(0).alias("kind"), F.lit("").alias("k"), F.concat_ws(" ", "n", "m").alias("value"))
+    body = lines.select(F.lit(1).alias("kind"), F.col(row).cast("string").alias("k"), F.concat(F.col(row).cast("string"), F.lit(" "), F.col("line")).alias("value"))
+    write_ordered(head.unionByName(body), path, "kind", "k")
+
+
+def write_ordered(lines: DataFrame, path: str, *order: str) -> None:
+    """``value`` of ``lines`` in order: part files hold ranges of it, so the parts joined in order of their names are one sorted file, and no task writes all."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
 
 
 def write_report(rows: DataFrame, path: str, key: str = "ome") -> None:
-    """Tab-separated with a header whose first name follows a #, in order of the key."""
+    """Tab-separated in order of the key, with a header whose first name follows a #, as ordered part files: the header begins the first."""
     cols = [key, *(c for c in rows.columns if c != key)]
-    rows.select(*(F.col(c).alias("#" + c if c == key else c) for c in cols)).orderBy(F.col("#" + key)).coalesce(1).write.csv(path, sep="\t", header=True, emptyValue="", nullValue="")
+    body = rows.select(F.lit(1).alias("kind"), F.col(key).alias("k"), F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols)).alias("value"))
+    head = rows.sparkSession.createDataFrame([("\t".join(["#" + key, *cols[1:]]),)], "value string").select(F.lit(0).alias("kind"), F.lit(None).cast(rows.schema[key].dataType).alias("k"), "value")
+    write_ordered(head.unionByName(body), path, "kind", "k")
 
