@@ -264,6 +264,22 @@ def test_decontamination_recall_of_paraphrases(spark):
     assert len(want) >= 50 and len(got & want) >= 0.9 * len(want) and all(i == d for d, i in got)
 
 
+def test_decontamination_ignores_marks(spark):
+    """Items whose words are followed or enclosed by other marks than in the benchmark, repeated documents and items, very long texts."""
+    rng = random.Random(72)
+    items = [prose(rng, rng.randrange(15, 60), 2500) for _ in range(20)]
+    items.append(items[0])
+    marked = lambda text: " ".join(rng.choice(["{}.", "({})", "{},", '"{}"', "{}", "- {}"]).format(x) for x in text.split())
+    texts = [f"{prose(rng, 90, 2500)} {marked(x)} {prose(rng, 70, 2500)}" for x in items[:20]]
+    texts += [texts[3], f"{prose(rng, 60_000, 2500)} {marked(items[5])} {prose(rng, 9, 2500)}", prose(rng, 500, 2500), "... !!! --"]
+    bench = spark.createDataFrame([(i, marked(t) if i % 2 else t) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(spark, *texts), bench).collect()}
+    assert got == {(d, d) for d in range(20)} | {(0, 20), (20, 3), (21, 5)}
+    data = np.frombuffer(b"(a). -- b c! .", np.uint8)
+    hashes, first = decontaminate._word_hashes(data, np.array([0, 8, 14]))
+    assert first.tolist() == [0, 1, 3] and hashes.tolist() == tk.word_hashes(np.frombuffer(b"a b c", np.uint8), np.array([0, 5]))[0].tolist()
+
+
 def test_html():
     v = html_text.visible_text
     assert v("<p>a<p>b <b>c</b>d<ul><li>x<li>y<ol><li>z</ol></ul>e") == "a\n\nb cd\n\n- x\n- y\n  1. z\n\ne"
