@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch, so that a batch of documents stays a few MB.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 _POWERS: dict[str, np.ndarray] = {}
 
 
