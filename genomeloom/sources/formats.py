@@ -6,14 +6,12 @@ many tasks; only annotation files are read whole, for their tail section ends th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genomeloom.functions.columns import RANKS, ome_of
 from genomeloom.operators.presence import matrix_lines, number_members
+from genomeloom.sources.fastq import read_fastq  # noqa: F401
 from genomeloom.sources.shared import staged
 
 # Columns of the tab-separated formats.
@@ -102,42 +100,6 @@ def write_gff(gff: DataFrame, path: str, by: str = "ome") -> None:
     head.unionByName(rows).repartition(by).sortWithinPartitions(by, "_h", *order).select(by, "value").write.partitionBy(by).text(path)
 
 
-def _fastq_records(text: str) -> Iterator[tuple[str, str, str, str]]:
-    name = None
-    seq: list[str] = []
-    score = ""
-    state = 0
-    for line in text.splitlines():
-        if state == 0:
-            if line.startswith("@"):
-                name, seq, score, state = line[1:], [], "", 1
-        elif state == 1 and line.startswith("+"):
-            state = 2
-        elif state == 1:
-            seq.append(line.strip())
-        else:
-            score += line.strip()
-            size = sum(map(len, seq))
-            if len(score) > size:
-                raise ValueError(f"score longer than sequence: {name}")
-            if len(score) == size:
-                head, _, tail = name.partition(" ")
-                yield head, tail, "".join(seq), score
-                state = 0
-
-
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(read_id, description, sequence, score): a record ends when its score is as long as its sequence, whatever the lines begin with; .gz works."""
-    whole = spark.read.text(path, wholetext=True)
-
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for text in frame["value"]:
-                yield pd.DataFrame(_fastq_records(text), columns=["read_id", "description", "sequence", "score"])
-
-    return whole.mapInPandas(parse, "read_id string, description string, sequence string, score string")
-
-
 def write_fastq(reads: DataFrame, path: str) -> None:
     head = F.concat_ws(" ", "read_id", F.when(F.col("description") != "", F.col("description")))
     reads.select(F.concat(F.lit("@"), head, F.lit("\n"), "sequence", F.lit("\n+\n"), "score").alias("value")).write.text(path)

@@ -54,6 +54,68 @@ def test_fastq(spark, tmp_path):
     assert [r["read_id"] for r in S.read_fastq(spark, str(tmp_path / "out")).collect()] == ["r2"]
 
 
+def _cut(spark, path, size):
+    """Reads of a file that Spark cuts every ``size`` bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        return sorted(tuple(r) for r in S.read_fastq(spark, str(path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_fastq_cut_anywhere(spark, tmp_path):
+    """Quality lines that begin with @ and +, several lines a read, an empty read, a last one cut short."""
+    (tmp_path / "r.fq").write_text("@r1 d e\nACG\nTAC\n+r1\n@II\n+II\n@r2\nAC\n+\n@r\n@r3\nGGGG\n+\n+@@+\n@r4\n\n+\n\n@r5\nTT\n+\nII\n@r6\nAC\n")
+    want = [("r1", "d e", "ACGTAC", "@II+II"), ("r2", "", "AC", "@r"), ("r3", "", "GGGG", "+@@+"), ("r4", "", "", ""), ("r5", "", "TT", "II")]
+    for size in (7, 29, 61):
+        assert _cut(spark, tmp_path / "r.fq", size) == want, size
+
+
+def test_fastq_cuts_in_memory():
+    """Every cut between lines, and between any two of them: where the ends meet in whole records, these are the file's; else it is named."""
+    from genomeloom.sources import fastq
+
+    text = "@a\nAC\n+\n@I\n@b\nACGT\n+\n@+II\n@c\nA\nC\n+\n@\n+\n@d\nAAA\n+\nIII"
+    lines = text.split("\n")
+    top = fastq._Block(True)
+    want = top.add(lines) + top.finish()
+    for i in range(1, len(lines)):
+        for j in range(i, len(lines)):
+            got, ends = [], []
+            for k, part in enumerate((lines[:i], lines[i:j], lines[j:])):
+                if part:
+                    block = fastq._Block(k == 0)
+                    got += block.add(part) + block.finish()
+                    ends.append(block.ends())
+            groups, now = [], None
+            for started, bad, head, tail in ends:
+                assert not bad
+                if now is not None:
+                    now += head
+                if started:
+                    now = list(tail)
+                    groups.append(now)
+            for group in groups:
+                block = fastq._Block(True)
+                got += block.add(group) + block.finish()
+                assert not block.bad
+            assert sorted(got) == sorted(want)
+
+
+def test_fastq_of_doubt_is_read_from_the_top(spark, tmp_path):
+    """Scores that read as records of their own wherever the file is cut among them; a score too long is an error."""
+    score = ["@x", "ACG", "+", "III", "@y", "ACG", "+", "III"]
+    body = "@r1\n" + "A" * sum(map(len, score)) + "\n+\n" + "\n".join(score) + "\n@r2\nAC\n+\nII\n"
+    (tmp_path / "d.fq").write_text(body)
+    for size in (11, 40):
+        assert [(r[0], r[3]) for r in _cut(spark, tmp_path / "d.fq", size)] == [("r1", "".join(score)), ("r2", "II")], size
+    (tmp_path / "bad.fq").write_text("@r1\nAC\n+\nIII\n")
+    with pytest.raises(Exception, match="score longer"):
+        S.read_fastq(spark, str(tmp_path / "bad.fq")).collect()
+
+
 def test_tables(spark, tmp_path):
     (tmp_path / "q7.tsv").write_text("x\tome1_1\t90\t95\t1\t9\t1e-5\t50\n")
     row = S.read_hits(spark, str(tmp_path / "q7.tsv"), convert=True).first()
