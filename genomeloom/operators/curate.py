@@ -246,11 +246,11 @@ def genome_dialects(gff: DataFrame) -> DataFrame:
 def curate_genomes(gff: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(gff, contigs, proteins, failed) of many genomes, each by the converter of its own dialect.
 
-    Contigs get their genome's code before their name. A genome fails, with its reason, if no row shows a dialect, if
-    no gene is left, or if no protein has a residue; it is then in none of the other tables.
+    Contigs get their genome's code before their name. A genome fails, with its reason, if it has contigs but no annotation or
+    the other way round, if no row shows a dialect, if no gene is left, or if no protein has a residue; it is then in none of the other tables.
     """
     dialects = staged(genome_dialects(gff), "dialects")
-    omes = gff.select("ome").distinct()
+    omes, held = gff.select("ome").distinct(), contigs.select("ome").distinct()
     of = lambda d: gff.join(dialects.where(F.col("dialect") == d).select("ome"), "ome", "left_semi")
     done = staged(reduce(DataFrame.unionByName, [curate(of(d), d) for d in (3.0, 2.5, 2.0)]), "curated")
     models, bases = prefix_contigs(done), prefix_contigs(contigs)
@@ -258,6 +258,9 @@ def curate_genomes(gff: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataF
     empty = proteome_qc(proteins).where("rejected").select("ome", F.lit("empty proteins").alias("reason"))
     unknown = omes.join(dialects, "ome", "left_anti").select("ome", F.lit("unknown dialect").alias("reason"))
     bare = dialects.join(done.where("type = 'gene'").select("ome").distinct(), "ome", "left_anti").select("ome", F.lit("no genes").alias("reason"))
-    failed = staged(unknown.unionByName(bare).unionByName(empty.join(bare, "ome", "left_anti")), "failed")
+    lone = held.join(omes, "ome", "left_anti").select("ome", F.lit("no annotation").alias("reason")).unionByName(omes.join(held, "ome", "left_anti").select("ome", F.lit("no assembly").alias("reason")))
+    # one reason a genome, the first in this order
+    others = unknown.unionByName(bare).unionByName(empty.join(bare, "ome", "left_anti"))
+    failed = staged(lone.unionByName(others.join(lone, "ome", "left_anti")).where("ome IS NOT NULL"), "failed")
     fine = lambda rows: rows.join(failed.select("ome"), "ome", "left_anti")
-    return fine(models), fine(bases.join(omes, "ome", "left_semi")), fine(proteins), failed
+    return fine(models), fine(bases), fine(proteins), failed

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from genomeloom.functions.columns import gff3_attr
-from genomeloom.operators.sequences import cut_ranges
 
 # Fixed values of the format: where keys and locations begin, letters of a line of protein and of bases.
 KEY, PLACE = 5, 21
 FIRST_LINE, LINE, BASES = 45, 59, 60
+#: Bases of a row of the sequence section: a whole number of lines.
+TILE = 1000 * BASES
 
 
 def _place(lo: Column, hi: Column, strand: Column) -> Column:
@@ -32,14 +33,26 @@ def _wrapped(protein: Column) -> Column:
     return F.array_join(F.concat(F.array(F.substring(protein, 1, FIRST_LINE)), rest), "\n" + " " * PLACE)
 
 
-def _origin(sequence: Column) -> Column:
-    lines = F.regexp_extract_all(F.lower(sequence), F.lit(f".{{1,{BASES}}}"), F.lit(0))
-    spaced = F.transform(lines, lambda x, i: F.concat(F.lpad((i * BASES + 1).cast("string"), 9, " "), F.lit(" "), F.rtrim(F.regexp_replace(x, "(.{10})", "$1 ")), F.lit("\n")))
-    return F.array_join(spaced, "")
+def _origin(tile: Column) -> Column:
+    """Numbered lines of a tile of bases, 60 each, in groups of ten; ``at`` counts the bases before it."""
+    lines = F.regexp_extract_all(F.lower(tile), F.lit(f".{{1,{BASES}}}"), F.lit(0))
+    spaced = F.transform(lines, lambda x, i: F.concat(F.lpad((F.col("at") + i * BASES + 1).cast("string"), 9, " "), F.lit(" "), F.rtrim(F.regexp_replace(x, "(.{10})", "$1 "))))
+    return F.array_join(spaced, "\n")
 
 
-def genbank_text(gff: DataFrame, contigs: DataFrame, proteins: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(ome, seqid, text): a record a contig over its features (gff), coordinates counted from the first of them.
+def _tiles(ends: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(ome, seqid, at, tile): the bases c0 to c1 of each contig in tiles of whole lines, and the bases before them; what lies outside the contig is left out."""
+    lo, hi = F.greatest("c0", F.lit(1)), F.least("c1", F.length("sequence"))
+    starts = F.when(hi >= lo, F.sequence(lo, hi, F.lit(TILE).cast("long")))
+    tiles = F.transform(starts, lambda x: F.struct((x - lo).alias("at"), F.substring("sequence", x.cast("int"), F.least(hi - x + 1, F.lit(TILE)).cast("int")).alias("tile")))
+    return contigs.join(ends, ["ome", "seqid"]).select("ome", "seqid", F.explode(tiles).alias("t")).select("ome", "seqid", "t.at", "t.tile")
+
+
+def genbank_blocks(gff: DataFrame, contigs: DataFrame, proteins: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(ome, seqid, section, place, block): records of contigs over their features (gff) as blocks of whole lines, coordinates counted from the first feature.
+
+    In order of genome, contig, section and place the blocks are the flat file: 0 the head, 1 the features, a block each,
+    2 the bases, a block for each tile, 3 the end. No row holds a contig's record.
 
     Genes stand in order of start; under each its RNA, placed as its CDS where it has one, and one CDS of all its parts
     with the protein of its alias (proteins: ome, alias, sequence). The bases reach from the first feature to the last.
@@ -62,18 +75,27 @@ def genbank_text(gff: DataFrame, contigs: DataFrame, proteins: DataFrame, catalo
     blocks = blocks.unionByName(others.select("ome", "seqid", "alias", "lo", "k", _feature(F.col("type"), where, tag, product, source, transcript).alias("block")))
     # features of a gene stand together, genes by their first base
     first = blocks.groupBy("ome", "seqid", "alias").agg(F.min("lo").alias("g0"))
-    ordered = blocks.join(first, ["ome", "seqid", "alias"]).groupBy("ome", "seqid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g0", "alias", "k", "lo", "block"))), lambda x: x["block"]), "").alias("features"))
-    bases = cut_ranges(ends.select("ome", "seqid", F.col("seqid").alias("id"), F.col("c0").alias("lo"), F.col("c1").alias("hi")), contigs).withColumnRenamed("id", "seqid")
+    at = lambda *parts: F.struct(*(x.cast(t).alias(n) for x, (n, t) in zip(parts, (("g0", "long"), ("alias", "string"), ("k", "int"), ("lo", "long"))))).alias("place")
+    none = F.lit(None)
+    features = blocks.join(first, ["ome", "seqid", "alias"]).select("ome", "seqid", F.lit(1).alias("section"), at(F.col("g0"), F.col("alias"), F.col("k"), F.col("lo")), F.rtrim("block", F.lit("\n")).alias("block"))
     sizes = contigs.select("ome", "seqid", F.length("sequence").alias("size"))
     organism = F.concat_ws("_", "genus", "species", "strain", "ome")
-    whole = ordered.join(ends, ["ome", "seqid"]).join(bases, ["ome", "seqid"]).join(sizes, ["ome", "seqid"]).join(catalog.select("ome", F.col("source").alias("archive"), organism.alias("organism")), "ome", "left")
+    whole = ends.join(sizes, ["ome", "seqid"]).join(catalog.select("ome", F.col("source").alias("archive"), organism.alias("organism")), "ome", "left")
     name = F.concat_ws("_", "ome", "seqid")
     head = F.concat(F.lit("LOCUS       "), name, F.lit("\nDEFINITION  "), name, F.lit("\nACCESSION   "), F.col("seqid"), F.lit("\nVERSION     "), name, F.lit("\nKEYWORDS    .\nSOURCE      "), F.coalesce("archive", F.lit(".")), F.lit("\n  ORGANISM  "), F.coalesce("organism", F.lit(".")), F.lit("\nCOMMENT     coordinates are relative to adjustment: "), (F.col("c0") - 1).cast("string"), F.lit("\n            .\nFEATURES             Location/Qualifiers\n"))
     edge = F.concat((F.col("c0") - 1).cast("string"), F.lit("-;"), (F.col("size") - F.col("c1")).cast("string"), F.lit("+"))
-    region = F.concat(F.lit("     region          1.."), (F.col("c1") - F.col("c0") + 1).cast("string"), F.lit("\n" + " " * PLACE + "/contig_edge="), edge, F.lit("\n"))
-    return whole.select("ome", "seqid", F.concat(head, region, F.col("features"), F.lit("ORIGIN\n"), _origin(F.col("sequence")), F.lit("//")).alias("text"))
-
-
-def write_genbank(records: DataFrame, path: str) -> None:
-    """A folder a genome, one record after the other."""
-    records.select("ome", "text").write.partitionBy("ome").text(path)
+    region = F.concat(F.lit("     region          1.."), (F.col("c1") - F.col("c0") + 1).cast("string"), F.lit("\n" + " " * PLACE + "/contig_edge="), edge)
+    heads = whole.select("ome", "seqid", F.lit(0).alias("section"), at(none, none, none, none), F.concat(head, region).alias("block"))
+    tiled = _tiles(ends.select("ome", "seqid", F.col("c0").cast("long"), F.col("c1").cast("long")), contigs)
+    # the section's own line comes before its first tile
+    title = F.when(F.col("at") == 0, F.lit("ORIGIN\n")).otherwise(F.lit(""))
+    sequence = tiled.select("ome", "seqid", F.lit(2).alias("section"), at(F.col("at"), none, none, none), F.concat(title, _origin(F.col("tile"))).alias("block"))
+    closing = whole.select("ome", "seqid", F.lit(3).alias("section"), at(none, none, none, none), F.lit("//").alias("block"))
+    held = features.join(sizes.select("ome", "seqid"), ["ome", "seqid"], "left_semi")
+    return heads.unionByName(held).unionByName(sequence).unionByName(closing)
+
+
+def write_genbank(blocks: DataFrame, path: str) -> None:
+    """A folder a genome, in which the parts joined in order of their names are the file; genomes and long contigs are cut into ranges."""
+    order = ["ome", "seqid", "section", "place"]
+    blocks.repartitionByRange(*order).sortWithinPartitions(*order).select("ome", "block").write.partitionBy("ome").text(path)

@@ -46,15 +46,15 @@ def read_catalog(spark: SparkSession, path: str, data_dir: str | None = None) ->
 
 
 def write_catalog(catalog: DataFrame, path: str, headers: bool = False, data_dir: str | None = None) -> None:
-    """Tab-separated rows in order of code; taxonomy without genus, species and strain, default paths empty."""
+    """Tab-separated rows in order of code as ordered part files, which joined by name are the file; taxonomy without genus, species and strain, default paths empty."""
     plain = catalog.withColumn("taxonomy", F.to_json(F.map_filter("taxonomy", lambda k, _: ~k.isin("genus", "species", "strain"))))
     for c, ext in EXTENSIONS.items() if data_dir else ():
         plain = plain.withColumn(c, F.when(F.col(c) == F.concat(F.lit(data_dir.rstrip("/") + "/"), "ome", F.lit("." + ext)), "").otherwise(F.col(c)))
-    lines = plain.select("ome", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CATALOG)).alias("value"))
+    rows = plain.select(F.lit(1).alias("kind"), "ome", F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CATALOG)).alias("value"))
     if headers:
-        head = catalog.sparkSession.createDataFrame([("", "#" + "\t".join(CATALOG))], "ome string, value string")
-        lines = head.unionByName(lines)
-    lines.orderBy("ome").select("value").coalesce(1).write.text(path)
+        head = catalog.sparkSession.range(1).select(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ome"), F.lit("#" + "\t".join(CATALOG)).alias("value"))
+        rows = head.unionByName(rows)
+    write_ordered(rows, path, "kind", "ome")
 
 
 def latest_catalog(spark: SparkSession, folder: str) -> str | None:
@@ -209,7 +209,9 @@ def read_taxonomy_report(spark: SparkSession, path: str, rank: str, clade: str)
 
 
 def write_taxonomy(tax: DataFrame, path: str) -> None:
-    tax.select(F.concat_ws("\t", "genus", F.to_json(F.map_filter("taxonomy", lambda k, _: k.isin(*RANKS)))).alias("value")).write.text(path)
+    """Lines of ``read_taxonomy`` in order of genus, as ordered part files."""
+    line = F.concat_ws("\t", "genus", F.to_json(F.map_filter("taxonomy", lambda k, _: k.isin(*RANKS))))
+    write_ordered(tax.select("genus", line.alias("value")), path, "genus")
 
 
 LEDGERS = {"failed": "code string, source string, version string, attempt_date string", "duplicates": "assembly_acc string, ome string, source string, reason string", "retired": "ome string", "pairs": "assembly_acc string, portal string", "organisms": "assembly_acc string, genus string, species string, strain string"}
@@ -246,3 +248,9 @@ def write_report(rows: DataFrame, path: str, key: str = "ome") -> None:
     head = rows.sparkSession.createDataFrame([("\t".join(["#" + key, *cols[1:]]),)], "value string").select(F.lit(0).alias("kind"), F.lit(None).cast(rows.schema[key].dataType).alias("k"), "value")
     write_ordered(head.unionByName(body), path, "kind", "k")
 
+
+def write_nexus_partitions(parts: DataFrame, path: str) -> None:
+    """The text block that names the partitions (file, start, end) of a joined alignment, a line each, as ordered part files."""
+    fixed = parts.sparkSession.createDataFrame([(0, 0, "#nexus"), (0, 1, "begin sets;"), (2, 0, "end;")], "kind int, k long, value string")
+    named = parts.select(F.lit(1).alias("kind"), F.col("start").cast("long").alias("k"), F.format_string("    charset %s = %d-%d;", F.col("file").cast("string"), F.col("start").cast("long"), F.col("end").cast("long")).alias("value"))
+    write_ordered(fixed.unionByName(named), path, "kind", "k")

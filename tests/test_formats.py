@@ -15,6 +15,8 @@ def test_catalog_round_trip(spark, tmp_path):
     assert got["abcdef1"]["fna"] == "/d/abcdef1.fna"
     S.write_catalog(rows, str(tmp_path / "out"), headers=True, data_dir="/d")
     again = S.read_catalog(spark, str(tmp_path / "out"), "/d")
+    lines = "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*"))).splitlines()
+    assert [x.split("\t")[0] for x in lines] == ["#ome", "abcdef1", "abcdef2.1"]
     assert {r["ome"]: r.asDict() for r in again.collect()} == {k: r.asDict() for k, r in got.items()}
 
 
@@ -159,6 +161,10 @@ Internal pipeline statistics summary:
 def test_phylip_and_ledger(spark, tmp_path):
     S.write_phylip(spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "ome string, hg int"), "ome", "hg", str(tmp_path / "p"))
     assert "".join(f.read_text() for f in sorted((tmp_path / "p").glob("part-*"))) == "2 2\na 10\nb 11\n"
+    S.write_nexus_partitions(spark.createDataFrame([("f1", 1, 2), ("f2", 3, 5)], "file string, start long, end long"), str(tmp_path / "n"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "n").glob("part-*"))) == "#nexus\nbegin sets;\n    charset f1 = 1-2;\n    charset f2 = 3-5;\nend;\n"
+    S.write_taxonomy(spark.createDataFrame([("B", {"order": "x"}), ("A", {"order": "y", "other": "z"})], "genus string, taxonomy map<string,string>"), str(tmp_path / "t"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "t").glob("part-*"))) == 'A\t{"order":"y"}\nB\t{"order":"x"}\n'
     old = spark.createDataFrame([("x", "1"), ("y", "1")], "k string, v string")
     got = S.upsert_ledger(old, spark.createDataFrame([("y", "2")], "k string, v string"), "k")
     assert sorted((r["k"], r["v"]) for r in got.collect()) == [("x", "1"), ("y", "2")]

@@ -176,25 +176,44 @@ def test_curation_of_genomes(spark):
     """One genome in each of two dialects, one whose proteins are all empty, one without any dialect."""
     row = lambda ome, k, t, s, e, a: (ome, k, "c", "x", t, s, e, ".", "+", ".", a)
     rows = [row("a1", 0, "gene", 1, 9, "ID=g"), row("a1", 1, "mRNA", 1, 9, "ID=r;Parent=g"), row("a1", 2, "CDS", 1, 9, "ID=c;Parent=r;protein_id=p"), row("b1", 0, "CDS", 1, 6, 'gene_id "g"; transcript_id "t"'), row("c1", 0, "gene", 1, 3, "ID=g"), row("c1", 1, "CDS", 1, 3, "ID=c;Parent=g;protein_id=q"), row("d1", 0, "gene", 1, 3, "none")]
-    contigs = spark.createDataFrame([("a1", "c", "ATGCCCTAA"), ("b1", "c", "ATGTTT"), ("c1", "c", "TAA"), ("d1", "c", "A")], "ome string, seqid string, sequence string")
+    contigs = spark.createDataFrame([("a1", "c", "ATGCCCTAA"), ("b1", "c", "ATGTTT"), ("c1", "c", "TAA"), ("d1", "c", "A"), ("e1", "c", "ATG")], "ome string, seqid string, sequence string")
+    rows += [row("f1", 0, "gene", 1, 9, "ID=g"), row("f1", 1, "CDS", 1, 9, "ID=c;Parent=g;protein_id=p")]
     models, bases, proteins, failed = Q.curate_genomes(spark.createDataFrame(rows, GFF), contigs)
-    assert {(r["ome"], r["reason"]) for r in failed.collect()} == {("c1", "empty proteins"), ("d1", "unknown dialect")}
+    assert {(r["ome"], r["reason"]) for r in failed.collect()} == {("c1", "empty proteins"), ("d1", "unknown dialect"), ("e1", "no annotation"), ("f1", "no assembly")}
     assert {(r["ome"], r["alias"], r["sequence"]) for r in proteins.collect()} == {("a1", "a1_p", "MP*"), ("b1", "b1_mtdb1", "MF")}
     assert {r["seqid"] for r in models.collect()} == {"a1_c", "b1_c"} == {r["seqid"] for r in bases.collect()}
 
 
-def test_genbank(spark):
-    from genomeloom.operators.genbank import genbank_text
+def test_genbank(spark, tmp_path):
+    from genomeloom.operators import genbank
 
     rows = gff(spark, ("gene", 4, 12, "+", "ID=g;Alias=o_1;product=p"), ("mRNA", 4, 12, "+", "ID=r;Parent=g;Alias=o_1"), ("CDS", 4, 6, "+", "ID=c;Parent=r;Alias=o_1"), ("CDS", 10, 12, "+", "ID=d;Parent=r;Alias=o_1"), ("gene", 14, 16, "-", "ID=h;Alias=o_2"))
     contig = spark.createDataFrame([("o", "c", "TTTATGCCCTAAGCATT")], "ome string, seqid string, sequence string")
     proteins = spark.createDataFrame([("o", "o_1", "M" * 50)], "ome string, alias string, sequence string")
     catalog = spark.createDataFrame([("o", "Gen", "sp", "st", "jgi")], "ome string, genus string, species string, strain string, source string")
-    text = genbank_text(rows, contig, proteins, catalog).first()["text"].split("\n")
+    blocks = genbank.genbank_blocks(rows, contig, proteins, catalog)
+    text = "\n".join(r["block"] for r in blocks.orderBy("ome", "seqid", "section", "place").collect()).split("\n")
+    genbank.write_genbank(blocks, str(tmp_path / "gbk"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "gbk" / "ome=o").glob("part-*"))) == "\n".join(text) + "\n"
     assert text[0] == "LOCUS       o_c" and "  ORGANISM  Gen_sp_st_o" in text and '                     /contig_edge=3-;1+' in text
     assert "     gene            1..9" in text and "     mRNA            join(1..3,7..9)" in text and "     CDS             join(1..3,7..9)" in text and "     gene            complement(11..13)" in text
     at = text.index('                     /translation="' + "M" * 45)
-    assert text[at + 1] == " " * 21 + 'MMMMM"' and text[-2:] == ["        1 atgccctaag cat", "//"]
+    assert text[at + 1] == " " * 21 + 'MMMMM"' and text[-3:] == ["ORIGIN", "        1 atgccctaag cat", "//"]
+
+
+def test_genbank_long_contig(spark):
+    """Bases in several tiles are numbered on, and their lines are as those of one text."""
+    from genomeloom.operators import genbank
+
+    size = 2 * genbank.TILE + 77
+    bases = "".join(random.Random(3).choices("ACGT", k=size))
+    rows = gff(spark, ("gene", 1, size, "+", "ID=g;Alias=o_1"))
+    contig = spark.createDataFrame([("o", "c", bases)], "ome string, seqid string, sequence string")
+    blocks = genbank.genbank_blocks(rows, contig, contig.limit(0).withColumnRenamed("seqid", "alias"), spark.createDataFrame([], "ome string, genus string, species string, strain string, source string"))
+    held = blocks.where("section = 2").orderBy("place").collect()
+    lines = "\n".join(r["block"] for r in held).split("\n")
+    want = [f"{i + 1:>9} " + " ".join(bases[i : i + 60].lower()[k : k + 10] for k in range(0, 60, 10)).rstrip() for i in range(0, size, 60)]
+    assert len(held) == 3 and lines == ["ORIGIN", *want]
 
 
 def test_linkage_against_brute_force(spark):
