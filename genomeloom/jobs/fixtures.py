@@ -86,6 +86,13 @@ FROM (SELECT source || lang AS ome, source || lang || '_' || CAST(doc_id AS STRI
     "docgff": """
 SELECT ome, seqid, 'x' AS source, type, CASE WHEN type = 'CDS' AND k = 2 THEN b - s ELSE a END AS "start", CASE WHEN type = 'CDS' AND k = 1 THEN a + s ELSE b END AS "end", '.' AS score, strand, '.' AS phase, 'ID=' || type || CAST(k AS STRING) || alias || ';Alias=' || alias AS attributes
 FROM {docgenes} CROSS JOIN (SELECT 'gene' AS type, 1 AS k UNION ALL SELECT 'mRNA', 1 UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'CDS', 2) t""",
+    "docmodels": """
+SELECT ome, seqid, 'x' AS source, type, CASE WHEN type = 'CDS' AND k = 2 THEN b - s ELSE a END AS "start", CASE WHEN type = 'CDS' AND k = 1 THEN a + s ELSE b END AS "end", '.' AS score, strand, '.' AS phase,
+  CASE WHEN type = 'gene' THEN 'ID=g' || alias WHEN type = 'mRNA' THEN 'ID=r' || alias || ';Parent=g' || alias ELSE 'ID=c' || CAST(k AS STRING) || alias || ';Parent=r' || alias || ';protein_id=p' || alias END AS attributes
+FROM {docgenes} CROSS JOIN (SELECT 'gene' AS type, 1 AS k UNION ALL SELECT 'mRNA', 1 UNION ALL SELECT 'CDS', 1 UNION ALL SELECT 'CDS', 2) t""",
+    "submitted": """
+SELECT 'GCA_' || CAST(row_number() OVER (ORDER BY source, lang) AS STRING) || '.1' AS assembly_acc, source AS genus, lang AS species, source || lang AS genome
+FROM {documents} WHERE text IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang""",
     "listing": """
 SELECT 'GCA_' || CAST(o_custkey AS STRING) || '.' || CAST(1 + o_orderkey % 3 AS STRING) AS assembly_acc, 'GCA_' || CAST(o_custkey AS STRING) AS base, c_mktsegment AS grp, CAST(o_orderdate AS STRING) AS modified, CAST(o_orderkey AS BIGINT) AS o,
   CASE WHEN o_orderkey % 6 = 0 THEN '-' ELSE CAST(o_orderkey % 5000 AS STRING) END AS genes
