@@ -247,3 +247,38 @@ def test_supermatrix(spark):
     assert "charset f2 = 3-5;" in T.nexus_partitions(parts)
     with pytest.raises(Exception, match="unequal"):
         T.supermatrix(rows.union(spark.createDataFrame([("f1", "d", "A")], rows.schema)))[1].collect()
+
+
+def test_compare_loci(spark):
+    """Two equal loci are merged, a locus of one query does not count, genes without a hit are listed without queries."""
+    from genomeloom.operators.workflows import compare_loci
+
+    at = [("a", "c", "a_1", 1, 10, 1), ("a", "c", "a_2", 20, 30, 2), ("a", "c", "a_3", 35, 40, 3), ("a", "d", "a_4", 1, 10, 1), ("a", "d", "a_5", 15, 30, 2), ("a", "e", "a_6", 1, 9, 1), ("b", "c", "b_1", 1, 9, 1)]
+    pos = spark.createDataFrame(at, "ome string, seqid string, alias string, start long, end long, pos int")
+    hits = [("q1", "a_1", 90.0), ("q2", "a_3", 70.0), ("q1", "a_4", 80.0), ("q2", "a_5", 80.0), ("q3", "a_5", 1.0), ("q1", "a_6", 99.0), ("q1", "b_1", 99.0), ("q1", "a_1", 30.0)]
+    table = spark.createDataFrame([(*h, None, 0.0, 50.0, k) for k, h in enumerate(hits)], "qseqid string, sseqid string, pident double, ppos double, evalue double, bitscore double, row int")
+    got = {(r["gene"], r["pos"], r["queries"], round(r["similarity"], 6)) for r in compare_loci(table, pos, 100, pident=0.2).collect()}
+    share = round(2 / 3 * 0.8, 6)
+    assert got == {("a_1", 1, "q1", share), ("a_2", 2, None, share), ("a_3", 3, "q2", share), ("a_4", 1, "q1", share), ("a_5", 2, "q2", share)}
+    assert compare_loci(table.limit(0), pos, 100).count() == 0
+
+
+def test_update_catalog(spark):
+    """A new version takes the place of the old one; what failed before, gets no code or has no files is told apart."""
+    from genomeloom.operators.workflows import update_catalog
+
+    catalog = spark.createDataFrame([("genspe1", "A1", "Gen", "spe", "jgi", "1"), ("genspe2", "A2", "Gen", "spe", "jgi", "1")], "ome string, assembly_acc string, genus string, species string, source string, version string")
+    new = spark.createDataFrame([("A1", "Gen", "spe", "jgi", "2"), ("A3", "Gen", "spe", "jgi", "2"), ("A4", "Gen", "spe", "jgi", "2"), ("A5", None, "x", "jgi", "2"), ("A6", "Gen", "spe", "jgi", "2")], "assembly_acc string, genus string, species string, source string, version string")
+    row = lambda acc, k, t, e, a: (acc, k, "c", "x", t, 1, e, ".", "+", ".", a)
+    models = [row(acc, k, t, 9, a) for acc in ("A1", "A3") for k, (t, a) in enumerate((("gene", "ID=g"), ("mRNA", "ID=r;Parent=g"), ("CDS", "ID=c;Parent=r;protein_id=p")))]
+    gff = spark.createDataFrame(models, "assembly_acc string, row long, seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string")
+    contigs = spark.createDataFrame([("A1", "c", "ATGCCCTAA"), ("A3", "c", "ATGCCCTAA"), ("A6", "c", "ATG")], "assembly_acc string, seqid string, sequence string")
+    ledger = spark.createDataFrame([("A9", "jgi", "1", "d"), ("A6", "jgi", "1", "d")], "code string, source string, version string, attempt_date string")
+    done = update_catalog(catalog, new, catalog.select("ome").limit(0), ledger, gff, contigs, "now")
+    assert {(r["ome"], r["assembly_acc"], r["version"]) for r in done.catalog.collect()} == {("genspe1.1", "A1", "2"), ("genspe2", "A2", "1"), ("genspe3", "A3", "2")}
+    assert [r["ome"] for r in done.replaced.collect()] == ["genspe1"]
+    assert {tuple(r) for r in done.failed.select("assembly_acc", "reason").collect()} == {("A4", "no assembly"), ("A5", "no name"), ("A6", "no annotation")}
+    assert {(r["ome"], r["alias"], r["sequence"]) for r in done.proteins.collect()} == {("genspe1.1", "genspe1.1_p", "MP*"), ("genspe3", "genspe3_p", "MP*")}
+    assert {(r["code"], r["attempt_date"]) for r in done.ledger.collect()} == {("A9", "d"), ("A4", "now"), ("A5", "now"), ("A6", "now")}
+    again = update_catalog(done.catalog, new.where("assembly_acc = 'A4'"), catalog.select("ome").limit(0), done.ledger, gff, contigs, "later")
+    assert again.failed.count() == 0 and again.catalog.count() == 3

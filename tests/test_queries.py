@@ -11,7 +11,7 @@ from genomeloom.jobs import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-SAMPLE = "a1_annotation_stats a2_assembly_stats a4_hg_stats a9_hg_pairs w3_locus_by_bases w7_select_hits g10_merge_overlapping c2_single_linkage q1_proteins q3_gene_spans g6_assign_aliases g7_rename_and_organise w14_generate_codes j9_overlap_pairs f18_rename_codes t2_supermatrix".split()
+SAMPLE = "a1_annotation_stats a2_assembly_stats a4_hg_stats a9_hg_pairs w3_locus_by_bases w7_select_hits g10_merge_overlapping c2_single_linkage q1_proteins q3_gene_spans g6_assign_aliases g7_rename_and_organise w14_generate_codes j9_overlap_pairs f18_rename_codes t2_supermatrix compare_loci update_catalog".split()
 
 
 @pytest.fixture(scope="module")
