@@ -7,14 +7,18 @@ before, and so on) and ignores end tags that close nothing. Elements that show n
 everything else is text to keep, menus and footers included. The renderer separates
 blocks by line breaks, paragraphs and headings by a blank line (margins collapse),
 marks list items by a dash or their number, indents nested lists and quotes, keeps
-preformatted text as it is, and pads the cells of a table's rows to columns.
+preformatted text as it is, and pads the cells of a table's rows to columns. Cells that span
+columns or rows take up their places in the grid; every option of a choice stands on its own
+line; a line break on an empty line is an empty line; lists count from ``start`` and ``value``.
 
 Each page is worked off on its own, whole, in one pass over its tokens and without
 recursion, so deep nesting is no limit; there is no shuffle.
 
 Defined cases. Null html gives null text; empty or textless pages give "". An unclosed
 comment or script runs to the end; a "<" that starts no tag is text. Unknown elements
-are inline. Repeated rows give repeated results; an empty table an empty result; extra
+are inline. Cells wider than WIDEST don't widen their column, so one long cell can't blow up all
+rows. Where the spans of a table cover more than SPARSE places a cell, they count as 1. Empty lines
+at either end of a page or cell are dropped. Repeated rows give repeated results; an empty table an empty result; extra
 columns are ignored.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +38,8 @@ from genomeloom.sources.shared import table
 # Fixed values of HTML: element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
-UNSEEN = frozenset("head script style title template noscript iframe noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style title template noscript iframe noframes object audio video canvas svg math datalist".split())
+LINES = frozenset("option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav section summary".split())
 #: start tag: (open elements it ends, elements beyond which it doesn't look)
@@ -48,15 +54,53 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
 SCOPE = frozenset("table td th caption html body template".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/><]*)([^<>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^<>\"']*)*)>|[^<]+|<", re.S)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+MAY_HIDE = re.compile("hidden|style", re.I)
+HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Fixed values of HTML: the most columns and rows that a cell spans.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
+WIDEST, SPARSE = 200, 100
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
+def _attributes(s: str) -> dict[str, str]:
+    """Values by lower-case name, the first of equal names; "" without a value."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(s):
+        found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _hidden(s: str) -> bool:
+    if not MAY_HIDE.search(s):
+        return False
+    found = _attributes(s)
+    return "hidden" in found or bool(HIDES.search(found.get("style", "")))
+
+
+def _number(s: str | None) -> int | None:
+    """The whole number that ``s`` begins with."""
+    m = re.match(r"\s*([+-]?[0-9]{1,9})", s or "")
+    return int(m[1]) if m else None
+
+
+def _span(attributes: str) -> tuple[int, int]:
+    """Columns and rows that a cell spans; 0 rows: down to the last."""
+    if "span" not in attributes.lower():
+        return 1, 1
+    found = _attributes(attributes)
+    columns, rows = _number(found.get("colspan")), _number(found.get("rowspan"))
+    columns = columns if columns is not None and columns > 0 else 1
+    rows = rows if rows is not None and rows >= 0 else 1
+    return min(columns, MAX_COLUMNS), min(rows, MAX_ROWS)
+
+
 class _Flow:
     """Lines of one block context: the page, or a table cell."""
 
@@ -97,6 +141,15 @@ class _Flow:
             self.mark = ""
         self.lines.append(lead + s)
 
+    def line_break(self) -> None:
+        if self.line:
+            self.end_line()
+        elif self.mark:
+            self._emit("")
+        elif self.lines:
+            self.lines.extend([""] * (1 + self.gap))
+            self.gap = 0
+
     def block(self, spaced: bool) -> None:
         self.end_line()
         if spaced:
@@ -113,24 +166,53 @@ class _Flow:
 
     def done(self) -> str:
         self.end_line()
-        return "\n".join(self.lines)
-
-
-def _aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of a table: every cell as wide as its column's widest line, two spaces between."""
-    cells = [[c.split("\n") for c in row] for row in rows]
-    wide: list[int] = []
-    for row in cells:
-        for k, cell in enumerate(row):
-            size = max(map(len, cell))
-            if k == len(wide):
-                wide.append(size)
-            elif size > wide[k]:
-                wide[k] = size
+        while self.lines and not self.lines[-1].strip():
+            self.lines.pop()
+        first = next((k for k, x in enumerate(self.lines) if x.strip()), 0)
+        return "\n".join(self.lines[first:])
+
+
+def _placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(first column, columns, lines) of the cells (text, columns, rows) of a table: each in the first place of its row that no cell above reaches into."""
+    height, cells = len(rows), sum(map(len, rows))
+    fit = lambda i, r: min(r or height, height - i)
+    dense = sum(c * fit(i, r) for i, row in enumerate(rows) for _, c, r in row) <= SPARSE * cells
+    below: dict[int, int] = {}
+    out = []
+    for i, row in enumerate(rows):
+        at, places = 0, []
+        for text, c, r in row:
+            c, r = (c, fit(i, r)) if dense else (1, 1)
+            while below.get(at, 0) > i:
+                at += 1
+            places.append((at, c, text.split("\n")))
+            if r > 1:
+                below.update(dict.fromkeys(range(at, at + c), i + r))
+            at += c
+        out.append(places)
+    return out
+
+
+def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table: every column as wide as its widest line, two spaces between; rows without text are left out."""
+    placed = _placed(rows)
+    wide = [0] * max((at + c for row in placed for at, c, _ in row), default=0)
+    sized = [(c, at, size) for row in placed for at, c, lines in row if (size := max(map(len, lines))) <= WIDEST]
+    for c, at, size in sorted(sized, key=lambda x: x[0]):
+        lacks = size - sum(wide[at : at + c]) - 2 * (c - 1)
+        if lacks > 0:
+            wide[at + c - 1] += lacks
+    begin = [0, *accumulate(w + 2 for w in wide)]
     out = []
-    for row in cells:
-        for i in range(max(map(len, row), default=0)):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(wide[k]) for k, cell in enumerate(row)).rstrip())
+    for row in placed:
+        if not any(any(lines) for _, _, lines in row):
+            continue
+        for i in range(max(len(lines) for _, _, lines in row)):
+            line = ""
+            for at, _, lines in row:
+                if i < len(lines) and lines[i]:
+                    line = line.ljust(max(begin[at], len(line) + 2 if line else 0)) + lines[i]
+            out.append(line.rstrip())
     return out
 
 
@@ -141,7 +223,8 @@ class _Page:
         self.count: Counter[str] = Counter()
         self.unseen = 0
         self.lists: list[list] = []
-        self.tables: list[list[list[str]]] = []
+        self.tables: list[list[list[tuple[str, int, int]]]] = []
+        self.spans: list[tuple[int, int]] = []
         self.pre = 0
 
     def start(self, name: str, attributes: str) -> None:
@@ -153,9 +236,7 @@ class _Page:
             self.start("tr", "")
         if name == "br":
             if not self.unseen:
-                flow = self.flows[-1]
-                if flow.line:
-                    flow.end_line()
+                self.flows[-1].line_break()
             return
         if name == "hr" and not self.unseen:
             self.flows[-1].block(False)
@@ -163,7 +244,7 @@ class _Page:
             self.flows[-1].block(False)
         if name in VOID:
             return
-        gone = self.unseen or name in UNSEEN or (attributes and HIDDEN.search(attributes))
+        gone = self.unseen or name in UNSEEN or (attributes and _hidden(attributes))
         self.open.append(name)
         self.count[name] += 1
         if gone:
@@ -177,19 +258,24 @@ class _Page:
             self.tables[-1].append([])
         elif name in ("td", "th") and self.tables:
             self.flows.append(_Flow())
+            self.spans.append(_span(attributes))
         elif name in ("ul", "ol", "menu", "dir"):
             flow.block(not self.lists)
-            self.lists.append([name == "ol", 0])
+            first = _number(_attributes(attributes).get("start")) if name == "ol" and attributes else None
+            self.lists.append([name == "ol", 0 if first is None else first - 1])
         elif name == "li":
             flow.block(False)
             if self.lists:
-                self.lists[-1][1] += 1
+                value = _number(_attributes(attributes).get("value")) if attributes else None
+                self.lists[-1][1] = self.lists[-1][1] + 1 if value is None else value
             mark = f"{self.lists[-1][1]}. " if self.lists and self.lists[-1][0] else "- "
             flow.indent.append(" " * len(mark))
             flow.mark = mark
         elif name in ("blockquote", "dd"):
             flow.block(name in SPACED)
             flow.indent.append("    " if name == "dd" else "> ")
+        elif name in LINES:
+            flow.block(False)
         elif name in BLOCK:
             flow.block(name in SPACED)
             self.pre += name == "pre"
@@ -226,10 +312,9 @@ class _Page:
                 self.flows.pop()
                 if not self.tables[-1]:
                     self.tables[-1].append([])
-                self.tables[-1][-1].append(flow.done())
+                self.tables[-1][-1].append((flow.done(), *self.spans.pop()))
             elif name == "table" and self.tables:
-                rows = [r for r in self.tables.pop() if any(r)]
-                for line in _aligned(rows):
+                for line in _aligned(self.tables.pop()):
                     flow.end_line()
                     flow._emit(line)
                 flow.block(True)
@@ -242,6 +327,8 @@ class _Page:
                 if flow.indent:
                     flow.indent.pop()
                 flow.block(name == "blockquote")
+            elif name in LINES:
+                flow.block(False)
             elif name in BLOCK:
                 flow.block(name in SPACED)
                 self.pre -= name == "pre"
@@ -277,6 +364,8 @@ def visible_text(source: str) -> str:
             continue
         attributes = m[3]
         page.start(name, attributes)
+        if name in ("pre", "textarea") and source.startswith(("\n", "\r\n"), at):
+            at = source.index("\n", at) + 1
         if name in RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
             inner = source[at : close.start()] if close else source[at:]

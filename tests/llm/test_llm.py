@@ -290,6 +290,33 @@ def test_html():
     assert v("<div>" * 20000 + "x") == "x"
 
 
+def test_html_spans():
+    v = html_text.visible_text
+    assert v("<table><tr><td colspan=2>ab<td>c<tr><td>x<td>y<td>z</table>") == "ab    c\nx  y  z"
+    assert v("<table><tr><td colspan='2'>wide head<td>c<tr><td>x<td>y<td>z</table>") == "wide head  c\nx  y       z"
+    assert v("<table><tr><td rowspan=2>tall<td>1<tr><td>2<tr><td>a<td>b</table>") == "tall  1\n      2\na     b"
+    assert v("<table><tr><td rowspan=0>t<td>1<tr><td>2<tr><td>3</table>") == "t  1\n   2\n   3"
+    assert v("<table><tr><td colspan=x rowspan=-1>a<td>b<tr><td>c</table>") == "a  b\nc"
+    # an empty row still ends a cell from above
+    assert v("<table><tr><td rowspan=2>t<td>1<tr><td><tr><td>a<td>b</table>") == "t  1\na  b"
+    long = "w" * (html_text.WIDEST + 1)
+    assert v(f"<table><tr><td>{long}<td>b<tr><td>1<td>2</table>") == f"{long}  b\n1  2"
+    # spans far beyond the cells count as 1, and cost nothing
+    many = v("<table>" + "<tr><td colspan=1000 rowspan=65534>a<td>b" * 3000 + "</table>")
+    assert many == "\n".join(["a  b"] * 3000)
+
+
+def test_html_breaks_lists_choices():
+    v = html_text.visible_text
+    assert v("a<br><br>b<br>") == "a\n\nb" and v("<br>a<p>b<br><br></p>c") == "a\n\nb\n\n\nc"
+    assert v("<ul><li>a<li><br>b</ul>") == "- a\n- \n  b"
+    assert v("<ol start=4><li>a<li value=9>b<li>c</ol><ol start=x><li>d</ol>") == "4. a\n9. b\n10. c\n\n1. d"
+    assert v("<pre>\nx\n  y</pre>") == "x\n  y" and v("<pre>\n\nx</pre>") == "x" and v("a<pre>\n\nx</pre>") == "a\n\n\nx"
+    assert v("<p>Pick <select><optgroup><option>A<option selected>B</select> end") == "Pick\nA\nB\nend"
+    assert v("<p class='x hidden y'>seen<p hidden>no<p title='a hidden gem'>yes<p data-hidden=1>also") == "seen\n\nyes\n\nalso"
+    assert v("<p STYLE=\"color:red; Display : none\">no<p style='visibility:hidden'>no<p title='display:none'>yes") == "yes"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "u"), (1, None, "u"), (2, "<p>x", "u")], "page_id long, html string, text string")
     assert sorted((r["page_id"], r["text"], r["n_lines"]) for r in html_text.extract_text(pages).where("page_id = 2").collect()) == [(2, "x", 1)]
