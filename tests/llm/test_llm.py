@@ -354,6 +354,69 @@ def test_perplexity_trains_on_all_trusted_documents(spark):
         assert abs(got[i] - want) < 1e-4 * want, i
 
 
+def kneser_ney(texts):
+    """Perplexity of a text under the trigram model of ``texts``, from counts of words in plain dictionaries."""
+    grams = collections.Counter()
+    for text in texts:
+        words = ["<s>", "<s>", *text.lower().split()]
+        grams.update(zip(words, words[1:], words[2:]))
+    # order 3 counts places, order 2 the words before, order 1 the words before a type of order 2
+    orders = {3: grams, 2: collections.Counter(g[1:] for g in grams)}
+    orders[1] = collections.Counter(g[1:] for g in orders[2])
+
+    def discount(order):
+        n1, n2, n3, n4 = (max(1, sum(c == i for c in orders[order].values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        d = [min(i + 0.95, max(0.05, x)) for i, x in enumerate(d)]
+        return lambda c: d[min(c, 3) - 1]
+
+    off = {order: discount(order) for order in orders}
+    after = {order: collections.defaultdict(list) for order in orders}
+    for order, counts in orders.items():
+        for gram, c in counts.items():
+            after[order][gram[:-1]].append(c)
+
+    def share(gram):
+        counts = after[len(gram)].get(gram[:-1], [])
+        c = orders[len(gram)].get(gram, 0)
+        own = (c - off[len(gram)](c)) / sum(counts) if c else 0.0
+        freed = sum(map(off[len(gram)], counts)) / sum(counts) if counts else 1.0
+        return own + freed * (share(gram[1:]) if len(gram) > 1 else 1 / (len(orders[1]) + 1))
+
+    def perplexity_of(text):
+        words = ["<s>", "<s>", *text.lower().split()]
+        return float(np.exp(-np.mean([np.log(share(g)) for g in zip(words, words[1:], words[2:])])))
+
+    return perplexity_of
+
+
+def test_perplexity_against_brute_force(spark):
+    """Perplexities, thresholds and verdicts from words, not from the tables under test; long, repeated and foreign texts too."""
+    rng = random.Random(28)
+    texts = [prose(rng, rng.randrange(1, 60), 40) for _ in range(250)]
+    others = [texts[3], texts[3].upper(), prose(rng, 6000, 60), "zz yy " * 30, "w1", prose(rng, 30, 4000)]
+    table = docs(spark, *texts, *others)
+    ids = spark.range(250).select(F.col("id").alias("doc_id"))
+    ids = ids.unionByName(ids.limit(3)).unionByName(spark.range(1).select(F.lit(None).cast("long").alias("doc_id")))
+    got = {r["doc_id"]: r for r in perplexity.quality_by_perplexity(table, ids).collect()}
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(perplexity.FOLDS))
+    training = {r["doc_id"] for r in ids.where(fold != 0).collect()}
+    training.discard(None)
+    of = kneser_ney([texts[i] for i in sorted(training)])
+    want = {i: of(t) for i, t in enumerate([*texts, *others])}
+    assert len(got) == len(want)
+    for i, w in want.items():
+        assert abs(got[i]["perplexity"] - w) < 1e-6 * w, i
+    held = {lang: sorted(want[i] for i in range(250) if i not in training and len(texts[i].split()) >= perplexity.MIN_WORDS and (lang is None or (i % 3 > 0) == (lang == "en"))) for lang in (None, "en", "")}
+    cut = {lang: x[int(np.ceil(perplexity.QUANTILE * len(x))) - 1] * perplexity.SLACK for lang, x in held.items()}
+    for i, t in enumerate([*texts, *others]):
+        lang = "en" if i % 3 else ""
+        limit = cut[lang if len(held[lang]) >= perplexity.MIN_HELD_OUT else None]
+        assert abs(got[i]["threshold"] - limit) < 1e-6 * limit
+        assert got[i]["kept"] == (len(t.split()) < perplexity.MIN_WORDS or want[i] <= limit)
+
+
 def test_perplexity_sums_to_one(spark):
     model = perplexity.train(spark.createDataFrame([("a b c a b d a c",), ("b a b c",)], "text string"))
     for t in model.tables.values():
