@@ -56,8 +56,10 @@ def test_linkage(spark):
     assert sorted(r["node"] for r in found.collect()) == [1, 2, 3] and log[-1][1] == 3
 
 
-def test_kmer_edges_against_brute_force(spark):
+@pytest.mark.parametrize("few", [G.FEW, 1])
+def test_kmer_edges_against_brute_force(spark, monkeypatch, few):
     """Copies, changed copies and longer texts that hold parts of them; components as of all pairs."""
+    monkeypatch.setattr(G, "FEW", few)
     rng = random.Random(21)
     text = lambda n: "".join(rng.choice("acgtnkry") for _ in range(n))
     base = [text(120) for _ in range(12)]
