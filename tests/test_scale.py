@@ -7,6 +7,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from genomeloom.operators import catalog as K
 from genomeloom.operators import features as X
@@ -156,3 +157,25 @@ def test_codes_share_prefixes(spark):
 def test_nothing_imports_the_training_data_folder():
     root = Path(__file__).resolve().parents[1] / "genomeloom"
     assert not [f for f in root.rglob("*.py") if "llm" not in f.parts and re.search(r"genomeloom\.llm|import llm", f.read_text())]
+
+
+def test_lists_of_what_is_lacking_are_not_moved(spark):
+    from genomeloom.operators import presence as P
+
+    omes = spark.range(300).selectExpr("concat('g', lpad(id, 3, '0')) AS ome")
+    held = spark.range(40).selectExpr("id % 4 AS hg", "concat('g', lpad(id * 7, 3, '0')) AS ome")
+    lists = P.lacking(held, "hg", "ome", omes)
+    # the names come in after the last exchange of groups, and no group is spread over its blocks
+    assert "Generate" not in plan(lists)
+    own = {hg: {f"g{i * 7:03d}" for i in range(40) if i % 4 == hg} for hg in range(4)}
+    every = [f"g{i:03d}" for i in range(300)]
+    assert {r["hg"]: r["missing"] for r in lists.collect()} == {hg: ",".join(x for x in every if x not in own[hg]) for hg in range(4)}
+
+
+def test_gc_is_printed_as_c_prints_it(spark):
+    from genomeloom.functions import columns as C
+
+    pairs = [(g, n) for n in (1, 7, 64, 160, 800, 1600, 2000, 20000) for g in range(0, n + 1, max(1, n // 97))]
+    rows = spark.createDataFrame([("G" * g + "A" * (n - g), 100.0 * g / n) for g, n in pairs], "sequence string, x double")
+    got = rows.select(C.gc_percent(F.col("sequence")).alias("gc"), "x").collect()
+    assert [r["gc"] for r in got] == [f"{r['x']:.2f}%" for r in got]
