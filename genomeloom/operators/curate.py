@@ -1,6 +1,7 @@
 """Gene-model curation: every step takes and gives annotation rows with the genome and their place in the file (row).
 
-Steps that use their resolved rows several times write them once, so that a chain of steps is a chain of short plans.
+A step moves its rows once, to their genome's task; all that a row learns from others of its genome is then read by windows
+within that task. New rows are exploded from those that call for them. Nothing is joined or moved again.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from genomeloom.functions.columns import format_og_tags, gff3_attr, gff_dialect, gtf_attr, parse_og_tags, set_attr
@@ -42,16 +44,55 @@ def normalise_types(gff: DataFrame) -> DataFrame:
     return gff.withColumn("type", named).withColumn("attributes", F.regexp_replace(plain, "^;+", "")).where(F.col("type").isNotNull() & _id().isNotNull())
 
 
+def _by_genome(gff: DataFrame) -> DataFrame:
+    return gff.repartition("ome")
+
+
+def _looked_up(rows: DataFrame, key: Column, gives: Column, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name in ``values``, the least such value of the rows of their genome that give ``key``; null where ``key`` is null.
+
+    A row that gives something is copied, without its columns, under what it gives; no exchange is planned for rows that are together by genome.
+    """
+    names = [c for c in rows.columns if c != "ome"]
+    given = F.struct(*(v.alias(k) for k, v in values.items()))
+    some = gives.isNotNull() & reduce(lambda a, b: a | b, (v.isNotNull() for v in values.values()))
+    own = F.struct(key.alias("key"), F.lit(False).alias("gives"), F.when(F.lit(False), given).alias("value"))
+    copy = F.struct(gives.alias("key"), F.lit(True).alias("gives"), given.alias("value"))
+    copies = rows.withColumn("_x", F.explode(F.when(some, F.array(own, copy)).otherwise(F.array(own))))
+    thin = copies.select("ome", *(F.when(~F.col("_x.gives"), F.col(c)).alias(c) for c in names), F.col("_x.key").alias("_key"), F.col("_x.gives").alias("_gives"), F.col("_x.value").alias("_value"))
+    met = W.partitionBy("ome", "_key")
+    known = F.col("_key").isNotNull() & F.col("ome").isNotNull()
+    return thin.withColumns({k: F.when(known, F.min(f"_value.{k}").over(met)) for k in values}).where("NOT _gives").drop("_key", "_gives", "_value")
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    """``resolve_parents`` with orphans, of rows that are together by genome."""
+    named = rows.withColumn("id", _id()).withColumn("parent", _id("Parent"))
+    gene = F.col("type").isin(*NAMED)
+    values = {"_m": F.when(is_rna(), F.struct("id", F.col("parent").alias("gene"))), "_g": F.when(gene, F.col("id"))}
+    met = _looked_up(named, F.col("parent"), F.when(is_rna() | gene, F.col("id")), values)
+    own_gene = F.when(gene, F.col("id")).when(is_rna(), F.col("parent")).otherwise(F.coalesce("_m.gene", "_g"))
+    own_rna = F.when(is_rna(), F.col("id")).when(gene, F.lit(None)).otherwise(F.col("_m.id"))
+    return met.withColumn("gene", own_gene).withColumn("rna", own_rna).drop("_m", "_g")
+
+
 def resolve_parents(gff: DataFrame, keep_orphans: bool = False) -> DataFrame:
     """With id, rna and gene: parts follow Parent to their RNA and its gene, or straight to a gene; orphan parts go unless kept under their own id."""
-    rows = gff.withColumn("id", _id()).withColumn("parent", _id("Parent"))
-    rna = rows.where(is_rna()).select("ome", F.col("id").alias("parent"), F.col("id").alias("_r"), F.col("parent").alias("_rg")).dropDuplicates(["ome", "parent"])
-    gene = rows.where(F.col("type").isin(*NAMED)).select("ome", F.col("id").alias("parent"), F.col("id").alias("_g")).dropDuplicates(["ome", "parent"])
-    joined = rows.join(rna, ["ome", "parent"], "left").join(gene, ["ome", "parent"], "left")
-    own_gene = F.when(F.col("type").isin(*NAMED), F.col("id")).when(is_rna(), F.col("parent")).otherwise(F.coalesce("_rg", "_g"))
-    own_rna = F.when(is_rna(), F.col("id")).when(F.col("type").isin(*NAMED), F.lit(None)).otherwise(F.col("_r"))
-    out = joined.withColumn("gene", own_gene).withColumn("rna", own_rna).drop("_r", "_rg", "_g")
-    return out.withColumn("gene", F.coalesce("gene", "rna", "id")) if keep_orphans else out.where(F.col("gene").isNotNull() | is_rna())
+    out = _resolved(_by_genome(gff))
+    return _kept(out) if keep_orphans else out.where(F.col("gene").isNotNull() | is_rna())
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("gene", F.coalesce("gene", "rna", "id"))
+
+
+def _models(gff: DataFrame) -> DataFrame:
+    """Rows together by genome, with id, parent, gene and rna; orphans are kept."""
+    return _kept(_resolved(gff))
+
+
+def _gene() -> WindowSpec:
+    return W.partitionBy("ome", "gene")
 
 
 def _like(rows: DataFrame, gff: DataFrame) -> DataFrame:
@@ -60,34 +101,43 @@ def _like(rows: DataFrame, gff: DataFrame) -> DataFrame:
 
 def complete_models(gff: DataFrame) -> DataFrame:
     """With the rows that models lack: an mRNA for genes with CDS and no RNA, a gene for RNAs without one, exons from CDS where a model has neither exons nor introns."""
-    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
-    gene_ids = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene").distinct()
-    rna_genes = rows.where(is_rna()).select("ome", "gene").distinct()
-    cds = rows.where("type = 'CDS'")
-    span = cds.groupBy("ome", "gene").agg(F.first("seqid").alias("seqid"), F.first("source").alias("source"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("strand").alias("strand"), F.min("row").alias("row"))
+    return _completed(_by_genome(gff))
+
+
+def _span(of: Column) -> dict[str, Column]:
+    """What a new row has from the rows ``of`` its gene: ends over all, the rest from the first."""
+    top = F.min(F.when(of, F.struct("row", "seqid", "source", "strand"))).over(_gene())
+    return {"row": top["row"], "seqid": top["seqid"], "source": top["source"], "strand": top["strand"], "start": F.min(F.when(of, F.col("start"))).over(_gene()), "end": F.max(F.when(of, F.col("end"))).over(_gene())}
+
+
+def _completed(gff: DataFrame) -> DataFrame:
+    named, cds = F.col("type").isin(*NAMED), F.col("type") == "CDS"
+    has = {"_gene": named, "_rna": is_rna(), "_cds": cds, "_parted": F.col("type").isin("exon", "intron")}
+    rows = _models(gff).withColumns({**{k: F.max(v).over(_gene()) for k, v in has.items()}, "_of_cds": F.struct(*(v.alias(k) for k, v in _span(cds).items())), "_of_rna": F.struct(*(v.alias(k) for k, v in _span(is_rna()).items())), "_k": F.row_number().over(_gene().orderBy("row"))})
+    cols = [c for c in gff.columns if c != "ome"]
+    row = lambda span=None, **new: F.struct(*(new.get(c, F.col(f"{span}.{c}") if span and c in ("row", "seqid", "source", "strand", "start", "end") else F.col(c)).alias(c) for c in cols))
     blank = {"score": F.lit("."), "phase": F.lit(".")}
-    new_rna = span.join(rna_genes, ["ome", "gene"], "left_anti").withColumns({**blank, "type": F.lit("mRNA"), "attributes": F.concat(F.lit("ID=mRNA_"), "gene", F.lit(";Parent="), "gene")})
-    lone = rows.where(is_rna()).join(gene_ids, ["ome", "gene"], "left_anti").groupBy("ome", F.coalesce("gene", "id").alias("gene")).agg(F.first("seqid").alias("seqid"), F.first("source").alias("source"), F.min("start").alias("start"), F.max("end").alias("end"), F.first("strand").alias("strand"), F.min("row").alias("row"))
-    new_gene = lone.withColumns({**blank, "type": F.lit("gene"), "attributes": F.concat(F.lit("ID="), "gene")})
-    parted = rows.where("type IN ('exon', 'intron')").select("ome", "gene").distinct()
-    new_exon = cds.join(parted, ["ome", "gene"], "left_anti").withColumns({**blank, "type": F.lit("exon"), "attributes": F.concat(F.lit("ID=exon_"), "id", F.lit("_"), F.col("start").cast("string"), F.lit(";Parent="), F.coalesce("rna", F.concat(F.lit("mRNA_"), "gene")))})
-    moved = rows.join(new_rna.select("ome", "gene", F.lit(1).alias("_new")), ["ome", "gene"], "left")
-    part = (F.col("_new") == 1) & F.col("type").isin("CDS", "exon") & F.col("rna").isNull()
-    kept = moved.withColumn("attributes", F.when(part, set_attr(F.col("attributes"), "Parent", F.concat(F.lit("mRNA_"), "gene"))).otherwise(F.col("attributes")))
-    return reduce(DataFrame.unionByName, [_like(x, gff) for x in (kept, new_rna, new_gene, new_exon)])
+    first = (F.col("_k") == 1) & F.col("gene").isNotNull()
+    lacks_rna = F.col("gene").isNotNull() & F.col("_cds") & ~F.col("_rna")
+    part = lacks_rna & F.col("type").isin("CDS", "exon") & F.col("rna").isNull()
+    kept = row(attributes=F.when(part, set_attr(F.col("attributes"), "Parent", F.concat(F.lit("mRNA_"), "gene"))).otherwise(F.col("attributes")))
+    new_rna = row("_of_cds", **blank, type=F.lit("mRNA"), attributes=F.concat(F.lit("ID=mRNA_"), "gene", F.lit(";Parent="), "gene"))
+    new_gene = row("_of_rna", **blank, type=F.lit("gene"), attributes=F.concat(F.lit("ID="), "gene"))
+    new_exon = row(**blank, type=F.lit("exon"), attributes=F.concat(F.lit("ID=exon_"), "id", F.lit("_"), F.col("start").cast("string"), F.lit(";Parent="), F.coalesce("rna", F.concat(F.lit("mRNA_"), "gene"))))
+    made = F.array(kept, F.when(first & lacks_rna, new_rna), F.when(first & F.col("_rna") & ~F.col("_gene"), new_gene), F.when(cds & ~F.col("_parted") & F.col("gene").isNotNull(), new_exon))
+    return _like(rows.select("ome", F.explode(F.array_compact(made)).alias("x")).select("ome", "x.*"), gff)
 
 
 def exons_from_introns(gff: DataFrame) -> DataFrame:
     """Exon rows of genes that have introns and no exons: from the gene's start to the first intron, between introns, and to its end."""
-    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
-    has = rows.where("type = 'exon'").select("ome", "gene").distinct()
-    ends = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene", F.col("start").alias("g0"), F.col("end").alias("g1"))
-    introns = rows.where("type = 'intron'").join(has, ["ome", "gene"], "left_anti").join(ends, ["ome", "gene"])
-    order = W.partitionBy("ome", "gene").orderBy("start", "end")
-    before = introns.withColumn("e0", F.coalesce(F.lag("end").over(order) + 1, F.col("g0"))).withColumn("e1", F.col("start") - 1)
-    last = introns.groupBy("ome", "gene").agg(F.max("row").alias("row"), F.max("end").alias("far"), F.max("g1").alias("e1"), F.first("seqid").alias("seqid"), F.first("source").alias("source"), F.first("strand").alias("strand"), F.first("parent").alias("parent")).withColumn("e0", F.col("far") + 1)
-    cols = ["ome", "row", "seqid", "source", "strand", "parent", "gene", "e0", "e1"]
-    pieces = before.select(*cols).unionByName(last.select(*cols)).where("e1 >= e0")
+    named = F.col("type").isin(*NAMED)
+    rows = _models(_by_genome(gff)).withColumns({"_exon": F.max(F.col("type") == "exon").over(_gene()), "g0": F.min(F.when(named, F.col("start"))).over(_gene()), "g1": F.max(F.when(named, F.col("end"))).over(_gene())})
+    introns = rows.where("type = 'intron' AND NOT _exon AND g0 IS NOT NULL AND gene IS NOT NULL")
+    order = _gene().orderBy("start", "end")
+    placed = introns.withColumns({"_before": F.lag("end").over(order), "_last": F.lead("end").over(order).isNull(), "_far": F.max("end").over(_gene()), "_row": F.max("row").over(_gene())})
+    before = F.struct("row", F.coalesce(F.col("_before") + 1, F.col("g0")).alias("e0"), (F.col("start") - 1).alias("e1"))
+    last = F.struct(F.col("_row").alias("row"), (F.col("_far") + 1).alias("e0"), F.col("g1").alias("e1"))
+    pieces = placed.select("ome", "seqid", "source", "strand", "parent", "gene", F.explode(F.array_compact(F.array(before, F.when(F.col("_last"), last)))).alias("x")).select("*", "x.*").where("e1 >= e0")
     made = pieces.select("ome", "row", "seqid", "source", F.lit("exon").alias("type"), F.col("e0").alias("start"), F.col("e1").alias("end"), F.lit(".").alias("score"), "strand", F.lit(".").alias("phase"), F.concat(F.lit("ID=exon_"), "gene", F.lit("_"), F.col("e0").cast("string"), F.lit(";Parent="), F.coalesce("parent", "gene")).alias("attributes"))
     return _like(made, gff)
 
@@ -103,15 +153,20 @@ def isoform_spans(gff: DataFrame) -> DataFrame:
 
 def split_isoforms(gff: DataFrame) -> DataFrame:
     """``gff`` with the transcripts of ``isoform_spans``: in their genes they take the place of the RNAs, each CDS gets its protein's as Parent, and the exons are those of the CDS."""
-    spans = staged(isoform_spans(gff), "isoforms")
-    rows = staged(resolve_parents(gff, keep_orphans=True).withColumn("protein", F.coalesce(_id("protein_id"), _id("proteinId"))), "models")
-    genes = spans.select("ome", "gene").distinct()
-    others = rows.join(genes, ["ome", "gene"], "left_anti")
-    kept = rows.where(F.col("type").isin(*NAMED)).join(genes, ["ome", "gene"], "left_semi")
-    cds = rows.where("type = 'CDS'").join(spans.select("ome", "gene", "protein", F.col("rna").alias("_rna")), ["ome", "gene", "protein"]).withColumn("attributes", set_attr(F.col("attributes"), "Parent", F.col("_rna")))
-    exon = cds.withColumns({"type": F.lit("exon"), "phase": F.lit("."), "attributes": F.concat(F.lit("ID=exon_"), "id", F.lit(";Parent="), "_rna")})
-    made = kept.drop("start", "end", "rna", "protein").join(spans, ["ome", "gene"]).withColumns({"type": F.lit("mRNA"), "attributes": F.concat(F.lit("ID="), "rna", F.lit(";Parent="), "gene", F.lit(";protein_id="), "protein")})
-    return reduce(DataFrame.unionByName, [_like(x, gff) for x in (others, kept, made, cds, exon)])
+    protein = F.coalesce(_id("protein_id"), _id("proteinId"))
+    own = W.partitionBy("ome", "gene", "_p")
+    rows = _models(_by_genome(gff)).withColumn("_p", F.when(F.col("type") == "CDS", protein)).withColumn("_at", F.when(F.col("_p").isNotNull() & F.col("gene").isNotNull(), F.struct(F.min("start").over(own).alias("a"), F.col("_p").alias("p"), F.max("end").over(own).alias("b"))))
+    # the proteins of a gene in order of start and name
+    spans = rows.withColumn("_all", F.array_sort(F.collect_set("_at").over(_gene())))
+    name = lambda k: F.concat("gene", F.lit("-T"), k.cast("string"))
+    cols = [c for c in gff.columns if c != "ome"]
+    row = lambda **new: F.struct(*(new.get(c, F.col(c)).alias(c) for c in cols))
+    two, tx = F.size("_all") > 1, name(F.array_position("_all", F.col("_at")) - 1)
+    made = F.transform("_all", lambda x, k: row(type=F.lit("mRNA"), start=x["a"], end=x["b"], attributes=F.concat(F.lit("ID="), name(k), F.lit(";Parent="), "gene", F.lit(";protein_id="), x["p"])))
+    cds = row(attributes=set_attr(F.col("attributes"), "Parent", tx))
+    exon = row(type=F.lit("exon"), phase=F.lit("."), attributes=F.concat(F.lit("ID=exon_"), "id", F.lit(";Parent="), tx))
+    out = F.when(~two, F.array(row())).when(F.col("type").isin(*NAMED), F.concat(F.array(row()), made)).when(F.col("_at").isNotNull(), F.array(cds, exon))
+    return _like(spans.select("ome", F.explode(out).alias("x")).select("ome", "x.*"), gff)
 
 
 def dedupe_equal_models(gff: DataFrame) -> DataFrame:
@@ -123,37 +178,38 @@ def dedupe_equal_models(gff: DataFrame) -> DataFrame:
 
 def assign_aliases(gff: DataFrame) -> DataFrame:
     """Rows with Alias: an RNA's is ome_protein, else a counter of its class in file order; a gene has its RNAs' joined by ``|``, parts have their RNA's."""
-    rows = staged(resolve_parents(gff, keep_orphans=True), "models")
-    protein = rows.where("type = 'CDS'").groupBy("ome", "rna").agg(F.min(F.coalesce(_id("protein_id"), _id("proteinId"))).alias("protein"))
-    pseudo = rows.where("type = 'pseudogene'").select("ome", "gene", F.lit(1).alias("pseudo"))
-    rna = rows.where(is_rna()).select("ome", "row", "rna", "gene", "type").join(protein, ["ome", "rna"], "left").join(pseudo, ["ome", "gene"], "left")
-    kind = F.when(F.col("pseudo") == 1, F.when(F.col("type") == "tRNA", "pseudo-tRNA").otherwise("pseudogene")).when(F.col("type") == "mRNA", "mtdb").when(F.col("type").isin("tRNA", "rRNA"), F.col("type")).otherwise("RNA")
-    counted = rna.withColumn("kind", kind).withColumn("k", F.row_number().over(W.partitionBy("ome", "kind", F.col("protein").isNull()).orderBy("row", "rna")))
-    alias = F.when(F.col("protein").isNotNull(), F.concat_ws("_", "ome", "protein")).otherwise(F.concat("ome", F.lit("_"), "kind", F.col("k").cast("string")))
-    named = counted.select("ome", "rna", "gene", "row", alias.alias("alias"))
-    whole = named.groupBy("ome", "gene").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("row", "alias"))), lambda x: x["alias"]), "|").alias("gene_alias"))
-    bare = rows.where(F.col("type").isin(*NAMED)).join(whole, ["ome", "gene"], "left_anti").withColumn("k", F.row_number().over(W.partitionBy("ome", "type").orderBy("row", "gene")))
-    rest = bare.select("ome", "gene", F.concat("ome", F.lit("_"), F.when(F.col("type") == "pseudogene", "pseudogene").otherwise("etc"), F.col("k").cast("string")).alias("gene_alias"))
-    joined = rows.join(named.select("ome", "rna", "alias"), ["ome", "rna"], "left").join(whole.unionByName(rest), ["ome", "gene"], "left")
-    final = F.when(F.col("type").isin(*NAMED), F.col("gene_alias")).otherwise(F.coalesce("alias", "gene_alias"))
+    named, rna = F.col("type").isin(*NAMED), W.partitionBy("ome", "rna")
+    rows = _models(_by_genome(gff)).withColumn("_p", F.when(F.col("rna").isNotNull(), F.min(F.when(F.col("type") == "CDS", F.coalesce(_id("protein_id"), _id("proteinId")))).over(rna)))
+    rows = rows.withColumns({"_pseudo": F.max(F.col("type") == "pseudogene").over(_gene()), "_bare": named & ~F.max(is_rna()).over(_gene())})
+    kind = F.when(F.col("_pseudo") & F.col("gene").isNotNull(), F.when(F.col("type") == "tRNA", "pseudo-tRNA").otherwise("pseudogene")).when(F.col("type") == "mRNA", "mtdb").when(F.col("type").isin("tRNA", "rRNA"), F.col("type")).otherwise("RNA")
+    bare = F.when(F.col("type") == "pseudogene", "pseudogene").otherwise("etc")
+    # what is counted together: RNAs of a kind with or without protein, genes without RNA of a type
+    klass = F.when(is_rna(), F.concat(F.when(F.col("_p").isNull(), "-").otherwise("+"), kind)).when(F.col("_bare"), F.concat(F.lit("="), "type"))
+    counted = rows.withColumn("_class", klass).withColumn("_k", F.row_number().over(W.partitionBy("ome", "_class").orderBy("row", F.coalesce("rna", "gene"))).cast("string"))
+    own = F.when(is_rna(), F.when(F.col("_p").isNotNull(), F.concat_ws("_", "ome", "_p")).otherwise(F.concat("ome", F.lit("_"), kind, "_k")))
+    alone = F.when(F.col("_bare"), F.concat("ome", F.lit("_"), bare, "_k"))
+    named_rna = counted.withColumns({"_own": own, "_alone": alone})
+    whole = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col("_own").isNotNull(), F.struct("row", F.col("_own").alias("alias")))).over(_gene())), lambda x: x["alias"]), "|")
+    joined = named_rna.withColumn("_whole", F.when(F.col("gene").isNotNull(), F.coalesce(F.when(whole != "", whole), F.min("_alone").over(_gene())))).withColumn("_alias", F.when(F.col("rna").isNotNull(), F.min("_own").over(rna)))
+    final = F.when(named, F.col("_whole")).otherwise(F.coalesce("_alias", "_whole"))
     return _like(joined.withColumn("attributes", F.when(final.isNull(), F.col("attributes")).otherwise(set_attr(F.col("attributes"), "Alias", final))), gff)
 
 
 def rename_and_organise(gff: DataFrame) -> DataFrame:
     """ID and Parent made from the aliases, parts numbered; rows by contig, gene, then gene, RNA and parts."""
-    rows = staged(resolve_parents(gff, keep_orphans=True), "models").withColumn("alias", _id("Alias"))
+    rows = _models(_by_genome(gff)).withColumn("alias", _id("Alias"))
     number = F.row_number().over(W.partitionBy("ome", "alias", "type").orderBy("start", "row"))
     prefix = F.when(F.col("type").isin(*NAMED), F.lit("gene_")).when(is_rna(), F.lit("RNA_")).otherwise(F.concat("type", F.lit("_")))
     tail = F.when(F.col("type").isin(*NAMED) | is_rna(), F.lit("")).otherwise(F.concat(F.lit("_"), number.cast("string")))
-    gene_alias = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene", F.col("alias").alias("_ga"))
-    joined = rows.withColumn("_id", F.concat(prefix, "alias", tail)).join(gene_alias, ["ome", "gene"], "left")
+    gene_alias = F.when(F.col("gene").isNotNull(), F.min(F.when(F.col("type").isin(*NAMED), F.col("alias"))).over(_gene()))
+    joined = rows.withColumn("_id", F.concat(prefix, "alias", tail)).withColumn("_ga", gene_alias)
     parent = F.when(F.col("type").isin(*NAMED), F.lit(None)).when(is_rna(), F.concat(F.lit("gene_"), "_ga")).otherwise(F.concat(F.lit("RNA_"), "alias"))
     plain = set_attr(F.col("attributes"), "ID", F.col("_id"))
     named = F.when(parent.isNotNull(), set_attr(plain, "Parent", parent)).otherwise(plain)
     rank = F.when(F.col("type").isin(*NAMED), 0).when(is_rna(), 1).when(F.col("type") == "exon", 2).otherwise(3)
     first = F.min("start").over(W.partitionBy("ome", "seqid", "gene"))
     done = joined.withColumn("attributes", F.when(F.col("_id").isNull(), F.col("attributes")).otherwise(named)).withColumn("_f", first).withColumn("_k", rank)
-    return _like(done.repartition("ome").sortWithinPartitions("ome", "seqid", "_f", "gene", "_k", "start"), gff)
+    return _like(done.sortWithinPartitions("ome", "seqid", "_f", "gene", "_k", "start"), gff)
 
 
 def gtf_to_gff3(gtf: DataFrame, prefix: Column) -> DataFrame:
@@ -190,13 +246,13 @@ def gff2_to_gff3(gff: DataFrame) -> DataFrame:
 def add_models(new: DataFrame, ref: DataFrame) -> DataFrame:
     """New models completed and named ome_manualN, counted on from the reference's; a gene with several RNAs is an error."""
     top = ref.withColumn("k", F.regexp_extract(_id("Alias"), r"_manual(\d+)", 1).try_cast("int")).groupBy("ome").agg(F.max("k").alias("top"))
-    rows = resolve_parents(complete_models(new), keep_orphans=True)
-    genes = rows.where(F.col("type").isin(*NAMED)).select("ome", "gene", "row").join(top, "ome", "left")
-    many = rows.where(is_rna()).groupBy("ome", "gene").agg(F.count("*").alias("n"))
-    named = genes.join(many, ["ome", "gene"], "left").withColumn("k", F.coalesce("top", F.lit(0)) + F.row_number().over(W.partitionBy("ome").orderBy("row", "gene")))
-    alias = F.when(F.coalesce("n", F.lit(0)) > 1, F.raise_error(F.concat(F.lit("several RNAs of "), "gene"))).otherwise(F.concat("ome", F.lit("_manual"), F.col("k").cast("string")))
-    joined = rows.join(named.select("ome", "gene", alias.alias("alias")), ["ome", "gene"])
-    return _like(joined.withColumn("attributes", set_attr(F.col("attributes"), "Alias", F.col("alias"))), new)
+    named = F.col("type").isin(*NAMED)
+    rows = _models(_completed(_by_genome(new))).withColumn("_n", F.count(F.when(is_rna(), 1)).over(_gene())).withColumn("_named", named)
+    counted = rows.withColumn("_k", F.row_number().over(W.partitionBy("ome", "_named").orderBy("row", "gene"))).join(top, "ome", "left")
+    number = (F.coalesce("top", F.lit(0)) + F.col("_k")).cast("string")
+    alias = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several RNAs of "), "gene"))).otherwise(F.concat("ome", F.lit("_manual"), number))
+    joined = counted.withColumn("_alias", F.min(F.when(named & F.col("gene").isNotNull(), alias)).over(_gene())).where("_alias IS NOT NULL")
+    return _like(joined.withColumn("attributes", set_attr(F.col("attributes"), "Alias", F.col("_alias"))), new)
 
 
 def upsert_og_tags(tags: DataFrame, ogs: DataFrame, tag: str) -> DataFrame:
@@ -215,14 +271,22 @@ def annotate_og(gff: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def tag_query_features(gff: DataFrame, ids: DataFrame) -> DataFrame:
-    """``gff`` with ``tag``: the wanted id (id) a row has as ID or protein, handed on from parts to RNA and from RNA to gene."""
-    want = ids.select(F.col("id").alias("tag")).distinct()
-    rows = gff.withColumn("_id", _id()).withColumn("_p", _id("Parent")).withColumn("_q", F.coalesce(_id("protein_id"), _id("proteinId")))
-    by_id = rows.join(want, F.col("_id") == F.col("tag"), "left").withColumnRenamed("tag", "_t1")
-    now = by_id.join(want, F.col("_q") == F.col("tag"), "left").withColumn("tag", F.coalesce("_t1", "tag")).drop("_t1")
+    """``gff`` with ``tag``: the wanted id (id) a row has as ID or protein, handed on from parts to RNA and from RNA to gene.
+
+    Only names are looked up among the wanted ones; those found go to their genomes with the rows.
+    """
+    want = ids.select(F.col("id").alias("_want")).where("_want IS NOT NULL").distinct()
+    protein = F.coalesce(_id("protein_id"), _id("proteinId"))
+    names = gff.select("ome", F.explode(F.array_compact(F.array_distinct(F.array(_id(), protein)))).alias("_want"))
+    found = names.join(want, "_want", "left_semi").distinct()
+    rows = gff.withColumn("_want", F.lit(None).cast("string")).unionByName(found, allowMissingColumns=True)
+    met = _by_genome(rows).withColumns({"_id": _id(), "_p": _id("Parent"), "_q": protein})
+    wanted = F.col("_want")
+    for key, name in (("_id", "_t1"), ("_q", "_t2")):
+        met = _looked_up(met, F.col(key), wanted, {name: wanted})
+    now = met.where("_want IS NULL").withColumn("tag", F.coalesce("_t1", "_t2"))
     for _ in range(2):  # part to RNA, RNA to gene
-        up = now.where("tag IS NOT NULL AND _p IS NOT NULL").groupBy("ome", F.col("_p").alias("_id")).agg(F.min("tag").alias("_up"))
-        now = now.join(up, ["ome", "_id"], "left").withColumn("tag", F.coalesce("tag", "_up")).drop("_up")
+        now = _looked_up(now, F.col("_id"), F.col("_p"), {"_up": F.col("tag")}).withColumn("tag", F.coalesce("tag", "_up")).drop("_up")
     return now.select(*gff.columns, "tag")
 
 

@@ -179,3 +179,22 @@ def test_gc_is_printed_as_c_prints_it(spark):
     rows = spark.createDataFrame([("G" * g + "A" * (n - g), 100.0 * g / n) for g, n in pairs], "sequence string, x double")
     got = rows.select(C.gc_percent(F.col("sequence")).alias("gc"), "x").collect()
     assert [r["gc"] for r in got] == [f"{r['x']:.2f}%" for r in got]
+
+
+def test_curation_moves_rows_once(spark):
+    from genomeloom.operators import curate as Q
+
+    cols = "ome string, row int, seqid string, source string, type string, start long, end long, score string, strand string, phase string, attributes string"
+    made = [("g1", 0, "c", "x", "gene", 1, 90, ".", "+", ".", "ID=a"), ("g1", 1, "c", "x", "mRNA", 1, 90, ".", "+", ".", "ID=r;Parent=a"), ("g1", 2, "c", "x", "CDS", 1, 30, ".", "+", "0", "ID=c1;Parent=r;protein_id=p1"), ("g1", 3, "c", "x", "CDS", 50, 90, ".", "+", "0", "ID=c2;Parent=r;protein_id=p2"), ("g1", 4, "c", "x", "tRNA", 200, 290, ".", "+", ".", "ID=t")]
+    rows = spark.createDataFrame(made, cols)
+    steps = [Q.resolve_parents, Q.complete_models, Q.exons_from_introns, Q.split_isoforms, Q.assign_aliases, Q.rename_and_organise]
+    for step in steps:
+        text = plan(step(rows)).split("Initial Plan")[0]
+        assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text, step
+    text = plan(Q.tag_query_features(rows, spark.createDataFrame([("c1",)], "id string"))).split("Initial Plan")[0]
+    assert len(re.findall(r"Exchange hashpartitioning\(ome#\d+, 4\)", text)) == 1
+    tagged = Q.tag_query_features(rows, spark.createDataFrame([("p2",), ("c1",), ("c1",)], "id string")).collect()
+    assert {r["row"]: r["tag"] for r in tagged} == {0: "c1", 1: "c1", 2: "c1", 3: "p2", 4: None}
+    assert sorted((r["type"], r["attributes"]) for r in Q.complete_models(rows).collect() if "exon" in r["type"] or r["attributes"] == "ID=t") == [("exon", "ID=exon_c1_1;Parent=r"), ("exon", "ID=exon_c2_50;Parent=r"), ("gene", "ID=t"), ("tRNA", "ID=t")]
+    split = sorted(r["attributes"] for r in Q.split_isoforms(rows).collect() if r["type"] == "mRNA")
+    assert split == ["ID=a-T0;Parent=a;protein_id=p1", "ID=a-T1;Parent=a;protein_id=p2"]
