@@ -10,6 +10,7 @@ from genomeloom.operators import curate as Q
 from genomeloom.operators import features as X
 from genomeloom.operators import hits as H
 from genomeloom.operators import sequences as S
+from genomeloom.sources.shared import staged
 from genomeloom.sources.store import stored
 
 CLASS = "CASE WHEN type = 'gene' THEN 'gene' WHEN type = 'CDS' THEN 'cds' WHEN type = 'mRNA' THEN 'mrna' WHEN type = 'tRNA' THEN 'trna' WHEN contains(type, 'RNA') THEN 'rna' WHEN type = 'pseudogene' THEN 'pseudogene' END"
@@ -44,7 +45,13 @@ def _mixed(spark, sf_dir):
 
 
 def _pos(spark, sf_dir):
-    return X.gene_positions(_gff(spark, sf_dir))
+    return X.gene_positions(_gff(spark, sf_dir), spread=True)
+
+
+def _between(pos):
+    """From the third to the ninth gene of each contig."""
+    at = lambda k, name: pos.where(F.col("pos") == k).select(F.col("alias").alias(name), "ome", "seqid")
+    return X.locus_between(pos, at(3, "a").join(at(9, "b"), ["ome", "seqid"]).select("a", "b"))
 
 
 def _stats_sql() -> str:
@@ -104,7 +111,7 @@ b AS (SELECT f.alias AS focus, ome, seqid, min(CASE WHEN p."end" >= f."start" -
 SELECT focus, ome, seqid, alias, pos FROM pos JOIN b USING (ome, seqid) WHERE pos BETWEEN lo AND hi""",
     ),
     "w4_locus_between": (
-        lambda s, d: X.locus_between(_pos(s, d), _pos(s, d).where("pos = 3").select(F.col("alias").alias("a"), "ome", "seqid").join(_pos(s, d).where("pos = 9").select(F.col("alias").alias("b"), "ome", "seqid"), ["ome", "seqid"]).select("a", "b")),
+        lambda s, d: _between(staged(_pos(s, d).select("ome", "seqid", "alias", "pos"), "positions")),
         f"WITH {POS.strip()} SELECT a.alias AS a, b.alias AS b, ome, seqid, p.alias, p.pos FROM pos a JOIN pos b USING (ome, seqid) JOIN pos p USING (ome, seqid) WHERE a.pos = 3 AND b.pos = 9 AND p.pos BETWEEN 3 AND 9",
     ),
     "w5_locus_features": (
@@ -114,7 +121,7 @@ g AS (SELECT ome, {ALIAS} AS alias, type, "start", "end", strand, CASE WHEN cont
 SELECT focus, ome, seqid, alias, pos, type, "start", "end", strand FROM l JOIN g USING (ome, alias) QUALIFY row_number() OVER (PARTITION BY focus, ome, alias ORDER BY k, "start", type, "end") = 1""",
     ),
     "w6_trim_locus": (
-        lambda s, d: X.trim_locus(X.locus_by_genes(_pos(s, d), _focus(s, d), 8), domain(s, d, "genes").where("part % 3 = 0").select("alias", F.concat(F.lit("k"), F.col("part").cast("string")).alias("label"))),
+        lambda s, d: X.trimmed_loci(_pos(s, d), _focus(s, d), domain(s, d, "genes").where("part % 3 = 0").select("alias", F.concat(F.lit("k"), F.col("part").cast("string")).alias("label")), 8),
         f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 8),
 n AS (SELECT l.*, 'k' || part AS label FROM l LEFT JOIN (SELECT alias, part FROM {{genes}} WHERE part % 3 = 0) g USING (alias)),
 t AS (SELECT *, min(CASE WHEN label IS NOT NULL THEN pos END) OVER (PARTITION BY focus) AS lo, max(CASE WHEN label IS NOT NULL THEN pos END) OVER (PARTITION BY focus) AS hi FROM n)

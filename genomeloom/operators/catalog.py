@@ -169,13 +169,13 @@ def overlap_tables(ncbi: DataFrame, jgi: DataFrame, pairs: DataFrame, unique: Da
 def rename_codes(lines: DataFrame, names: DataFrame) -> DataFrame:
     """``lines`` (id, value) with genome codes of ``names`` (ome, name) replaced, a versioned code before its base, never a code that a digit follows.
 
-    Codes are cut out of the lines, joined with the names and put back, so neither side has to fit a task.
+    Names, a row a genome, go to every task. Lines are moved once, by id; codes are cut out of them, renamed and put back where they are.
     """
     pattern = r"[a-z.]{6}\d+(?:\.\d+)?"
     pieces = F.arrays_zip(F.split("value", pattern, -1).alias("gap"), F.regexp_extract_all("value", F.lit(pattern), F.lit(0)).alias("code"))
-    cut = lines.select("id", F.posexplode(pieces).alias("at", "x")).select("id", "at", F.col("x.gap").alias("gap"), F.col("x.code").alias("code"), F.regexp_replace("x.code", r"\.\d+$", "").alias("base"))
+    cut = lines.repartition("id").select("id", F.posexplode(pieces).alias("at", "x")).select("id", "at", F.col("x.gap").alias("gap"), F.col("x.code").alias("code"), F.regexp_replace("x.code", r"\.\d+$", "").alias("base"))
     one = names.dropDuplicates(["ome"])
-    met = cut.join(one.select(F.col("ome").alias("code"), F.col("name").alias("n1")), "code", "left").join(one.select(F.col("ome").alias("base"), F.col("name").alias("n2")), "base", "left")
+    met = cut.join(F.broadcast(one.select(F.col("ome").alias("code"), F.col("name").alias("n1"))), "code", "left").join(F.broadcast(one.select(F.col("ome").alias("base"), F.col("name").alias("n2"))), "base", "left")
     new = F.coalesce("n1", F.concat("n2", F.expr("substring(code, length(base) + 1)")), "code", F.lit(""))
     back = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.concat("gap", new).alias("t")))), lambda x: x["t"]), "")
     return met.groupBy("id").agg(back.alias("value"))

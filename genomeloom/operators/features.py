@@ -46,9 +46,12 @@ def with_alias(gff: DataFrame) -> DataFrame:
 def features_by_accession(gff: DataFrame, accessions: DataFrame) -> DataFrame:
     """Rows any of whose aliases is among ``accessions`` (alias), each once."""
     rows = with_alias(gff)
-    split = rows.withColumn("one", F.explode(F.array_distinct(F.split("alias", r"\|"))))
-    hit = split.join(accessions.select(F.col("alias").alias("one")).distinct(), "one", "left_semi")
-    return hit.drop("one").distinct()
+    split = rows.withColumn("all", F.array_distinct(F.split("alias", r"\|"))).withColumn("one", F.explode("all"))
+    asked = accessions.select(F.col("alias").alias("one")).distinct()
+    # equal rows of one alias are together already; only those of several aliases are moved once more
+    one = split.where(F.size("all") == 1).drop("all").join(asked, "one", "left_semi").distinct().drop("one")
+    more = split.where(F.size("all") > 1).drop("all").join(asked, "one", "left_semi").drop("one").distinct()
+    return one.unionByName(more)
 
 
 def coding_cds(gff: DataFrame) -> DataFrame:
@@ -75,15 +78,18 @@ def gene_model_errors(gff: DataFrame) -> DataFrame:
     return lost.unionByName(out)
 
 
-def gene_positions(gff: DataFrame) -> DataFrame:
+def gene_positions(gff: DataFrame, spread: bool = False) -> DataFrame:
     """(ome, seqid, alias, start, end, pos): genes of each contig in order, counted from 1.
 
+    ``spread`` moves a genome's rows together first, once for all that follows; tables stored by genome don't need it.
+
     Coordinates are those of the RNA rows; a gene gives its own, split at ``|``, only for
     aliases that no RNA of the genome carries. Ties in start are ordered by alias.
     """
     rows = with_alias(gff).where(F.col("alias").isNotNull() & (F.col("type").contains("RNA") | F.col("type").isin("gene", "pseudogene")))
     is_rna = F.col("type").contains("RNA")
     one = rows.select("ome", "seqid", F.explode(F.when(is_rna, F.array("alias")).otherwise(F.split("alias", r"\|"))).alias("alias"), is_rna.alias("rna"), F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"))
+    one = one.repartition("ome") if spread else one
     lo, hi = (F.when(F.col("rna"), F.col(c)) for c in ("lo", "hi"))
     spans = one.groupBy("ome", "seqid", "alias").agg(F.min(lo).alias("r0"), F.max(hi).alias("r1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     spans = spans.withColumn("any", F.max(F.col("r0").isNotNull()).over(W.partitionBy("ome", "alias"))).where(F.col("r0").isNotNull() | ~F.col("any"))
@@ -91,15 +97,20 @@ def gene_positions(gff: DataFrame) -> DataFrame:
     return both.withColumn("pos", F.row_number().over(W.partitionBy("ome", "seqid").orderBy("start", "alias")))
 
 
-def _focal(pos: DataFrame, accessions: DataFrame) -> DataFrame:
-    focal = pos.join(accessions.select("alias").distinct(), "alias", "left_semi")
-    return focal.select("ome", "seqid", F.col("alias").alias("focus"), F.col("pos").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
+def asked_positions(pos: DataFrame, accessions: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``pos`` with ``asked``: whether a gene is among ``accessions`` (alias); with ``labels`` (alias, label) also the list of a gene's labels, and how many places have its alias."""
+    marked = pos.join(accessions.select("alias").distinct().withColumn("asked", F.lit(True)), "alias", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    if labels is None:
+        return marked
+    own = labels.groupBy("alias").agg(F.collect_list("label").alias("labels"))
+    return marked.join(own, "alias", "left").withColumn("places", F.count("*").over(W.partitionBy("alias")))
 
 
 def locus_by_genes(pos: DataFrame, accessions: DataFrame, k: int = 10) -> DataFrame:
-    """(focus, ome, seqid, alias, pos): up to ``k`` genes on either side of each accession."""
-    near = _focal(pos, accessions).select("focus", "ome", "seqid", F.explode(F.sequence(F.col("p") - k, F.col("p") + k)).alias("pos"))
-    return pos.join(near, ["ome", "seqid", "pos"]).select("focus", "ome", "seqid", "alias", "pos")
+    """(focus, ome, seqid, alias, pos): up to ``k`` genes on either side of each accession, read from the contig's order."""
+    around = W.partitionBy("ome", "seqid").orderBy("pos").rangeBetween(-k, k)
+    near = asked_positions(pos, accessions).select("ome", "seqid", "alias", "pos", "asked").withColumn("near", F.collect_list(F.struct("alias", "pos")).over(around))
+    return near.where("asked").select(F.col("alias").alias("focus"), "ome", "seqid", F.explode("near").alias("x")).select("focus", "ome", "seqid", "x.alias", "x.pos")
 
 
 def _opened(pos: DataFrame, ends: DataFrame, *keys: str) -> DataFrame:
@@ -108,6 +119,24 @@ def _opened(pos: DataFrame, ends: DataFrame, *keys: str) -> DataFrame:
     return pos.select("ome", "seqid", "alias", "pos").join(near, ["ome", "seqid", "pos"]).select(*keys, "ome", "seqid", "alias", "pos")
 
 
+#: Places of a contig that are gathered at a time.
+PLACES = 16
+
+
+def _opened_here(rows: DataFrame) -> DataFrame:
+    """The genes of the places ``lo`` to ``hi`` of the rows that have them, as (focus, ome, seqid, alias, pos), where rows (ome, seqid, alias, pos, lo, hi) are together by contig: no row is moved.
+
+    A contig's places are gathered block by block, for the loci that touch the block.
+    """
+    block = lambda c: F.floor(F.col(c) / PLACES)
+    copy = lambda at, asks: F.struct(at.alias("block"), F.lit(asks).alias("asks"))
+    touched = F.when(F.col("lo") <= F.col("hi"), F.transform(F.sequence(block("lo"), block("hi")), lambda b: copy(b, True)))
+    copies = rows.select("*", F.explode(F.concat(F.array(copy(block("pos"), False)), F.coalesce(touched, F.array().cast("array<struct<block:bigint,asks:boolean>>")))).alias("_x")).select("*", "_x.*")
+    genes = F.collect_list(F.when(~F.col("asks"), F.struct("alias", "pos"))).over(W.partitionBy("ome", "seqid", "block"))
+    inside = copies.withColumn("_genes", genes).where("asks").select("ome", "seqid", F.col("alias").alias("focus"), "lo", "hi", F.explode("_genes").alias("x"))
+    return inside.where("x.pos BETWEEN lo AND hi").select("focus", "ome", "seqid", "x.alias", "x.pos")
+
+
 def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
     """The genes from the first that ends at or after start - n to the last that starts at or before end + n.
 
@@ -119,12 +148,14 @@ def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
     # equal coordinates: a question for the first place, then genes, then a question for the last place
     row = lambda at, rank, reached, started, ask: F.struct(at.alias("at"), F.lit(rank).alias("rank"), reached.alias("reached"), started.alias("started"), F.lit(ask).alias("ask"))
     none = F.lit(None).cast("int")
-    genes = pos.withColumn("reach", reach).select("ome", "seqid", F.lit(None).cast("string").alias("focus"), F.explode(F.array(row(F.col("reach"), 1, F.col("pos"), none, ""), row(F.col("start"), 1, none, F.col("pos"), ""))).alias("x"))
-    asked = _focal(pos, accessions).select("ome", "seqid", "focus", F.explode(F.array(row(F.col("s") - n, 0, none, none, "lo"), row(F.col("e") + n, 2, none, none, "hi"))).alias("x"))
+    own = F.array(row(F.col("reach"), 1, F.col("pos"), none, ""), row(F.col("start"), 1, none, F.col("pos"), ""))
+    asks = F.array(row(F.col("start") - n, 0, none, none, "lo"), row(F.col("end") + n, 2, none, none, "hi"))
+    rows = asked_positions(pos, accessions).select("ome", "seqid", "alias", "pos", "start", "end", "asked").withColumn("reach", reach)
+    events = rows.select("ome", "seqid", "alias", "pos", F.explode(F.when(F.col("asked"), F.concat(own, asks)).otherwise(own)).alias("x"))
     so_far = contig.orderBy("x.at", "x.rank").rowsBetween(W.unboundedPreceding, 0)
-    told = genes.unionByName(asked).select("ome", "seqid", "focus", F.col("x.ask").alias("ask"), (F.coalesce(F.max("x.reached").over(so_far), F.lit(0)) + 1).alias("first"), F.max("x.started").over(so_far).alias("last"))
-    ends = told.where("focus IS NOT NULL").groupBy("focus", "ome", "seqid").agg(F.max(F.when(F.col("ask") == "lo", F.col("first"))).alias("lo"), F.max(F.when(F.col("ask") == "hi", F.col("last"))).alias("hi"))
-    return _opened(pos, ends.where("lo <= hi"), "focus")
+    told = events.select("ome", "seqid", "alias", "pos", F.col("x.ask").alias("ask"), (F.coalesce(F.max("x.reached").over(so_far), F.lit(0)) + 1).alias("first"), F.max("x.started").over(so_far).alias("last"))
+    ends = told.groupBy("ome", "seqid", "alias", "pos").agg(F.max(F.when(F.col("ask") == "lo", F.col("first"))).alias("lo"), F.max(F.when(F.col("ask") == "hi", F.col("last"))).alias("hi"))
+    return _opened_here(ends)
 
 
 def locus_between(pos: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -139,8 +170,11 @@ def locus_between(pos: DataFrame, pairs: DataFrame) -> DataFrame:
 def locus_features(locus: DataFrame, gff: DataFrame) -> DataFrame:
     """One annotation row for each gene of a locus: an RNA row where there is one."""
     rows = with_alias(gff).where(F.col("type").contains("RNA") | F.col("type").isin("gene", "pseudogene")).select("ome", F.explode(F.split("alias", r"\|")).alias("alias"), "type", "start", "end", "strand")
-    best = W.partitionBy("focus", "ome", "alias").orderBy(F.when(F.col("type").contains("RNA"), 0).otherwise(1), "start", "type", "end")
-    return locus.join(rows, ["ome", "alias"]).withColumn("r", F.row_number().over(best)).where("r = 1").select("focus", "ome", "seqid", "alias", "pos", "type", "start", "end", "strand")
+    order = F.struct(F.when(F.col("type").contains("RNA"), 0).otherwise(1).alias("k"), "start", "type", "end", "strand")
+    # a gene's row is chosen once, not in each locus; the key of the join is also that of the count, so loci are moved once
+    best = rows.groupBy("ome", "alias").agg(F.min(order).alias("x"))
+    first = W.partitionBy("focus", "ome", "alias").orderBy("seqid", "pos")
+    return locus.join(best, ["ome", "alias"]).withColumn("r", F.row_number().over(first)).where("r = 1").select("focus", "ome", "seqid", "alias", "pos", "x.type", "x.start", "x.end", "x.strand")
 
 
 def trim_locus(locus: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,6 +186,23 @@ def trim_locus(locus: DataFrame, labels: DataFrame) -> DataFrame:
     return cut.select("focus", "ome", "seqid", "alias", "pos", F.coalesce("label", F.lit("na")).alias("label"))
 
 
+def trimmed_loci(pos: DataFrame, accessions: DataFrame, labels: DataFrame, k: int = 10) -> DataFrame:
+    """``trim_locus`` of ``locus_by_genes``: labels are found for genes, not for genes of loci, and a locus is cut before it is opened."""
+    around = W.partitionBy("ome", "seqid").orderBy("pos").rangeBetween(-k, k)
+    rows = asked_positions(pos, accessions, labels).select("ome", "seqid", "alias", "pos", "asked", "labels", "places")
+    near = rows.withColumn("near", F.collect_list(F.struct("alias", "pos", "labels")).over(around)).where("asked")
+    hits = F.transform(F.filter("near", lambda x: F.coalesce(F.size(x["labels"]), F.lit(0)) > 0), lambda x: x["pos"])
+    own = near.withColumns({"lo": F.array_min(hits), "hi": F.array_max(hits)})
+    cols = ["focus", "ome", "seqid", "near", "lo", "hi"]
+    named = own.withColumnRenamed("alias", "focus")
+    one = named.where("places = 1").select(*cols)
+    # an accession with several places has one locus over all of them
+    whole = W.partitionBy("focus")
+    more = named.where("places > 1").withColumns({"lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)}).select(*cols)
+    opened = one.unionByName(more).select("focus", "ome", "seqid", "lo", "hi", F.explode("near").alias("x")).where("x.pos BETWEEN lo AND hi")
+    return opened.select("focus", "ome", "seqid", "x.alias", "x.pos", F.explode(F.when(F.size("x.labels") > 0, F.col("x.labels")).otherwise(F.array(F.lit("na")))).alias("label"))
+
+
 def split_by_gap(pos: DataFrame, gap: int) -> DataFrame:
     """``pos`` with the number of the block on its contig; a new block starts where the gap to the gene before is larger."""
     order = W.partitionBy("ome", "seqid").orderBy("pos")
