@@ -198,3 +198,16 @@ def test_curation_moves_rows_once(spark):
     assert sorted((r["type"], r["attributes"]) for r in Q.complete_models(rows).collect() if "exon" in r["type"] or r["attributes"] == "ID=t") == [("exon", "ID=exon_c1_1;Parent=r"), ("exon", "ID=exon_c2_50;Parent=r"), ("gene", "ID=t"), ("tRNA", "ID=t")]
     split = sorted(r["attributes"] for r in Q.split_isoforms(rows).collect() if r["type"] == "mRNA")
     assert split == ["ID=a-T0;Parent=a;protein_id=p1", "ID=a-T1;Parent=a;protein_id=p2"]
+
+
+def test_loci_are_read_from_the_order_of_their_contig(spark):
+    pos = spark.createDataFrame([("g", "c", f"a{i}", 10 * i, 10 * i + 5, i) for i in range(1, 41)] + [("h", "d", "a2", 1, 5, 1), ("h", "d", "b", 11, 15, 2)], "ome string, seqid string, alias string, start long, end long, pos int")
+    asked = spark.createDataFrame([("a2",), ("a30",), ("a30",)], "alias string")
+    labels = spark.createDataFrame([("a4", "k"), ("a29", "k"), ("a31", "m"), ("a31", "n")], "alias string, label string")
+    near = X.locus_by_genes(pos, asked, 2)
+    # a place is nowhere joined
+    assert "pos#" not in " ".join(re.findall(r"Join .*", plan(near)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = sorted((f, o, s, a, p) for f in ("a2", "a30") for o, s, _, _, at in [("g", "c", 0, 0, int(f[1:]))] + ([("h", "d", 0, 0, 1)] if f == "a2" else []) for o2, s2, a, _, _, p in map(tuple, pos.collect()) if (o2, s2) == (o, s) and abs(p - at) <= 2)
+    assert rows(near) == want
+    assert rows(X.trimmed_loci(pos, asked, labels, 2)) == rows(X.trim_locus(near, labels))
