@@ -251,6 +251,20 @@ def test_supermatrix(spark):
         T.supermatrix(rows.union(spark.createDataFrame([("f1", "d", "A")], rows.schema)))[1].collect()
 
 
+def test_supermatrix_digests(spark):
+    """Length and SHA-256 of rows that are never gathered; pieces beyond ASCII, null pieces and a genome of null count as in the row."""
+    rows = [(f"f{k:03}", ome, f"{ome}{k}é") for k in range(300) for ome in ("a", "b", "c")] + [("f000", None, "AC"), ("f001", "a", None), ("f001", "a", "a0")]
+    table = spark.createDataFrame(rows, "file string, ome string, sequence string").repartition(7)
+    whole = T.supermatrix(table)[0]
+    want = {tuple(r) for r in whole.select("ome", F.length("sequence"), F.sha2("sequence", 256)).collect()}
+    got = T.supermatrix_digests(table)
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 4
+    assert T.supermatrix_digests(table.limit(0)).count() == 0
+    from genomeloom.jobs import registry
+
+    assert "collect_list" not in registry.QUERIES["t2_supermatrix"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_compare_loci(spark):
     """Two equal loci are merged, a locus of one query does not count, genes without a hit are listed without queries."""
     from genomeloom.operators.workflows import compare_loci
