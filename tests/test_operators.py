@@ -240,6 +240,26 @@ def test_linkage_against_brute_force(spark):
         assert {r["node"]: r["cluster"] for r in G.linkage_clusters(table, 0.6, method).collect()} == want
 
 
+def test_edges_stay(spark, monkeypatch):
+    """Edges given once are not moved; the forest of what tasks leave is that of all edges, however few a task holds; small components end in a task as by rounds."""
+    rng = random.Random(3)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))): rng.randrange(0, 8) / 10 for _ in range(700)}
+    hits = spark.createDataFrame([(*e, 100 * (1 - v)) for e, v in pairs.items()], "src long, dst long, pident double").repartition(5)
+    edges = G.distance_edges(hits, once=True)
+    moved = lambda rows: rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    assert moved(edges) == moved(hits)
+    left = G.thinned(edges)
+    assert left.count() < edges.count() / 2
+    whole = {frozenset((r["src"], r["dst"])) for r in G.spanning_forest(edges).collect()}
+    monkeypatch.setattr(G, "HELD", 10)
+    assert {frozenset((r["src"], r["dst"])) for r in G.spanning_forest(edges).collect()} == whole and len(whole) == 59
+    for method in ("average", "complete", "weighted"):
+        monkeypatch.setattr(G, "WITHIN", 1_000)
+        inside = {(r["node"], r["cluster"]) for r in G.linkage_clusters(edges, 0.3, method).collect()}
+        monkeypatch.setattr(G, "WITHIN", 1)
+        assert {(r["node"], r["cluster"]) for r in G.linkage_clusters(edges, 0.3, method).collect()} == inside and len(inside) > 50
+
+
 def test_supermatrix(spark):
     rows = spark.createDataFrame([("f1", "a", "AC"), ("f2", "a", "GGG"), ("f1", "b", "TT"), ("f2", "b", "CCC"), ("f1", "c", "AA")], "file string, ome string, sequence string")
     missing, many = T.alignment_completeness(rows)
