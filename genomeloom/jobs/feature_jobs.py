@@ -23,8 +23,8 @@ span AS (SELECT ome, seqid, alias, min(least("start", "end")) AS "start", max(gr
 pos AS (SELECT *, CAST(row_number() OVER (PARTITION BY ome, seqid ORDER BY "start", alias) AS INT) AS pos FROM span)"""
 
 
-def _gff(spark, sf_dir):
-    return domain(spark, sf_dir, "gff")
+def _gff(spark, sf_dir, **made):
+    return domain(spark, sf_dir, "gff", **made)
 
 
 def _stored_gff(spark, sf_dir):
@@ -44,8 +44,8 @@ def _mixed(spark, sf_dir):
     return rows.withColumn("row", F.struct("seqid", "start", "type", "attributes"))
 
 
-def _pos(spark, sf_dir):
-    return X.gene_positions(_gff(spark, sf_dir), spread=True)
+def _pos(spark, sf_dir, **made):
+    return X.gene_positions(_gff(spark, sf_dir, **made), spread=True)
 
 
 def _between(pos):
@@ -63,8 +63,9 @@ stats AS (SELECT ome, kind, total, n, mean, CASE WHEN round_even(n / 2, 0) = 0 T
 SELECT ome, {cols} FROM stats GROUP BY ome"""
 
 
-def _hits(spark, sf_dir):
-    return domain(spark, sf_dir, "hits").withColumn("row", F.struct("o", "n", "sseqid"))
+def _hits(spark, sf_dir, **made):
+    # o and n name a gene, so sseqid is not needed in the order
+    return domain(spark, sf_dir, "hits", **made).withColumn("row", F.struct("o", "n"))
 
 
 JOBS = {

@@ -78,10 +78,12 @@ def gene_model_errors(gff: DataFrame) -> DataFrame:
     return lost.unionByName(out)
 
 
-def gene_positions(gff: DataFrame, spread: bool = False) -> DataFrame:
+def gene_positions(gff: DataFrame, spread: bool | int = False, marks: DataFrame | None = None) -> DataFrame:
     """(ome, seqid, alias, start, end, pos): genes of each contig in order, counted from 1.
 
-    ``spread`` moves a genome's rows together first, once for all that follows; tables stored by genome don't need it.
+    ``spread`` moves a genome's rows together first, once for all that follows; tables stored by genome don't need it. A number is that
+    of the tasks, which then are not made fewer.
+    ``marks`` (ome, alias, mark) go there with them, and each gene gets the list of its own, without a join.
 
     Coordinates are those of the RNA rows; a gene gives its own, split at ``|``, only for
     aliases that no RNA of the genome carries. Ties in start are ordered by alias.
@@ -89,11 +91,19 @@ def gene_positions(gff: DataFrame, spread: bool = False) -> DataFrame:
     rows = with_alias(gff).where(F.col("alias").isNotNull() & (F.col("type").contains("RNA") | F.col("type").isin("gene", "pseudogene")))
     is_rna = F.col("type").contains("RNA")
     one = rows.select("ome", "seqid", F.explode(F.when(is_rna, F.array("alias")).otherwise(F.split("alias", r"\|"))).alias("alias"), is_rna.alias("rna"), F.least("start", "end").alias("lo"), F.greatest("start", "end").alias("hi"))
-    one = one.repartition("ome") if spread else one
+    if marks is not None:
+        known = marks.where("ome IS NOT NULL AND alias IS NOT NULL AND mark IS NOT NULL").select("ome", "alias", "mark", F.lit(False).alias("own"))
+        one = one.withColumn("own", F.lit(True)).unionByName(known, allowMissingColumns=True)
+    if spread or marks is not None:
+        one = one.repartition("ome") if isinstance(spread, bool) else one.repartition(spread, "ome")
     lo, hi = (F.when(F.col("rna"), F.col(c)) for c in ("lo", "hi"))
-    spans = one.groupBy("ome", "seqid", "alias").agg(F.min(lo).alias("r0"), F.max(hi).alias("r1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    spans = spans.withColumn("any", F.max(F.col("r0").isNotNull()).over(W.partitionBy("ome", "alias"))).where(F.col("r0").isNotNull() | ~F.col("any"))
-    both = spans.select("ome", "seqid", "alias", F.coalesce("r0", "lo").alias("start"), F.coalesce("r1", "hi").alias("end"))
+    spans = one.groupBy("ome", "seqid", "alias", *([] if marks is None else ["mark", "own"])).agg(F.min(lo).alias("r0"), F.max(hi).alias("r1"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    gene = W.partitionBy("ome", "alias")
+    spans = spans.withColumn("any", F.max(F.col("r0").isNotNull()).over(gene))
+    if marks is not None:
+        spans = spans.withColumn("marks", F.collect_list("mark").over(gene)).where("own")
+    spans = spans.where(F.col("r0").isNotNull() | ~F.col("any"))
+    both = spans.select("ome", "seqid", "alias", F.coalesce("r0", "lo").alias("start"), F.coalesce("r1", "hi").alias("end"), *([] if marks is None else ["marks"]))
     return both.withColumn("pos", F.row_number().over(W.partitionBy("ome", "seqid").orderBy("start", "alias")))
 
 

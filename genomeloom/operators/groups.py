@@ -7,13 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from genomeloom.functions import columns as C
+from genomeloom.operators.features import gene_positions
 from genomeloom.operators.presence import lacking, numbered, with_scalars
 from genomeloom.sources.shared import staged
 
 
 def build_homology_groups(pairs: DataFrame, omes: DataFrame | None = None, min_omes: int = 1) -> DataFrame:
     """(hg, gene, ome): groups of (rep, member) pairs, numbered from 0 by falling size, then representative."""
-    genes = pairs.select("rep", F.col("member").alias("gene")).union(pairs.select("rep", "rep")).distinct().withColumn("ome", C.ome_of(F.col("gene")))
+    # a group's rows are moved once to be told apart, and written: they are read for its size and for its number
+    once = pairs.select("rep", F.explode(F.when(F.col("member") == F.col("rep"), F.array("rep")).otherwise(F.array("member", "rep"))).alias("gene"))
+    genes = staged(once.repartition("rep").distinct(), "members").withColumn("ome", C.ome_of(F.col("gene")))
     usable = genes if omes is None else genes.join(omes.select("ome").distinct(), "ome", "left_semi")
     if min_omes > 1:
         wide = usable.groupBy("rep").agg(F.countDistinct("ome").alias("n")).where(F.col("n") >= min_omes)
@@ -60,16 +63,23 @@ def accessory_matrix(hg: DataFrame, core: DataFrame) -> DataFrame:
     return hg.join(core.select("hg"), "hg", "left_anti").select("ome", "hg").distinct()
 
 
-def hg_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, focal: DataFrame | None = None) -> DataFrame:
+def placed_groups(gff: DataFrame, hg: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``gene_positions`` with the group of each gene (hg, null where there is none); groups go to their genome with its rows, in one move, to ``tasks`` if given."""
+    placed = gene_positions(gff, tasks or True, hg.select("ome", F.col("gene").alias("alias"), F.col("hg").alias("mark")))
+    return placed.withColumn("hg", F.explode_outer("marks")).drop("marks")
+
+
+def hg_pairs(positions: DataFrame, hg: DataFrame | None, plusminus: int, focal: DataFrame | None = None) -> DataFrame:
     """(ome, hg0, hg1): pairs of different groups within w = 2 plusminus + 1 places on a contig of w genes or more; genes without a group take a place.
 
-    With ``focal`` (hg) only pairs that touch one of these groups are made.
+    With ``focal`` (hg) only pairs that touch one of these groups are made. Without ``hg`` the positions have it (``placed_groups``), and are not moved.
     """
     w = 2 * plusminus + 1
     contig = W.partitionBy("ome", "seqid")
-    own = hg.select("ome", F.col("gene").alias("alias"), "hg")
-    marked = own.withColumn("focal", F.lit(True)) if focal is None else own.join(focal.select("hg", F.lit(True).alias("focal")).distinct(), "hg", "left")
-    placed = positions.join(marked, ["ome", "alias"], "left")
+    placed = positions
+    if hg is not None:
+        placed = positions.join(hg.select("ome", F.col("gene").alias("alias"), "hg"), ["ome", "alias"], "left")
+    placed = placed.withColumn("focal", F.lit(True)) if focal is None else placed.join(focal.select("hg", F.lit(True).alias("focal")).distinct(), "hg", "left")
     group = F.when(F.col("hg").isNotNull(), F.struct("hg", F.coalesce("focal", F.lit(False)).alias("focal")))
     ahead = placed.withColumn("n", F.max("pos").over(contig)).withColumn("next", F.collect_list(group).over(contig.orderBy("pos").rowsBetween(1, w)))
     pairs = ahead.where((F.col("n") >= w) & F.col("hg").isNotNull()).select("ome", "hg", "focal", F.explode(F.array_distinct("next")).alias("other")).where("hg <> other.hg AND (focal OR other.focal)")
@@ -78,8 +88,10 @@ def hg_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, focal: DataFra
 
 def supported(hg: DataFrame, min_omes: int) -> DataFrame:
     """Rows of the groups in more than ``min_omes`` genomes: no other group can be in a pair of so many."""
-    wide = hg.groupBy("hg").agg(F.countDistinct("ome").alias("n")).where(F.col("n") > min_omes)
-    return hg.join(wide.select("hg"), "hg", "left_semi")
+    before = F.lag("ome").over(W.partitionBy("hg").orderBy("ome"))
+    new = F.when(F.col("ome").isNotNull() & (before.isNull() | (before != F.col("ome"))), 1)
+    counted = hg.where("hg IS NOT NULL").withColumn("_new", new).withColumn("_n", F.count("_new").over(W.partitionBy("hg")))
+    return counted.where(F.col("_n") > min_omes).drop("_new", "_n")
 
 
 def frequent_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, min_omes: int = 2) -> DataFrame:
@@ -88,10 +100,8 @@ def frequent_pairs(positions: DataFrame, hg: DataFrame, plusminus: int, min_omes
 
 
 def cooccurrence(pairs: DataFrame, min_omes: int = 2) -> DataFrame:
-    """(hg0, hg1, n_omes, omes): pairs in more than ``min_omes`` genomes; genomes are gathered only for those."""
-    pairs = staged(pairs, "pairs")
-    n = pairs.groupBy("hg0", "hg1").agg(F.count("*").alias("n_omes")).where(F.col("n_omes") > min_omes)
-    kept = pairs.join(n.select("hg0", "hg1"), ["hg0", "hg1"], "left_semi")
+    """(hg0, hg1, n_omes, omes): pairs in more than ``min_omes`` genomes; genomes are gathered only for those, where the pairs were moved to be counted."""
+    kept = pairs.withColumn("_n", F.count("*").over(W.partitionBy("hg0", "hg1"))).where(F.col("_n") > min_omes)
     return kept.groupBy("hg0", "hg1").agg(F.count("*").alias("n_omes"), F.array_join(F.array_sort(F.collect_set("ome")), ",").alias("omes"))
 
 

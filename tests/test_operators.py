@@ -299,6 +299,20 @@ def test_compare_loci(spark):
     assert compare_loci(table.limit(0), pos, 100).count() == 0
 
 
+def test_placed_groups(spark):
+    """Genes get their groups in the move that brings a genome's rows together: the same rows as by a join, a gene of two groups twice, and no more moves for pairs."""
+    gff = spark.createDataFrame([(f"o{g}", f"c{k % 2}", "gene" if k % 3 else "mRNA", k * 10, k * 10 + 5, f"ID=x;Alias=o{g}_{k}") for g in range(3) for k in range(20)], "ome string, seqid string, type string, start long, end long, attributes string")
+    hg = spark.createDataFrame([(k % 4, f"o{g}_{k}", f"o{g}") for g in range(3) for k in range(0, 20, 2)] + [(9, "o1_2", "o1"), (9, "none_1", "none"), (None, "o1_3", "o1")], "hg long, gene string, ome string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    plain = X.gene_positions(gff)
+    placed = A.placed_groups(gff, hg, 3)
+    want = plain.join(hg.select("ome", F.col("gene").alias("alias"), "hg"), ["ome", "alias"], "left").select(*placed.columns)
+    assert rows(placed) == rows(want) and ("o1", "c0", "o1_2", 20, 25, 2, 9) in rows(placed)
+    pairs = A.hg_pairs(placed, None, 2)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(pairs) == rows(A.hg_pairs(plain, hg, 2)) and rows(A.supported(hg, 2)) == rows(hg.where("hg < 4"))
+
+
 def test_update_catalog(spark):
     """A new version takes the place of the old one; what failed before, gets no code or has no files is told apart."""
     from genomeloom.operators.workflows import update_catalog
