@@ -76,10 +76,9 @@ def hg_pairs(positions: DataFrame, hg: DataFrame | None, plusminus: int, focal:
     """
     w = 2 * plusminus + 1
     contig = W.partitionBy("ome", "seqid")
-    placed = positions
-    if hg is not None:
-        placed = positions.join(hg.select("ome", F.col("gene").alias("alias"), "hg"), ["ome", "alias"], "left")
-    placed = placed.withColumn("focal", F.lit(True)) if focal is None else placed.join(focal.select("hg", F.lit(True).alias("focal")).distinct(), "hg", "left")
+    own = positions if hg is None else hg.select("ome", F.col("gene").alias("alias"), "hg")
+    marked = own.withColumn("focal", F.lit(True)) if focal is None else own.join(focal.select("hg", F.lit(True).alias("focal")).distinct(), "hg", "left")
+    placed = marked if hg is None else positions.join(marked, ["ome", "alias"], "left")
     group = F.when(F.col("hg").isNotNull(), F.struct("hg", F.coalesce("focal", F.lit(False)).alias("focal")))
     ahead = placed.withColumn("n", F.max("pos").over(contig)).withColumn("next", F.collect_list(group).over(contig.orderBy("pos").rowsBetween(1, w)))
     pairs = ahead.where((F.col("n") >= w) & F.col("hg").isNotNull()).select("ome", "hg", "focal", F.explode(F.array_distinct("next")).alias("other")).where("hg <> other.hg AND (focal OR other.focal)")
