@@ -2,9 +2,9 @@
 
 Method. Benchmark items and corpus passages (windows of WINDOW words every STRIDE)
 are TF-IDF vectors over the items' words; document frequencies are counted over all
-passages of all documents. A distributed randomised SVD of the matrix of corpus passages and
-items gives a latent space of at most RANK dimensions; its passages are those of at most
-SAMPLE_DOCS documents, the first by a hash, together as heavy as the items. Every passage is folded into it and compared
+passages of all documents. A distributed randomised SVD of the matrix of all passages of all
+documents and of the items, the passages together as heavy as the items, gives a latent space
+of at most RANK dimensions. Every passage is folded into it and compared
 by cosine with every item and, for items longer than a passage, with every piece of them
 (windows of WINDOW words every STRIDE, as passages are); pairs at MIN_COSINE or more, and
 with MIN_COVER of the weight of the item or piece in the passage, are candidates. A candidate is
@@ -41,10 +41,8 @@ from genomeloom.llm import textkernel as tk
 from genomeloom.sources.shared import staged, table
 
 WINDOW, STRIDE = 32, 16
-RANK, POWER_ROUNDS, SEED = 64, 1, 20_011
-SAMPLE_DOCS = 1_000
-#: Cells of a dense matrix at a time.
-DENSE = 1 << 22
+RANK, SPARE_RANK, SEED = 64, 32, 20_011
+GRAM_SLICES, GRAM_SALTS = 8, 64
 STOP_SHARE, LEAST_WORDS = 0.05, 4
 MIN_COSINE = 0.45
 #: Of the weight of an item or piece, the least share that a passage must hold; half an item over two passages still passes.
@@ -77,9 +75,10 @@ MARKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 def _word_hashes(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a slice without the ASCII marks at their edges, and the first of each row; words of marks alone are none."""
     start, end, first = tk.words(data, rows)
+    lead, trail = np.flatnonzero(MARKS[data[start]]), np.flatnonzero(MARKS[data[end - 1]])
     ink = np.append(np.flatnonzero(~MARKS[data]), len(data))
-    start = ink[np.searchsorted(ink, start)]
-    end = np.append(-1, ink)[np.searchsorted(ink, end)] + 1
+    start[lead] = ink[np.searchsorted(ink, start[lead])]
+    end[trail] = np.append(-1, ink)[np.searchsorted(ink, end[trail])] + 1
     kept = start < end
     return tk.span_hashes(data, start[kept], end[kept]), np.append(0, np.cumsum(kept))[first]
 
@@ -146,67 +145,85 @@ def _indexed(index: Index) -> Index:
     return Index(index.ids, index.items, index.words[needed], weight[needed])
 
 
-def _rows_of(items: list[np.ndarray], words: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of unit length, dense: for one batch of items."""
-    out = np.zeros((len(items), len(words)), np.float64)
-    for r, own in enumerate(items):
-        at = np.minimum(np.searchsorted(words, own), len(words) - 1)
-        np.add.at(out[r], at[words[at] == own], 1.0)
-    out *= weight
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+def _halves(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(half of each word at ``at``, first half of each passage, number of halves): a passage is two runs of STRIDE words, the second also the next one's first."""
+    n = np.diff(first)
+    per_row = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+    base = np.append(0, np.cumsum(per_row + 1))
+    row = np.searchsorted(first, at, "right") - 1
+    passage = np.repeat(base[:-1] - np.append(0, np.cumsum(per_row)[:-1]), per_row) + np.arange(per_row.sum())
+    return base[row] + (at - first[row]) // STRIDE, passage, int(base[-1])
+
+
+def _summed(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their ascending group."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(groups):
+        start = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+        out[groups[start]] = np.add.reduceat(values, start, axis=0)
+    return out
 
 
-def _word_rows(texts: DataFrame, passages: bool) -> DataFrame:
-    """(words) of each text, or of each of its passages."""
+def _gram_part(number: np.ndarray, half: np.ndarray, passage: np.ndarray, halves: int, index: Index, basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """(A'A basis, rows) for the rows A that ``_halves`` names: the weights of a passage's words over the root of the sum of their squares."""
+    weighted = (basis * index.weight[:, None]).astype(np.float32)
+    part = _summed(weighted[number], half, halves)
+    square = np.bincount(half, index.weight[number] ** 2, halves)
+    norm = square[passage] + square[passage + 1]
+    full = norm > 0
+    rows = (part[passage[full]] + part[passage[full] + 1]) / norm[full][:, None].astype(np.float32)
+    back = np.zeros_like(part)
+    back[passage[full]] += rows
+    back[passage[full] + 1] += rows
+    order = np.argsort(number, kind="stable")
+    return _summed(back[half[order]], number[order], len(basis)) * index.weight[:, None], int(full.sum())
 
-    def rows(batches):
-        for batch in batches:
-            for _, _, data, bounds in tk.slices(batch.column(0)):
-                hashes, first = _word_hashes(data, bounds)
-                _, start, end = _windows(first) if passages else (None, first[:-1], first[1:])
-                for some in np.array_split(np.arange(len(start)), 1 + len(start) // 4096):
-                    parts = [hashes[start[i] : end[i]] for i in some]
-                    yield pa.record_batch([tk.list_array(np.concatenate([*parts, np.zeros(0, tk.U)]).view(np.int64), [len(x) for x in parts], pa.int64())], names=["words"])
-
-    return texts.mapInArrow(rows, "words array<long>").where(F.size("words") > 0)
 
+def _corpus_gram(docs: DataFrame, index: Index, basis: np.ndarray) -> tuple[np.ndarray, int]:
+    """(A'A basis, rows) for the passages of all documents, added up in tasks."""
+    cuts = np.array_split(np.arange(len(basis)), GRAM_SLICES)
 
-def _summed(rows: DataFrame, make, shape: tuple[int, int]) -> np.ndarray:
-    """Sum over all batches of ``rows`` (words, share) of the matrix that ``make`` gives for word lists and shares."""
-    step = max(1, DENSE // max(1, shape[0]))
-
-    def partial(batches):
-        total = np.zeros(shape)
+    def multiply(batches):
+        total, rows, find = np.zeros(basis.shape), 0, _known(index.words)
         for batch in batches:
-            lists, share = batch.column(0), batch.column(1).to_numpy()
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for lo in range(0, batch.num_rows, step):
-                some = range(lo, min(lo + step, batch.num_rows))
-                total += make([flat[at[i] : at[i + 1]] for i in some], share[lo : some.stop])
-        yield pa.record_batch([pa.array(np.arange(shape[0])), pa.array(list(total), pa.list_(pa.float64()))], names=["row", "v"])
-
-    cells = rows.select("words", "share").mapInArrow(partial, "row long, v array<double>").select("row", F.posexplode("v").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x"))
-    out = np.zeros(shape)
-    lines = cells.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "x"))), lambda c: c["x"]).alias("v"))
-    for row in lines.toLocalIterator():
-        out[row["row"]] = row["v"]
-    return out
-
-
-def _fit(rows: DataFrame, index: Index) -> None:
-    """Randomised SVD of ``rows`` (words, share): range finding by A'A, then the small eigenproblem of the projected Gram matrix."""
-    words, weight = index.words, index.weight
-    rank = min(RANK, len(words))
-    basis = np.random.default_rng(SEED).standard_normal((len(words), rank))
-    scaled = lambda x, share: _rows_of(x, words, weight) * share[:, None]
-    for _ in range(1 + POWER_ROUNDS):
-        wide = _summed(rows, lambda x, share, b=basis: (a := scaled(x, share)).T @ (a @ b), (len(words), rank))
-        basis = np.linalg.qr(wide)[0]
-    gram = _summed(rows, lambda x, share, b=basis: (y := scaled(x, share) @ b).T @ y, (basis.shape[1], basis.shape[1]))
-    _, turn = np.linalg.eigh(gram)
-    space = basis @ turn[:, ::-1]
-    index.latent = (space * weight[:, None]).astype(np.float32)
+            for _, _, data, bounds in tk.slices(batch.column(0)):
+                hashes, first = _word_hashes(data, bounds)
+                at, number = find(hashes)
+                some, n = _gram_part(number, *_halves(first, at), index, basis)
+                total += some
+                rows += n
+        yield pa.record_batch([pa.array(range(GRAM_SLICES), pa.int32()), pa.array([rows if i == 0 else 0 for i in range(GRAM_SLICES)], pa.int64()), pa.array([total[c].tobytes() for c in cuts], pa.binary())], names=["slice", "rows", "sums"])
+
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.float64) for x in parts.column("sums"))
+        return pa.table({"slice": pa.array([parts.column("slice")[0].as_py()], pa.int32()), "rows": pa.array([sum(parts.column("rows").to_pylist())], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, rows long, sums binary"
+    found = docs.select(F.lower("text").alias("text")).mapInArrow(multiply, schema).withColumn("salt", F.spark_partition_id() % GRAM_SALTS)
+    sums = found.groupBy("slice", "salt").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    out, rows = np.zeros(basis.shape), 0
+    for r in sums.toLocalIterator():
+        out[cuts[r["slice"]]] = np.frombuffer(r["sums"], np.float64).reshape(-1, basis.shape[1])
+        rows += r["rows"]
+    return out, rows
+
+
+def _fit(docs: DataFrame, index: Index) -> None:
+    """Randomised SVD of all passages and items, both sides equally heavy: the Gram matrix times a random basis in one pass, and from both its leading vectors (Nystroem)."""
+    words = len(index.words)
+    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((words, min(RANK + SPARE_RANK, words))))[0]
+    own = np.concatenate(index.items)
+    at = np.minimum(np.searchsorted(index.words, own), words - 1)
+    known = np.flatnonzero(index.words[at] == own)
+    # an item is one row: two halves, of which the second is empty
+    half = 2 * np.repeat(np.arange(len(index.items)), [len(x) for x in index.items])[known]
+    items, n_items = _gram_part(at[known], half, 2 * np.arange(len(index.items)), 2 * len(index.items), index, basis)
+    passages, n_passages = _corpus_gram(docs, index, basis)
+    wide = items + passages * (n_items / max(1, n_passages))
+    power, turn = np.linalg.eigh((basis.T @ wide + wide.T @ basis) / 2)
+    sure = power > 1e-9 * max(power[-1], 1e-300)
+    space = np.linalg.svd(wide @ (turn[:, sure] / np.sqrt(power[sure])), full_matrices=False)[0][:, :RANK]
+    index.latent = (space * index.weight[:, None]).astype(np.float32)
     _place(index)
 
 
@@ -296,8 +313,8 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
                     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
                     for base in range(0, len(index.vectors), BLOCK_VECTORS):
                         likeness = vectors @ index.vectors[base : base + BLOCK_VECTORS].T
-                        least = np.maximum(MIN_COSINE * np.maximum(norm, 1e-3)[:, None], MIN_COVER * index.sizes[base : base + BLOCK_VECTORS])
-                        for w, v in zip(*np.nonzero(likeness >= least), strict=True):
+                        like = np.stack(np.nonzero(likeness >= (MIN_COSINE * np.maximum(norm, 1e-3))[:, None]))
+                        for w, v in like[:, likeness[like[0], like[1]] >= MIN_COVER * index.sizes[base + like[1]]].T:
                             i, p = index.owner[base + v], some[w]
                             region = hashes[max(first[row[p]], start[p] - index.before[base + v]) : min(first[row[p] + 1], end[p] + index.after[base + v])]
                             share, closing, sure = confirmed(index.items[i], region)
@@ -310,13 +327,6 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.lower("text").alias("text")).where(F.col("doc_id").isNotNull()).mapInArrow(hits, "doc_id long, item_id long, cosine double, item_share double, answer_share double")
 
 
-def _sample(docs: DataFrame) -> DataFrame:
-    """(words) of the passages of SAMPLE_DOCS documents."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    some = texts.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    return staged(_word_rows(texts.join(F.broadcast(some), "doc_id").select("text"), True), "passages")
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, cosine, item_share, answer_share) of every document passage confirmed to hold an item."""
     spark = docs.sparkSession
@@ -325,8 +335,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     vectors = items.agg(F.sum(F.lit(1) + F.size(F.split("text", r"\s+")) / STRIDE)).first()[0] or 0
     blocks = -int(-vectors // BLOCK_VECTORS)
     found = spark.createDataFrame([], "doc_id long, item_id long, cosine double, item_share double, answer_share double")
-    passages = _sample(docs)
-    n_passages = passages.count()
     for k in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         held = own.toArrow()
@@ -336,8 +344,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             continue
         words = np.unique(np.concatenate([lists[i] for i in full]))
         index = _indexed(Index(held.column("item_id").to_numpy()[full], [lists[i] for i in full], words, _weights(docs, words)))
-        rows = _word_rows(own.select("text"), False).withColumn("share", F.lit(1.0)).unionByName(passages.withColumn("share", F.lit(float(np.sqrt(len(full) / max(1, n_passages))))))
-        _fit(rows, index)
+        _fit(docs, index)
         found = found.unionByName(_search(docs, index))
     return found.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("item_share").alias("item_share"), F.max("answer_share").alias("answer_share"))
 

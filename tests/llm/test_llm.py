@@ -264,6 +264,26 @@ def test_decontamination_recall_of_paraphrases(spark):
     assert len(want) >= 50 and len(got & want) >= 0.9 * len(want) and all(i == d for d, i in got)
 
 
+def test_decontamination_space_takes_in_all_documents(spark, monkeypatch):
+    """More documents than a sample of 1,000 has, against dense matrices of all of their passages."""
+    rng = random.Random(73)
+    texts = [*(prose(rng, rng.choice([0, 1, 15, 16, 17, 31, 32, 33, 48, 49, 70]), 90) for _ in range(1400)), None, ""]
+    items = [prose(rng, 20, 60) for _ in range(5)]
+    seen = []
+    monkeypatch.setattr(decontaminate, "_corpus_gram", lambda docs, index, basis, f=decontaminate._corpus_gram: seen.append((index, basis, f(docs, index, basis))) or seen[-1][2])
+    decontaminate.contaminated(docs(spark, *texts).repartition(5), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).count()
+    index, basis, (got, rows) = seen[0]
+    dense = []
+    for words in decontaminate._hashed(pa.array(texts)):
+        _, start, end = decontaminate._windows(np.array([0, len(words)]))
+        for x in (words[i:j] for i, j in zip(start, end, strict=True)):
+            own = np.searchsorted(index.words, x[np.isin(x, index.words)])
+            row = np.bincount(own, minlength=len(index.words)) * index.weight
+            dense.append(row / max(1e-9, np.sqrt((index.weight[own] ** 2).sum())))
+    dense = np.array([x for x in dense if x.any()])
+    assert rows == len(dense) > 1400 and np.allclose(got, dense.T @ (dense @ basis), rtol=1e-4, atol=1e-4)
+
+
 def test_decontamination_ignores_marks(spark):
     """Items whose words are followed or enclosed by other marks than in the benchmark, repeated documents and items, very long texts."""
     rng = random.Random(72)
