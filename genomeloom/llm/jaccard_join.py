@@ -16,7 +16,7 @@ are named by what they differ in from it (the symmetric difference of two docume
 differences is that of their sets), and after a correction by what most of them differ
 in, the links of a pivot's documents follow from sums over short lists, see
 ``_pivot_links``. Links are contracted to components, and tiles whose members are all of
-one component drop out. The rounds only save work: afterwards the pairs of *different*
+one component drop out; tiles of few members take part in the first round only. The rounds only save work: afterwards the pairs of *different*
 components and pivots in what is left are compared inside the join of a tile with itself,
 whose condition holds the bounds, and there the members of a tile's largest component
 meet only the others. A link inside a component would change nothing. So groups of copies
@@ -52,6 +52,8 @@ SKETCH_BITS, SKETCH_SLICES, SKETCH_SALTS = 22, 16, 64
 MIN_BITS, MAX_BITS = 64, 8192
 #: Rounds of pivots at most, and bits of 64 that a pivot's signature may differ in.
 ROUNDS, NEAR_BITS = 2, 20
+#: Tiles of at most so many members take part in the first round only: comparing all of their pairs takes less than another round.
+SMALL_TILE = 4
 NAMED_BITS = 22
 
 
@@ -292,11 +294,16 @@ def _pivots(tiles: DataFrame, turn: int, least: Fraction) -> DataFrame:
     return staged(near.groupBy("doc_id").agg(F.min(F.struct("c.h", "c.doc_id")).alias("m")).select("doc_id", F.col("m.doc_id").alias("pivot")), "pivots")
 
 
+def _placed(tiles: DataFrame, components: DataFrame) -> DataFrame:
+    """``tiles`` with the component of each member; ``components`` has (node, component)."""
+    return tiles.drop("component").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def _mixed(tiles: DataFrame, components: DataFrame) -> DataFrame:
-    """Tiles whose members stand in several components, with component; ``components`` has (node, component)."""
-    rows = tiles.drop("component").join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = rows.groupBy("key", "tile").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key", "tile")
-    return rows.join(several, ["key", "tile"], "left_semi")
+    """Tiles whose members stand in several components, with component and number of members; ``components`` as for ``_placed``."""
+    rows = _placed(tiles.drop("members"), components)
+    several = rows.groupBy("key", "tile").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")).where("c0 < c1").select("key", "tile", "members")
+    return rows.join(several, ["key", "tile"])
 
 
 def _rest(tiles: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -331,14 +338,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, similarity: str = "0.8") ->
     links = staged(of_id.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct(), "links")
     tiles = _tiles(sets, classes).withColumn("component", F.col("doc_id"))
     tiles = staged(tiles.withColumns({f"p{turn}": F.lit(None).cast("long") for turn in range(ROUNDS)}), "tiles")
+    small = []
     for turn in range(ROUNDS):
         pivots = _pivots(tiles, turn, least)
         # what is linked so far enters the next contraction as stars, not as links
         stars = connected_components(links.unionByName(_pivot_links(_differences(pivots, docs, k), least)), "a", "b")
         links = stars.toDF("a", "b")
         placed = tiles.drop(f"p{turn}").join(pivots.withColumnRenamed("pivot", f"p{turn}"), "doc_id", "left")
-        tiles = staged(_mixed(placed, stars), "tiles")
-    links = links.unionByName(_links(_rest(tiles, sets, least), docs, k, least))
+        mixed = staged(_mixed(placed, stars), "tiles")
+        small.append(mixed.where(F.col("members") <= SMALL_TILE))
+        tiles = mixed.where(F.col("members") > SMALL_TILE)
+    left = reduce(DataFrame.unionByName, small, tiles).drop("members")
+    links = links.unionByName(_links(_rest(_placed(left, links.toDF("node", "component")), sets, least), docs, k, least))
     final = staged(connected_components(links, "a", "b"), "components")
     named = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     return sets.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

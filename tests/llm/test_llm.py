@@ -150,6 +150,21 @@ def test_jaccard_of_copies_around_the_limit(spark):
         assert len({c for _, c in want}) > 5
 
 
+def test_jaccard_of_chance_meetings(spark, monkeypatch):
+    """Documents that share a line by chance stay out of the second round; the components are those of brute force."""
+    rng = random.Random(74)
+    texts = [prose(rng, 60, 10**6) for _ in range(80)]
+    texts = [f"{t} {prose(random.Random(7400 + i // 2), 9, 10**6)}" for i, t in enumerate(texts)]
+    texts += [f"{' '.join(t.split()[:-1])} other" for t in texts[:20]]
+    met = []
+    monkeypatch.setattr(jaccard_join, "_pivots", lambda tiles, turn, least, f=jaccard_join._pivots: met.append(tiles.count()) or f(tiles, turn, least))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs(spark, *texts), 4, "0.85").collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    low = {i: min(j for j in range(len(sets)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in range(len(sets))}
+    assert got == low and sum(i != j for i, j in low.items()) == 20
+    assert met[0] > 100 and met[1:] == [0]
+
+
 def test_jaccard_of_repeated_ids(spark):
     """One doc_id on two texts links what both link with; each row keeps its size."""
     rng = random.Random(42)
