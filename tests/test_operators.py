@@ -47,6 +47,23 @@ def test_components_match_brute_force(spark):
     assert got == {x: find(x) for x in linked}
 
 
+def test_components_of_few_edges_take_no_rounds(spark, monkeypatch):
+    """A chain that one task holds is written once; contracted in tasks of few edges, or with texts as nodes, it gives the same."""
+    from genomeloom.operators import components
+
+    written, plain = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name: written.append(name) or plain(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(400 + i, 401) for i in range(9)], "src long, dst int").coalesce(1)
+    found = lambda edges: {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    want = {i: 0 for i in range(301)} | {400 + i: 400 for i in range(9)}
+    assert found(chain) == want and len(written) == 1
+    assert found(chain.limit(0)) == {}
+    monkeypatch.setattr(components, "HELD", 8)
+    assert found(chain.repartition(4)) == want
+    texts = chain.limit(20).select(F.format_string("%03d", "src").alias("src"), F.format_string("%03d", "dst").alias("dst"))
+    assert found(texts) == {f"{i:03d}": "000" for i in range(21)}
+
+
 def test_linkage(spark):
     e = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.3), (1, 3, 0.9), (8, 9, 0.2)], "src int, dst int, dist double")
     of = lambda m: {r["node"]: r["cluster"] for r in G.linkage_clusters(e, 0.5, m).collect()}
