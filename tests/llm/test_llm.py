@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -452,6 +453,26 @@ def test_perplexity_against_brute_force(spark):
         assert got[i]["kept"] == (len(t.split()) < perplexity.MIN_WORDS or want[i] <= limit)
 
 
+def test_perplexity_in_many_blocks(spark, monkeypatch):
+    """Blocks, shards and parts do not show in the result; null ids and repeated ids keep their rows; shuffle files go with their query."""
+    rng = random.Random(38)
+    texts = [prose(rng, rng.randrange(0, 80), 60) for _ in range(120)]
+    table = docs(spark, *texts, *ODD).unionByName(docs(spark, texts[7], "w1 w2").withColumn("doc_id", F.when(F.col("doc_id") == 0, 7)))
+    ids = spark.range(100).select(F.col("id").alias("doc_id"))
+    rows = lambda: sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], round(r["perplexity"] or 0, 6)) for r in perplexity.perplexities(table, ids).collect())
+    one = rows()
+    assert len(one) == table.count() and one[0][:2] == (-1, 2)
+    of = kneser_ney([*texts[:100], texts[7]])
+    assert all(abs(p - of(texts[i])) < 1e-5 * p for i, n, p in one if 0 <= i < 120 and n)
+    monkeypatch.setattr(perplexity, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(perplexity, "DEAL_BYTES", 3000)
+    assert rows() == one
+    files = lambda: sum(1 for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data"))
+    before = files()
+    perplexity.staged(table.groupBy("lang").count(), "counts", tidy=True)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_perplexity_sums_to_one(spark):
     model = perplexity.train(spark.createDataFrame([("a b c a b d a c",), ("b a b c",)], "text string"))
     for t in model.tables.values():
