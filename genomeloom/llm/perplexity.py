@@ -10,9 +10,9 @@ at most that quantile of its language which HELD_OUT trusted documents (a fifth,
 trained on) set, with some slack for what few of them can tell.
 
 The model is trained on all trusted documents that aren't held out and is never collected:
-the distinct n-grams of the documents are joined with the tables of shares and weights, all
-sharded by the hash of the n-gram, and each document sums up its own n-grams. Thresholds take in every held-out
-trusted document, perplexities every document. Texts, like n-grams, are told apart by 64-bit hashes.
+blocks of documents send their distinct n-grams, packed, to shards by the hash of the n-gram, which sum up
+what all blocks have learnt and tell each block the counts of what it asked for; see ``perplexities``. Thresholds take in every held-out
+trusted document, perplexities every document. Words and pairs of words are told apart by 64-bit hashes, the words next to one pair by 36 bits.
 
 Defined cases. Null or wordless text, or fewer than MIN_WORDS words: kept is true, for
 nothing can be said (perplexity null without words). Null language: a language of its
@@ -164,7 +164,7 @@ def train(trusted: DataFrame) -> Model:
 
 
 #: Characters of text in a block of documents, and text that a task holds while it deals documents out.
-BLOCK_CHARS, DEAL_BYTES = 8_000_000, 32_000_000
+BLOCK_CHARS, DEAL_BYTES = 6_000_000, 32_000_000
 #: Parts of the names that are asked for one after another, so that only one part's shuffle is on disk.
 PARTS = 5
 #: Bits that tell apart the words next to one pair of words.
@@ -288,9 +288,9 @@ def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
 
 HELD = "block int, data array<binary>, trained array<long>"
 ASKED = "shard int, block int, names binary, n_follows binary, follows binary, learnt binary, n_leads binary, leads binary"
-TOLD = "block int, shard int, kinds binary, all binary, once binary, twice binary, more binary, owned binary, seen binary, " + ", ".join(f"{o}{n} long" for o in "tp" for n in range(1, 5))
-WORDS = "shard int, block int, names binary, all binary, once binary, twice binary, more binary, kinds binary"
-WORTH = "block int, shard int, all binary, once binary, twice binary, more binary, kinds binary, total long, words long, " + ", ".join(f"w{n} long" for n in range(1, 5))
+TOLD = "block int, shard int, kinds binary, rest binary, once binary, twice binary, more binary, owned binary, seen binary, " + ", ".join(f"{o}{n} long" for o in "tp" for n in range(1, 5))
+WORDS = "shard int, block int, names binary, rest binary, once binary, twice binary, more binary, kinds binary"
+WORTH = "block int, shard int, rest binary, once binary, twice binary, more binary, kinds binary, total long, words long, " + ", ".join(f"w{n} long" for n in range(1, 5))
 
 
 def _rows(rows: list[list], schema: str) -> pa.Table:
@@ -333,7 +333,7 @@ def _ask(shards: int, part: int):
 
 
 def _tell(asked: pa.Table) -> pa.Table:
-    """Counts of all blocks for each block's pairs: words before it, words after it in all and those met once, twice or more often; of each follower, how often."""
+    """Counts of all blocks for each block's pairs: words before it, words after it met once, twice and more often, and how often the last ones beyond three times; of each follower, how often."""
     asked = asked.sort_by("block")
     names, n_follows, follows, learnt, n_leads, leads = ([_unpacked(x.as_buffer().to_pybytes()) for x in asked.column(k)] for k in range(2, 8))
     cut, cuts = _firsts(np.array([len(x) for x in names])), _firsts(np.array([len(x) for x in follows]))
@@ -343,8 +343,9 @@ def _tell(asked: pa.Table) -> pa.Table:
     trigram, of = np.unique(code(n_follows, follows), return_inverse=True)
     seen = np.bincount(of, np.concatenate(learnt), len(trigram)).astype(np.int64)
     context = (trigram >> NEXT_BITS).astype(np.int64)
-    total = np.bincount(context, seen, n).astype(np.int64)
     once, twice, more = (np.bincount(context[w], minlength=n) for w in (seen == 1, seen == 2, seen > 2))
+    # what the three leave of the sum of all is mostly nought
+    rest = np.bincount(context, np.maximum(seen - 3, 0), n).astype(np.int64)
     kinds = np.bincount((_distinct(code(n_leads, leads)) >> NEXT_BITS).astype(np.int64), minlength=n)
     # the first block that learns a pair speaks for it
     holds = np.flatnonzero(np.concatenate(n_leads) > 0)
@@ -353,7 +354,7 @@ def _tell(asked: pa.Table) -> pa.Table:
     rows = []
     for i in range(asked.num_rows):
         own = name[cut[i] : cut[i + 1]]
-        parts = kinds[own], total[own], once[own], twice[own], more[own], owned[cut[i] : cut[i + 1]], seen[of[cuts[i] : cuts[i + 1]]]
+        parts = kinds[own], rest[own], once[own], twice[own], more[own], owned[cut[i] : cut[i + 1]], seen[of[cuts[i] : cuts[i + 1]]]
         stats = [int((x == k).sum()) for x in (seen, kinds) for k in range(1, 5)] if i == 0 else [0] * 8
         rows.append([asked.column("block")[i].as_py(), asked.column("shard")[i].as_py(), *map(_packed, parts), *stats])
     return _rows(rows, TOLD)
@@ -382,7 +383,7 @@ def _ask_words(shards: int):
         own = np.flatnonzero(owned)
         left, right = np.searchsorted(words, b.left[own]), np.searchsorted(words, b.right[own])
         k = kinds[own]
-        sums = [np.bincount(left, k, len(words)).astype(np.int64), *(np.bincount(left[w], minlength=len(words)) for w in (k == 1, k == 2, k > 2)), np.bincount(right, minlength=len(words))]
+        sums = [np.bincount(left, np.maximum(k - 3, 0), len(words)).astype(np.int64), *(np.bincount(left[w], minlength=len(words)) for w in (k == 1, k == 2, k > 2)), np.bincount(right, minlength=len(words))]
         edges = np.searchsorted(_shard(words, shards), np.arange(shards + 1))
         block = texts.column("block")[0].as_py()
         return _rows([[s, block, _packed(_steps(words[lo:hi])), *(_packed(x[lo:hi]) for x in sums)] for s, (lo, hi) in enumerate(zip(edges, edges[1:])) if lo < hi], WORDS)
@@ -395,7 +396,7 @@ def _tell_words(asked: pa.Table) -> pa.Table:
     names = [np.cumsum(_unpacked(x.as_buffer().to_pybytes()), dtype=np.uint64) for x in asked.column("names")]
     cut = _firsts(np.array([len(x) for x in names]))
     words, word = np.unique(np.concatenate(names), return_inverse=True)
-    sums = [np.bincount(word, np.concatenate([_unpacked(x.as_buffer().to_pybytes()) for x in asked.column(c)]), len(words)).astype(np.int64) for c in ("all", "once", "twice", "more", "kinds")]
+    sums = [np.bincount(word, np.concatenate([_unpacked(x.as_buffer().to_pybytes()) for x in asked.column(c)]), len(words)).astype(np.int64) for c in ("rest", "once", "twice", "more", "kinds")]
     kinds, rows = sums[-1], []
     for i in range(asked.num_rows):
         own = word[cut[i] : cut[i + 1]]
@@ -413,8 +414,9 @@ def _score(d3: tuple, d2: tuple, d1: tuple, total: int, spread: float):
 
     def score(rows: pa.Table, trained: pa.Table) -> pa.Table:
         b = _Block(_answers(rows, 0), trained)
-        kinds, all3, once, twice, more, seen = _joined(_answers(rows, 1), ["kinds", "all", "once", "twice", "more", "seen"])
-        all2, once2, twice2, more2, ends = _joined(_answers(rows, 2), ["all", "once", "twice", "more", "kinds"])
+        kinds, all3, once, twice, more, seen = _joined(_answers(rows, 1), ["kinds", "rest", "once", "twice", "more", "seen"])
+        all2, once2, twice2, more2, ends = _joined(_answers(rows, 2), ["rest", "once", "twice", "more", "kinds"])
+        all3, all2 = all3 + once + 2 * twice + 3 * more, all2 + once2 + 2 * twice2 + 3 * more2
         mean = np.full(len(b.ids), np.nan)
         if len(b.hashes):
             words = b.words()
@@ -459,8 +461,8 @@ def perplexities(docs: DataFrame, training: DataFrame) -> DataFrame:
     d3, d2, d1 = (_discount_values(dict(enumerate(x, 1))) for x in (stats[:4], stats[4:], ones))
     freed = ones[0] * d1[0] + ones[1] * d1[1] + (words - ones[0] - ones[1]) * d1[2]
     spread = max(freed / max(1, total), 1e-6) / (words + 1) if words else 1.0
-    known = told.select("block", "shard", "kinds", "all", "once", "twice", "more", "seen", F.lit(1).alias("what"))
-    known = known.unionByName(worth.select("block", "shard", "kinds", "all", "once", "twice", "more", F.lit(2).alias("what")), allowMissingColumns=True)
+    known = told.select("block", "shard", "kinds", "rest", "once", "twice", "more", "seen", F.lit(1).alias("what"))
+    known = known.unionByName(worth.select("block", "shard", "kinds", "rest", "once", "twice", "more", F.lit(2).alias("what")), allowMissingColumns=True)
     rows = base.unionByName(known, allowMissingColumns=True)
     return rows.groupBy("block").cogroup(ids).applyInArrow(_score(d3, d2, d1, total, spread), "doc_id long, lang string, n_words long, perplexity double")
 
