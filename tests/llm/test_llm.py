@@ -533,6 +533,23 @@ def test_toxicity(spark):
     assert toxicity.fit(table, labels.limit(0)).constant == 0.0 and toxicity.score_toxicity(table.limit(0), net).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """A word that only the last of 4,400 rows with label 1 have, in the order of a hash, is learnt too; in one shard and in several."""
+    rng = random.Random(12)
+    order = [r["id"] for r in spark.range(8_400).where("id % 21 < 11").orderBy(F.xxhash64("id")).collect()]
+    late = set(order[4_000:])
+    ones = set(order)
+    word = lambda i: "grobian" if i in late else "idiot" if i in ones else "friend"
+    table = docs(spark, *(f"{prose(rng, 6)} {word(i)} {prose(rng, 3)}" for i in range(8_400)))
+    labels = spark.createDataFrame([(i, int(i in ones)) for i in range(8_400)], "doc_id long, toxic int")
+    for rows in (8_000, 2_000):
+        monkeypatch.setattr(toxicity, "SHARD_ROWS", rows, raising=False)
+        net = toxicity.fit(table, labels)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, net).collect()}
+        assert len(late) == 400 and np.mean([got[i] >= 0.3 for i in late]) > 0.9
+        assert np.mean([(got[i] >= 0.3) == (i in ones) for i in got]) > 0.95
+
+
 def test_mixing(spark):
     rng = random.Random(11)
     of = lambda k: " ".join(f"{k}{rng.randrange(40)}" for _ in range(rng.randrange(20, 60)))
