@@ -1,7 +1,8 @@
 """Gene-model curation: every step takes and gives annotation rows with the genome and their place in the file (row).
 
 A step moves its rows once, to their genome's task; all that a row learns from others of its genome is then read by windows
-within that task. New rows are exploded from those that call for them. Nothing is joined or moved again.
+within that task. New rows are exploded from those that call for them. Nothing is joined or moved again. Rows that are dealt by genome
+to as many ``tasks`` already are not moved at all.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ def normalise_types(gff: DataFrame) -> DataFrame:
     return gff.withColumn("type", named).withColumn("attributes", F.regexp_replace(plain, "^;+", "")).where(F.col("type").isNotNull() & _id().isNotNull())
 
 
-def _by_genome(gff: DataFrame) -> DataFrame:
-    return gff.repartition("ome")
+def _by_genome(gff: DataFrame, tasks: int | None = None) -> DataFrame:
+    return gff.repartition("ome") if tasks is None else gff
 
 
 def _looked_up(rows: DataFrame, key: Column, gives: Column, values: dict[str, Column]) -> DataFrame:
@@ -76,9 +77,9 @@ def _resolved(rows: DataFrame) -> DataFrame:
     return met.withColumn("gene", own_gene).withColumn("rna", own_rna).drop("_m", "_g")
 
 
-def resolve_parents(gff: DataFrame, keep_orphans: bool = False) -> DataFrame:
+def resolve_parents(gff: DataFrame, keep_orphans: bool = False, tasks: int | None = None) -> DataFrame:
     """With id, rna and gene: parts follow Parent to their RNA and its gene, or straight to a gene; orphan parts go unless kept under their own id."""
-    out = _resolved(_by_genome(gff))
+    out = _resolved(_by_genome(gff, tasks))
     return _kept(out) if keep_orphans else out.where(F.col("gene").isNotNull() | is_rna())
 
 
@@ -99,9 +100,9 @@ def _like(rows: DataFrame, gff: DataFrame) -> DataFrame:
     return rows.select(*gff.columns)
 
 
-def complete_models(gff: DataFrame) -> DataFrame:
+def complete_models(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """With the rows that models lack: an mRNA for genes with CDS and no RNA, a gene for RNAs without one, exons from CDS where a model has neither exons nor introns."""
-    return _completed(_by_genome(gff))
+    return _completed(_by_genome(gff, tasks))
 
 
 def _span(of: Column) -> dict[str, Column]:
@@ -128,10 +129,10 @@ def _completed(gff: DataFrame) -> DataFrame:
     return _like(rows.select("ome", F.explode(F.array_compact(made)).alias("x")).select("ome", "x.*"), gff)
 
 
-def exons_from_introns(gff: DataFrame) -> DataFrame:
+def exons_from_introns(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """Exon rows of genes that have introns and no exons: from the gene's start to the first intron, between introns, and to its end."""
     named = F.col("type").isin(*NAMED)
-    rows = _models(_by_genome(gff)).withColumns({"_exon": F.max(F.col("type") == "exon").over(_gene()), "g0": F.min(F.when(named, F.col("start"))).over(_gene()), "g1": F.max(F.when(named, F.col("end"))).over(_gene())})
+    rows = _models(_by_genome(gff, tasks)).withColumns({"_exon": F.max(F.col("type") == "exon").over(_gene()), "g0": F.min(F.when(named, F.col("start"))).over(_gene()), "g1": F.max(F.when(named, F.col("end"))).over(_gene())})
     introns = rows.where("type = 'intron' AND NOT _exon AND g0 IS NOT NULL AND gene IS NOT NULL")
     order = _gene().orderBy("start", "end")
     placed = introns.withColumns({"_before": F.lag("end").over(order), "_last": F.lead("end").over(order).isNull(), "_far": F.max("end").over(_gene()), "_row": F.max("row").over(_gene())})
@@ -142,20 +143,20 @@ def exons_from_introns(gff: DataFrame) -> DataFrame:
     return _like(made, gff)
 
 
-def isoform_spans(gff: DataFrame) -> DataFrame:
+def isoform_spans(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """(ome, gene, rna, protein, start, end): for genes whose CDS name several proteins, one transcript -T0, -T1, .. over the CDS of each, in order of start and protein."""
-    cds = resolve_parents(gff, keep_orphans=True).where("type = 'CDS'").withColumn("protein", F.coalesce(_id("protein_id"), _id("proteinId")))
+    cds = resolve_parents(gff, True, tasks).where("type = 'CDS'").withColumn("protein", F.coalesce(_id("protein_id"), _id("proteinId")))
     spans = cds.where("protein IS NOT NULL").groupBy("ome", "gene", "protein").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     group = W.partitionBy("ome", "gene")
     ranked = spans.withColumn("n", F.count("*").over(group)).withColumn("k", F.row_number().over(group.orderBy("start", "protein")) - 1)
     return ranked.where("n > 1").select("ome", "gene", F.concat("gene", F.lit("-T"), F.col("k").cast("string")).alias("rna"), "protein", "start", "end")
 
 
-def split_isoforms(gff: DataFrame) -> DataFrame:
+def split_isoforms(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """``gff`` with the transcripts of ``isoform_spans``: in their genes they take the place of the RNAs, each CDS gets its protein's as Parent, and the exons are those of the CDS."""
     protein = F.coalesce(_id("protein_id"), _id("proteinId"))
     own = W.partitionBy("ome", "gene", "_p")
-    rows = _models(_by_genome(gff)).withColumn("_p", F.when(F.col("type") == "CDS", protein)).withColumn("_at", F.when(F.col("_p").isNotNull() & F.col("gene").isNotNull(), F.struct(F.min("start").over(own).alias("a"), F.col("_p").alias("p"), F.max("end").over(own).alias("b"))))
+    rows = _models(_by_genome(gff, tasks)).withColumn("_p", F.when(F.col("type") == "CDS", protein)).withColumn("_at", F.when(F.col("_p").isNotNull() & F.col("gene").isNotNull(), F.struct(F.min("start").over(own).alias("a"), F.col("_p").alias("p"), F.max("end").over(own).alias("b"))))
     # the proteins of a gene in order of start and name
     spans = rows.withColumn("_all", F.array_sort(F.collect_set("_at").over(_gene())))
     name = lambda k: F.concat("gene", F.lit("-T"), k.cast("string"))
@@ -169,17 +170,17 @@ def split_isoforms(gff: DataFrame) -> DataFrame:
     return _like(spans.select("ome", F.explode(out).alias("x")).select("ome", "x.*"), gff)
 
 
-def dedupe_equal_models(gff: DataFrame) -> DataFrame:
+def dedupe_equal_models(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """(ome, gene, rna): transcripts kept when those of a gene with equal CDS coordinates become one, the first."""
-    cds = resolve_parents(gff, keep_orphans=True).where("type = 'CDS' AND rna IS NOT NULL")
+    cds = resolve_parents(gff, True, tasks).where("type = 'CDS' AND rna IS NOT NULL")
     models = cds.groupBy("ome", "gene", "rna").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("at"), F.min("row").alias("row"))
     return models.withColumn("k", F.row_number().over(W.partitionBy("ome", "gene", "at").orderBy("row", "rna"))).where("k = 1").select("ome", "gene", "rna")
 
 
-def assign_aliases(gff: DataFrame) -> DataFrame:
+def assign_aliases(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows with Alias: an RNA's is ome_protein, else a counter of its class in file order; a gene has its RNAs' joined by ``|``, parts have their RNA's."""
     named, rna = F.col("type").isin(*NAMED), W.partitionBy("ome", "rna")
-    rows = _models(_by_genome(gff)).withColumn("_p", F.when(F.col("rna").isNotNull(), F.min(F.when(F.col("type") == "CDS", F.coalesce(_id("protein_id"), _id("proteinId")))).over(rna)))
+    rows = _models(_by_genome(gff, tasks)).withColumn("_p", F.when(F.col("rna").isNotNull(), F.min(F.when(F.col("type") == "CDS", F.coalesce(_id("protein_id"), _id("proteinId")))).over(rna)))
     rows = rows.withColumns({"_pseudo": F.max(F.col("type") == "pseudogene").over(_gene()), "_bare": named & ~F.max(is_rna()).over(_gene())})
     kind = F.when(F.col("_pseudo") & F.col("gene").isNotNull(), F.when(F.col("type") == "tRNA", "pseudo-tRNA").otherwise("pseudogene")).when(F.col("type") == "mRNA", "mtdb").when(F.col("type").isin("tRNA", "rRNA"), F.col("type")).otherwise("RNA")
     bare = F.when(F.col("type") == "pseudogene", "pseudogene").otherwise("etc")
@@ -195,9 +196,9 @@ def assign_aliases(gff: DataFrame) -> DataFrame:
     return _like(joined.withColumn("attributes", F.when(final.isNull(), F.col("attributes")).otherwise(set_attr(F.col("attributes"), "Alias", final))), gff)
 
 
-def rename_and_organise(gff: DataFrame) -> DataFrame:
+def rename_and_organise(gff: DataFrame, tasks: int | None = None) -> DataFrame:
     """ID and Parent made from the aliases, parts numbered; rows by contig, gene, then gene, RNA and parts."""
-    rows = _models(_by_genome(gff)).withColumn("alias", _id("Alias"))
+    rows = _models(_by_genome(gff, tasks)).withColumn("alias", _id("Alias"))
     number = F.row_number().over(W.partitionBy("ome", "alias", "type").orderBy("start", "row"))
     prefix = F.when(F.col("type").isin(*NAMED), F.lit("gene_")).when(is_rna(), F.lit("RNA_")).otherwise(F.concat("type", F.lit("_")))
     tail = F.when(F.col("type").isin(*NAMED) | is_rna(), F.lit("")).otherwise(F.concat(F.lit("_"), number.cast("string")))
@@ -212,23 +213,33 @@ def rename_and_organise(gff: DataFrame) -> DataFrame:
     return _like(done.sortWithinPartitions("ome", "seqid", "_f", "gene", "_k", "start"), gff)
 
 
-def gtf_to_gff3(gtf: DataFrame, prefix: Column) -> DataFrame:
+def gtf_to_gff3(gtf: DataFrame, prefix: Column, tasks: int | None = None) -> DataFrame:
     """Gene and transcript rows over their parts, then the parts; an RNA with CDS is mRNA; genes are numbered by contig and start; start and stop codons go and reversed coordinates turn."""
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
     attrs = F.col("attributes")
-    rows = gtf.where("type NOT IN ('start_codon', 'stop_codon', 'gene', 'transcript', 'mRNA')").withColumns({"start": lo, "end": hi, "gene": gtf_attr(attrs, "gene_id"), "tx": F.coalesce(gtf_attr(attrs, "transcript_id"), gtf_attr(attrs, "gene_id"))}).where("gene IS NOT NULL")
-    cols = {"seqid": F.first("seqid"), "source": F.first("source"), "strand": F.first("strand"), "start": F.min("start"), "end": F.max("end"), "row": F.min("row")}
-    over = [v.alias(k) for k, v in cols.items()]
-    genes = rows.groupBy("ome", "gene").agg(*over)
-    named = genes.withColumn("alias", F.concat(prefix, F.lit("_"), F.row_number().over(W.partitionBy("ome").orderBy("seqid", "start", "gene")).cast("string")))
-    names = named.select("ome", "gene", "alias")
-    txs = rows.groupBy("ome", "gene", "tx").agg(*over, F.max((F.col("type") == "CDS").cast("int")).alias("coding")).join(names, ["ome", "gene"])
-    dot = {"score": F.lit("."), "phase": F.lit(".")}
-    gene_rows = named.withColumns({**dot, "type": F.lit("gene"), "attributes": F.concat(F.lit("ID=gene_"), "gene", F.lit(";Alias="), "alias")})
-    tx_rows = txs.withColumns({**dot, "type": F.when(F.col("coding") == 1, "mRNA").otherwise("RNA"), "attributes": F.concat(F.lit("ID=RNA_"), "tx", F.lit(";Parent=gene_"), "gene", F.lit(";Alias="), "alias")})
+    rows = _by_genome(gtf, tasks).where("type NOT IN ('start_codon', 'stop_codon', 'gene', 'transcript', 'mRNA')").withColumns({"start": lo, "end": hi, "gene": gtf_attr(attrs, "gene_id"), "tx": F.coalesce(gtf_attr(attrs, "transcript_id"), gtf_attr(attrs, "gene_id"))}).where("gene IS NOT NULL")
+    gene, tx = W.partitionBy("ome", "gene"), W.partitionBy("ome", "gene", "tx")
+    cols = [c for c in gtf.columns if c != "ome"]
+
+    def span(over: WindowSpec) -> Column:
+        """Ends over all parts, the rest from the first."""
+        top = F.min(F.struct("row", "seqid", "source", "strand")).over(over)
+        return F.struct(*(top[c].alias(c) for c in ("row", "seqid", "source", "strand")), F.min("start").over(over).alias("start"), F.max("end").over(over).alias("end"))
+
+    rows = rows.withColumns({"_gene": span(gene), "_g": F.row_number().over(gene.orderBy("row"))})
+    rows = rows.withColumns({"_tx": span(tx), "_coding": F.max(F.col("type") == "CDS").over(tx), "_t": F.row_number().over(tx.orderBy("row"))})
+    # parts of a gene are equal in this order, so genes are counted
+    number = F.dense_rank().over(W.partitionBy("ome").orderBy("_gene.seqid", "_gene.start", "gene"))
     k = F.row_number().over(W.partitionBy("ome", "tx", "type").orderBy("start", "row"))
-    parts = rows.join(names, ["ome", "gene"]).withColumn("attributes", F.concat("type", F.lit("_"), "tx", F.lit("_"), k.cast("string"))).withColumn("attributes", F.concat(F.lit("ID="), "attributes", F.lit(";Parent=RNA_"), "tx", F.lit(";Alias="), "alias"))
-    return reduce(DataFrame.unionByName, [_like(x, gtf) for x in (gene_rows, tx_rows, parts)])
+    named = rows.withColumns({"_alias": F.concat(prefix, F.lit("_"), number.cast("string")), "_k": k.cast("string")})
+    row = lambda of=None, **new: F.struct(*(new.get(c, F.col(f"{of}.{c}") if of and c in ("row", "seqid", "source", "strand", "start", "end") else F.col(c)).alias(c) for c in cols))
+    dot = {"score": F.lit("."), "phase": F.lit(".")}
+    tail = F.concat(F.lit(";Alias="), "_alias")
+    gene_row = row("_gene", **dot, type=F.lit("gene"), attributes=F.concat(F.lit("ID=gene_"), "gene", tail))
+    tx_row = row("_tx", **dot, type=F.when(F.col("_coding"), "mRNA").otherwise("RNA"), attributes=F.concat(F.lit("ID=RNA_"), "tx", F.lit(";Parent=gene_"), "gene", tail))
+    part = row(attributes=F.concat(F.lit("ID="), "type", F.lit("_"), "tx", F.lit("_"), "_k", F.lit(";Parent=RNA_"), "tx", tail))
+    made = F.array(part, F.when(F.col("_g") == 1, gene_row), F.when(F.col("_t") == 1, tx_row))
+    return _like(named.select("ome", F.explode(F.array_compact(made)).alias("x")).select("ome", "x.*"), gtf)
 
 
 def gff2_to_gff3(gff: DataFrame) -> DataFrame:
@@ -243,11 +254,11 @@ def gff2_to_gff3(gff: DataFrame) -> DataFrame:
     return _like(rows.withColumn("attributes", made), gff)
 
 
-def add_models(new: DataFrame, ref: DataFrame) -> DataFrame:
+def add_models(new: DataFrame, ref: DataFrame, tasks: int | None = None) -> DataFrame:
     """New models completed and named ome_manualN, counted on from the reference's; a gene with several RNAs is an error."""
     top = ref.withColumn("k", F.regexp_extract(_id("Alias"), r"_manual(\d+)", 1).try_cast("int")).groupBy("ome").agg(F.max("k").alias("top"))
     named = F.col("type").isin(*NAMED)
-    rows = _models(_completed(_by_genome(new))).withColumn("_n", F.count(F.when(is_rna(), 1)).over(_gene())).withColumn("_named", named)
+    rows = _models(_completed(_by_genome(new, tasks))).withColumn("_n", F.count(F.when(is_rna(), 1)).over(_gene())).withColumn("_named", named)
     counted = rows.withColumn("_k", F.row_number().over(W.partitionBy("ome", "_named").orderBy("row", "gene"))).join(top, "ome", "left")
     number = (F.coalesce("top", F.lit(0)) + F.col("_k")).cast("string")
     alias = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several RNAs of "), "gene"))).otherwise(F.concat("ome", F.lit("_manual"), number))
@@ -270,7 +281,7 @@ def annotate_og(gff: DataFrame, tags: DataFrame) -> DataFrame:
     return _like(rows.withColumn("attributes", F.when((F.col("type") == "gene") & F.col("tags").isNotNull(), set_attr(F.col("attributes"), "OG", F.col("tags"))).otherwise(F.col("attributes"))), gff)
 
 
-def tag_query_features(gff: DataFrame, ids: DataFrame) -> DataFrame:
+def tag_query_features(gff: DataFrame, ids: DataFrame, tasks: int | None = None) -> DataFrame:
     """``gff`` with ``tag``: the wanted id (id) a row has as ID or protein, handed on from parts to RNA and from RNA to gene.
 
     Only names are looked up among the wanted ones; those found go to their genomes with the rows.
@@ -279,8 +290,9 @@ def tag_query_features(gff: DataFrame, ids: DataFrame) -> DataFrame:
     protein = F.coalesce(_id("protein_id"), _id("proteinId"))
     names = gff.select("ome", F.explode(F.array_compact(F.array_distinct(F.array(_id(), protein)))).alias("_want"))
     found = names.join(want, "_want", "left_semi").distinct()
-    rows = gff.withColumn("_want", F.lit(None).cast("string")).unionByName(found, allowMissingColumns=True)
-    met = _by_genome(rows).withColumns({"_id": _id(), "_p": _id("Parent"), "_q": protein})
+    own = gff.withColumn("_want", F.lit(None).cast("string"))
+    rows = _by_genome(own.unionByName(found, allowMissingColumns=True)) if tasks is None else own.unionByName(found.repartition(tasks, "ome"), allowMissingColumns=True)
+    met = rows.withColumns({"_id": _id(), "_p": _id("Parent"), "_q": protein})
     wanted = F.col("_want")
     for key, name in (("_id", "_t1"), ("_q", "_t2")):
         met = _looked_up(met, F.col(key), wanted, {name: wanted})

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from genomeloom.sources.shared import shared_dir
+from genomeloom.sources.shared import shared_dir, tidied
 
 
 def _register(spark: SparkSession, path: str, schema: str, by: str, order: list[str], buckets: int) -> DataFrame:
@@ -23,18 +23,19 @@ def _register(spark: SparkSession, path: str, schema: str, by: str, order: list[
     return spark.table(name)
 
 
-def write_store(df: DataFrame, path: str, order: list[str], buckets: int, by: str = "ome") -> DataFrame:
+def write_store(df: DataFrame, path: str, order: list[str], buckets: int, by: str = "ome", tidy: bool = False) -> DataFrame:
     """Write ``df`` into the new folder ``path``, a file for each of ``buckets`` of genomes, sorted by genome and ``order``, and read it back.
 
     ``buckets`` sets the size of a file: some 100 to 1000 MB each at the size that the table will have. Every table
-    that is to be joined by genome without an exchange takes the same number.
+    that is to be joined by genome without an exchange takes the same number. ``tidy`` as in ``staged``.
     """
     spark = df.sparkSession
     order = [by, *(c for c in order if c != by)]
     layout = [(df.schema.toDDL(), by, ",".join(order), buckets)]
     name = f"genomes_{uuid.uuid4().hex}"
     # one exchange now, one file a bucket
-    df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(*order).option("path", f"{path}/data").saveAsTable(name)
+    with tidied(spark, tidy):
+        df.repartition(buckets, by).write.format("parquet").bucketBy(buckets, by).sortBy(*order).option("path", f"{path}/data").saveAsTable(name)
     spark.createDataFrame(layout, "columns string, by string, sorted string, buckets int").coalesce(1).write.parquet(f"{path}/layout")
     return spark.table(name)
 
@@ -45,11 +46,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return _register(spark, f"{path}/data", layout["columns"], layout["by"], layout["sorted"].split(","), layout["buckets"])
 
 
-def stored(df: DataFrame, name: str, order: list[str], by: str = "ome", buckets: int | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, order: list[str], by: str = "ome", buckets: int | None = None, tidy: bool = False) -> DataFrame:
     """``df`` stored by genome in the shared folder; as many buckets as the session has shuffle partitions unless said."""
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return write_store(df, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", order, n, by)
+    return write_store(df, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", order, n, by, tidy)
 
 
 def commit_genomes(df: DataFrame, path: str, by: str = "ome") -> None:

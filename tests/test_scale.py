@@ -211,3 +211,12 @@ def test_loci_are_read_from_the_order_of_their_contig(spark):
     want = sorted((f, o, s, a, p) for f in ("a2", "a30") for o, s, _, _, at in [("g", "c", 0, 0, int(f[1:]))] + ([("h", "d", 0, 0, 1)] if f == "a2" else []) for o2, s2, a, _, _, p in map(tuple, pos.collect()) if (o2, s2) == (o, s) and abs(p - at) <= 2)
     assert rows(near) == want
     assert rows(X.trimmed_loci(pos, asked, labels, 2)) == rows(X.trim_locus(near, labels))
+
+
+def test_features_are_made_where_their_genes_lie(spark):
+    """What reads features of a genome together makes them from genes that were dealt by genome: features are not moved."""
+    from genomeloom.jobs import curation_jobs as J
+
+    sf_dir = "/root/testdata/sf0.001"
+    for name in "g2_resolve_parents g3_complete_models g4_exons_from_introns g5_split_isoforms g6_assign_aliases g7_rename_and_organise g8_gtf_to_gff3 g9_gff2_to_gff3".split():
+        assert "Exchange hashpartitioning" not in plan(J.QUERIES[name](spark, sf_dir)), name
