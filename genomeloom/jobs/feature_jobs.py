@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from genomeloom.functions import columns as C
-from genomeloom.jobs.fixtures import domain, oracle
+from genomeloom.jobs.fixtures import by_genome, domain, genes_by_genome, oracle
 from genomeloom.operators import curate as Q
 from genomeloom.operators import features as X
 from genomeloom.operators import hits as H
@@ -37,6 +37,16 @@ def _focus(spark, sf_dir):
     return domain(spark, sf_dir, "hits").select(F.col("sseqid").alias("alias"))
 
 
+def _dealt(spark, sf_dir):
+    """Annotation that lies by genome, the accessions of ``_focus`` from the same genes, and the number of tasks."""
+    genes, tasks = genes_by_genome(spark, sf_dir)
+    return by_genome(spark, sf_dir, "gff", genes), domain(spark, sf_dir, "hits", genes=genes).select(F.col("sseqid").alias("alias")), tasks
+
+
+def _features_around(gff, focus, tasks):
+    return X.features_around(gff, focus, 2, tasks)
+
+
 def _mixed(spark, sf_dir):
     """Annotation of every genome in one of three dialects, by its kingdom."""
     of = lambda name, *kingdoms: domain(spark, sf_dir, name).join(domain(spark, sf_dir, "omes").where(F.col("kingdom").isin(*kingdoms)).select("ome"), "ome", "left_semi")
@@ -73,7 +83,7 @@ JOBS = {
     "a1_stored_annotation_stats": (lambda s, d: X.annotation_stats(_stored_gff(s, d)), _stats_sql()),
     "w1_stored_gene_positions": (lambda s, d: X.gene_positions(_stored_gff(s, d)), f'WITH {POS.strip()} SELECT ome, seqid, alias, "start", "end", pos FROM pos'),
     "p10_features_by_accession": (
-        lambda s, d: X.features_by_accession(_gff(s, d), _focus(s, d)).select("ome", "seqid", "type", "start", "end", "alias"),
+        lambda s, d: X.features_by_accession(*_dealt(s, d)).select("ome", "seqid", "type", "start", "end", "alias"),
         f"""SELECT DISTINCT ome, seqid, type, "start", "end", {ALIAS} AS alias FROM {{gff}} WHERE {ALIAS} IN (SELECT sseqid FROM {{hits}})""",
     ),
     "p11_coding_cds": (
@@ -116,7 +126,7 @@ SELECT focus, ome, seqid, alias, pos FROM pos JOIN b USING (ome, seqid) WHERE po
         f"WITH {POS.strip()} SELECT a.alias AS a, b.alias AS b, ome, seqid, p.alias, p.pos FROM pos a JOIN pos b USING (ome, seqid) JOIN pos p USING (ome, seqid) WHERE a.pos = 3 AND b.pos = 9 AND p.pos BETWEEN 3 AND 9",
     ),
     "w5_locus_features": (
-        lambda s, d: X.locus_features(X.locus_by_genes(_pos(s, d), _focus(s, d), 2), _gff(s, d)),
+        lambda s, d: _features_around(*_dealt(s, d)),
         f"""WITH {POS.strip()}, f AS (SELECT * FROM pos WHERE alias IN (SELECT sseqid FROM {{hits}})), l AS (SELECT f.alias AS focus, ome, seqid, p.alias, p.pos FROM pos p JOIN f USING (ome, seqid) WHERE abs(p.pos - f.pos) <= 2),
 g AS (SELECT ome, {ALIAS} AS alias, type, "start", "end", strand, CASE WHEN contains(type, 'RNA') THEN 0 ELSE 1 END AS k FROM {{gff}} WHERE contains(type, 'RNA') OR type IN ('gene', 'pseudogene'))
 SELECT focus, ome, seqid, alias, pos, type, "start", "end", strand FROM l JOIN g USING (ome, alias) QUALIFY row_number() OVER (PARTITION BY focus, ome, alias ORDER BY k, "start", type, "end") = 1""",

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from genomeloom.jobs.catalog_jobs import _new, _retired
-from genomeloom.jobs.feature_jobs import POS, _hits, _pos
-from genomeloom.jobs.fixtures import domain, oracle
+from genomeloom.jobs.feature_jobs import POS, _hits
+from genomeloom.jobs.fixtures import by_genome, domain, genes_by_genome, oracle
 from genomeloom.jobs.group_jobs import _catalog
+from genomeloom.operators.features import gene_positions
 from genomeloom.operators.workflows import compare_loci, update_catalog
 from genomeloom.sources.shared import staged
 
@@ -34,14 +35,15 @@ def _update(s, d):
     return rows.unionByName(done.replaced.select("assembly_acc", "ome", none("long").alias("genes"), F.lit("replaced").alias("reason")))
 
 
-def _compared(s, d, genes, *args, **limits):
-    """The locus comparison, with hits and positions from the same genes."""
-    return compare_loci(_hits(s, d, genes=genes), _pos(s, d, genes=genes), *args, **limits)
+def _compared(s, d, *args, **limits):
+    """The locus comparison, with hits and positions from the same genes, which lie by genome."""
+    genes, tasks = genes_by_genome(s, d)
+    return compare_loci(_hits(s, d, genes=genes), gene_positions(by_genome(s, d, "gff", genes)), *args, tasks=tasks, **limits)
 
 
 JOBS = {
     "compare_loci": (
-        lambda s, d: _compared(s, d, staged(domain(s, d, "genes"), "genes"), 10_000, max_hits=1000, evalue=0.008, bitscore=200, pident=0.003),
+        lambda s, d: _compared(s, d, 10_000, max_hits=1000, evalue=0.008, bitscore=200, pident=0.003),
         f"""WITH {POS.strip()},
 s AS (SELECT *, split_part(sseqid, '_', 1) AS ome, row_number() OVER (PARTITION BY split_part(sseqid, '_', 1), qseqid ORDER BY pident DESC, o, n, sseqid) AS k FROM {{hits}}),
 a AS (SELECT ome, sseqid AS alias, qseqid, max(pident) AS pident FROM s WHERE k <= 1000 AND floor(bitscore) > 200 AND floor(1000 * pident) > 300 AND evalue <= 0.008 AND floor(1000 * ppos) > 0 GROUP BY ALL),

@@ -43,9 +43,27 @@ def with_alias(gff: DataFrame) -> DataFrame:
     return gff.withColumn("alias", gff3_attr(F.col("attributes"), "Alias"))
 
 
-def features_by_accession(gff: DataFrame, accessions: DataFrame) -> DataFrame:
-    """Rows any of whose aliases is among ``accessions`` (alias), each once."""
+def _asked_names(rows: DataFrame, accessions: DataFrame, tasks: int) -> DataFrame:
+    """(ome, alias) of ``rows`` whose alias is among ``accessions``, dealt by genome to ``tasks``: only names are moved, there and back."""
+    names = rows.where("ome IS NOT NULL").select("ome", "alias").distinct()
+    return names.join(accessions.select("alias").distinct(), "alias", "left_semi").repartition(tasks, "ome").select("ome", "alias", F.lit(True).alias("asked"))
+
+
+def _brought(rows: DataFrame, given: DataFrame, key: str, name: str) -> DataFrame:
+    """``rows`` with the least ``name`` of the rows of ``given`` (ome, key, name) of their genome and key; both are dealt by genome alike, and neither is moved, as it would be for a join."""
+    # columns without the names of their tables: a union keeps how its parts are dealt only then
+    bare = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
+    both = bare(rows.withColumn("_own", F.lit(True))).unionByName(bare(given), allowMissingColumns=True)
+    return both.withColumn(name, F.min(name).over(W.partitionBy("ome", key))).where("_own").drop("_own")
+
+
+def features_by_accession(gff: DataFrame, accessions: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Rows any of whose aliases is among ``accessions`` (alias), each once; rows that are dealt by genome to ``tasks`` already are not moved."""
     rows = with_alias(gff)
+    if tasks is not None:
+        one = rows.withColumn("one", F.explode(F.array_distinct(F.split("alias", r"\|"))))
+        found = _asked_names(one.select("ome", F.col("one").alias("alias")), accessions, tasks).withColumnRenamed("alias", "one")
+        return _brought(one, found, "one", "asked").where("asked").select(*rows.columns).distinct()
     split = rows.withColumn("all", F.array_distinct(F.split("alias", r"\|"))).withColumn("one", F.explode("all"))
     asked = accessions.select(F.col("alias").alias("one")).distinct()
     # equal rows of one alias are together already; only those of several aliases are moved once more
@@ -107,9 +125,13 @@ def gene_positions(gff: DataFrame, spread: bool | int = False, marks: DataFrame
     return both.withColumn("pos", F.row_number().over(W.partitionBy("ome", "seqid").orderBy("start", "alias")))
 
 
-def asked_positions(pos: DataFrame, accessions: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``pos`` with ``asked``: whether a gene is among ``accessions`` (alias); with ``labels`` (alias, label) also the list of a gene's labels, and how many places have its alias."""
-    marked = pos.join(accessions.select("alias").distinct().withColumn("asked", F.lit(True)), "alias", "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+def asked_positions(pos: DataFrame, accessions: DataFrame, labels: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """``pos``, not moved if it is dealt by genome to ``tasks`` already, with ``asked``: whether a gene is among ``accessions`` (alias); with ``labels`` (alias, label) also the list of a gene's labels, and how many places have its alias."""
+    if tasks is None:
+        marked = pos.join(accessions.select("alias").distinct().withColumn("asked", F.lit(True)), "alias", "left")
+    else:
+        marked = _brought(pos, _asked_names(pos, accessions, tasks), "alias", "asked")
+    marked = marked.withColumn("asked", F.coalesce("asked", F.lit(False)))
     if labels is None:
         return marked
     own = labels.groupBy("alias").agg(F.collect_list("label").alias("labels"))
@@ -147,7 +169,7 @@ def _opened_here(rows: DataFrame) -> DataFrame:
     return inside.where("x.pos BETWEEN lo AND hi").select("focus", "ome", "seqid", "x.alias", "x.pos")
 
 
-def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
+def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int, tasks: int | None = None) -> DataFrame:
     """The genes from the first that ends at or after start - n to the last that starts at or before end + n.
 
     Both ends are looked up in one sort of a contig's genes and questions: the last start up to a coordinate,
@@ -160,7 +182,7 @@ def locus_by_bases(pos: DataFrame, accessions: DataFrame, n: int) -> DataFrame:
     none = F.lit(None).cast("int")
     own = F.array(row(F.col("reach"), 1, F.col("pos"), none, ""), row(F.col("start"), 1, none, F.col("pos"), ""))
     asks = F.array(row(F.col("start") - n, 0, none, none, "lo"), row(F.col("end") + n, 2, none, none, "hi"))
-    rows = asked_positions(pos, accessions).select("ome", "seqid", "alias", "pos", "start", "end", "asked").withColumn("reach", reach)
+    rows = asked_positions(pos, accessions, tasks=tasks).select("ome", "seqid", "alias", "pos", "start", "end", "asked").withColumn("reach", reach)
     events = rows.select("ome", "seqid", "alias", "pos", F.explode(F.when(F.col("asked"), F.concat(own, asks)).otherwise(own)).alias("x"))
     so_far = contig.orderBy("x.at", "x.rank").rowsBetween(W.unboundedPreceding, 0)
     told = events.select("ome", "seqid", "alias", "pos", F.col("x.ask").alias("ask"), (F.coalesce(F.max("x.reached").over(so_far), F.lit(0)) + 1).alias("first"), F.max("x.started").over(so_far).alias("last"))
@@ -177,14 +199,31 @@ def locus_between(pos: DataFrame, pairs: DataFrame) -> DataFrame:
     return _opened(pos, ends, "a", "b")
 
 
-def locus_features(locus: DataFrame, gff: DataFrame) -> DataFrame:
-    """One annotation row for each gene of a locus: an RNA row where there is one."""
+def _best_rows(gff: DataFrame) -> DataFrame:
+    """(ome, alias, x): the annotation row that stands for a gene, an RNA row where there is one."""
     rows = with_alias(gff).where(F.col("type").contains("RNA") | F.col("type").isin("gene", "pseudogene")).select("ome", F.explode(F.split("alias", r"\|")).alias("alias"), "type", "start", "end", "strand")
     order = F.struct(F.when(F.col("type").contains("RNA"), 0).otherwise(1).alias("k"), "start", "type", "end", "strand")
+    return rows.groupBy("ome", "alias").agg(F.min(order).alias("x"))
+
+
+def locus_features(locus: DataFrame, gff: DataFrame) -> DataFrame:
+    """One annotation row for each gene of a locus: an RNA row where there is one."""
     # a gene's row is chosen once, not in each locus; the key of the join is also that of the count, so loci are moved once
-    best = rows.groupBy("ome", "alias").agg(F.min(order).alias("x"))
+    return _once(locus.join(_best_rows(gff), ["ome", "alias"]))
+
+
+def features_around(gff: DataFrame, accessions: DataFrame, k: int, tasks: int) -> DataFrame:
+    """``locus_features`` of ``locus_by_genes``, where ``gff`` is dealt by genome to ``tasks``: genes take their annotation rows along when loci are read from the contig's order, and neither is moved."""
+    pos = _brought(asked_positions(gene_positions(gff), accessions, tasks=tasks), _best_rows(gff), "alias", "x")
+    around = W.partitionBy("ome", "seqid").orderBy("pos").rangeBetween(-k, k)
+    near = pos.select("ome", "seqid", "alias", "pos", "asked", F.collect_list(F.struct("alias", "pos", "x")).over(around).alias("near")).where("asked")
+    opened = near.select(F.col("alias").alias("focus"), "ome", "seqid", F.explode("near").alias("y")).select("focus", "ome", "seqid", "y.alias", "y.pos", "y.x")
+    return _once(opened.where("x IS NOT NULL"))
+
+
+def _once(featured: DataFrame) -> DataFrame:
     first = W.partitionBy("focus", "ome", "alias").orderBy("seqid", "pos")
-    return locus.join(best, ["ome", "alias"]).withColumn("r", F.row_number().over(first)).where("r = 1").select("focus", "ome", "seqid", "alias", "pos", "x.type", "x.start", "x.end", "x.strand")
+    return featured.withColumn("r", F.row_number().over(first)).where("r = 1").select("focus", "ome", "seqid", "alias", "pos", "x.type", "x.start", "x.end", "x.strand")
 
 
 def trim_locus(locus: DataFrame, labels: DataFrame) -> DataFrame:

@@ -19,22 +19,24 @@ from genomeloom.sources.formats import upsert_ledger
 from genomeloom.sources.shared import staged
 
 
-def compare_loci(hits: DataFrame, positions: DataFrame, n: int = 10_000, index: str = "jaccard", **limits) -> DataFrame:
+def compare_loci(hits: DataFrame, positions: DataFrame, n: int = 10_000, index: str = "jaccard", tasks: int | None = None, **limits) -> DataFrame:
     """(ome, gene, pos, queries, similarity) of the locus of each genome that is most like the set of queries.
 
     Hits within ``limits`` (``select_hits``) open a locus each, ``n`` bases on either side. A locus with two queries
     or more counts as similar as its queries are to all that were asked, times the mean of their best identities in it (as shares of 1). Equal
     loci of a genome are merged. ``queries`` are those that a gene answers, comma-joined; null where there are none.
+    Positions that are dealt by genome to ``tasks`` already are not moved.
     """
-    kept = staged(select_hits(hits, **limits).select("ome", F.col("sseqid").alias("alias"), "qseqid", "pident"), "kept")
+    kept = staged(select_hits(hits, **limits).select("ome", F.col("sseqid").alias("alias"), "qseqid", "pident"), "kept", tidy=True)
     answers = kept.groupBy("ome", "alias", "qseqid").agg(F.max("pident").alias("pident"))
-    loci = staged(locus_by_bases(positions, kept.select("alias").distinct(), n), "loci")
+    loci = staged(locus_by_bases(positions, kept.select("alias").distinct(), n, tasks), "loci", tidy=True)
     # sums of decimals do not depend on their order, so equal loci stay equal
     found = loci.join(answers, ["ome", "alias"]).groupBy("ome", "focus", "qseqid").agg(F.max("pident").cast("decimal(18,6)").alias("p"))
     scored = found.groupBy("ome", "focus").agg(F.count("*").alias("shared"), F.sum("p").cast("double").alias("p")).where("shared > 1")
     asked = hits.agg(F.countDistinct("qseqid").alias("n0"))
     ranked = with_scalars(scored, asked).withColumn("similarity", INDEXES[index](F.col("shared"), F.col("n0"), F.col("shared")) * (F.col("p") / F.col("shared")) / 100)
     top = ranked.withColumn("_r", F.rank().over(W.partitionBy("ome").orderBy(F.desc("similarity")))).where("_r = 1").select("ome", "focus", "similarity")
+    top = staged(top, "top", tidy=True)
     genes = loci.join(top, ["ome", "focus"]).select("ome", "alias", "pos", "similarity").distinct()
     names = answers.groupBy("ome", "alias").agg(F.array_join(F.array_sort(F.collect_list("qseqid")), ",").alias("queries"))
     return genes.join(names, ["ome", "alias"], "left").select("ome", F.col("alias").alias("gene"), "pos", "queries", "similarity")

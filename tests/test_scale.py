@@ -220,3 +220,13 @@ def test_features_are_made_where_their_genes_lie(spark):
     sf_dir = "/root/testdata/sf0.001"
     for name in "g2_resolve_parents g3_complete_models g4_exons_from_introns g5_split_isoforms g6_assign_aliases g7_rename_and_organise g8_gtf_to_gff3 g9_gff2_to_gff3".split():
         assert "Exchange hashpartitioning" not in plan(J.QUERIES[name](spark, sf_dir)), name
+
+
+def test_accessions_are_looked_up_by_name_alone(spark):
+    """Where features lie by genome, names go to the accessions and back; features, positions and loci are not moved."""
+    from genomeloom.jobs import feature_jobs as J
+
+    sf_dir = "/root/testdata/sf0.001"
+    for name in ("p10_features_by_accession", "w5_locus_features"):
+        text = plan(J.QUERIES[name](spark, sf_dir))
+        assert not re.search(r"Exchange hashpartitioning\((ome#\d+, [a-z]|one#)", text) and "Window" in text, name
