@@ -230,3 +230,20 @@ def test_accessions_are_looked_up_by_name_alone(spark):
     for name in ("p10_features_by_accession", "w5_locus_features"):
         text = plan(J.QUERIES[name](spark, sf_dir))
         assert not re.search(r"Exchange hashpartitioning\((ome#\d+, [a-z]|one#)", text) and "Window" in text, name
+
+
+def test_shuffles_leave_the_disks_with_their_step(spark, monkeypatch):
+    from genomeloom.operators import graph as G
+    from genomeloom.operators import groups as A
+    from genomeloom.operators import presence as P
+    from genomeloom.sources.shared import staged
+
+    seen = []
+    for module in (G, A, P):
+        monkeypatch.setattr(module, "staged", lambda df, name, tidy=False: seen.append((name, tidy)) or staged(df, name, tidy))
+    seqs = spark.createDataFrame([("a_1", "ACGTACGGTTCA"), ("a_2", "ACGTACGGTTCC"), ("b_1", "TTTTGGGGCCCC")], "seqid string, sequence string")
+    assert {(r["src"], r["dst"]) for r in G.kmer_edges(seqs, 4, 8, 0.5).collect()} == {("a_1", "a_2")}
+    hg = A.build_homology_groups(spark.createDataFrame([("a_1", "a_1"), ("a_1", "b_1"), ("c_1", "c_1")], "rep string, member string"))
+    got = {r["hg"]: r["missing"] for r in A.hg_missing(hg, spark.createDataFrame([("a",), ("b",), ("c",)], "ome string")).collect()}
+    assert got == {0: "c", 1: "a,b"}
+    assert {"sketches", "holders", "members", "held"} <= {name for name, _ in seen} and all(tidy for _, tidy in seen), seen
